@@ -1,7 +1,7 @@
 """The queries of this subpackage and the SQL that checks them."""
 
-from . import media, secrets
+from . import media, quality_rules, secrets
 
-_modules = (secrets, media)
+_modules = (secrets, media, quality_rules)
 QUERIES = {name: f for m in _modules for name, f in m.QUERIES.items()}
 SQL = {name: q for m in _modules for name, q in m.SQL.items()}
