@@ -81,8 +81,8 @@ def slices(batch: pa.RecordBatch, column: str = "text", size: int = 4 << 20) ->
             yield batch.slice(a, b - a)
 
 
-def mapped(df: DataFrame, each, schema: str, column: str = "text") -> DataFrame:
-    """each(slice of a batch) -> dict of columns, for all batches."""
+def mapped(df: DataFrame, each, schema: str, column: str = "text", size: int = 4 << 20) -> DataFrame:
+    """each(slice of a batch of about ``size`` bytes of text) -> dict of columns, for all batches."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -90,7 +90,7 @@ def mapped(df: DataFrame, each, schema: str, column: str = "text") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, size):
                 out = each(part)
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 

@@ -77,7 +77,7 @@ def scored(df: DataFrame, text_col: str = "text", lang_col: str = "lang", keep:
 
     def each(part):
         if not state:
-            state.extend([WordHashes(), Lettered(), charlm.Scorer(shards, order)])
+            state.extend([WordHashes(), Lettered(), charlm.Scorer(shards, order, bits=22)])
         hashes, lettered, scorer = state
         texts, langs = part.column(0).to_pylist(), part.column(1).to_pylist()
         base = [base_counts(t, hashes) for t in texts]
@@ -87,7 +87,7 @@ def scored(df: DataFrame, text_col: str = "text", lang_col: str = "lang", keep:
         names = [x.split()[0] for x in BASE.split(", ")]
         return {k: part.column(i) for i, k in enumerate(keep, 2)} | dict(zip(names, zip(*base, strict=True), strict=True)) | {"bits": bits, "_lang": part.column(1)}
 
-    return mapped(df.select(text, lang, *keep), each, f"{kept}, {BASE}, bits double, _lang string", "_text")
+    return mapped(df.select(text, lang, *keep), each, f"{kept}, {BASE}, bits double, _lang string", "_text", 1 << 20)
 
 
 def bands(figures: DataFrame, width: float = WIDTH) -> DataFrame:
