@@ -1,7 +1,7 @@
 """The queries of this subpackage and the SQL that checks them."""
 
-from . import media, quality_rules, secrets, toxicity
+from . import langid, media, quality_model, quality_rules, secrets, toxicity
 
-_modules = (secrets, media, quality_rules, toxicity)
+_modules = (quality_model, langid, media, secrets, toxicity, quality_rules)
 QUERIES = {name: f for m in _modules for name, f in m.QUERIES.items()}
 SQL = {name: q for m in _modules for name, q in m.SQL.items()}
