@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import documents, fold, mapped, mix, slices
 
 SHARE, SAMPLE, HASHES, BITS = 2e-5, 4000, 3, 20
-_SALTS = 16  # parts of a language's sample, ranked apart
+_SALTS = 64  # parts of a language's sample, ranked apart
 _POWERS = np.array([pow(0xD1342543DE82EF95, i, 1 << 64) for i in range(4)], np.uint64)
 _lower: list[np.ndarray] = []
 
@@ -57,7 +57,7 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sample(labelled: DataFrame, id_col: str, lang_col: str, most: int = SAMPLE) -> DataFrame:
-    """At most ``most`` rows a language, those with the least hash of the id in each of 16 parts."""
+    """At most ``most`` rows a language, those with the least hash of the id in each of 64 parts."""
     part = F.pmod(F.xxhash64(id_col, F.lit(1)), F.lit(_SALTS))
     ranked = labelled.withColumn("_part", part).withColumn("_n", F.row_number().over(Window.partitionBy(lang_col, "_part").orderBy(F.xxhash64(id_col), id_col)))
     return ranked.where(F.col("_n") <= most // _SALTS).drop("_n", "_part")
