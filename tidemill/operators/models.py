@@ -176,10 +176,14 @@ def fit_isolation_forest(frame: DataFrame, columns: list[str], order: list[str],
     return Forest(tuple(columns), *arrays, min(sample, n))
 
 
-def anomaly_scores(frame: DataFrame, forest: Forest, name: str = "score") -> DataFrame:
-    """frame with the score of eligible rows, NULL elsewhere."""
+def anomaly_scores(frame: DataFrame, forest: Forest, name: str = "score", scaler: Scaler | None = None) -> DataFrame:
+    """frame with the score of eligible rows, NULL elsewhere.
+
+    With a scaler, rows are scaled on the way in: as columns of their own, dozens of aliases
+    under one filter make the optimizer's inference of constraints explode.
+    """
     sent = frame.sparkSession.sparkContext.broadcast(forest)  # trees * nodes numbers, whatever the data's size
-    columns = list(forest.columns)
+    columns = [(F.col(c) - scaler.center[c]) / scaler.scale[c] if scaler else F.col(c) for c in forest.columns]
 
     @F.pandas_udf("double")
     def score(*cols: pd.Series) -> pd.Series:

@@ -50,9 +50,8 @@ def fit_baseline(frame: DataFrame, columns: list[str], warm_up_windows: int = 18
     first = first.drop("split") if "split" in first.columns else first
     scaler = models.fit_scaler(first, columns, cfg["iqr_epsilon"])
     f = cfg["forest"]
-    x = models.scaled(first, scaler)
-    forest = models.fit_isolation_forest(x, scaler.columns, ["window_start"], f["trees"], f["sample"], f["seed"])
-    threshold = models.score_thresholds(models.anomaly_scores(x, forest), f["quantiles"])[-1]
+    forest = models.fit_isolation_forest(models.scaled(first, scaler), scaler.columns, ["window_start"], f["trees"], f["sample"], f["seed"])
+    threshold = models.score_thresholds(models.anomaly_scores(first, forest, scaler=scaler), f["quantiles"])[-1]
     return Baseline(scaler, forest, threshold, seen["last"])
 
 
@@ -60,7 +59,7 @@ def score_frame(frame: DataFrame, baseline: Baseline) -> DataFrame:
     """frame with score, causal and alert: windows up to the fit's end are scored but never alerted."""
     if baseline.fit_boundary is None:
         raise MissingFitBoundaryError("the baseline has no boundary")
-    x = models.score_alert(models.anomaly_scores(models.scaled(frame, baseline.scaler), baseline.forest), baseline.threshold)
+    x = models.score_alert(models.anomaly_scores(frame, baseline.forest, scaler=baseline.scaler), baseline.threshold)
     return x.withColumn("causal", F.col("window_start") > baseline.fit_boundary).withColumn("alert", F.col("alert") & F.col("causal"))
 
 

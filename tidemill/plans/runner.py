@@ -61,11 +61,11 @@ def select(data: dict[str, DataFrame], frames: DataFrame, cfg: dict = DEFAULT, f
     f = cfg["forest"]
     rows = models.scaled(train, scaler) if fit_on_scaled else train
     forest = models.fit_isolation_forest(rows, scaler.columns, [*KEYS, "window_start"], f["trees"], f["sample"], f["seed"])
-    thresholds = models.score_thresholds(models.anomaly_scores(rows, forest), f["quantiles"])
+    thresholds = models.score_thresholds(models.anomaly_scores(train, forest, scaler=scaler if fit_on_scaled else None), f["quantiles"])
     by = ["candidate_id", "strictness", *KEYS]
     flagged = with_flags(val, data)
     static = models.static_candidates(flagged, bands, cfg["static_k"])
-    scored = models.anomaly_scores(models.scaled(flagged, scaler), forest)
+    scored = models.anomaly_scores(flagged, forest, scaler=scaler)
     levels = F.explode(F.array(*[F.struct(F.lit(f"q{q}").alias("candidate_id"), F.lit(t).alias("strictness")) for q, t in zip(f["quantiles"], thresholds, strict=True)]))
     wooded = scored.withColumn("_c", levels).select("*", "_c.*").drop("_c")
     wooded = wooded.withColumn("alert", F.col("eligible") & F.coalesce(F.col("score") > F.col("strictness"), F.lit(False)))
@@ -94,7 +94,7 @@ def score_test(selection: dict, fitted: dict, data: dict[str, DataFrame], frames
         elif name == "static_threshold":
             alerts = models.static_threshold_alert(test, fitted["bands"], s["strictness"])
         else:
-            alerts = models.score_alert(models.anomaly_scores(models.scaled(test, fitted["scaler"]), fitted["forest"]), s["strictness"])
+            alerts = models.score_alert(models.anomaly_scores(test, fitted["forest"], scaler=fitted["scaler"]), s["strictness"])
         out[f"{name}_events"] = _scores(alerts, labels, KEYS, cfg)
         out[f"{name}_points"] = episodes.point_scores(alerts, labels, KEYS, cfg["window_s"], CHANNELS)
     for name, f in (("no_alert", episodes.no_alert), ("always_alert", episodes.always_alert)):
