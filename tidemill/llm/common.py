@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 #: White space between words, as ``bytes.split()`` takes it.
 SPACE = b" \t\n\v\f\r"
 
+#: Bytes of a batch that Python gets while a table is written.
+BATCH = 8 << 20
 _made: list = []
+_hashes: list = []
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -62,10 +65,21 @@ def _clean() -> None:
             return
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends there, and lost executors take nothing with them."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
+def written(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: lineage ends there, and lost executors take nothing with them.
+
+    rows: of a batch that Python gets while it is written, where rows are large.
+    """
+    path, conf = shared_folder(df.sparkSession), df.sparkSession.conf
+    held = {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH)} | ({"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)} if rows else {})
+    before = {k: conf.get(k, None) for k in held}
+    try:
+        for k, v in held.items():
+            conf.set(k, v)
+        df.write.parquet(path)
+    finally:
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -112,6 +126,13 @@ class WordHashes(dict):
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
 
+    @classmethod
+    def shared(cls) -> "WordHashes":
+        """The one of this process, which keeps its words from task to task."""
+        if not _hashes:
+            _hashes.append(cls())
+        return _hashes[0]
+
     def of(self, ws: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, ws), np.uint64, len(ws))
 

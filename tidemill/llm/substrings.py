@@ -11,8 +11,7 @@ stands; words are compared, not hashes.
 What stands often is met early: of equal super-k-mers in the texts that a task holds
 at once only those of the smallest id travel, and all others are known to be repeats.  A passage in a
 third of all documents so sends a string per task.  Buckets are as many as the input's
-bytes ask for; strings are compressed per bucket.  Back come word ranges, which are joined to the texts by id:
-few are broadcast, many are met in a shuffle.
+bytes ask for; strings are compressed per bucket.  Back come word ranges, which meet the texts by id in a shuffle, as small hash tables.
 
 Words are ``[^\\x20\\x09-\\x0D]+``, unchanged; a null text has none.  A window is removed
 if it also starts in a document with a smaller id, as the input has it; all words it covers go.
@@ -28,28 +27,59 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, documents, mapped, mix, slices, windows_hash, words, written
+from .common import documents, mapped, mix, slices, words, written
 
-WINDOW, SEED = 13, 3
+WINDOW, SEED = 13, 2
 #: Bytes of text a bucket, and that a task holds at once.
-BUCKET, HELD = 8 << 20, 6 << 20
-#: Most ranges that are broadcast (24 bytes each).
-BROADCAST = 1_000_000
+BUCKET, HELD = 6 << 20, 4 << 20
+_ODD = 0xD1342543DE82EF95
+_powers: list[np.ndarray] = []
 
 
-def super_kmers(h: np.ndarray, size: np.ndarray, window: int = WINDOW, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """(first window, minimiser) of each super-k-mer of a text, from its words' hashes and lengths."""
-    n = len(h) - window + 1
+class Text:
+    """Bytes of words between single separators, and hashes of any stretches of them.
+
+    A stretch's hash is a polynomial over its bytes modulo 2 ** 64, read from sums over all bytes before.
+    """
+
+    def __init__(self, data: bytes):
+        self.data = data
+        b = np.frombuffer(data, np.uint8)
+        if not _powers or len(_powers[0]) <= len(b):
+            n = max(1 << 20, len(b) + len(b) // 8)
+            for i, odd in enumerate((_ODD, pow(_ODD, -1, 1 << 64))):
+                grown = np.full(n, odd, np.uint64)
+                grown[0] = 1
+                np.multiply.accumulate(grown, out=grown)
+                _powers[i:] = [grown]
+        self.sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * _powers[0][: len(b)], out=self.sums[1:])
+        cuts = np.flatnonzero((b == 32) | (b == 10))
+        self.starts = np.concatenate([[0], cuts + 1]) if len(b) else cuts
+        self.ends = np.concatenate([cuts, [len(b)]]) if len(b) else cuts
+        #: the line in which each word stands
+        self.line = np.concatenate([[0], np.cumsum(b[cuts] == 10)]) if len(b) else cuts
+
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.sums[end] - self.sums[start]) * _powers[1][start])
+
+
+def super_kmers(text: Text, window: int = WINDOW, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, word after the last, minimiser) of each super-k-mer; a line is a text of its own."""
+    n = len(text.starts) - window + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    sums = np.concatenate([[0], np.cumsum(size)])
-    length = np.minimum(255, sums[seed:] - sums[:-seed]).astype(np.uint64)
-    order = (np.uint64(255) - length) << np.uint64(56) | windows_hash(h, seed) >> np.uint64(8)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    a, b = text.starts[: len(text.starts) - seed + 1], text.ends[seed - 1 :]
+    order = (np.uint64(255) - np.minimum(255, b - a).astype(np.uint64)) << np.uint64(56) | text.hashes(a, b) >> np.uint64(8)
     best = order[:n].copy()
     for i in range(1, window - seed + 1):
         np.minimum(best, order[i : i + n], out=best)
-    first = np.flatnonzero(np.concatenate([[True], best[1:] != best[:-1]]))
-    return first, best[first]
+    inside = text.line[:n] == text.line[window - 1 :]
+    new = np.ones(n, bool)
+    new[1:] = (best[1:] != best[:-1]) | ~inside[:-1]
+    first = np.flatnonzero(new & inside)
+    last = np.flatnonzero(inside & np.concatenate([new[1:] | ~inside[1:], [True]]))
+    return first, last + window, best[first]
 
 
 def _joined(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,57 +98,57 @@ def _joined(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return doc[first], start[first], far[last] - rank[last]
 
 
-def _packed(entries: list[tuple[bytes, int, list[int], int]]) -> bytes:
-    """(string, doc, positions, words) as compressed bytes."""
+def _packed(doc: np.ndarray, place: np.ndarray, strings: list[bytes]) -> bytes:
+    """Documents, first words and strings, one a line, as compressed bytes; numbers as differences, their bytes by rank."""
     import zstandard
 
-    count = np.array([len(p) for _, _, p, _ in entries], np.int32)
-    head = [np.array([len(entries)], np.int64), np.array([d for _, d, _, _ in entries], np.int64), count, np.array([w for _, _, _, w in entries], np.int32), np.array([x for _, _, p, _ in entries for x in p], np.int32)]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([*[x.tobytes() for x in head], b" ".join([s for s, _, _, _ in entries])]))
+    head = [np.diff(doc.astype(np.int64), prepend=0).view(np.uint8).reshape(-1, 8).T.tobytes(), np.diff(place.astype(np.int32), prepend=np.int32(0)).astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes()]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([np.int64(len(doc)).tobytes(), *head, b"\n".join(strings)]))
 
 
-def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
     import zstandard
 
     data = zstandard.ZstdDecompressor().decompress(blob)
     n = int(np.frombuffer(data, np.int64, 1)[0])
-    doc = np.frombuffer(data, np.int64, n, 8)
-    count, size = (np.frombuffer(data, np.int32, n, 8 + 8 * n + 4 * n * i) for i in range(2))
-    at = 8 + 16 * n
-    place = np.frombuffer(data, np.int32, int(count.sum()), at)
-    return doc, count, size, place, data[at + 4 * len(place) :].split()
-
-
-def repeats(doc: np.ndarray, size: np.ndarray, ids: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(super-k-mer, place in it) of each window that also stands in one of a smaller document.
-
-    ids: the words of all super-k-mers, as numbers; size: how many each has.
-    """
-    n = len(ids) - window + 1
-    if n <= 0:
+    ranked = lambda at, width, kind: np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8, width * n, at).reshape(width, n).T).view(kind)[:, 0], dtype=kind)
+    return ranked(8, 8, np.int64), ranked(8 + 8 * n, 4, np.int32), data[8 + 12 * n :]
+
+
+def repeats(doc: np.ndarray, texts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """(line, word in it) of each window that also stands in a line of a smaller document; ``doc`` has one entry a line of all texts."""
+    parts = []
+    lines = 0
+    for i, data in enumerate(texts):
+        t = Text(data)
+        n = len(t.starts) - window + 1
+        if n > 0:
+            at = np.flatnonzero(t.line[:n] == t.line[window - 1 :])
+            begin = np.searchsorted(t.line, t.line[at])
+            parts.append((t.hashes(t.starts[at], t.ends[at + window - 1]), lines + t.line[at], at - begin, np.full(len(at), i), t.starts[at], t.ends[at + window - 1]))
+        lines += data.count(b"\n") + 1
+    if not parts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    ends = np.cumsum(size)
-    owner = np.repeat(np.arange(len(size)), size)
-    at = np.flatnonzero(np.arange(n) + window <= ends[owner[:n]])
-    h = windows_hash(mix(ids.astype(np.uint64)), window)[at]
+    h, line, place, which, a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.argsort(h, kind="stable")
-    differs = h[order][1:] != h[order][:-1]
-    same = np.flatnonzero(~differs)
-    a, b = at[order[same]], at[order[same + 1]]
-    unequal = np.zeros(len(same), bool)
-    for i in range(window):
-        unequal |= ids[a + i] != ids[b + i]
-    if unequal.any():  # two different windows with one hash: sort by the words themselves
-        order = np.lexsort([ids[at + i] for i in range(window)])
-        differs = np.zeros(len(order) - 1, bool)
-        for i in range(window):
-            w = ids[at[order] + i]
-            differs |= w[1:] != w[:-1]
+    hs = h[order]
+    same = hs[1:] == hs[:-1]
+    some = np.flatnonzero(np.concatenate([same, [False]]) | np.concatenate([[False], same]))  # windows whose hash another has
+    if not len(some):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = order[some]
+    differs = hs[some][1:] != hs[some][:-1]
+    sliced = [texts[i][x:y] for i, x, y in zip(which[order].tolist(), a[order].tolist(), b[order].tolist(), strict=True)]
+    if any(x != y for x, y, d in zip(sliced, sliced[1:], differs.tolist(), strict=False) if not d):  # two windows with one hash: sort by the words themselves
+        by_words = sorted(range(len(sliced)), key=sliced.__getitem__)
+        order, sliced = order[by_words], [sliced[i] for i in by_words]
+        differs = np.array([x != y for x, y in zip(sliced, sliced[1:], strict=False)], bool)
     starts = np.flatnonzero(np.concatenate([[True], differs]))
-    d = doc[owner[at[order]]]
+    d = doc[line[order]]
     least = np.repeat(np.minimum.reduceat(d, starts), np.diff([*starts, len(order)]))
-    found = np.sort(at[order[least < d]])
-    return owner[found], found - (ends - size)[owner[found]]
+    found = order[least < d]
+    found = found[np.lexsort((place[found], line[found]))]
+    return line[found], place[found]
 
 
 def repeated_ranges(df: DataFrame, id_col: str, text_col: str, window: int = WINDOW, seed: int = SEED) -> DataFrame:
@@ -127,69 +157,62 @@ def repeated_ranges(df: DataFrame, id_col: str, text_col: str, window: int = WIN
     parts = max(16, -(-total // BUCKET))
 
     def send(batches):
-        hashes = WordHashes()
         for batch in batches:
             for piece in slices(batch, "text", HELD):
-                met: dict[bytes, list] = {}
+                docs, texts = [], []
                 for d, t in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
                     ws = words(t)
-                    if d is None or len(ws) < window:
-                        continue
-                    size = np.fromiter(map(len, ws), np.int64, len(ws))
-                    first, value = super_kmers(hashes.of(ws), size, window, seed)
-                    text, at = b" ".join(ws), np.concatenate([[0], np.cumsum(size + 1)])
-                    last = np.concatenate([first[1:], [len(ws) - window + 1]]) + window - 1
-                    for a, b, x, y, v in zip(first.tolist(), last.tolist(), at[first].tolist(), (at[last] - 1).tolist(), (value % np.uint64(parts)).tolist(), strict=True):
-                        s = text[x:y]
-                        if (got := met.get(s)) is None:
-                            met[s] = [v, b - a, [(d, a)]]
-                        else:
-                            got[2].append((d, a))
-                by: dict[int, list] = {}
-                known: list[tuple[int, int, int]] = []
-                for s, (v, n, where) in met.items():
-                    least = min(where)[0] if len(where) > 1 else where[0][0]
-                    by.setdefault(v, []).append((s, least, [a for d, a in where if d == least], n))
-                    if len(where) > 1:
-                        known += [(d, a, a + n) for d, a in where if d != least]
-                del met
-                if by:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(by), pa.int64()), pa.array([_packed(x) for x in by.values()], pa.binary())], ["part", "blob"])
-                if known:  # what is known already goes through a bucket as it is
-                    got = _joined(*(np.array(x, np.int64) for x in zip(*known, strict=True)))
+                    if d is not None and len(ws) >= window:
+                        docs.append(d)
+                        texts.append(b" ".join(ws))
+                if not texts:
+                    continue
+                text = Text(b"\n".join(texts))
+                data = text.data
+                first, last, value = super_kmers(text, window, seed)
+                a, b, doc = text.starts[first], text.ends[last - 1], np.array(docs, np.int64)[text.line[first]]
+                place = first - np.searchsorted(text.line, text.line[first])
+                h = text.hashes(a, b)
+                order = np.lexsort((doc, h))
+                new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
+                lead = order[np.flatnonzero(new)[np.cumsum(new) - 1]]  # of each, the equal one with the smallest document
+                again = np.flatnonzero(doc[lead] < doc[order])
+                x, y = order[again], lead[again]
+                equal = np.array([data[i:j] == data[k:m] for i, j, k, m in zip(a[x].tolist(), b[x].tolist(), a[y].tolist(), b[y].tolist(), strict=True)], bool)
+                known = x[equal] if len(x) else x
+                left = np.ones(len(first), bool)
+                left[known] = False
+                part = (value % np.uint64(parts)).astype(np.int64)
+                go = np.flatnonzero(left)
+                go = go[np.argsort(part[go], kind="stable")]
+                cut = np.flatnonzero(np.concatenate([[True], part[go][1:] != part[go][:-1]]))
+                strings = [data[i:j] for i, j in zip(a[go].tolist(), b[go].tolist(), strict=True)]
+                blobs = [_packed(doc[go[i:j]], place[go[i:j]], strings[i:j]) for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(go)], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(part[go[cut]]), pa.array(blobs, pa.binary())], ["part", "blob"])
+                if len(known):  # what is known already goes through a bucket as it is
+                    got = _joined(doc[known], place[known], place[known] + last[known] - first[known])
                     yield pa.RecordBatch.from_arrays([pa.array([int(got[0][0]) % parts], pa.int64()), pa.array([b"\0" + np.stack(got).tobytes()], pa.binary())], ["part", "blob"])
 
     def meet(batches):
         def out(held):
             if not held:
                 return
-            docs, counts, sizes, places, seen = [], [], [], [], []
-            numbers: dict[bytes, int] = {}
-            for blob in held:
-                d, c, n, p, ws = _unpacked(blob)
-                docs.append(d)
-                counts.append(c)
-                sizes.append(n)
-                places.append(p)
-                seen.append(np.fromiter([numbers.setdefault(w, len(numbers)) for w in ws], np.int64, len(ws)))
-            doc, count, size, place = (np.concatenate(x) for x in (docs, counts, sizes, places))
-            owner, j = repeats(doc, size.astype(np.int64), np.concatenate(seen), window)
-            if not len(owner):
+            docs, places, texts = zip(*map(_unpacked, held), strict=True)
+            doc, place = np.concatenate(docs), np.concatenate(places).astype(np.int64)
+            line, j = repeats(doc, list(texts), window)
+            if not len(line):
                 return
-            new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (j[1:] > j[:-1] + window)])
-            first = np.flatnonzero(new)
+            first = np.flatnonzero(np.concatenate([[True], (line[1:] != line[:-1]) | (j[1:] > j[:-1] + window)]))
             last = np.concatenate([first[1:], [len(j)]]) - 1
-            k, a, b = owner[first], j[first], j[last] + window
-            n = count[k]
-            base = (np.cumsum(count) - count)[k]
-            at = place[np.repeat(base, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)].astype(np.int64)
-            got = _joined(np.repeat(doc[k], n), at + np.repeat(a, n), at + np.repeat(b, n))
+            at = place[line[first]]
+            got = _joined(doc[line[first]], at + j[first], at + j[last] + window)
             yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1].astype(np.int32)), pa.array(got[2].astype(np.int32))], ["id", "start", "end"])
 
         held: list[bytes] = []
         now = None
         for batch in batches:
-            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                blob = blob.as_py()
                 if part != now:
                     yield from out(held)
                     held, now = [], part
@@ -209,7 +232,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
     found = written(repeated_ranges(df, id_col, text_col, window, seed))
     # a document has no more ranges than windows
     ranges = found.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
-    ranges = ranges.hint("broadcast" if found.count() <= BROADCAST else "shuffle_hash")
+    ranges = ranges.hint("shuffle_hash")
     rows = df.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text")).join(ranges, F.col(id_col) == F.col("id"), "left").select(id_col, "text", F.col("ranges.start").alias("a"), F.col("ranges.end").alias("b"))
 
     def each(part):
@@ -232,7 +255,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(documents(spark, sf_dir, "doc_id", "text")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return written(dedup(documents(spark, sf_dir, "doc_id", "text")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")))
 
 
 QUERIES = {"op5_substring_dedup": op5_substring_dedup}
