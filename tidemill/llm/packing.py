@@ -24,6 +24,7 @@ one queue, as a window has no room for each of them.  An empty table gives no pi
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -32,55 +33,139 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, shared_folder, slices
+from .substrings import Text
 
 LENGTH, QUEUES, END = 4096, 1024, 2
 #: Most rows (partition and source) of the table of beginnings that are broadcast; beyond, it is joined by a shuffle.
 BROADCAST = 500_000
 
 
-class WordIds(dict):
-    """Word -> its token ids as bytes of ``width`` each; exact, as the tokenizer splits at white space before anything else."""
+#: Texts whose tokens can be cut by bytes: ASCII and Latin letters to U+00FF, without what the tokenizer treats apart.
+_PLAIN = re.compile(rb"(?:[\t-\r -&(-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*")
+_KIND = np.full(256, 1, np.uint8)  # letters
+_KIND[33:128] = 3  # marks
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[48:58] = 2  # digits, each a token
+_KIND[:33] = 0
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_AFTER = _LOWER.copy()  # of a letter's second byte
+_AFTER[0x80:0x9F] += 0x20
+_ids: dict = {}
 
-    def __init__(self, path: str, width: int, most: int = 500_000):
-        super().__init__()
+
+class TokenIds:
+    """Token ids of texts as bytes of ``width`` each, equal to the tokenizer's.
+
+    It lower-cases, takes runs of letters, single digits and runs of marks apart, and
+    merges pairs within each.  So texts of Latin letters are cut here, on bytes, and only
+    words that haven't been met are spelled, many at a time: a token that ends a word says so.
+    Other texts are cut at white space, and each new piece goes through the tokenizer.
+    """
+
+    def __init__(self, path: str, width: int, most: int = 600_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.type, self.most = Tokenizer.from_file(path), np.dtype(f"<u{width}"), most
+        self.known: dict[bytes, bytes] = {}
+        self.pieces: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.end = np.array([END], self.type).tobytes()
+
+    @classmethod
+    def shared(cls, path: str, width: int) -> TokenIds:
+        """The one of this process, which keeps its words from task to task."""
+        if (path, width) not in _ids:
+            _ids[path, width] = cls(path, width)
+        return _ids[path, width]
+
+    def _singly(self, ws: list[bytes]) -> list[bytes]:
+        return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch_fast([w.decode() for w in ws], add_special_tokens=False)]
+
+    def _learn(self, ws: list[bytes]) -> None:
+        if len(self.known) + len(ws) > self.most:
+            self.known.clear()
+        w = self.type.itemsize
+        for i in range(0, len(ws), 512):
+            part = ws[i : i + 512]
+            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, self.type)
+            at = np.flatnonzero(self.ends[ids]) + 1
+            if len(at) == len(part):
+                data, at = ids.tobytes(), (at * w).tolist()
+                self.known.update(zip(part, [data[a:b] for a, b in zip([0, *at], at, strict=False)], strict=True))
+            else:
+                self.known.update(zip(part, self._singly(part), strict=True))
+
+    def _plain(self, raws: list[bytes]) -> list[bytes]:
+        data = np.frombuffer(b"\n".join(raws) + b"\n", np.uint8)
+        low = _LOWER[data]
+        second = np.flatnonzero(data == 0xC3) + 1
+        low[second] = _AFTER[data[second]]
+        text = Text(low.tobytes())
+        kind = _KIND[low]
+        new = kind != 0
+        new[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        starts = np.flatnonzero(new)
+        stop = kind != 0
+        stop[:-1] &= (kind[1:] != kind[:-1]) | (kind[:-1] == 2)
+        ends = np.flatnonzero(stop) + 1
+        if not len(starts):
+            return [self.end] * len(raws)
+        _, first, back = np.unique(text.hashes(starts, ends), return_index=True, return_inverse=True)
+        ws = [text.data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        if missing := [w for w in ws if w not in self.known]:
+            self._learn(missing)
+            if any(w not in self.known for w in ws):  # the memory was emptied
+                self._learn([w for w in ws if w not in self.known])
+        ids = list(map(self.known.__getitem__, ws))
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.type.itemsize
+        flat, at = np.frombuffer(b"".join(ids), self.type), np.cumsum(size) - size
+        n = size[back]
+        upto = np.cumsum(n)
+        out = flat[np.repeat(at[back] - (upto - n), n) + np.arange(upto[-1])]
+        # texts end where their line feeds stand
+        edge = np.cumsum([len(r) + 1 for r in raws])
+        cut = np.concatenate([[0], upto])[np.searchsorted(starts, edge)].tolist()
+        return [out[a:b].tobytes() + self.end for a, b in zip([0, *cut], cut, strict=False)]
 
     def of(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode().split() for t in texts]
-        new = {w for ws in split for w in ws if w not in self}
-        if len(self) + len(new) > self.most:
-            self.clear()
-            new = {w for ws in split for w in ws}
-        new = list(new)
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, self.type).tobytes()
-        end = np.array([END], self.type).tobytes()
-        return [b"".join([*map(self.__getitem__, ws), end]) for ws in split]
+        raws = [(t or "").encode() for t in texts]
+        plain = [i for i, r in enumerate(raws) if b"<|" not in r and _PLAIN.fullmatch(r)]
+        out: list = [None] * len(raws)
+        if plain:
+            for i, x in zip(plain, self._plain([raws[i] for i in plain]), strict=True):
+                out[i] = x
+        for i, r in enumerate(raws):
+            if out[i] is None:
+                ws = r.split()
+                if new := list(set(ws).difference(self.pieces)):
+                    if len(self.pieces) + len(new) > self.most:
+                        self.pieces.clear()
+                        new = list(set(ws))
+                    self.pieces.update(zip(new, self._singly(new), strict=True))
+                out[i] = b"".join([*map(self.pieces.__getitem__, ws), self.end])
+        return out
 
 
 def tokenised(df: DataFrame, id_col: str, text_col: str, source_col: str, tokenizer: str, width: int = 2) -> DataFrame:
     """(id, src, part, at, n, ids) of each row, stored: its partition, its place among that partition's tokens of its source, and its ids."""
     kind = df.schema[id_col].dataType.simpleString()
-    state: list = []
 
     def run(batches):
         from pyspark import TaskContext
 
-        if not state:
-            state.append(WordIds(tokenizer, width))
+        words = TokenIds.shared(tokenizer, width)
         part = TaskContext.get().partitionId()
         at: dict = {}
         for batch in batches:
             for piece in slices(batch, text_col, 2 << 20):
                 sources, starts, sizes = piece.column(2).to_pylist(), [], []
-                ids = state[0].of(piece.column(1).to_pylist())
+                ids = words.of(piece.column(1).to_pylist())
                 for s, x in zip(sources, ids, strict=True):
                     n = len(x) // width
                     starts.append(at.get(s, 0))
