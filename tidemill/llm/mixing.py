@@ -85,7 +85,7 @@ def pareto_mix(df: DataFrame, id_col: str, source_col: str, size_col: str, weigh
         bins = of.groupBy("_source", bin_.alias("_bin")).agg(F.sum("_n").alias("_n"))
         bins = bins.withColumnRenamed("_source", "_x").join(known, F.col("_x").eqNullSafe(F.col("_source"))).drop("_x")
         after = F.col("_before") + F.sum("_n").over(Window.partitionBy("_source").orderBy("_bin"))
-        return bins.withColumn("_after", after).where("_after > _rest and _after - _n < _rest").select("_source", "_rest", "_bin", (F.col("_after") - F.col("_n")).alias("_before"))
+        return bins.withColumn("_after", after).where("_after >= _rest and _after - _n < _rest").select("_source", "_rest", "_bin", (F.col("_after") - F.col("_n")).alias("_before"))
 
     def inside(edges: DataFrame, bin_: Column) -> DataFrame:
         e = edges.select(F.col("_source").alias("_x"), F.col("_bin").alias("_y"))
