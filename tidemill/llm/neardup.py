@@ -7,19 +7,23 @@ t = num / den.
 Sketches.  XOR-hashing tokens into bits (a bit is the parity of the tokens on it) gives
 sketches whose Hamming distance never exceeds ``|A xor B|``.  Sizes are cut into
 bands; a band fixes the most differences D of its pairs and cuts the sketch into
-D + 1 + e parts.  By the pigeonhole principle a linked pair agrees in 1 + e parts at
-least.  A part's key is the XOR of random words of its set bits, a 48-bit Zobrist hash of the
-bits.  Parts of at most one token say little and would be shared widely: a set with at
-most e of them leaves them out (another common part remains), others send all.
+D + r + e parts, r being 2 in bands of small sets and 4 in others.  By the pigeonhole
+principle a linked pair agrees in r + e parts at least.  A part's key is the XOR of random words of its
+set bits, a 47-bit Zobrist hash of the bits.  Parts of at most one token say little and would
+be shared widely: a set with at most e of them leaves them out (r common parts remain), others send all.
 
 Equal sets are one node (80 bits) before sketches are sent, so copies are joined once.  Rows
 (key, node) are sorted in partitions by key, and only keys with two nodes or more go on.
+A candidate pair is first held against its whole sketches (of as many bits as the set has
+members, or up to twice that): if they differ in more bits than the pair may differ in members, it can't link.
 
 Verification is exact, on the sets of 64-bit hashes of k-grams, and seeks components, not
-all pairs: in each bucket the first node is compared with the others; then, among
-buckets whose nodes are not yet in one component, further nodes lead, until each
-bucket is one component or all its pairs have been compared.  Groups of near copies
-fall together in the first round, whatever their size.
+all pairs.  First, in each bucket, the first node is compared with the others; groups of near copies
+fall together there, whatever their size.  What is left are buckets of several components.
+As a linked pair has r keys in common, each node may leave out the r - 1 of its keys with the largest
+buckets: the key that is first of the common ones by size stays with both.  That empties the buckets of passages that many texts
+share.  Of what is left, buckets with few pairs of different components for their size give these
+pairs; in others sketches are compared in arrays, and only pairs that pass are sent on.
 
 Null texts and texts without words have empty sets that link with nothing.  Shorter texts
 than k words are one k-gram.  Repeated rows and ids give equal results; a null id is
@@ -31,15 +35,20 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WordHashes, documents, mapped, mix, slices, windows_hash, written
 from .components import components
 
-#: Growth of the sizes of a band, most leaders of a bucket in one round, and most rows of a broadcast table of ids.
-GROWTH, LEADERS, BROADCAST = 1.5, 64, 1_000_000
+#: Growth of the sizes of a band, and most rows of a broadcast table of ids.
+GROWTH, BROADCAST = 1.5, 1_000_000
+#: Pairs of different components a node, above which a bucket's sketches are compared before pairs are sent.
+CROSS = 16
+#: Pairs that Python holds at once while it compares their sets.
+PAIRS = 200
 _BITS = 4096  # of a part
+_WORDS = mix(np.arange(1, _BITS + 1, dtype=np.uint64))  # a random word for each bit of a part
 
 
 def shingles(text: str | None, k: int, hashes: WordHashes) -> np.ndarray:
@@ -50,10 +59,22 @@ def shingles(text: str | None, k: int, hashes: WordHashes) -> np.ndarray:
 
 def node_of(s: np.ndarray) -> tuple[int, int]:
     """80 bits that name a set: 16 and 64."""
-    with np.errstate(over="ignore"):
-        low = mix(s.copy()).sum(dtype=np.uint64)
-        other = np.bitwise_xor.reduce(mix(s + np.uint64(0xA0761D6478BD642F))) if len(s) else np.uint64(0)
-    return int(mix(np.array([other + np.uint64(len(s))], np.uint64))[0]) >> 48, int(low.astype(np.int64))
+    low = (s * np.uint64(0x9E3779B97F4A7C15) ^ s >> np.uint64(29)).sum(dtype=np.uint64)
+    other = int(np.bitwise_xor.reduce(s)) if len(s) else 0
+    return (other ^ other >> 16 ^ other >> 32 ^ other >> 48 ^ len(s)) & 0xFFFF, int(low.astype(np.int64))
+
+
+def sketch_of(s: np.ndarray) -> bytes:
+    """The parity sketch of a set, of the least power of two of bits that isn't below its size (256 at least)."""
+    bits = max(256, 1 << max(0, len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").tobytes()
+
+
+def hamming(a: bytes, b: bytes) -> int:
+    """Bits in which two sketches differ, the longer folded to the shorter's length."""
+    x, y = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), 0)).sum())
 
 
 class Bands:
@@ -66,6 +87,19 @@ class Bands:
     def differences(self, both: int) -> int:
         return (self.den - self.num) * both // (self.den + self.num)
 
+    @staticmethod
+    def common(d: int) -> int:
+        """Keys that a linked pair of a band of at most d differences has in common."""
+        return 2 if d < 5 else 4
+
+    def small(self) -> int:
+        """The largest size whose pairs may lie in a band with two common keys."""
+        size = 1
+        while self.common(self.differences(2 * size)) == 2:
+            size += 1
+        self._reach(size)
+        return self.top[int(np.searchsorted(self.top, size))]
+
     def _reach(self, size: int) -> None:
         while not self.top or self.top[-1] < size:
             last = self.top[-1] if self.top else 0
@@ -76,7 +110,7 @@ class Bands:
             d = self.differences(2 * top)
             spare = 0 if not d else 2 + d // 12
             self.top.append(top)
-            self.parts.append(d + 1 + spare)
+            self.parts.append(d + self.common(d) + spare)
             self.spare.append(spare)
 
     def of(self, size: int) -> range:
@@ -87,53 +121,45 @@ class Bands:
         return range(max(1, int(at[0])), int(at[1]) + 1)
 
     def keys(self, s: np.ndarray) -> np.ndarray:
-        """48-bit keys of the parts of a set's sketches."""
-        out = []
+        """47-bit keys of the parts of a set's sketches."""
+        out, word_of = [], _WORDS[(s & np.uint64(_BITS - 1)).astype(np.int64)]
         for band in self.of(len(s)):
             p = self.parts[band]
             part = (s >> np.uint64(32)) * np.uint64(p) >> np.uint64(32)
-            word = mix(s % np.uint64(_BITS) | part << np.uint64(12) | np.uint64((band + 1) << 50))
+            part = part.astype(np.uint16 if p < 1 << 16 else np.int64)
             order = np.argsort(part, kind="stable")
-            part = part[order].astype(np.int64)
+            part, word = part[order], word_of[order]
             starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            xor = np.bitwise_xor.reduceat(word[order], starts)
+            xor = np.bitwise_xor.reduceat(word, starts)
             n = np.zeros(p, np.int64)
             n[part[starts]] = np.diff([*starts, len(part)])
             key = np.zeros(p, np.uint64)
             key[part[starts]] = xor
             key = mix(key + (np.arange(p, dtype=np.uint64) + np.uint64((band + 1) << 40)) * np.uint64(0x9E3779B97F4A7C15))
-            if np.count_nonzero(n <= 1) <= self.spare[band]:
-                key = key[n > 1]
-            out.append(key >> np.uint64(16))
+            few = n <= (1 if p > 9 else 0)
+            if np.count_nonzero(few) <= self.spare[band]:
+                key = key[~few]
+            out.append(key >> np.uint64(17))
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def sets(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(id, n, hi, lo): a row's set size and node."""
-    kind = df.schema[id_col].dataType.simpleString()
-    hashes: list = []
-
-    def each(part):
-        if not hashes:
-            hashes.append(WordHashes())
-        found = [shingles(t, k, hashes[0]) for t in part.column(1).to_pylist()]
-        nodes = [node_of(s) for s in found]
-        return {"id": part.column(0), "n": [len(s) for s in found], "hi": [h for h, _ in nodes], "lo": [x for _, x in nodes]}
-
-    return mapped(df.select(id_col, F.col(text_col).alias("text")), each, f"id {kind}, n bigint, hi int, lo bigint")
+ROWS = "a bigint, lo bigint, id bigint, n bigint, sketch binary"
 
 
-def sketch_rows(df: DataFrame, text_col: str, k: int, num: int, den: int) -> DataFrame:
-    """(a, lo): key << 16 | hi, and lo, of each part of each set; sets that a task has met before are not sent again."""
+def sketch_rows(df: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
+    """Two kinds of rows from one reading.  a >= 0: key << 16 | hi, and lo, of each part of each set; sets that a task has met are not sent again.
+    a < 0 (spread by place): a row's id, set size, node (hi in the last 16 bits of a) and whole sketch."""
+    schema = pa.schema([("a", pa.int64()), ("lo", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
 
     def run(batches):
-        hashes, bands, met = WordHashes(), Bands(num, den), set()
+        hashes, bands, met = WordHashes.shared(), Bands(num, den), set()
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
-                keys, nodes, sizes = [], [], []
-                for t in part.column(0).to_pylist():
+                keys, nodes, sizes, every = [], [], [], []
+                for i, (d, t) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)):
                     s = shingles(t, k, hashes)
                     node = node_of(s)
+                    every.append((-1 << 63 | (hash((d, i)) & (1 << 46) - 1) << 16 | node[0], node[1], d, len(s), sketch_of(s) if len(s) else None))
                     if not len(s) or node in met:
                         continue
                     if len(met) < 1_000_000:
@@ -142,24 +168,37 @@ def sketch_rows(df: DataFrame, text_col: str, k: int, num: int, den: int) -> Dat
                     keys.append(key)
                     nodes.append(node)
                     sizes.append(len(key))
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*every, strict=True), schema, strict=True)], schema=schema)
                 if keys:
                     hi, lo = (np.repeat(np.array(x, np.int64), sizes) for x in zip(*nodes, strict=True))
                     a = np.concatenate(keys) << np.uint64(16) | hi.astype(np.uint64)
-                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(lo)], ["a", "lo"])
+                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(lo), *[pa.nulls(len(a), f.type) for f in list(schema)[2:]]], schema=schema)
 
-    return df.select(F.col(text_col).alias("text")).mapInArrow(run, "a bigint, lo bigint")
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, ROWS)
 
 
 def buckets(rows: DataFrame) -> DataFrame:
-    """(key, hi, lo): the nodes of each key that two different nodes have.  Streams over sorted partitions, whatever a bucket's size."""
+    """(key, hi, lo, id, n, sketch): the nodes of each key that two different nodes have, and with a null key the rows of all ids.
+
+    Streams over sorted partitions, whatever a bucket's size.
+    """
+    schema = pa.schema([("key", pa.int64()), ("hi", pa.int32()), ("lo", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
 
     def run(batches):
         def out(a, lo):
-            return pa.RecordBatch.from_arrays([pa.array(a >> 16), pa.array((a & 0xFFFF).astype(np.int32)), pa.array(lo)], ["key", "hi", "lo"])
+            return pa.RecordBatch.from_arrays([pa.array(a >> 16), pa.array((a & 0xFFFF).astype(np.int32)), pa.array(lo), *[pa.nulls(len(a), f.type) for f in list(schema)[3:]]], schema=schema)
 
         a0, lo0, sent = np.zeros(0, np.int64), np.zeros(0, np.int64), False  # the key that goes on: its last nodes, or only the last if it was sent
         for batch in batches:
-            a, lo = (np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate((a0, lo0)))
+            a, lo = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if len(a) and a[0] < 0:  # rows of ids stand first
+                cut = int(np.searchsorted(a, 0))
+                own = batch.slice(0, cut)
+                yield pa.RecordBatch.from_arrays([pa.nulls(cut, pa.int64()), pa.array((a[:cut] & 0xFFFF).astype(np.int32)), *own.columns[1:]], schema=schema)
+                a, lo = a[cut:], lo[cut:]
+            a, lo = np.concatenate([a0, a]), np.concatenate([lo0, lo])
+            if not len(a):
+                continue
             new = np.ones(len(a), bool)
             new[1:] = (a[1:] != a[:-1]) | (lo[1:] != lo[:-1])
             a, lo = a[new], lo[new]
@@ -176,8 +215,8 @@ def buckets(rows: DataFrame) -> DataFrame:
             sent = bool(many[-1])
             a0, lo0 = (a[-1:], lo[-1:]) if sent else (a[last], lo[last])
 
-    ordered = rows.withColumn("key", F.shiftright("a", 16)).repartition("key").sortWithinPartitions("a", "lo").select("a", "lo")
-    return ordered.mapInArrow(run, "key bigint, hi int, lo bigint")
+    ordered = rows.withColumn("key", F.shiftright("a", 16)).repartition("key").sortWithinPartitions("a", "lo").drop("key")
+    return ordered.mapInArrow(run, "key bigint, hi int, lo bigint, id bigint, n bigint, sketch binary")
 
 
 def _ids_of(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
@@ -187,21 +226,30 @@ def _ids_of(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
 
 def stored_sets(df: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     """(id, s): the sorted hashes of the k-grams of the given ids as bytes; of repeated ids any row's."""
-    hashes: list = []
 
     def each(part):
-        if not hashes:
-            hashes.append(WordHashes())
-        return {"id": part.column(0), "s": [shingles(t, k, hashes[0]).tobytes() for t in part.column(1).to_pylist()]}
+        return {"id": part.column(0), "s": [shingles(t, k, WordHashes.shared()).tobytes() for t in part.column(1).to_pylist()]}
+
+    rows = _ids_of(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), ids, "id")
+    return written(mapped(rows, each, "id bigint, s binary")).dropDuplicates(["id"])
+
+
+def near(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sketches allow a link."""
+    side = lambda name, x: sketches.select(F.col("id").alias(name), F.col("n").alias(f"n{x}"), F.col("sketch").alias(x))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "nx", "ny", "x", "y")
+
+    def run(batches):
+        for batch in batches:
+            n = (batch.column(2).to_numpy() + batch.column(3).to_numpy()) * (den - num) // (den + num)
+            keep = [i for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True)) if hamming(x.as_py(), y.as_py()) <= n[i]]
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    kind = df.schema[id_col].dataType.simpleString()
-    rows = _ids_of(df, ids.select(F.col("id").alias(id_col)), id_col)
-    return written(mapped(rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), each, f"id {kind}, s binary"))
+    return both.mapInArrow(run, "a bigint, b bigint")
 
 
 def verified(pairs: DataFrame, of: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets link."""
-    kind = of.schema["id"].dataType.simpleString()
     with_b = pairs.join(of.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
     both = with_b.join(of.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").select("a", "b", "x", "y")
 
@@ -215,40 +263,123 @@ def verified(pairs: DataFrame, of: DataFrame, num: int, den: int) -> DataFrame:
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    return both.mapInArrow(run, f"a {kind}, b {kind}")
+    return both.mapInArrow(run, "a bigint, b bigint")
+
+
+def within(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of a bucket (rows: key, id, n, label, sketch) with different labels whose sketches allow a link.
+
+    Buckets stream over sorted partitions; sketches of one are compared in blocks of arrays.
+    """
+
+    def pairs(ids, n, label, sketches):
+        least = min(map(len, sketches))
+        x = np.stack([np.bitwise_xor.reduce(np.frombuffer(s, np.uint64).reshape(-1, least // 8), 0) for s in sketches])
+        block = max(1, (1 << 21) // x.size)
+        out = []
+        for i in range(0, len(ids), block):
+            far = np.bitwise_count(x[i : i + block, None] ^ x[None, i:]).sum(2, dtype=np.int64)
+            ok = (far <= (n[i : i + block, None] + n[None, i:]) * (den - num) // (den + num)) & (label[i : i + block, None] != label[None, i:])
+            a, b = np.nonzero(ok)
+            a, b = a[a < b] + i, b[a < b] + i
+            out.append(np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])]))
+        return np.concatenate(out, 1)
+
+    def bucket(t: pa.Table) -> np.ndarray:
+        return pairs(t.column(1).to_numpy(), t.column(2).to_numpy(), t.column(3).to_numpy(), t.column(4).to_pylist())
+
+    return _by_bucket(rows.select("key", "id", "n", "label", "sketch"), bucket)
+
+
+def across(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of a bucket (rows: key, id, n, label) with different labels and sizes that allow a link: each node
+    outside the largest label of its bucket with all of other labels."""
+
+    def bucket(t: pa.Table) -> np.ndarray:
+        ids, n, label = (t.column(i).to_numpy() for i in (1, 2, 3))
+        kinds, kind, many = np.unique(label, return_inverse=True, return_counts=True)
+        out = []
+        for i in np.flatnonzero(kind != many.argmax()):
+            other = (kind != kind[i]) & ((kind == many.argmax()) | (np.arange(len(ids)) > i)) & (den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i]))
+            out.append(np.stack([np.minimum(ids[other], ids[i]), np.maximum(ids[other], ids[i])]))
+        return np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
+
+    return _by_bucket(rows.select("key", "id", "n", "label"), bucket)
+
+
+def _by_bucket(rows: DataFrame, bucket) -> DataFrame:
+    """bucket(rows of a key) -> pairs, for every key, over partitions that are sorted by key."""
+
+    def run(batches):
+        held: list = []
+        for batch in batches:
+            held.append(batch)
+            key = batch.column(0)
+            if len(key) and key[0] == key[-1] and held[0].column(0)[0] == key[0]:
+                continue  # one bucket so far
+            yield from out(held, False)
+        yield from out(held, True)
+
+    def out(held, last):
+        """Pairs of all buckets that are whole; the rest stays held."""
+        if not held:
+            return
+        t = pa.Table.from_batches(held).combine_chunks()
+        key = t.column(0).to_numpy()
+        if not len(key):
+            return
+        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        ends = [*cut[1:].tolist(), len(key)]
+        got = [bucket(t.slice(a, b - a)) for a, b in zip(cut.tolist(), ends, strict=True) if b - a > 1 and (last or b < len(key))]
+        held[:] = [] if last else t.slice(int(cut[-1])).combine_chunks().to_batches()
+        if got:
+            both = np.unique(np.concatenate(got, 1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint")
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows of keys with more than one label, the key's size, and whether it has few pairs of different labels for that."""
+    each = rows.groupBy("key", "label").agg(F.count("*").alias("c"))
+    keys = each.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("s"), F.count("*").alias("labels")).where("labels > 1")
+    return rows.join(keys.select("key", F.col("n").alias("size"), (F.col("n") * F.col("n") - F.col("s") <= 2 * CROSS * F.col("n")).alias("light")), "key")
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(id, n_shingles, component_id) of each row: the smallest id that links lead to, its own included."""
-    known = written(sets(df, id_col, text_col, k))
+    all_ = written(buckets(sketch_rows(df, id_col, text_col, k, num, den)))
+    known, shared = all_.where("key is null").drop("key"), all_.where("key is not null").select("key", "hi", "lo")
     classes = known.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.count("*").alias("copies"))
-    shared = written(buckets(sketch_rows(df, text_col, k, num, den)))
     # buckets of representatives: the smallest id of each node
     members = written(shared.join(classes, ["hi", "lo"]).where("id is not null").select("key", "id", "n"))
-    names = written(members.select("id").distinct())
-    of = stored_sets(df, names, id_col, text_col, k).dropDuplicates(["id"])
-    kind = known.schema["id"].dataType.simpleString()
-    links = tested = df.sparkSession.createDataFrame([], f"a {kind}, b {kind}")
-    labels = df.sparkSession.createDataFrame([], f"v {kind}, label {kind}")
-    ranked = written(members.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("id"))))
-    least, most = 1, 1
-    while True:
-        now = ranked.join(labels, F.col("id") == F.col("v"), "left").select("key", "id", "n", "rank", F.coalesce("label", "id").alias("label"))
-        open_ = now.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.max("rank").alias("size")).where(f"l0 != l1 and size > {least}").select("key")
-        now = written(now.join(open_, "key"))
-        if now.isEmpty():
-            break
-        lead = now.where(F.col("rank").between(least, most)).select("key", F.col("id").alias("p"), F.col("n").alias("np"), F.col("rank").alias("rp"), F.col("label").alias("lp"))
-        met = now.join(lead, "key").where((F.col("rank") > F.col("rp")) & (F.col("label") != F.col("lp")) & (den * F.least("n", "np") >= num * F.greatest("n", "np")))
-        new = met.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
-        new = written(new.join(tested, ["a", "b"], "left_anti"))
-        tested = written(tested.unionByName(new))
-        links = written(links.unionByName(verified(new, of, num, den)))
-        labels = components(links)
-        least, most = most + 1, most + LEADERS
+    sketches = written(known.select("id", "n", "sketch").join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        of = stored_sets(df, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), id_col, text_col, k)
+        return written(verified(pairs, of, num, den), PAIRS)
+
+    lead = members.groupBy("key").agg(F.min(F.struct("id", "n")).alias("lead"))
+    star = members.join(lead, "key").where((F.col("id") > F.col("lead.id")) & (den * F.least("n", "lead.n") >= num * F.greatest("n", "lead.n"))).select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct()
+    links = linked(written(near(star, sketches, num, den)))
+    labels = components(links)
+    now = members.join(labels, F.col("id") == F.col("v"), "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"))
+    # a node has no more keys than parts
+    mine = _mixed(now).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("size", "key"))).alias("keys"), F.first("n").alias("n"), F.first("label").alias("label"))
+    spare = F.when(F.col("n") <= Bands(num, den).small(), 1).otherwise(3)
+    fewer = mine.select("id", "n", "label", F.explode(F.slice("keys", F.lit(1), F.greatest(F.lit(0), F.size("keys") - spare))).alias("k")).select(F.col("k.key").alias("key"), "id", "n", "label")
+    left = written(_mixed(written(fewer)))
+    close = near(across(left.where("light"), num, den).distinct().join(star, ["a", "b"], "left_anti"), sketches, num, den)
+    heavy = left.where("not light")
+    if not heavy.isEmpty():
+        close = close.unionByName(within(heavy.join(sketches.select("id", "sketch"), "id"), num, den).join(star, ["a", "b"], "left_anti"))
+    close = written(close.distinct())
+    if not close.isEmpty():
+        labels = components(links.unionByName(linked(close)))
     named = classes.join(labels, F.col("id") == F.col("v"), "left").where("copies > 1 or label is not null").select(F.col("hi").alias("h"), F.col("lo").alias("l"), F.coalesce("label", "id").alias("component"))
     out = known.join(written(named), (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l")) & (F.col("n") > 0), "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    kind = df.schema[id_col].dataType
+    return out.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").cast(kind).alias("component_id"))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
