@@ -276,17 +276,15 @@ def within(rows: DataFrame, num: int, den: int) -> DataFrame:
         least = min(map(len, sketches))
         x = np.stack([np.bitwise_xor.reduce(np.frombuffer(s, np.uint64).reshape(-1, least // 8), 0) for s in sketches])
         block = max(1, (1 << 21) // x.size)
-        out = []
         for i in range(0, len(ids), block):
             far = np.bitwise_count(x[i : i + block, None] ^ x[None, i:]).sum(2, dtype=np.int64)
             ok = (far <= (n[i : i + block, None] + n[None, i:]) * (den - num) // (den + num)) & (label[i : i + block, None] != label[None, i:])
             a, b = np.nonzero(ok)
             a, b = a[a < b] + i, b[a < b] + i
-            out.append(np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])]))
-        return np.concatenate(out, 1)
+            yield np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])])
 
-    def bucket(t: pa.Table) -> np.ndarray:
-        return pairs(t.column(1).to_numpy(), t.column(2).to_numpy(), t.column(3).to_numpy(), t.column(4).to_pylist())
+    def bucket(t: pa.Table):
+        yield from pairs(t.column(1).to_numpy(), t.column(2).to_numpy(), t.column(3).to_numpy(), t.column(4).to_pylist())
 
     return _by_bucket(rows.select("key", "id", "n", "label", "sketch"), bucket)
 
@@ -295,14 +293,12 @@ def across(rows: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of a bucket (rows: key, id, n, label) with different labels and sizes that allow a link: each node
     outside the largest label of its bucket with all of other labels."""
 
-    def bucket(t: pa.Table) -> np.ndarray:
+    def bucket(t: pa.Table):
         ids, n, label = (t.column(i).to_numpy() for i in (1, 2, 3))
         kinds, kind, many = np.unique(label, return_inverse=True, return_counts=True)
-        out = []
         for i in np.flatnonzero(kind != many.argmax()):
             other = (kind != kind[i]) & ((kind == many.argmax()) | (np.arange(len(ids)) > i)) & (den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i]))
-            out.append(np.stack([np.minimum(ids[other], ids[i]), np.maximum(ids[other], ids[i])]))
-        return np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
+            yield np.stack([np.minimum(ids[other], ids[i]), np.maximum(ids[other], ids[i])])
 
     return _by_bucket(rows.select("key", "id", "n", "label"), bucket)
 
@@ -330,9 +326,20 @@ def _by_bucket(rows: DataFrame, bucket) -> DataFrame:
             return
         cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         ends = [*cut[1:].tolist(), len(key)]
-        got = [bucket(t.slice(a, b - a)) for a, b in zip(cut.tolist(), ends, strict=True) if b - a > 1 and (last or b < len(key))]
         held[:] = [] if last else t.slice(int(cut[-1])).combine_chunks().to_batches()
-        if got:
+        got, size = [], 0
+        for a, b in zip(cut.tolist(), ends, strict=True):
+            if b - a > 1 and (last or b < len(key)):
+                for x in bucket(t.slice(a, b - a)):
+                    got.append(x)
+                    size += x.shape[1]
+                    if size > 200_000:  # pairs of several keys are one
+                        got = [np.unique(np.concatenate(got, 1), axis=1)]
+                        size = got[0].shape[1]
+                        if size > 100_000:
+                            yield pa.RecordBatch.from_arrays([pa.array(got[0][0]), pa.array(got[0][1])], ["a", "b"])
+                            got, size = [], 0
+        if size:
             both = np.unique(np.concatenate(got, 1), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
