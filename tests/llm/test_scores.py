@@ -32,9 +32,10 @@ def plain_base(t):
 
 
 def test_base_counts(texts):
-    h = WordHashes()
+    h = quality_rules.MarkedHashes(most=50)
+    assert quality_rules.base_counts("a | 5 -- é |", h)[5] == 3
     for t in [*texts, "a b c d e a b c d e f", "x\n x\nx\n\nx", "#1 $2 | <a>"]:
-        assert quality_rules.base_counts(t, h) == plain_base(t)
+        assert quality_rules.base_counts(t, h)[:5] == plain_base(t)
 
 
 def plain_kn(texts, order):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mapped, mix, slices, written
+from .common import mapped, mix, only, slices, written
 
 ORDER = 5
 #: Entries of a broadcast shard: 12 bytes each, 48 MB at most.
@@ -113,7 +113,7 @@ class Counter:
         rest[own] = False
         if rest.any():
             self.more.append((new[rest], n[rest], gram[rest], group[rest]))
-            if sum(len(x[0]) for x in self.more) > 2_000_000:
+            if sum(len(x[0]) for x in self.more) > 600_000:
                 self._join()
 
     def _join(self) -> None:
@@ -132,7 +132,7 @@ class Counter:
                 yield [label[i] for i in group[a : a + 100_000]], texts_of(gram[a : a + 100_000]), n[a : a + 100_000]
 
     def full(self) -> bool:
-        return bool(self.more) and len(self.more[0][0]) > 2_000_000
+        return bool(self.more) and len(self.more[0][0]) > 400_000
 
 
 def count_grams(df: DataFrame, text_col: str, group_col: str, order: int = ORDER) -> DataFrame:
@@ -143,9 +143,10 @@ def count_grams(df: DataFrame, text_col: str, group_col: str, order: int = ORDER
             for groups, grams, n in counter.batches():
                 yield pa.RecordBatch.from_arrays([pa.array(groups, pa.string()), pa.array(grams, pa.string()), pa.array(n, pa.int64())], ["grp", "gram", "c"])
 
+        only("grams", dict)
         counter = Counter(order)
         for batch in batches:
-            for part in slices(batch, batch.schema.names[0], 2 << 20):
+            for part in slices(batch, batch.schema.names[0], 1 << 20):
                 counter.add([t or "" for t in part.column(0).to_pylist()], part.column(1).to_pylist())
                 if counter.full():
                     yield from out(counter)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -19,7 +21,7 @@ SPACE = b" \t\n\v\f\r"
 #: Bytes of a batch that Python gets while a table is written.
 BATCH = 8 << 20
 _made: list = []
-_hashes: list = []
+_memo: dict = {}
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -111,10 +113,24 @@ def mapped(df: DataFrame, each, schema: str, column: str = "text", size: int = 4
     return df.mapInArrow(run, schema)
 
 
+def only(name: str, make):
+    """What a worker process remembers from task to task: one operator's memory at a time, so that another's doesn't stay beside it."""
+    if name not in _memo:
+        _memo.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+        _memo[name] = make()
+    return _memo[name]
+
+
 class WordHashes(dict):
     """Word -> 64-bit hash, remembered for up to ``most`` words."""
 
-    def __init__(self, most: int = 1 << 20):
+    def __init__(self, most: int = 300_000):
         super().__init__()
         self.most = most
 
@@ -129,9 +145,7 @@ class WordHashes(dict):
     @classmethod
     def shared(cls) -> "WordHashes":
         """The one of this process, which keeps its words from task to task."""
-        if not _hashes:
-            _hashes.append(cls())
-        return _hashes[0]
+        return only("words", cls)
 
     def of(self, ws: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, ws), np.uint64, len(ws))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, shared_folder, slices
+from .common import documents, only, shared_folder, slices
 from .substrings import Text
 
 LENGTH, QUEUES, END = 4096, 1024, 2
@@ -51,7 +51,6 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _AFTER = _LOWER.copy()  # of a letter's second byte
 _AFTER[0x80:0x9F] += 0x20
-_ids: dict = {}
 
 
 class TokenIds:
@@ -63,7 +62,7 @@ class TokenIds:
     Other texts are cut at white space, and each new piece goes through the tokenizer.
     """
 
-    def __init__(self, path: str, width: int, most: int = 600_000):
+    def __init__(self, path: str, width: int, most: int = 400_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -80,9 +79,7 @@ class TokenIds:
     @classmethod
     def shared(cls, path: str, width: int) -> TokenIds:
         """The one of this process, which keeps its words from task to task."""
-        if (path, width) not in _ids:
-            _ids[path, width] = cls(path, width)
-        return _ids[path, width]
+        return only(f"tokens {path} {width}", lambda: cls(path, width))
 
     def _singly(self, ws: list[bytes]) -> list[bytes]:
         return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch_fast([w.decode() for w in ws], add_special_tokens=False)]

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import charlm
-from .common import SPACE, WordHashes, documents, mapped, windows_hash, words, written
+from .common import SPACE, WordHashes, documents, mapped, only, windows_hash, written
 
 #: Spreads on either side of a language's median.
 WIDTH = 8.0
@@ -35,26 +35,25 @@ SYMBOLS = b"#*$%&|<>"
 BASE = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint"
 
 
-class Lettered(dict):
-    """Word -> whether it holds a letter or digit, remembered for up to a million words."""
+class MarkedHashes(WordHashes):
+    """Hashes of words whose last bit tells whether the word holds a letter or digit."""
 
-    def __missing__(self, word: bytes) -> bool:
-        if len(self) >= 1 << 20:
-            self.clear()
-        self[word] = found = any(c > 127 or chr(c).isalnum() for c in word)
-        return found
+    def __missing__(self, word: bytes) -> int:
+        h = super().__missing__(word) >> 1 << 1 | any(c > 127 or chr(c).isalnum() for c in word)
+        self[word] = h
+        return h
 
 
-def base_counts(text: str | None, hashes: WordHashes) -> tuple[int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
+def base_counts(text: str | None, hashes: WordHashes) -> tuple[int, int, int, int, int, int]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; and, if the hashes are marked, words with a letter or digit."""
     if not text:
-        return 0, 0, 0, 0, 0
+        return 0, 0, 0, 0, 0, 0
     raw = text.encode()
     ws = raw.split()
     lines = [x for x in raw.split(b"\n") if x.strip(SPACE)]
-    repeated = 0
+    repeated, own = 0, hashes.of(ws)
     if len(ws) > 5:
-        h = windows_hash(hashes.of(ws), 5)
+        h = windows_hash(own, 5)
         _, back, n = np.unique(h, return_inverse=True, return_counts=True)
         if len(n) < len(h):
             edge = np.zeros(len(ws) + 1, np.int64)
@@ -63,7 +62,7 @@ def base_counts(text: str | None, hashes: WordHashes) -> tuple[int, int, int, in
             np.add.at(edge, twice + 5, -1)
             repeated = int(np.count_nonzero(np.cumsum(edge)[:-1]))
     spaces = len(raw) - len(raw.translate(None, SPACE))
-    return len(ws), len(text) - spaces, len(raw) - len(raw.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated
+    return len(ws), len(text) - spaces, len(raw) - len(raw.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated, int((own & np.uint64(1)).sum())
 
 
 def scored(df: DataFrame, text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = ("doc_id",), order: int = charlm.ORDER) -> DataFrame:
@@ -77,15 +76,14 @@ def scored(df: DataFrame, text_col: str = "text", lang_col: str = "lang", keep:
 
     def each(part):
         if not state:
-            state.extend([WordHashes(), Lettered(), charlm.Scorer(shards, order, bits=22)])
-        hashes, lettered, scorer = state
+            state.extend([only("marked words", MarkedHashes), charlm.Scorer(shards, order, bits=21)])
+        hashes, scorer = state
         texts, langs = part.column(0).to_pylist(), part.column(1).to_pylist()
         base = [base_counts(t, hashes) for t in texts]
         values = scorer.values([t or "" for t in texts], langs)
-        spoken = [sum(map(lettered.__getitem__, words(t))) for t in texts]
-        bits = [-(float(v.sum(dtype=np.float64)) + len(v) * unk.get(g, 0.0)) / math.log(2) / max(1, n) for v, g, n in zip(values, langs, spoken, strict=True)]
+        bits = [-(float(v.sum(dtype=np.float64)) + len(v) * unk.get(g, 0.0)) / math.log(2) / max(1, b[5]) for v, g, b in zip(values, langs, base, strict=True)]
         names = [x.split()[0] for x in BASE.split(", ")]
-        return {k: part.column(i) for i, k in enumerate(keep, 2)} | dict(zip(names, zip(*base, strict=True), strict=True)) | {"bits": bits, "_lang": part.column(1)}
+        return {k: part.column(i) for i, k in enumerate(keep, 2)} | dict(zip(names, [*zip(*base, strict=True)][:5], strict=True)) | {"bits": bits, "_lang": part.column(1)}
 
     return mapped(df.select(text, lang, *keep), each, f"{kept}, {BASE}, bits double, _lang string", "_text", 1 << 20)
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import charlm
-from .common import documents, fold, mapped, slices, written
+from .common import documents, fold, mapped, only, slices, written
 
 ORDER, SHARED, RARE, LEAST = 10, 5, 2, 2
 WINDOWS = (1, 8)
@@ -64,6 +64,7 @@ def word_counts(train: DataFrame) -> DataFrame:
     """(toxic, word, c): in how many texts of each class a word stands.  One row per word, class and task is shuffled."""
 
     def run(batches):
+        only("toxicity", dict)
         seen: Counter = Counter()
 
         def out():
@@ -128,6 +129,7 @@ def figures(df: DataFrame, shards: list, keep: tuple[str, ...] = ("doc_id",), te
 
     def each(part):
         if not state:
+            only("toxicity", dict)
             state.append(WordValues(shards, order))
         out = []
         split = [tokens(t) for t in part.column(0).to_pylist()]
