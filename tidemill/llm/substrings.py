@@ -31,7 +31,7 @@ from .common import documents, mapped, mix, slices, words, written
 
 WINDOW, SEED = 13, 2
 #: Bytes of text a bucket, and that a task holds at once.
-BUCKET, HELD = 6 << 20, 4 << 20
+BUCKET, HELD = 5 << 20, 2 << 20
 _ODD = 0xD1342543DE82EF95
 _powers: list[np.ndarray] = []
 
