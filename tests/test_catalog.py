@@ -34,3 +34,16 @@ def test_stream_equals_batch(spark, sf):
     a = catalog.stream_ingest(spark, sf).collect()
     b = catalog.ingest_categories(spark, sf).select("arrival_seq", "category").collect()
     assert sorted(a) == sorted(b)
+
+
+def test_alert_log_of_all_assets(spark, sf):
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{sf}/events.parquet'")
+    al = "al AS (SELECT asset AS machine, window_start, 'rule' AS source, 's1' AS sensor FROM w WHERE alert)"
+    query = f"WITH RECURSIVE {catalog._alert_sql()}, {al} SELECT * FROM al ORDER BY window_start DESC, machine, source, sensor".replace("count_if(", "count(*) FILTER (WHERE ")
+    want = con.sql(query).fetchall()
+    assert {r[0] for r in want} == {"click", "error", "purchase", "signup", "view"}
+    log = catalog.alert_log_upsert(spark, sf).select("machine", "window_start", "source", "sensor").collect()
+    assert rows(map(tuple, log)) == rows(r for r in want if r[1] >= catalog.START + 10 * 86400)
+    assert list(map(tuple, catalog.recent_alerts(spark, sf).collect())) == want[:50]
+    assert [tuple(r) for r in catalog.alert_summary(spark, sf).collect()] == [("rule", min(100, sum(r[0] == "error" for r in want)))]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, SENSORS
@@ -63,12 +63,15 @@ def score_frame(frame: DataFrame, baseline: Baseline) -> DataFrame:
     return x.withColumn("causal", F.col("window_start") > baseline.fit_boundary).withColumn("alert", F.col("alert") & F.col("causal"))
 
 
-def alert_rows(scored: DataFrame, machine: str, source: str, size: int = 10, k: float = 3.0) -> DataFrame:
-    """Rows of the alert log from ``expanding_zscore`` (source rule) or ``score_frame`` (source model)."""
+def alert_rows(scored: DataFrame, machine: str | Column, source: str, size: int = 10, k: float = 3.0) -> DataFrame:
+    """Rows of the alert log from ``expanding_zscore`` (source rule) or ``score_frame`` (source model).
+
+    machine: its name, or the column of a frame of several machines that has it.
+    """
     a = scored.where("alert")
     sensor, score = (F.col("worst_sensor"), F.abs("z")) if source == "rule" else (F.lit(""), F.col("score"))
     detail = F.format_string(f"|z|=%.2f over {k:g} after %d windows", F.abs("z"), "prior_n") if source == "rule" else F.format_string("score %.4f", F.col("score"))
-    return a.select(F.lit(machine).alias("machine"), "window_start", (F.col("window_start") + size).alias("window_end"), F.lit(source).alias("source"), sensor.alias("sensor"), score.cast("double").alias("score"), detail.alias("detail"))
+    return a.select((F.lit(machine) if isinstance(machine, str) else machine).alias("machine"), "window_start", (F.col("window_start") + size).alias("window_end"), F.lit(source).alias("source"), sensor.alias("sensor"), score.cast("double").alias("score"), detail.alias("detail"))
 
 
 def new_alerts(alerts: DataFrame, log: DataFrame | None) -> DataFrame:

@@ -280,9 +280,7 @@ def latest_state(spark, sf):
 
 
 def _alert_log(spark, sf):
-    a = monitoring.alert_rows(_alerts(spark, sf).where("asset = 'error'"), "error", "rule", HOUR)
-    b = monitoring.alert_rows(_alerts(spark, sf).where("asset = 'view'"), "view", "rule", HOUR)
-    return a.unionByName(b)
+    return monitoring.alert_rows(_alerts(spark, sf), F.col("asset"), "rule", HOUR)
 
 
 def alert_log_upsert(spark, sf):
