@@ -43,10 +43,10 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Documents without words, and groups whose ids are all null, stay.
     """
-    docs = docs.select(*COLUMNS)
-    groups = neardup.jaccard_components(docs, "doc_id", "text", k=5, num=80, den=100)
-    out = groups.where("doc_id != component_id").select("doc_id").distinct()
-    kept = docs.join(_met(out), "doc_id", "left_anti").select(*COLUMNS)
+    docs = docs.select(*COLUMNS).withColumn("_h", _content())
+    groups = neardup.jaccard_components(docs, "doc_id", "text", k=5, num=80, den=100, hash_col="_h")
+    out = groups.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_i"), F.col("_h").alias("_o")).distinct()
+    kept = docs.join(_met(out), F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_o")), "left_anti").select(*COLUMNS)
     twice = written(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id"))
     if twice.isEmpty():
         return kept

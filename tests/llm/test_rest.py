@@ -270,3 +270,11 @@ def test_pipeline(spark, docs, none, texts, tmp_path):
 def test_pipeline_of_odd_rows(spark, odd, tmp_path):
     odd.write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_near_duplicates_go_by_id_and_content(spark, texts):
+    rows = [(1, texts[3]), (2, texts[3]), (2, texts[60]), (None, texts[3]), (None, texts[61]), (None, texts[61]), (None, None), (3, None), (4, texts[62]), (4, texts[62])]
+    df = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.one_of_each_group(spark, df, "").collect()]
+    want = [(1, texts[3]), (2, texts[60]), (None, texts[61]), (None, texts[61]), (None, None), (3, None), (4, texts[62])]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))

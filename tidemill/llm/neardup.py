@@ -143,23 +143,23 @@ class Bands:
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-ROWS = "a bigint, lo bigint, id bigint, n bigint, sketch binary"
+ROWS = "a bigint, lo bigint, id bigint, n bigint, sketch binary, digest bigint"
 
 
-def sketch_rows(df: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
+def sketch_rows(df: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, hash_col: str | None = None) -> DataFrame:
     """Two kinds of rows from one reading.  a >= 0: key << 16 | hi, and lo, of each part of each set; sets that a task has met are not sent again.
-    a < 0 (spread by place): a row's id, set size, node (hi in the last 16 bits of a) and whole sketch."""
-    schema = pa.schema([("a", pa.int64()), ("lo", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
+    a < 0 (spread by place): a row's id, set size, node (hi in the last 16 bits of a), whole sketch and hash_col."""
+    schema = pa.schema([("a", pa.int64()), ("lo", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("digest", pa.int64())])
 
     def run(batches):
         hashes, bands, met = WordHashes.shared(), Bands(num, den), set()
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 keys, nodes, sizes, every = [], [], [], []
-                for i, (d, t) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)):
+                for i, (d, t, h) in enumerate(zip(*(c.to_pylist() for c in part.columns), strict=True)):
                     s = shingles(t, k, hashes)
                     node = node_of(s)
-                    every.append((-1 << 63 | (hash((d, i)) & (1 << 46) - 1) << 16 | node[0], node[1], d, len(s), sketch_of(s) if len(s) else None))
+                    every.append((-1 << 63 | (hash((d, i)) & (1 << 46) - 1) << 16 | node[0], node[1], d, len(s), sketch_of(s) if len(s) else None, h))
                     if not len(s) or node in met:
                         continue
                     if len(met) < 1_000_000:
@@ -174,15 +174,16 @@ def sketch_rows(df: DataFrame, id_col: str, text_col: str, k: int, num: int, den
                     a = np.concatenate(keys) << np.uint64(16) | hi.astype(np.uint64)
                     yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(lo), *[pa.nulls(len(a), f.type) for f in list(schema)[2:]]], schema=schema)
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, ROWS)
+    digest = F.col(hash_col) if hash_col else F.lit(None)
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), digest.cast("long").alias("digest")).mapInArrow(run, ROWS)
 
 
 def buckets(rows: DataFrame) -> DataFrame:
-    """(key, hi, lo, id, n, sketch): the nodes of each key that two different nodes have, and with a null key the rows of all ids.
+    """(key, hi, lo, id, n, sketch, digest): the nodes of each key that two different nodes have, and with a null key the rows of all ids.
 
     Streams over sorted partitions, whatever a bucket's size.
     """
-    schema = pa.schema([("key", pa.int64()), ("hi", pa.int32()), ("lo", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
+    schema = pa.schema([("key", pa.int64()), ("hi", pa.int32()), ("lo", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("digest", pa.int64())])
 
     def run(batches):
         def out(a, lo):
@@ -216,7 +217,7 @@ def buckets(rows: DataFrame) -> DataFrame:
             a0, lo0 = (a[-1:], lo[-1:]) if sent else (a[last], lo[last])
 
     ordered = rows.withColumn("key", F.shiftright("a", 16)).repartition("key").sortWithinPartitions("a", "lo").drop("key")
-    return ordered.mapInArrow(run, "key bigint, hi int, lo bigint, id bigint, n bigint, sketch binary")
+    return ordered.mapInArrow(run, "key bigint, hi int, lo bigint, id bigint, n bigint, sketch binary, digest bigint")
 
 
 def _ids_of(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
@@ -353,9 +354,9 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return rows.join(keys.select("key", F.col("n").alias("size"), (F.col("n") * F.col("n") - F.col("s") <= 2 * CROSS * F.col("n")).alias("light")), "key")
 
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(id, n_shingles, component_id) of each row: the smallest id that links lead to, its own included."""
-    all_ = written(buckets(sketch_rows(df, id_col, text_col, k, num, den)))
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, hash_col: str | None = None) -> DataFrame:
+    """(id, n_shingles, component_id) of each row, and hash_col if given: the smallest id that links lead to, its own included."""
+    all_ = written(buckets(sketch_rows(df, id_col, text_col, k, num, den, hash_col)))
     known, shared = all_.where("key is null").drop("key"), all_.where("key is not null").select("key", "hi", "lo")
     classes = known.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.count("*").alias("copies"))
     # buckets of representatives: the smallest id of each node
@@ -386,7 +387,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     named = classes.join(labels, F.col("id") == F.col("v"), "left").where("copies > 1 or label is not null").select(F.col("hi").alias("h"), F.col("lo").alias("l"), F.coalesce("label", "id").alias("component"))
     out = known.join(written(named), (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l")) & (F.col("n") > 0), "left")
     kind = df.schema[id_col].dataType
-    return out.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").cast(kind).alias("component_id"))
+    return out.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").cast(kind).alias("component_id"), *([F.col("digest").alias(hash_col)] if hash_col else []))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
