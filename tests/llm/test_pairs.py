@@ -50,6 +50,20 @@ def test_components_of_odd_tables(odd, none, texts):
     assert all(r["component_id"] == comp[r["doc_id"]] for r in got if r["doc_id"] is not None)
 
 
+def test_components_of_repeated_ids(spark, texts):
+    base = texts[60].split()
+    changed = [" ".join([*base[:i], "other", *base[i + 1 :]]) for i in (0, 3)]
+    other = texts[61].split()
+    chain = [texts[61], " ".join(["x"] * 3 + other[3:]), " ".join(["x"] * 6 + other[6:]), " ".join(["x"] * 9 + other[9:])]
+    rows = [(5, texts[60]), (5, texts[0]), (5, texts[61]), (6, changed[0]), (7, changed[1]), (8, chain[1]), (None, chain[2]), (9, chain[3]), (3, texts[62]), (2, texts[62] + " z"), (2, texts[1])]
+    comp, _ = plain_components([t for _, t in rows], 5, 90, 100)
+    least = [min((i for (i, _), c in zip(rows, comp, strict=True) if c == own and i is not None), default=None) for own in comp]
+    got = neardup.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("n", neardup.F.xxhash64("text")), num=90, hash_col="n").collect()
+    of = {r["n"]: r["component_id"] for r in got}
+    hashes = [r[0] for r in spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "i int, text string").select(neardup.F.xxhash64("text"), "i").orderBy("i").collect()]
+    assert [of[h] for h in hashes] == least and len(set(comp)) == 5
+
+
 def test_sketch_bounds_differences():
     r = np.random.default_rng(1)
     bands = neardup.Bands(85, 100)

@@ -35,7 +35,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WordHashes, documents, mapped, mix, slices, windows_hash, written
@@ -220,19 +220,31 @@ def buckets(rows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "key bigint, hi int, lo bigint, id bigint, n bigint, sketch binary, digest bigint")
 
 
-def _ids_of(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """The rows of df with the given ids: few are broadcast, more are met in a shuffle."""
-    return df.join(ids.hint("broadcast" if ids.count() <= BROADCAST else "shuffle_hash"), id_col, "left_semi")
+def _few(table: DataFrame) -> DataFrame:
+    """A written table to be joined with: few rows are broadcast, more are met in a shuffle."""
+    return table.hint("broadcast" if table.count() <= BROADCAST else "shuffle_hash")
 
 
-def stored_sets(df: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(id, s): the sorted hashes of the k-grams of the given ids as bytes; of repeated ids any row's."""
+def stored_sets(df: DataFrame, nodes: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """(id, s): the number of each of the given nodes (id, doc, hi, lo) and the sorted hashes of its k-grams as bytes.
+
+    Texts are read by doc, the smallest id of a node, and told apart by their own node, as ids may repeat.
+    """
 
     def each(part):
-        return {"id": part.column(0), "s": [shingles(t, k, WordHashes.shared()).tobytes() for t in part.column(1).to_pylist()]}
+        sets = [shingles(t, k, WordHashes.shared()) for t in part.column(0).to_pylist()]
+        named = [node_of(s) for s in sets]
+        return {"hi": [x[0] for x in named], "lo": [x[1] for x in named], "s": [s.tobytes() for s in sets]}
+
+    nodes = written(nodes)
+    rows = df.select(_doc(F.col(id_col).cast("long")).alias("doc"), F.col(text_col).alias("text")).join(_few(written(nodes.select("doc").distinct())), "doc", "left_semi")
+    sets = mapped(rows.select("text"), each, "hi int, lo bigint, s binary").join(_few(nodes), ["hi", "lo"]).select("id", "s")
+    return written(sets).dropDuplicates(["id"])
+
 
-    rows = _ids_of(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), ids, "id")
-    return written(mapped(rows, each, "id bigint, s binary")).dropDuplicates(["id"])
+def _doc(column) -> Column:
+    """An id to join on: a null is a value too (rows are told apart by their nodes besides)."""
+    return F.coalesce(column, F.lit(-1 << 63))
 
 
 def near(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
@@ -358,13 +370,16 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """(id, n_shingles, component_id) of each row, and hash_col if given: the smallest id that links lead to, its own included."""
     all_ = written(buckets(sketch_rows(df, id_col, text_col, k, num, den, hash_col)))
     known, shared = all_.where("key is null").drop("key"), all_.where("key is not null").select("key", "hi", "lo")
-    classes = known.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.count("*").alias("copies"))
-    # buckets of representatives: the smallest id of each node
-    members = written(shared.join(classes, ["hi", "lo"]).where("id is not null").select("key", "id", "n"))
-    sketches = written(known.select("id", "n", "sketch").join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
+    classes = known.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.count("*").alias("copies"))
+    # ids may repeat or be null, so a node goes by a number of its own until components are named
+    classes = written(classes.withColumn("id", F.monotonically_increasing_id()))
+    nodes = classes.select("id", _doc(F.col("least")).alias("doc"), "hi", "lo")
+    members = written(shared.join(classes, ["hi", "lo"]).select("key", "id", "n"))
+    whole = known.where("n > 0").select(_doc(F.col("id")).alias("doc"), "hi", "lo", "n", "sketch")
+    sketches = written(whole.join(nodes.join(members.select("id").distinct(), "id", "left_semi"), ["doc", "hi", "lo"]).dropDuplicates(["doc", "hi", "lo"]).select("id", "n", "sketch"))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        of = stored_sets(df, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), id_col, text_col, k)
+        of = stored_sets(df, nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"), id_col, text_col, k)
         return written(verified(pairs, of, num, den), PAIRS)
 
     lead = members.groupBy("key").agg(F.min(F.struct("id", "n")).alias("lead"))
@@ -384,7 +399,9 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     close = written(close.distinct())
     if not close.isEmpty():
         labels = components(links.unionByName(linked(close)))
-    named = classes.join(labels, F.col("id") == F.col("v"), "left").where("copies > 1 or label is not null").select(F.col("hi").alias("h"), F.col("lo").alias("l"), F.coalesce("label", "id").alias("component"))
+    labelled = written(classes.join(labels, F.col("id") == F.col("v"), "left").where("copies > 1 or label is not null").select("hi", "lo", "least", F.coalesce("label", "id").alias("label")))
+    least = written(labelled.groupBy(F.col("label").alias("of")).agg(F.min("least").alias("component")))
+    named = labelled.join(_few(least), F.col("label") == F.col("of")).select(F.col("hi").alias("h"), F.col("lo").alias("l"), "component")
     out = known.join(written(named), (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l")) & (F.col("n") > 0), "left")
     kind = df.schema[id_col].dataType
     return out.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").cast(kind).alias("component_id"), *([F.col("digest").alias(hash_col)] if hash_col else []))
