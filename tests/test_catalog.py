@@ -47,3 +47,8 @@ def test_alert_log_of_all_assets(spark, sf):
     assert rows(map(tuple, log)) == rows(r for r in want if r[1] >= catalog.START + 10 * 86400)
     assert list(map(tuple, catalog.recent_alerts(spark, sf).collect())) == want[:50]
     assert [tuple(r) for r in catalog.alert_summary(spark, sf).collect()] == [("rule", min(100, sum(r[0] == "error" for r in want)))]
+
+
+def test_generator_readings_of_all_splits(spark, sf):
+    got = {(r["split"], r["asset"]): r["seconds"] for r in catalog.generator_readings(spark, sf).collect()}
+    assert got == {(s["split"], a): s["end"] - s["start"] for s in catalog.generator.splits("dev") for a in s["assets"]}

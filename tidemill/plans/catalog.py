@@ -316,10 +316,9 @@ def iforest_scores(spark, sf):
 
 
 def generator_readings(spark, sf):
-    """One development validation day of the generated line."""
+    """All development days of the generated line, by split and asset."""
     data = generator.generate(spark, "dev")
-    r = data["readings"].where("split = 'validation'")
-    return r.groupBy("asset").agg(F.count("*").alias("seconds"), *[F.count(s).alias(s) for s in SENSORS])
+    return data["readings"].groupBy("split", "asset").agg(F.count("*").alias("seconds"), *[F.count(s).alias(s) for s in SENSORS])
 
 
 def stream_ingest(spark, sf):
