@@ -52,3 +52,12 @@ def test_alert_log_of_all_assets(spark, sf):
 def test_generator_readings_of_all_splits(spark, sf):
     got = {(r["split"], r["asset"]): r["seconds"] for r in catalog.generator_readings(spark, sf).collect()}
     assert got == {(s["split"], a): s["end"] - s["start"] for s in catalog.generator.splits("dev") for a in s["assets"]}
+
+
+def test_iforest_is_the_whole_forest(spark, sf, monkeypatch):
+    fitted = []
+    fit = catalog.models.fit_isolation_forest
+    monkeypatch.setattr(catalog.models, "fit_isolation_forest", lambda *a, **kw: fitted.append((a[1], a[3:])) or fit(*a, **kw))
+    assert catalog.iforest_scores(spark, sf).where("eligible and score is null").isEmpty()
+    assert {c.split("__")[1].split("_")[0] for c in fitted[0][0]} >= {"mean", "std", "slope"} and {c[:2] for c in fitted[0][0]} == {"s1", "s2"}
+    assert fitted[0][1] == tuple(catalog.DEFAULT["forest"][x] for x in ("trees", "sample", "seed"))

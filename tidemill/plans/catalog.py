@@ -309,9 +309,10 @@ def prevalence_report(spark, sf):
 
 def iforest_scores(spark, sf):
     x = _split(_features(spark, sf))
-    s = models.fit_scaler(x.where("split = 'train'"), COLUMNS)
+    f = DEFAULT["forest"]
+    s = models.fit_scaler(x.where("split = 'train'"), [c for c in x.columns if "__" in c])
     y = models.scaled(x, s)
-    forest = models.fit_isolation_forest(y.where("split = 'train'"), COLUMNS, ["asset", "window_start"], 100, 256)
+    forest = models.fit_isolation_forest(y.where("split = 'train'"), s.columns, ["asset", "window_start"], f["trees"], f["sample"], f["seed"])
     return models.anomaly_scores(y, forest).select("asset", "window_start", "eligible", "score")
 
 
