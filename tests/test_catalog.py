@@ -1,5 +1,8 @@
 """Every query against the same in SQL, by another engine."""
 
+import os
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -61,3 +64,16 @@ def test_iforest_is_the_whole_forest(spark, sf, monkeypatch):
     assert catalog.iforest_scores(spark, sf).where("eligible and score is null").isEmpty()
     assert {c.split("__")[1].split("_")[0] for c in fitted[0][0]} >= {"mean", "std", "slope"} and {c[:2] for c in fitted[0][0]} == {"s1", "s2"}
     assert fitted[0][1] == tuple(catalog.DEFAULT["forest"][x] for x in ("trees", "sample", "seed"))
+
+
+def test_replay_has_a_micro_batch_for_each_file(spark):
+    from tidemill.streaming.replay import replayed
+
+    df = spark.range(1000).selectExpr("(id * 37) % 1000 AS arrival_seq", "'x' AS raw").repartition(5)
+    out = replayed(df, lambda s: s, 4)
+    top = out.inputFiles()[0].removeprefix("file://").split("/out/")[0]
+    assert sum(f.isdigit() for f in os.listdir(f"{top}/checkpoint/commits")) == 4
+    assert sorted(r["arrival_seq"] for r in out.collect()) == list(range(1000))
+    files = sorted(Path(f"{top}/in").glob("*.parquet"), key=lambda p: p.stat().st_mtime_ns)
+    first = [duckdb.sql(f"select min(arrival_seq) from '{p}'").fetchall()[0][0] for p in files]
+    assert first == sorted(first) and len(first) == 4
