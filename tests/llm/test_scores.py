@@ -143,6 +143,14 @@ def test_language_filters(docs, none, texts):
     assert langid.predict(none, f).count() == 0 and langid.predict(docs, langid.fit(none, "text", "lang")).where("lang_pred != 'und'").isEmpty()
 
 
+def test_language_of_one_short_text(spark):
+    rows = spark.createDataFrame([("the cat sat on the mat with the other cats", "en"), ("żółw", "pl")], "text string, lang string")
+    f = langid.fit(rows, "text", "lang")
+    assert f.langs == ["en", "pl"]
+    got = langid.predict(spark.createDataFrame([(1, "żółw"), (2, "the cat")], "doc_id bigint, text string"), f).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in got} == {1: "pl", 2: "en"}
+
+
 def test_many_languages():
     r = np.random.default_rng(0)
     grams = {f"l{i:02d}": r.integers(0, 1 << 62, 50).astype(np.uint64) for i in range(20)}

@@ -119,7 +119,7 @@ def fit(texts: DataFrame, text_col: str, lang_col: str, share: float = SHARE) ->
     uses = {r["lang"]: r["n"] for r in c.groupBy("lang").agg(F.sum("c").alias("n")).collect()}  # a row per language
     if not uses:
         return Filters({})
-    least = F.create_map(*[x for g, n in uses.items() for x in (F.lit(g), F.lit(max(2.0, share * n)))])
+    least = F.create_map(*[x for g, n in uses.items() for x in (F.lit(g), F.lit(max(1.0, share * n)))])
     kept = c.where(F.col("c") >= least[F.col("lang")]).select("lang", "key").toArrow().to_pandas()
     return Filters({g: x["key"].to_numpy().view(np.uint64) for g, x in kept.groupby("lang")})
 
