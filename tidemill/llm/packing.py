@@ -1,25 +1,27 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
-Each source is a queue of tokens (its documents one after another).  The queues are
-served in turn by weight: of all queues' next tokens the one with the least virtual
-finish time ``(j + 1/2) / weight`` goes next, j being its place in its queue, and the
-first queue at ties.  So every window of ``LENGTH`` tokens gets from each queue what its
-weight asks for to within one token, what a queue was owed or had too much is carried into the next window,
-and an emptied queue's turns go to the others.  Within a window a queue's
-tokens stand together, queues in order.
-
-The place of a token follows from its place in its queue alone: how many tokens
-all queues have served by a window's edge is found by bisection over the virtual
-time.  So partitions need no more than the place at which their part of each queue
-begins, which also carries the deficits from partition to partition, and every document
-is cut where it lies: texts are tokenised once, token ids are stored and read in the
-same order, and nothing but a count per partition and source is shuffled.
+Each source is a queue of documents.  Every window of ``LENGTH`` tokens adds to each queue's
+deficit counter its quantum, the window's length times the queue's target proportion.  Queues are
+visited in turn, from where the last window ran out of room; a queue sends documents while its deficit
+covers the next one, and pays their tokens.  What room is left goes to the queues that
+are owed most, whose deficits then turn negative; a document that passes the window's end is cut there and
+goes on later.  So a window has what its targets ask for to within a document a queue, what a queue was owed or had
+too much is carried into the next window, and documents are cut at ends of windows only.
+
+Lanes.  A lane is ``LANE`` windows, and one task serves its queues.  How many tokens of each queue lie before a lane
+follows from sizes and weights alone (``Schedule``): the fluid schedule, in which each queue is served at its weight and
+an emptied queue's turns go to the others, to within a token.  So all deficits are settled at a lane's
+end but for what rounding leaves, and that is carried: the prefix that each lane begins with is closed-form.  A
+document is sent to the lanes in which its tokens lie, cut at their edges; a hot source is cut over all lanes.
+Texts are tokenised once, token ids are stored, then shuffled once, to lanes.
 
 The last tokens, fewer than a window, are cut into sequences of powers of two: nothing is padded.
 
 Null texts count as empty (one closing token), null sources are a queue, the last.  Ids
-may repeat or be null; each row is packed.  Sources past the ``QUEUES`` largest share
-one queue, as a window has no room for each of them.  An empty table gives no pieces.
+may repeat or be null; each row is packed.  A source of weight 0 or without one is served when the others are empty.
+Sources past the ``QUEUES`` largest share a queue of the fluid schedule (so the driver holds a bounded table); within
+a lane each is a queue of its own again.  Columns besides id, text and source are not looked at.
+A text is tokenised whole, in memory some 25 times its bytes.  An empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -35,9 +37,11 @@ from pyspark.sql import functions as F
 from .common import documents, only, shared_folder, slices
 from .substrings import Text
 
-LENGTH, QUEUES, END = 4096, 1024, 2
+LENGTH, LANE, QUEUES, END = 4096, 256, 1 << 17, 2
 #: Most rows (partition and source) of the table of beginnings that are broadcast; beyond, it is joined by a shuffle.
 BROADCAST = 500_000
+#: Bytes of token ids in a partition of lanes.
+SHUFFLED = 64 << 20
 
 
 #: Texts whose tokens can be cut by bytes: ASCII and Latin letters to U+00FF, without what the tokenizer treats apart.
@@ -177,25 +181,27 @@ def tokenised(df: DataFrame, id_col: str, text_col: str, source_col: str, tokeni
 
 
 class Schedule:
-    """Which tokens of each queue lie in which window."""
+    """Which tokens of each queue lie in which lane of ``length`` tokens."""
 
-    def __init__(self, sizes: list[int], weights: list[float] | None = None, length: int = LENGTH):
+    def __init__(self, sizes: list[int], weights: list[float] | None = None, length: int = LENGTH * LANE):
         self.sizes, self.length = np.array(sizes, np.int64), length
         self.weights = np.array(self.sizes if weights is None else weights, float) if len(sizes) else np.zeros(0)
         self.weights = np.where(self.sizes > 0, np.maximum(self.weights, 1e-12), 1.0)
         self.weights = self.weights / max(1e-300, self.weights.sum())
         self.total = int(self.sizes.sum())
-        ends = np.sort(self.sizes / self.weights)
         # tokens served by the time at which each queue runs out, to begin bisection near its end
+        out = np.argsort(self.sizes / self.weights)
+        ends = (self.sizes / self.weights)[out]
+        done = np.cumsum(self.sizes[out])
         self.times = np.concatenate([[0.0], ends])
-        self.served = np.array([np.minimum(self.weights * t, self.sizes).sum() for t in self.times])
+        self.served = np.concatenate([[0.0], done + ends * np.maximum(0, self.weights.sum() - np.cumsum(self.weights[out]))])
 
     def _count(self, time: np.ndarray) -> np.ndarray:
         return np.minimum(np.floor(time[:, None] * self.weights + 0.5), self.sizes).astype(np.int64)
 
-    def edges(self, window: np.ndarray) -> np.ndarray:
-        """Tokens of each queue before each window's beginning; a row per window."""
-        goal = np.minimum(window.astype(np.int64) * self.length, self.total)
+    def edges(self, lane: np.ndarray) -> np.ndarray:
+        """Tokens of each queue before each lane's beginning; a row per lane."""
+        goal = np.minimum(lane.astype(np.int64) * self.length, self.total)
         slack = len(self.sizes) + 1.0
         low = np.interp(goal - slack, self.served, self.times)
         high = np.interp(goal + slack, self.served, self.times) + 1e-9
@@ -213,73 +219,99 @@ class Schedule:
         return np.where((goal >= self.total)[:, None], self.sizes, np.where((goal <= 0)[:, None], 0, out))
 
     def near(self, queue: np.ndarray, place: np.ndarray, up: bool) -> np.ndarray:
-        """A window at or before (up: after) that of the token at a place of a queue."""
+        """A lane at or before (up: after) that of the token at a place of a queue."""
         rank = np.interp((place + 0.5) / self.weights[queue], self.times, self.served)
         slack = len(self.sizes) + 2
         w = np.floor((rank + (slack if up else -slack)) / self.length).astype(np.int64) + up
         return np.clip(w, 0, -(-self.total // self.length))
 
-    def tail(self) -> list[int]:
-        """Sequence lengths of what is left of the last window: powers of two, the largest first."""
-        rest = self.total % self.length
-        return [1 << i for i in range(self.length.bit_length() - 1, -1, -1) if rest >> i & 1]
-
-    def pieces(self, queue: np.ndarray, place: np.ndarray, size: np.ndarray) -> dict[str, np.ndarray]:
-        """The pieces of rows of ``size`` tokens that begin at ``place`` of ``queue``: row, start, length, sequence and offset."""
+    def parts(self, queue: np.ndarray, place: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Rows of ``size`` tokens that begin at ``place`` of ``queue``, cut at lanes: row, start in it, length and lane."""
+        if not len(queue):
+            return (np.zeros(0, np.int64),) * 4
         first, last = self.near(queue, place, False), self.near(queue, place + np.maximum(size, 1) - 1, True)
-        need = np.zeros(int(last.max() - first.min()) + 3, np.int64) if len(queue) else np.zeros(1, np.int64)
-        low = int(first.min()) if len(queue) else 0
-        np.add.at(need, first - low, 1)
-        np.add.at(need, last - low + 2, -1)
-        windows = np.flatnonzero(np.cumsum(need) > 0) + low
-        edge = self.edges(windows)
-        ahead = np.cumsum(np.diff(edge, axis=0), 1) if len(windows) > 1 else np.zeros((0, len(self.sizes)), np.int64)
-        out: dict[str, list] = {k: [] for k in ("row", "start", "length", "window", "offset")}
-        whole, rest = self.total // self.length, np.cumsum([0, *self.tail()])
+        edge = self.edges(np.arange(first.min(), last.max() + 2))
+        out: list[list] = [[], [], [], []]
         for q in np.unique(queue):
             rows = np.flatnonzero(queue == q)
             col = edge[:, q]
             i = np.searchsorted(col, place[rows], "right") - 1
-            j = np.searchsorted(col, place[rows] + size[rows], "left")
-            n = j - i
+            n = np.searchsorted(col, place[rows] + size[rows], "left") - i
             row = np.repeat(rows, n)
             k = np.repeat(i, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             a = np.maximum(col[k], place[row])
             b = np.minimum(col[k + 1], place[row] + size[row])
             some = b > a
-            row, k, a, b = row[some], k[some], a[some], b[some]
-            before = ahead[k, q] - (col[k + 1] - col[k])  # tokens of the queues before it in the window
-            for name, x in zip(out, (row, a - place[row], b - a, windows[k], before + a - col[k]), strict=True):
-                out[name].append(x)
-        got = {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in out.items()}
-        tail = np.flatnonzero(got["window"] == whole)
-        if len(tail) and len(rest) > 1:  # cut once more, at powers of two
-            parts: list[np.ndarray] = []
-            for x, (a, b) in enumerate(zip(rest[:-1], rest[1:], strict=True)):
-                o, n = got["offset"][tail], got["length"][tail]
-                s, e = np.maximum(o, a), np.minimum(o + n, b)
-                t = np.flatnonzero(e > s)
-                parts.append(np.stack([got["row"][tail][t], got["start"][tail][t] + s[t] - o[t], (e - s)[t], np.full(len(t), whole + x), (s - a)[t]]))
-            kept = np.flatnonzero(got["window"] != whole)
-            new = np.concatenate(parts, 1)
-            got = {k: np.concatenate([got[k][kept], new[i]]) for i, k in enumerate(got)}
-        order = np.lexsort((got["start"], got["row"]))
-        return {k: v[order] for k, v in got.items()}
-
-
-def pack(df: DataFrame, id_col: str, text_col: str, source_col: str, tokenizer: str, weights: dict | None = None, length: int = LENGTH, width: int = 2) -> DataFrame:
+            for x, y in zip(out, (row, a - place[row], b - a, k + first.min()), strict=True):
+                x.append(y[some])
+        return tuple(np.concatenate(x) for x in out)
+
+
+def windows(total: int, length: int) -> list[int]:
+    """Lengths of the sequences that hold ``total`` tokens: whole windows, then powers of two, the largest first."""
+    rest = total % length
+    return [length] * (total // length) + [1 << i for i in range(length.bit_length() - 1, -1, -1) if rest >> i & 1]
+
+
+def serve(queues: list[np.ndarray], length: int = LENGTH) -> list[tuple[int, int, int, int, int, int]]:
+    """Deficit round-robin over queues of document sizes: (queue, document, start, length, window, offset) of each piece.
+
+    A queue's target is its share of all tokens.  Its deficit is kept as quanta so far less tokens so far, so nothing drifts.
+    """
+    sizes = np.array([int(q.sum()) for q in queues], np.int64)
+    total = int(sizes.sum())
+    share = sizes / max(1, total)
+    sent, head, at = np.zeros(len(queues), np.int64), [0] * len(queues), [0] * len(queues)
+    left = np.array([q[0] if len(q) else 0 for q in queues], np.int64)  # of each queue's next document; 0 of an empty queue
+    quanta, turn, out = 0, 0, []
+
+    def send(i: int, window: int, offset: int, n: int) -> None:
+        out.append((i, head[i], at[i], n, window, offset))
+        sent[i] += n
+        at[i] += n
+        left[i] -= n
+        if not left[i]:
+            head[i], at[i] = head[i] + 1, 0
+            if head[i] < len(queues[i]):
+                left[i] = queues[i][head[i]]
+
+    for window, room in enumerate(windows(total, length)):
+        quanta, offset = quanta + room, 0
+        owed = quanta * share - sent
+        ready = np.flatnonzero((left > 0) & (owed >= left))
+        for i in [*ready[ready >= turn].tolist(), *ready[ready < turn].tolist()]:
+            credit = owed[i]
+            while room and left[i] and credit >= left[i]:
+                n = min(int(left[i]), room)
+                send(i, window, offset, n)
+                room, offset, credit = room - n, offset + n, credit - n
+            if not room:
+                turn = i  # it goes on in the next window
+                break
+        while room:
+            i = int(np.argmax(np.where(left > 0, quanta * share - sent, -np.inf)))
+            n = min(int(left[i]), room)
+            send(i, window, offset, n)
+            room, offset = room - n, offset + n
+    return out
+
+
+PIECES = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
+
+
+def pack(df: DataFrame, id_col: str, text_col: str, source_col: str, tokenizer: str, weights: dict | None = None, length: int = LENGTH, width: int = 2, lane: int = LANE) -> DataFrame:
     """Pieces (id, start, length, ids_crc32, doc_tokens, sequence_id, offset); weights: of sources, their shares of all tokens if None."""
     spark = df.sparkSession
     rows = tokenised(df, id_col, text_col, source_col, tokenizer, width)
     parts = rows.groupBy("src", "part").agg(F.sum("n").alias("n"))
     totals = parts.groupBy("src").agg(F.sum("n").alias("n"))
     big = totals.orderBy(F.col("n").desc(), F.col("src").cast("binary").asc_nulls_last()).limit(QUEUES).collect()
-    rest = totals.agg(F.sum("n")).first()[0] or 0
+    total = totals.agg(F.sum("n")).first()[0] or 0
     names = sorted([r["src"] for r in big], key=lambda s: (s is None, (s or "").encode()))
     sizes = {r["src"]: r["n"] for r in big}
     queues = [sizes[s] for s in names]
-    shared = rest - sum(queues)
-    plan = Schedule(queues + [shared] * bool(shared), None if weights is None else [weights.get(s, 0.0) for s in names] + [sum(w for s, w in weights.items() if s not in sizes)] * bool(shared), length)
+    shared = total - sum(queues)
+    plan = Schedule(queues + [shared] * bool(shared), None if weights is None else [weights.get(s, 0.0) for s in names] + [sum(w for s, w in weights.items() if s not in sizes)] * bool(shared), length * lane)
     number = spark.createDataFrame([(s, i) for i, s in enumerate(names)], "src string, queue int")
     q = F.coalesce("queue", F.lit(len(names)))
     begin = parts.join(F.broadcast(number.withColumnRenamed("src", "_s")), parts["src"].eqNullSafe(F.col("_s")), "left").select("src", "part", "n", q.alias("queue"))
@@ -287,23 +319,53 @@ def pack(df: DataFrame, id_col: str, text_col: str, source_col: str, tokenizer:
     begin = begin.select(F.col("src").alias("_s"), F.col("part").alias("_p"), "queue", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
     if parts.count() <= BROADCAST:
         begin = F.broadcast(begin)
-    placed = rows.join(begin, rows["src"].eqNullSafe(F.col("_s")) & (rows["part"] == F.col("_p"))).select("id", "queue", (F.col("base") + F.col("at")).alias("place"), "n", "ids")
-    sent = spark.sparkContext.broadcast(plan)  # two numbers a queue
+    placed = rows.join(begin, rows["src"].eqNullSafe(F.col("_s")) & (rows["part"] == F.col("_p"))).select("id", "src", "queue", (F.col("base") + F.col("at")).alias("place"), "n", "ids")
+    sent = spark.sparkContext.broadcast(plan)  # a few numbers a queue
     kind = df.schema[id_col].dataType.simpleString()
 
-    def run(batches):
+    def cut(batches):
+        """Rows as parts of lanes."""
+        for batch in batches:
+            for piece in slices(batch, "ids", 4 << 20):
+                place, size = piece.column(3).to_numpy(), piece.column(4).to_numpy()
+                row, start, n, at = sent.value.parts(piece.column(2).to_numpy(), place, size)
+                ids = [memoryview(x.as_buffer()) for x in piece.column(5)]
+                took = [ids[r][width * a : width * (a + k)] for r, a, k in zip(row.tolist(), start.tolist(), n.tolist(), strict=True)]
+                of = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(at), piece.column(1).take(of), pa.array(place[row]), piece.column(0).take(of), pa.array(start), pa.array(size[row]), pa.array(took, pa.binary())], ["lane", "src", "place", "id", "start", "n", "ids"])
+
+    def packed(batches):
+        """The pieces of lane after lane, from rows sorted by lane, source and place."""
+        held: list[pa.RecordBatch] = []
+
+        def out():
+            t = pa.Table.from_batches(held).combine_chunks()
+            src, ids = t.column(1).to_pylist(), [memoryview(x.as_buffer()) for x in t.column(6)]
+            size = np.array([len(x) // width for x in ids], np.int64)
+            edge = [0, *(i for i in range(1, len(src)) if src[i] != src[i - 1]), len(src)]
+            queue, doc, start, n, window, offset = np.array(serve([size[a:b] for a, b in zip(edge, edge[1:], strict=False)], length), np.int64).reshape(-1, 6).T
+            row = np.array(edge)[queue] + doc
+            crcs = [zlib.crc32(np.frombuffer(ids[r], f"<u{width}", k, width * a).astype("<u4").tobytes()) for r, a, k in zip(row.tolist(), start.tolist(), n.tolist(), strict=True)]
+            of, base = pa.array(row), t.column(0)[0].as_py() * lane
+            first, tokens = t.column(4).to_numpy()[row], t.column(5).to_numpy()[row]
+            cols = [t.column(3).combine_chunks().take(of), pa.array(first + start), pa.array(n), pa.array(crcs, pa.int64()), pa.array(tokens), pa.array(base + window), pa.array(offset)]
+            yield pa.RecordBatch.from_arrays(cols, [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+
         for batch in batches:
-            for part in slices(batch, "ids", 1 << 20):
-                size = part.column(3).to_numpy()
-                got = sent.value.pieces(part.column(1).to_numpy(), part.column(2).to_numpy(), size)
-                ids = [np.frombuffer(x.as_py(), f"<u{width}").astype("<u4").tobytes() for x in part.column(4)]
-                crcs = [zlib.crc32(memoryview(ids[r])[4 * a : 4 * (a + n)]) for r, a, n in zip(got["row"].tolist(), got["start"].tolist(), got["length"].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(got["row"])), pa.array(got["start"]), pa.array(got["length"]), pa.array(crcs, pa.int64()), pa.array(size[got["row"]]), pa.array(got["window"]), pa.array(got["offset"])],
-                    [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
-                )
-
-    return placed.mapInArrow(run, f"`{id_col}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
+            at = batch.column(0).to_numpy()
+            edge = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(at)]
+            for a, b in zip(edge, edge[1:], strict=False):
+                if held and b > a and held[0].column(0)[0].as_py() != at[a]:
+                    yield from out()
+                    held.clear()
+                if b > a:
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield from out()
+
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * width // SHUFFLED))
+    lanes = placed.mapInArrow(cut, f"lane bigint, src string, place bigint, id {kind}, start bigint, n bigint, ids binary")
+    return lanes.repartition(n, "lane").sortWithinPartitions("lane", "src", "place").mapInArrow(packed, f"`{id_col}` {kind}, {PIECES}")
 
 
 def tokenizer_path() -> str:
