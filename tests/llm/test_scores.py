@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.llm import charlm, langid, quality_model, quality_rules, toxicity
+from tidemill.llm import blocks, charlm, langid, quality_model, quality_rules, toxicity
 from tidemill.llm.common import WordHashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -70,21 +70,39 @@ def plain_kn(texts, order):
     return lambda t: sum(math.log(p((charlm._START * (order - 1) + t)[i : i + order])) for i in range(len(t)))
 
 
-@pytest.mark.parametrize("shard", [charlm.SHARD, 300])
-def test_kneser_ney(spark, texts, monkeypatch, shard):
-    monkeypatch.setattr(charlm, "SHARD", shard)
-    some = [t for t in texts[:30] if t]
-    df = spark.createDataFrame([(t, "en") for t in some], "text string, lang string").repartition(3)
-    counts = charlm.count_grams(df, "text", "lang", 4)
-    _, rows, unk = charlm.probabilities(counts, 4)
-    shards = charlm.pack(rows)
-    assert (len(shards) > 1) == (shard == 300)
-    score = charlm.Scorer(shards, 4, bits=8)
-    want = plain_kn(some, 4)
-    asked = [*some[:5], "never seen ÿÿ zz", "a", ""]
-    for _ in range(2):  # the second time from the memo
-        got = [float(v.sum()) + len(v) * unk["en"] for v in score.values(asked, ["en"] * len(asked))]
-        assert got == pytest.approx([want(t) for t in asked], rel=1e-4, abs=1e-3)
+@pytest.mark.parametrize("size", [blocks.BLOCK, 3000])
+def test_kneser_ney(spark, texts, monkeypatch, size):
+    """Bits of every text, by the definition, in one block or many and over several ranges of keys."""
+    monkeypatch.setattr(blocks, "RANGE", 500)
+    monkeypatch.setattr(blocks.stored, "__defaults__", (size,))
+    some = [(t, "en") for t in texts[:30]] + [(t, None) for t in texts[30:60]] + [("", "en"), (None, None), (texts[0], "en")]
+    df = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate(some)], "doc_id bigint, text string, lang string").repartition(3)
+    got = {r["doc_id"]: r["bits"] for r in quality_rules.scored(df, order=4).collect()}
+    for lang in ("en", None):
+        want = plain_kn([t or "" for t, g in some if g == lang], 4)
+        for i, (t, g) in enumerate(some):
+            if g == lang:
+                words = sum(any(ord(c) > 127 or c.isalnum() for c in w) for w in WORD.findall(t or ""))
+                assert got[i] == pytest.approx(-want(t or "") / math.log(2) / max(1, words), rel=1e-4, abs=1e-4)
+
+
+def test_lookup_of_blocks(spark):
+    """Keys without an entry get 0, keys that share their first bits are told apart."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(2)
+    keys = np.unique(np.concatenate([r.integers(0, 1 << 63, 3000, np.int64).view(np.uint64), np.arange(100, dtype=np.uint64), ~np.arange(100, dtype=np.uint64)]))
+    known = dict(zip(keys[::2].tolist(), r.random(len(keys)).astype(np.float32).tolist(), strict=False))
+    model = spark.createDataFrame([(int(np.uint64(k).astype(np.int64)), v) for k, v in known.items()], "key bigint, value float")
+    table = spark.createDataFrame([(i, bytearray(keys[i::7].tobytes())) for i in range(7)] + [(9, bytearray())], "block bigint, body binary")
+
+    def use(body, k, v):
+        assert np.array_equal(k, np.sort(np.frombuffer(body, np.uint64)))
+        yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(blocks.Values(k, v).of(k))], ["key", "value"])
+
+    got = {int(np.int64(x["key"]).astype(np.uint64)): x["value"] for x in blocks.answered(table, lambda b: np.sort(np.frombuffer(b, np.uint64)), model, use, "key bigint, value float").collect()}
+    assert set(got) == set(keys.tolist()) and all(got[k] == pytest.approx(known.get(k, 0.0)) for k in got)
+    assert blocks.answered(table, lambda b: np.sort(np.frombuffer(b, np.uint64)), model.limit(0), use, "key bigint, value float").where("value != 0").isEmpty()
 
 
 def test_counter_overflow(texts):
@@ -195,19 +213,92 @@ def test_gradient():
             assert np.asarray(g).reshape(-1)[i] == pytest.approx((up - down) / 2e-6, abs=1e-5)
 
 
-def test_toxicity(spark, docs, none):
+def plain_ratio(train, order, shared_order):
+    """Log ratio of the classes for a word, by the definition; train: (text, class)."""
+    words = {0: Counter(), 1: Counter()}
+    for t, y in train:
+        words[y].update({w for w in toxicity.tokens(t) if w})
+    spelled = lambda w: [(charlm._START * (order - 1) + w + " ")[i : i + order] for i in range(len(w) + 1)]
+    grams = {y: Counter() for y in words}
+    for y, c in words.items():
+        for w, n in c.items():
+            for g in spelled(w):
+                grams[y][g] += n
+    pooled = Counter(g[order - shared_order :] for g in {*grams[0], *grams[1]})
+
+    def smoothed(counts):
+        m = Counter(counts.values())
+        y = m[1] / (m[1] + 2 * m[2]) if m[1] and m[2] and m[3] and m[4] else None
+        d = [max(0.05, min(i, i - (i + 1) * y * m[i + 1] / m[i])) for i in (1, 2, 3)] if y is not None else [0.5, 1, 1.5]
+        total, left = Counter(), defaultdict(float)
+        for g, v in counts.items():
+            total[g[:-1]] += v
+            left[g[:-1]] += d[min(v, 3) - 1]
+
+        def p(g, low):
+            if not total[g[:-1]]:
+                return low
+            c = counts.get(g, 0)
+            return ((c - d[min(c, 3) - 1] if c else 0) + left[g[:-1]] * low) / total[g[:-1]]
+
+        return p
+
+    levels = {shared_order: pooled}
+    for n in range(shared_order - 1, 0, -1):
+        levels[n] = Counter(g[1:] for g in levels[n + 1])
+    shared, own = {n: smoothed(c) for n, c in levels.items()}, {y: smoothed(c) for y, c in grams.items()}
+
+    def ratio(w):
+        out = 0.0
+        for g in spelled(w):
+            low = 1 / (len(levels[1]) + 1)
+            for n in range(1, shared_order + 1):
+                low = shared[n](g[order - n :], low)
+            out += math.log(own[1](g, low) / own[0](g, low))
+        return out
+
+    return ratio
+
+
+def test_class_models(spark, texts):
+    """Figures of texts, by the definition of class-conditional Kneser-Ney models with shared backoff; words of one text count too."""
+    r = random.Random(1)
+    train = [(t + (" vile scoundrels" if i % 3 == 0 else ""), int(i % 3 == 0)) for i, t in enumerate(texts[:45])] + [("once onlyhere", 1), (None, 0), ("", 1)]
+    df = spark.createDataFrame([(t, y) for t, y in train], "text string, toxic int")
+    rows = toxicity.class_rows(toxicity.word_counts(df), 6, 3)
+    asked = [texts[50], texts[51] + " VILE!", "a scoundrel", "never seen wordzz", "onlyhere", None, "", "---", "vile " * 30 + " ".join(r.choice(texts[52].split()) for _ in range(50))]
+    got = {x["doc_id"]: x for x in toxicity.figures(spark.createDataFrame(list(enumerate(asked)), "doc_id bigint, text string").repartition(3), rows, order=6).collect()}
+    ratio = plain_ratio([(t or "", y) for t, y in train], 6, 3)
+    for i, t in enumerate(asked):
+        ws = toxicity.tokens(t)
+        v = [ratio(w) if w else 0.0 for w in ws]
+        top = sorted({w: x for w, x in zip(ws, v, strict=True)}.values(), reverse=True)
+        want = [sum(v) / max(len(v), 8), *(sum(top[:k]) / k for k in toxicity.TOP), *(max(sum(v[j : j + w]) for j in range(max(1, len(v) - w + 1))) / w for w in toxicity.WINDOWS)]
+        assert [got[i][k] for k in toxicity.FIGURES] == pytest.approx(want, rel=1e-3, abs=2e-4)
+
+
+def test_toxicity(spark, docs, odd, none):
     rows = [(i, f"{'you vile scoundrel' if i % 4 == 0 else 'a fine day'} and {'the house by the river ' * (i % 3 + 1)}", int(i % 4 == 0)) for i in range(200)]
-    train = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
-    shards = charlm.pack(toxicity.class_rows(toxicity.word_counts(train)))
-    test = spark.createDataFrame([(0, "oh vile one"), (1, "a fine house"), (2, None), (3, ""), (4, "VILE!"), (5, "the river " * 3000 + "vile")], "doc_id bigint, text string")
-    got = {r["doc_id"]: r for r in toxicity.figures(test, shards).collect()}
-    assert min(got[i]["peak1"] for i in (0, 4, 5)) > 1 > 0.5 > got[1]["peak1"] and got[2]["mean"] == got[3]["peak8"] == 0
-    assert toxicity.figures(none, shards).count() == 0 and toxicity.figures(docs, shards).count() == docs.count()
+    model = toxicity.class_rows(toxicity.word_counts(spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")))
+    test = spark.createDataFrame([(0, "oh vile one"), (1, "a fine house"), (2, None), (3, ""), (4, "VILE!"), (5, "the river " * 3000 + "vile"), (None, "vile"), (0, "oh vile one")], "doc_id bigint, text string")
+    rows = toxicity.figures(test, model).collect()
+    got = {r["doc_id"]: r for r in rows}
+    assert min(got[i]["top1"] for i in (0, 4, 5, None)) > 1 > 0.5 > got[1]["top1"] and got[2]["mean"] == got[3]["window8"] == 0
+    assert len({tuple(r) for r in rows if r["doc_id"] == 0}) == 1 and len(rows) == 8
+    assert toxicity.figures(none, model).count() == 0 and toxicity.figures(odd, model).count() == odd.count()
     w = toxicity.logistic(np.r_[np.zeros(50), np.ones(50)][:, None], np.r_[np.zeros(50), np.ones(50)])
     assert w[0] > 0 and w[1] < 0
 
 
-@pytest.mark.parametrize(("name", "label", "least"), [("op2_quality_model", "quality", 0.97), ("op9_toxicity", "toxic", 0.9), ("op4_language_id", None, 0.97)])
+def test_toxic_documents_are_found(spark):
+    """Recall of toxic and share of ordinary documents flagged, of held-out ones; 5 of 97 toxic ones hold no word that marks others."""
+    d = "/root/testdata/sf0.1"
+    got = toxicity.op9_toxicity(spark, d).where("held_out").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
+    t = got.selectExpr("sum(predicted * toxic) / sum(toxic)", "sum(predicted * (1 - toxic)) / sum(1 - toxic)").first()
+    assert t[0] >= 0.9 and t[1] <= 0.0125
+
+
+@pytest.mark.parametrize(("name", "label", "least"), [("op2_quality_model", "quality", 0.97), ("op4_language_id", None, 0.97)])
 def test_held_out(spark, name, label, least):
     from tidemill.llm.queries import QUERIES
 

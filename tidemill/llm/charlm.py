@@ -1,34 +1,25 @@
 """Character n-gram models with modified Kneser-Ney smoothing, counted by Spark.
 
-Counting: each task counts its n-grams (character windows; every text begins
-with ``order - 1`` start marks) in arrays, so one row per n-gram and task is
+Counting: each block of texts (see ``blocks``) counts its n-grams (character windows; every text begins
+with ``order - 1`` start marks) in arrays, so one row per n-gram and block is
 shuffled, whatever the number of documents.  Lower orders use continuation
-counts.  All tables are DataFrames of n-grams, not of documents.
+counts.  All tables are DataFrames of n-grams, not of documents; tables with a row per group are broadcast.
 
-Scoring is additive.  Over the seen orders n of a window,
-
-    log p(w|h) = log unk + sum over n of (log gamma(h_n) + delta(h_n w)),
-    delta(h_n w) = log p_n(w|h_n) - log gamma(h_n) - log p_{n-1}(w|h_{n-1}),
-
-so a model is a table of 64-bit hash -> float, sorted by hash.  It is cut by
-hash into shards of at most ``SHARD`` entries, each of them one broadcast:
-a worker holds one shard at a time, plus a memo of windows it has met.
+Scoring: every n-gram of a text that was counted has its interpolated probability in the
+table of the highest order.  Each block asks for its distinct n-grams, wherever in the cluster they lie.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, mix, only, slices, written
+from .blocks import batches_of
+from .common import few, mapped, mix, only, written
 
 ORDER = 5
-#: Entries of a broadcast shard: 12 bytes each, 48 MB at most.
-SHARD = 1 << 22
 _START = "\x02"
 _A = 0xD1342543DE82EF95
 _POWERS = np.array([pow(_A, i, 1 << 64) for i in range(16)], np.uint64)
@@ -60,17 +51,38 @@ def window_keys(c: np.ndarray, order: int) -> np.ndarray:
     return key
 
 
-def gram_keys(grams: np.ndarray, tag: int, salts: np.ndarray) -> np.ndarray:
-    """Hashes of n-grams (rows of code points); tag 0 for deltas, 1 for the weights of contexts."""
-    n = grams.shape[1]
-    key = np.zeros(len(grams), np.uint64)
-    for i in range(n):
-        key += (grams[:, n - 1 - i].astype(np.uint64) + np.uint64(1)) * _POWERS[i]
-    key += salts
-    key += np.uint64((2 * n + tag) * 0xA0761D6478BD642F & (1 << 64) - 1)
+def text_keys(texts: list[str], groups: list, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all windows of the texts, one after another, and the texts' lengths."""
+    c, starts, lengths = codes(texts, order)
+    if not lengths.sum():
+        return np.zeros(0, np.uint64), lengths
+    at = np.arange(lengths.sum()) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+    key = window_keys(c, order)[at - order + 1]
+    key += np.repeat(np.array([salt(g) for g in groups], np.uint64), lengths)
+    return mix(key), lengths
+
+
+def gram_keys(grams: list[str], salts: np.ndarray, order: int) -> np.ndarray:
+    """Keys of n-grams of one length, as ``text_keys`` has them."""
+    c = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, order)
+    key = salts.copy()
+    for i in range(order):
+        key += (c[:, order - 1 - i].astype(np.uint64) + np.uint64(1)) * _POWERS[i]
     return mix(key)
 
 
+def distinct(parts) -> np.ndarray:
+    """Sorted distinct keys of many arrays, joined a few at a time."""
+    held, n = [np.zeros(0, np.uint64)], 0
+    for part in parts:
+        held.append(np.unique(part))
+        n += len(held[-1])
+        if n > 4_000_000:
+            held = [np.unique(np.concatenate(held))]
+            n = 0
+    return np.unique(np.concatenate(held))
+
+
 def texts_of(grams: np.ndarray) -> list[str]:
     n = grams.shape[1]
     s = np.ascontiguousarray(grams, np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
@@ -135,8 +147,8 @@ class Counter:
         return bool(self.more) and len(self.more[0][0]) > 400_000
 
 
-def count_grams(df: DataFrame, text_col: str, group_col: str, order: int = ORDER) -> DataFrame:
-    """(grp, gram, c) over all rows; a null group is a group, null texts count as empty."""
+def count_grams(table: DataFrame, order: int = ORDER) -> DataFrame:
+    """(grp, gram, c) over blocks whose first two columns are a text and its group; a null group is a group, null texts count as empty."""
 
     def run(batches):
         def out(counter):
@@ -146,15 +158,15 @@ def count_grams(df: DataFrame, text_col: str, group_col: str, order: int = ORDER
         only("grams", dict)
         counter = Counter(order)
         for batch in batches:
-            for part in slices(batch, batch.schema.names[0], 1 << 20):
-                counter.add([t or "" for t in part.column(0).to_pylist()], part.column(1).to_pylist())
-                if counter.full():
-                    yield from out(counter)
-                    counter = Counter(order)
+            for body in batch.column(1):
+                for part in batches_of(body.as_py()):
+                    counter.add([t or "" for t in part.column(0).to_pylist()], part.column(1).to_pylist())
+                    if counter.full():
+                        yield from out(counter)
+                        counter = Counter(order)
         yield from out(counter)
 
-    rows = df.select(text_col, F.col(group_col).cast("string")).mapInArrow(run, "grp string, gram string, c bigint")
-    return rows.groupBy("grp", "gram").agg(F.sum("c").alias("c"))
+    return table.select("block", "body").mapInArrow(run, "grp string, gram string, c bigint").groupBy("grp", "gram").agg(F.sum("c").alias("c"))
 
 
 def discounts(counts: DataFrame) -> DataFrame:
@@ -167,7 +179,9 @@ def discounts(counts: DataFrame) -> DataFrame:
 
 
 def _same(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
-    """a joined with b on the keys and on the group, nulls equal."""
+    """a joined with b on the keys and on the group, nulls equal; without keys b has a row per group."""
+    if not keys:
+        b = few(written(b))
     b = b.withColumnsRenamed({k: f"_{k}" for k in ("grp", *keys)})
     on = a["grp"].eqNullSafe(b["_grp"])
     for k in keys:
@@ -188,102 +202,28 @@ def lower(counts: DataFrame) -> DataFrame:
     return counts.groupBy("grp", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("c"))
 
 
-def probabilities(counts: DataFrame, order: int) -> tuple[DataFrame, DataFrame, dict]:
-    """Interpolated probabilities: (grp, gram, p) of the highest order; rows (grp, tag, gram, value) of all orders; log unk of each group."""
+def probabilities(counts: DataFrame, order: int) -> DataFrame:
+    """(grp, gram, p): interpolated probabilities of the n-grams of the highest order."""
     by_order = {order: counts}
     for n in range(order - 1, 0, -1):
         by_order[n] = written(lower(by_order[n + 1]))
-    p, rows, unk = None, None, {}
+    p = None
     for n in range(1, order + 1):
         w = weighted(by_order[n], n)
-        if n == 1:
-            sizes = by_order[1].groupBy("grp").agg((F.count("*") + 1).alias("v"))
-            w = _same(w, sizes).withColumn("low", 1 / F.col("v"))
-            unk = {r["grp"]: math.log(r["u"]) for r in w.groupBy("grp").agg(F.first(F.col("gamma") * F.col("low")).alias("u")).collect()}  # a row per language
+        if p is None:
+            w = _same(w, by_order[1].groupBy("grp").agg((F.count("*") + 1).alias("v"))).withColumn("low", 1 / F.col("v"))
         else:
             w = _same(w, p.select("grp", F.col("gram").alias("sfx"), F.col("p").alias("low")), "sfx")
-        p = written(w.select("grp", "gram", "ctx", "gamma", "low", (F.col("own") + F.col("gamma") * F.col("low")).alias("p")))
-        new = p.select("grp", F.lit(0).alias("tag"), "gram", (F.log("p") - F.log("gamma") - F.log("low")).alias("value"))
-        if n > 1:
-            new = new.unionByName(p.groupBy("grp", "ctx").agg(F.first(F.log("gamma")).alias("value")).select("grp", F.lit(1).alias("tag"), F.col("ctx").alias("gram"), "value"))
-        rows = new if rows is None else rows.unionByName(new)
-    return p, rows, unk
+        p = written(w.select("grp", "gram", (F.col("own") + F.col("gamma") * F.col("low")).alias("p")))
+    return p
 
 
-def pack(rows: DataFrame) -> list:
-    """Rows (grp, tag, gram, value) as broadcasts of sorted hashes and their values, each of at most SHARD entries."""
+def model(p: DataFrame, order: int) -> DataFrame:
+    """(key, value): log p of each n-gram of (grp, gram, p)."""
 
     def each(part):
-        grp, tag, gram, value = (part.column(i).to_pylist() for i in range(4))
-        key = np.zeros(len(gram), np.uint64)
-        sizes, tags = np.fromiter(map(len, gram), np.int64, len(gram)), np.array(tag)
-        salts = np.array([salt(g) for g in grp], np.uint64)
-        for n in np.unique(sizes):
-            for t in (0, 1):
-                at = np.flatnonzero((sizes == n) & (tags == t))
-                c = np.frombuffer("".join([gram[i] for i in at]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(at), n)
-                key[at] = gram_keys(c, t, salts[at])
-        return {"key": key.view(np.int64), "value": np.array(value, np.float32)}
-
-    table = written(mapped(rows.select("grp", "tag", "gram", "value"), each, "key bigint, value float", "gram"))
-    spark = rows.sparkSession
-    shards = max(1, math.ceil(table.count() / SHARD))
-    packed = []
-    for s in range(shards):
-        part = table.where(F.pmod(F.col("key"), F.lit(shards)) == s).toArrow()
-        key = part.column("key").to_numpy().view(np.uint64)
-        order = np.argsort(key)
-        packed.append(spark.sparkContext.broadcast((key[order], part.column("value").to_numpy()[order])))
-    return packed
-
-
-class Scorer:
-    """Values of windows: the sums of a window's entries over all orders and shards."""
-
-    def __init__(self, shards: list, order: int, lowest: int = 1, bits: int = 20):
-        self.shards, self.order, self.lowest, self.shift = shards, order, lowest, np.uint64(64 - bits)
-        self.key, self.value = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.float32)
-
-    def _lookup(self, grams: np.ndarray, salts: np.ndarray) -> np.ndarray:
-        asked = []
-        for n in range(self.lowest, self.order + 1):
-            asked.append(gram_keys(grams[:, self.order - n :], 0, salts))
-            if n > 1:
-                asked.append(gram_keys(grams[:, self.order - n : -1], 1, salts))
-        out = np.zeros(len(grams), np.float64)
-        for shard in self.shards:
-            keys, values = shard.value
-            if len(keys):
-                for q in asked:
-                    i = np.minimum(np.searchsorted(keys, q), len(keys) - 1)
-                    out += np.where(keys[i] == q, values[i], 0)
-            if len(self.shards) > 1:
-                del keys, values
-                shard._value = None  # only one shard in memory at a time; it is read again from the executor's block
-                del shard._value
-        return out.astype(np.float32)
-
-    def values(self, texts: list[str], groups: list) -> list[np.ndarray]:
-        """For each text, a value for each of its characters."""
-        c, starts, lengths = codes(texts, self.order)
-        if not lengths.sum():
-            return [np.zeros(0, np.float32)] * len(texts)
-        salts = np.array([salt(g) for g in groups], np.uint64)
-        key = window_keys(c, self.order) + np.repeat(salts, lengths + self.order - 1)[self.order - 1 :]
-        slot = (key * _SLOT >> self.shift).astype(np.int64)
-        out = self.value[slot]
-        miss = np.flatnonzero(self.key[slot] != key)
-        if len(miss):
-            new, first, back = np.unique(key[miss], return_index=True, return_inverse=True)
-            where = miss[first] + self.order - 1
-            grams = c[where[:, None] + np.arange(1 - self.order, 1)]
-            owner = np.searchsorted(starts - self.order + 1, where, side="right") - 1
-            found = self._lookup(grams, salts[owner])
-            out[miss] = found[back]
-            slot = (new * _SLOT >> self.shift).astype(np.int64)
-            self.key[slot], self.value[slot] = new, found
-        return [out[s - self.order + 1 : s - self.order + 1 + n] for s, n in zip(starts, lengths, strict=True)]
-
-
-def empty_rows(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "grp string, tag int, gram string, value double")
+        grp, gram = part.column(0).to_pylist(), part.column(1).to_pylist()
+        salts = {g: salt(g) for g in set(grp)}
+        return {"key": gram_keys(gram, np.array([salts[g] for g in grp], np.uint64), order).view(np.int64), "value": np.log(part.column(2).to_numpy()).astype(np.float32)}
+
+    return written(mapped(p.select("grp", "gram", "p"), each, "key bigint, value float", "gram"))

@@ -64,7 +64,7 @@ def _clean() -> None:
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
         except Exception:  # noqa: BLE001  the session is gone; the folder's owner cleans it
-            return
+            continue
 
 
 def written(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -85,6 +85,15 @@ def written(df: DataFrame, rows: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Most rows of a table that is broadcast.
+BROADCAST = 1_000_000
+
+
+def few(table: DataFrame, broadcast: int = BROADCAST) -> DataFrame:
+    """A written table of narrow rows to be joined with: few rows are broadcast, more are met in a shuffle."""
+    return table.hint("broadcast" if table.count() <= broadcast else "shuffle_hash")
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose texts hold about ``size`` bytes, so that working arrays stay small; a long text is a part of its own."""
     lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).cast(pa.int64()))

@@ -38,11 +38,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, documents, mapped, mix, slices, windows_hash, written
+from .common import WordHashes, documents, few, mapped, mix, slices, windows_hash, written
 from .components import components
 
-#: Growth of the sizes of a band, and most rows of a broadcast table of ids.
-GROWTH, BROADCAST = 1.5, 1_000_000
+#: Growth of the sizes of a band.
+GROWTH = 1.5
 #: Pairs of different components a node, above which a bucket's sketches are compared before pairs are sent.
 CROSS = 16
 #: Pairs that Python holds at once while it compares their sets.
@@ -220,11 +220,6 @@ def buckets(rows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "key bigint, hi int, lo bigint, id bigint, n bigint, sketch binary, digest bigint")
 
 
-def _few(table: DataFrame) -> DataFrame:
-    """A written table to be joined with: few rows are broadcast, more are met in a shuffle."""
-    return table.hint("broadcast" if table.count() <= BROADCAST else "shuffle_hash")
-
-
 def stored_sets(df: DataFrame, nodes: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     """(id, s): the number of each of the given nodes (id, doc, hi, lo) and the sorted hashes of its k-grams as bytes.
 
@@ -237,8 +232,8 @@ def stored_sets(df: DataFrame, nodes: DataFrame, id_col: str, text_col: str, k:
         return {"hi": [x[0] for x in named], "lo": [x[1] for x in named], "s": [s.tobytes() for s in sets]}
 
     nodes = written(nodes)
-    rows = df.select(_doc(F.col(id_col).cast("long")).alias("doc"), F.col(text_col).alias("text")).join(_few(written(nodes.select("doc").distinct())), "doc", "left_semi")
-    sets = mapped(rows.select("text"), each, "hi int, lo bigint, s binary").join(_few(nodes), ["hi", "lo"]).select("id", "s")
+    rows = df.select(_doc(F.col(id_col).cast("long")).alias("doc"), F.col(text_col).alias("text")).join(few(written(nodes.select("doc").distinct())), "doc", "left_semi")
+    sets = mapped(rows.select("text"), each, "hi int, lo bigint, s binary").join(few(nodes), ["hi", "lo"]).select("id", "s")
     return written(sets).dropDuplicates(["id"])
 
 
@@ -401,7 +396,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         labels = components(links.unionByName(linked(close)))
     labelled = written(classes.join(labels, F.col("id") == F.col("v"), "left").where("copies > 1 or label is not null").select("hi", "lo", "least", F.coalesce("label", "id").alias("label")))
     least = written(labelled.groupBy(F.col("label").alias("of")).agg(F.min("least").alias("component")))
-    named = labelled.join(_few(least), F.col("label") == F.col("of")).select(F.col("hi").alias("h"), F.col("lo").alias("l"), "component")
+    named = labelled.join(few(least), F.col("label") == F.col("of")).select(F.col("hi").alias("h"), F.col("lo").alias("l"), "component")
     out = known.join(written(named), (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l")) & (F.col("n") > 0), "left")
     kind = df.schema[id_col].dataType
     return out.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").cast(kind).alias("component_id"), *([F.col("digest").alias(hash_col)] if hash_col else []))

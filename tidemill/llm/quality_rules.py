@@ -7,8 +7,9 @@ documents: as many spreads (distances of the quartiles from the median, each
 side its own) as ``WIDTH``, widened for short texts, whose figures scatter.
 
 Null and empty texts have no words and fail the base rules.  A null language is a
-language of its own.  Repeated rows are counted and returned as they come.  An
-empty table gives an empty result.
+language of its own.  Repeated rows are counted and returned as they come, also with repeated or null ids.
+A very long text is a block of its own, in memory some 50 times its bytes.  Other columns than text, language and
+those kept are not looked at, whatever their names.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,11 +17,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from . import charlm
-from .common import SPACE, WordHashes, documents, mapped, only, windows_hash, written
+from . import blocks, charlm
+from .common import SPACE, WordHashes, documents, few, only, windows_hash, written
 
 #: Spreads on either side of a language's median.
 WIDTH = 8.0
@@ -67,25 +71,30 @@ def base_counts(text: str | None, hashes: WordHashes) -> tuple[int, int, int, in
 
 def scored(df: DataFrame, text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = ("doc_id",), order: int = charlm.ORDER) -> DataFrame:
     """The columns ``keep``, the base counts, and bits: bits a word under the model of the row's language."""
-    text, lang = F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang")
-    counts = written(charlm.count_grams(df.select(text, lang), "_text", "_lang", order))
-    _, rows, unk = charlm.probabilities(counts, order)
-    shards = charlm.pack(rows)
-    kept = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep)
-    state: list = []
-
-    def each(part):
-        if not state:
-            state.extend([only("marked words", MarkedHashes), charlm.Scorer(shards, order, bits=21)])
-        hashes, scorer = state
-        texts, langs = part.column(0).to_pylist(), part.column(1).to_pylist()
-        base = [base_counts(t, hashes) for t in texts]
-        values = scorer.values([t or "" for t in texts], langs)
-        bits = [-(float(v.sum(dtype=np.float64)) + len(v) * unk.get(g, 0.0)) / math.log(2) / max(1, b[5]) for v, g, b in zip(values, langs, base, strict=True)]
-        names = [x.split()[0] for x in BASE.split(", ")]
-        return {k: part.column(i) for i, k in enumerate(keep, 2)} | dict(zip(names, [*zip(*base, strict=True)][:5], strict=True)) | {"bits": bits, "_lang": part.column(1)}
-
-    return mapped(df.select(text, lang, *keep), each, f"{kept}, {BASE}, bits double, _lang string", "_text", 1 << 20)
+    kept = [F.col(k).alias(f"k{i}") for i, k in enumerate(keep)]
+    table = blocks.stored(df.select(F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang"), *kept), "_text")
+    model = charlm.model(charlm.probabilities(written(charlm.count_grams(table, order)), order), order)
+    schema = T.StructType([*[T.StructField(k, df.schema[k].dataType) for k in keep], *T.StructType.fromDDL(f"{BASE}, bits double, _lang string")])
+    arrow = to_arrow_schema(schema)
+
+    def parts(body):
+        for part in blocks.batches_of(body):
+            yield part, *charlm.text_keys([t or "" for t in part.column(0).to_pylist()], part.column(1).to_pylist(), order)
+
+    def keys_of(body):
+        return charlm.distinct(keys for _, keys, _ in parts(body))
+
+    def use(body, keys, values):
+        hashes, found = only("marked words", MarkedHashes), blocks.Values(keys, values)
+        for part, windows, lengths in parts(body):
+            base = [base_counts(t, hashes) for t in part.column(0).to_pylist()]
+            sums = np.concatenate([[0.0], np.cumsum(found.of(windows), dtype=np.float64)])
+            end = np.cumsum(lengths)
+            bits = (sums[end - lengths] - sums[end]) / math.log(2) / np.maximum(1, [b[5] for b in base])
+            counts = list(zip(*base, strict=True))[:5]
+            yield pa.RecordBatch.from_arrays([*[c.cast(f.type) for c, f in zip(part.columns[2:], arrow, strict=False)], *[pa.array(c, pa.int64()) for c in counts], pa.array(bits), part.column(1)], schema=arrow)
+
+    return blocks.answered(table, keys_of, model, use, schema)
 
 
 def bands(figures: DataFrame, width: float = WIDTH) -> DataFrame:
@@ -106,7 +115,7 @@ def bands(figures: DataFrame, width: float = WIDTH) -> DataFrame:
 def judge(figures: DataFrame, width: float = WIDTH) -> DataFrame:
     """figures and base_failed, kept."""
     x = written(figures.withColumn("base_failed", F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words")))
-    b = bands(x, width).withColumnRenamed("_lang", "_of")
+    b = few(written(bands(x, width))).withColumnRenamed("_lang", "_of")
     room = F.sqrt(1 + SHORT / F.greatest(F.col("n_words"), F.lit(1)))
     inside = (F.col("bits") >= F.col("mid") - F.col("down") * room) & (F.col("bits") <= F.col("mid") + F.col("up") * room)
     return x.join(b, x["_lang"].eqNullSafe(b["_of"]), "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True))).drop("_of", "mid", "down", "up")

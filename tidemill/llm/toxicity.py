@@ -1,27 +1,28 @@
 """Toxicity: two class-conditional Kneser-Ney models that share their backoff counts.
 
-The models spell words: character n-grams within a word, which begins with start
-marks, so that stems and inflected or disguised forms count as well as whole words.
+The models spell words: character n-grams of a word between start marks and the space that ends it, so that stems
+and inflected or disguised forms count as well as whole words.
 Each class counts in how many of its training documents a word stands; its
-n-grams of the highest order have counts of its own,
+n-grams of the highest order have counts and (from counts of counts) modified Kneser-Ney discounts of its own,
 
-    p(c|h) = (n(hc) - D) / n(h) + gamma(h) s(c|h'),
+    p(c|h) = (n(hc) - D(n)) / n(h) + gamma(h) s(c|h'),
 
-while s, a model of the order ``SHARED``, holds continuation counts over both classes
-together.  Words in fewer than ``LEAST`` of the texts are cut off, as they say nothing of a class.
-Counts up to ``RARE`` are discounted whole: a class that has met an expression so
-rarely says nothing of its own and falls back on the shared counts.  The log
+while s, a modified Kneser-Ney model of the order ``SHARED``, holds continuation counts over both classes
+together; a context that a class has not met leaves all to s.  Every word of every training text counts.  The log-likelihood
 ratio of the classes is summed over a word, then normalised by length: a document's
-figures are its mean a word and the means of its most toxic windows of
-``WINDOWS`` words, so that length neither adds nor dilutes.  A logistic fit turns
+figures are its mean a word, the means of its ``TOP`` most toxic distinct words, and that of its most toxic window of
+``WINDOWS`` words, so that length neither adds nor dilutes, and one rare word weighs less than several.  A logistic fit turns
 them into a score; it uses a fold of labelled documents that the models haven't
 counted, at most ``CALIBRATION`` of them, those with the least hash of the id.
 
-Of equal training texts with equal labels one counts.  Null and empty texts have
+Words are scored once each, wherever they stand: distinct words ask for their n-grams, then blocks of texts for their
+words (see ``blocks``), so that no model is broadcast or collected.
+
+Of equal training texts with equal labels one counts.  Null and empty texts, and empty tables of texts, have
 figures 0 and get the score that follows from them.  Null labels are left out; of
 a document's repeated labels the highest counts.  Repeated documents are scored
-each.  Without labels of both classes every score is 0.  Labels, lang, source and
-id are no inputs of a score.
+each, also with repeated or null ids.  Without labels of both classes every score is 0.  Of equal words the order
+is no matter.  A very long text is a block of its own.  Labels, lang, source, id and other columns are no inputs of a score.
 """
 
 from __future__ import annotations
@@ -32,24 +33,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from . import charlm
-from .common import documents, fold, mapped, only, slices, written
+from . import blocks, charlm
+from .common import documents, few, fold, mapped, only, slices, written
 
-ORDER, SHARED, RARE, LEAST = 10, 5, 2, 2
-WINDOWS = (1, 8)
+ORDER, SHARED = 10, 5
+TOP, WINDOWS = (1, 2, 4), (8,)
 #: Most labelled documents that the logistic fit uses.
 CALIBRATION = 20_000
-#: Most labels that are broadcast (16 bytes each); beyond, the texts are shuffled to them.
-BROADCAST = 1_000_000
-FIGURES = ("mean", *(f"peak{w}" for w in WINDOWS))
-#: Where the window figures level off, so that the fit is decided by documents near its edge.
-MOST = {1: 8.0, 8: 3.0}
+#: Distinct words in a part of the vocabulary.
+VOCABULARY = 200_000
+FIGURES = ("mean", *(f"top{k}" for k in TOP), *(f"window{w}" for w in WINDOWS))
 #: What a missed toxic document weighs against a false alarm.
 COST = 4.0
 _TRIM = ".,;:!?\"'()[]{}<>*#$%&|-_"
 #: Characters of a word that are spelled; longer ones are no words, and go on in pieces.
 _PIECE = 40
+_CONTEXT = 0x2545F4914F6CDD1D  # tells a context's key from an n-gram's
 
 
 def tokens(text: str | None) -> list[str]:
@@ -61,7 +63,7 @@ def tokens(text: str | None) -> list[str]:
 
 
 def word_counts(train: DataFrame) -> DataFrame:
-    """(toxic, word, c): in how many texts of each class a word stands.  One row per word, class and task is shuffled."""
+    """(toxic, word, c): in how many texts of each class a word stands.  One row per word, class and part of a task is shuffled."""
 
     def run(batches):
         only("toxicity", dict)
@@ -81,70 +83,122 @@ def word_counts(train: DataFrame) -> DataFrame:
         yield out()
 
     rows = train.select("text", F.col("toxic").cast("int")).mapInArrow(run, "toxic int, word string, c bigint")
-    sums = rows.groupBy("word").agg(F.sum(F.col("c") * F.col("toxic")).alias("1"), F.sum(F.col("c") * (1 - F.col("toxic"))).alias("0")).where(f"`1` + `0` >= {LEAST}")
-    return sums.selectExpr("word", "stack(2, 1, `1`, 0, `0`) as (toxic, c)").where("c > 0")
+    return rows.groupBy("toxic", "word").agg(F.sum("c").alias("c"))
+
 
+def class_rows(words: DataFrame, order: int = ORDER, shared_order: int = SHARED) -> DataFrame:
+    """Rows (tag, gram, value) of the log ratio of class 1 to class 0, from (toxic, word, c): tag 0 for n-grams, 1 for contexts.
 
-def class_rows(words: DataFrame, order: int = ORDER, shared_order: int = SHARED, rare: int = RARE) -> DataFrame:
-    """Rows (grp, tag, gram, value) of the log ratio of class 1 to class 0, from (toxic, word, c)."""
-    marked = F.concat(F.lit(charlm._START * (order - 1)), "word")
-    grams = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substring(marked, i, F.lit(order)))
+    A window's ratio is that of its n-gram plus that of its context, each 0 where there is no row.
+    """
+    marked = F.concat(F.lit(charlm._START * (order - 1)), "word", F.lit(" "))
+    grams = F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda i: F.substring(marked, i, F.lit(order)))
     counts = written(words.select(F.col("toxic").cast("string").alias("grp"), F.explode(grams).alias("gram"), "c").groupBy("grp", "gram").agg(F.sum("c").alias("c")))
     tail = F.expr(f"substring(gram, {order - shared_order + 1})")
     pooled = counts.select("gram").distinct().groupBy(F.lit("").alias("grp"), tail.alias("gram")).agg(F.count("*").alias("c"))
-    shared, _, _ = charlm.probabilities(written(pooled), shared_order)
-    d = F.expr(f"case when c <= {rare} then c else 0.75D end")
-    x = counts.withColumns({"ctx": F.expr(f"substring(gram, 1, {order - 1})"), "sfx": tail, "d": d})
-    # a context has at most as many followers as there are characters
-    sums = x.groupBy("grp", "ctx").agg((F.sum("d") / F.sum("c")).alias("gamma"), F.sum("c").alias("total"))
-    own = written(x.join(sums, ["grp", "ctx"]).select("grp", "gram", "ctx", "sfx", F.expr("(c - d) / total").alias("own"), "gamma"))
+    shared = charlm.probabilities(written(pooled), shared_order)
+    own = written(charlm.weighted(counts, order).withColumn("sfx", tail))
     sign = F.when(F.col("grp") == "1", 1.0).otherwise(-1.0)
-    seen = own.where("own > 0").join(shared.select(F.col("gram").alias("sfx"), F.col("p").alias("low")), "sfx")
+    seen = own.join(shared.select(F.col("gram").alias("sfx"), F.col("p").alias("low")), "sfx")
     delta = seen.select("gram", F.lit(0).alias("tag"), (sign * (F.log(F.col("own") + F.col("gamma") * F.col("low")) - F.log("gamma") - F.log("low"))).alias("value"))
     weight = own.groupBy("grp", "ctx").agg(F.first("gamma").alias("gamma")).select(F.col("ctx").alias("gram"), F.lit(1).alias("tag"), (sign * F.log("gamma")).alias("value"))
-    both = delta.unionByName(weight).groupBy("gram", "tag").agg(F.sum("value").alias("value")).where("value != 0")
-    return both.select(F.lit("").alias("grp"), "tag", "gram", "value")
-
-
-class WordValues(dict):
-    """Word -> its log ratio, remembered for up to a million words."""
-
-    def __init__(self, shards: list, order: int):
-        super().__init__()
-        self.scorer = charlm.Scorer(shards, order, lowest=order)
-
-    def of(self, ws: list[str]) -> np.ndarray:
-        if len(self) > 1 << 20:
-            self.clear()
-        if new := [w for w in set(ws) if w not in self]:
-            for w, v in zip(new, self.scorer.values(new, [""] * len(new)), strict=True):
-                self[w] = float(v.sum(dtype=np.float64))
-        return np.fromiter(map(self.__getitem__, ws), np.float64, len(ws))
-
-
-def figures(df: DataFrame, shards: list, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", order: int = ORDER) -> DataFrame:
-    """The columns ``keep``, and FIGURES."""
-    kept = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep)
-    state: list = []
-
-    def each(part):
-        if not state:
-            only("toxicity", dict)
-            state.append(WordValues(shards, order))
-        out = []
-        split = [tokens(t) for t in part.column(0).to_pylist()]
-        at = np.cumsum([0, *map(len, split)])
-        values = state[0].of([w for ws in split for w in ws])
-        for a, b in zip(at[:-1], at[1:], strict=True):
-            n = b - a
-            sums = np.concatenate([[0.0], np.cumsum(values[a:b])])
-            row = [sums[-1] / max(n, WINDOWS[-1])]
-            for w in WINDOWS:
-                row.append(min(MOST[w], float((sums[w:] - sums[:-w]).max()) / w if n >= w else sums[-1] / w))
-            out.append(row)
-        return {k: part.column(i) for i, k in enumerate(keep, 1)} | dict(zip(FIGURES, zip(*out, strict=True), strict=True))
-
-    return mapped(df.select(F.col(text_col).alias("_text"), *keep), each, f"{kept}, " + ", ".join(f"{k} double" for k in FIGURES), "_text")
+    return delta.unionByName(weight).groupBy("gram", "tag").agg(F.sum("value").alias("value")).where("value != 0")
+
+
+def _spelled(ws: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the n-grams and of the contexts of each word's windows, and how many a word has."""
+    c, starts, lengths = charlm.codes([w + " " for w in ws], order)
+    at = np.arange(lengths.sum()) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+    return charlm.mix(charlm.window_keys(c, order)[at - order + 1]), charlm.mix(charlm.window_keys(c, order - 1)[at - order + 1] + np.uint64(_CONTEXT)), lengths
+
+
+def word_ratios(words: DataFrame, rows: DataFrame, order: int = ORDER) -> DataFrame:
+    """(key, value): the log ratio of each of the distinct words (word), by the word's key, from class_rows."""
+
+    def keyed(part):
+        tag, gram = np.array(part.column(0).to_pylist(), np.int64), part.column(1).to_pylist()
+        key = np.zeros(len(gram), np.uint64)
+        for t in (0, 1):
+            at = np.flatnonzero(tag == t)
+            n = order - t
+            c = np.frombuffer("".join([gram[i] for i in at]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)
+            for i in range(n):
+                key[at] += (c[:, n - 1 - i].astype(np.uint64) + np.uint64(1)) * charlm._POWERS[i]
+            key[at] += np.uint64(t * _CONTEXT)
+        return {"key": charlm.mix(key).view(np.int64), "value": part.column(2).to_numpy().astype(np.float32)}
+
+    model = written(mapped(rows.select("tag", "gram", "value"), keyed, "key bigint, value float", "gram"))
+    words = written(words)
+    parts = -(-words.count() // VOCABULARY)
+    table = blocks.stored(words.repartition(max(parts, int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "word"), "word")
+
+    def spelled(body):
+        for part in blocks.batches_of(body):
+            ws = part.column(0).to_pylist()
+            yield ws, *_spelled(ws, order)
+
+    def keys_of(body):
+        return charlm.distinct(x for _, grams, contexts, _ in spelled(body) for x in (grams, contexts))
+
+    def use(body, keys, values):
+        found = blocks.Values(keys, values)
+        for ws, grams, contexts, lengths in spelled(body):
+            sums = np.concatenate([[0.0], np.cumsum(found.of(grams).astype(np.float64) + found.of(contexts))])
+            end = np.cumsum(lengths)
+            yield pa.RecordBatch.from_arrays([pa.array(word_keys(ws).view(np.int64)), pa.array((sums[end] - sums[end - lengths]).astype(np.float32))], ["key", "value"])
+
+    return written(blocks.answered(table, keys_of, model, use, "key bigint, value float"))
+
+
+def word_keys(ws: list[str]) -> np.ndarray:
+    import xxhash
+
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in ws), np.uint64, len(ws))
+
+
+def figures(df: DataFrame, rows: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", order: int = ORDER) -> DataFrame:
+    """The columns ``keep``, and FIGURES, from class_rows."""
+    kept = [F.col(k).alias(f"k{i}") for i, k in enumerate(keep)]
+    table = blocks.stored(df.select(F.col(text_col).alias("_text"), *kept), "_text")
+    arrow = to_arrow_schema(schema := T.StructType([*[T.StructField(k, df.schema[k].dataType) for k in keep], *[T.StructField(k, T.DoubleType()) for k in FIGURES]]))
+
+    def split(body):
+        """A batch, its tokens as numbers of distinct words, where each text begins, and the words."""
+        for part in blocks.batches_of(body):
+            texts = [tokens(t) for t in part.column(0).to_pylist()]
+            number: dict = {}
+            of = np.fromiter((number.setdefault(w, len(number)) for ws in texts for w in ws), np.int64)
+            yield part, of, np.cumsum([0, *map(len, texts)]), list(number)
+
+    def distinct(batches):
+        for batch in batches:
+            for body in batch.column(1):
+                ws = list({w for *_, ws in split(body.as_py()) for w in ws if w})
+                for i in range(0, len(ws), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(ws[i : i + 100_000], pa.string())], ["word"])
+
+    def keys_of(body):
+        return charlm.distinct(word_keys(ws) for *_, ws in split(body))
+
+    def use(body, keys, values):
+        found = blocks.Values(keys, values)
+        for part, of, at, ws in split(body):
+            value = found.of(word_keys(ws)).astype(np.float64) if ws else np.zeros(0)
+            out = [document_figures(value, of[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*[c.cast(f.type) for c, f in zip(part.columns[1:], arrow, strict=False)], *[pa.array(c, pa.float64()) for c in zip(*out, strict=True)]], schema=arrow)
+
+    words = table.mapInArrow(distinct, "word string").distinct()
+    return blocks.answered(table, keys_of, word_ratios(words, rows, order), use, schema)
+
+
+def document_figures(value: np.ndarray, of: np.ndarray) -> list[float]:
+    """FIGURES of a text whose tokens are words ``of`` with ratios ``value``; a text too short for a window counts as one filled with zeros."""
+    n, v = len(of), value[of]
+    sums = np.concatenate([[0.0], np.cumsum(v)])
+    best = np.sort(value[np.unique(of)])[::-1]
+    row = [sums[-1] / max(n, WINDOWS[-1])]
+    row += [float(best[:k].sum()) / k for k in TOP]
+    return row + [float((sums[w:] - sums[:-w]).max()) / w if n >= w else sums[-1] / w for w in WINDOWS]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> np.ndarray:
@@ -161,22 +215,20 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50)
     return np.r_[w[:-1] / scale, w[-1]]
 
 
-def joined(df: DataFrame, labels: DataFrame) -> DataFrame:
-    """df with its labels by doc_id; few enough labels are broadcast, more are met in a shuffle with small hash tables."""
-    return df.join(labels.hint("broadcast" if labels.count() <= BROADCAST else "shuffle_hash"), "doc_id")
-
-
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, score, predicted, figures) of every document.
+
+    The result is written and read again; odd rows go as the module says.
+    """
     docs = documents(spark, sf_dir, "doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     labels = written(labels.where(fold(F.col("doc_id"), 5) != 0))
     counted = labels.where(fold(F.col("doc_id"), 5) != 4)
-    once = joined(docs, counted).groupBy(F.md5(F.coalesce("text", F.lit(""))).alias("m"), "toxic").agg(F.min("doc_id").alias("doc_id"))
-    train = joined(docs, written(once.select("doc_id", "toxic")))
-    shards = charlm.pack(class_rows(written(word_counts(train))))
-    scored = written(figures(docs, shards))
-    fit = joined(scored, labels.where(fold(F.col("doc_id"), 5) == 4))
-    rows = fit.orderBy(F.xxhash64("doc_id"), "doc_id").select(*FIGURES, "toxic").limit(CALIBRATION).toPandas()
+    once = docs.join(few(counted), "doc_id").groupBy(F.md5(F.coalesce("text", F.lit(""))).alias("m"), "toxic").agg(F.min("doc_id").alias("doc_id"))
+    train = docs.join(few(written(once.select("doc_id", "toxic"))), "doc_id")
+    scored = written(figures(docs, written(class_rows(written(word_counts(train))))))
+    fit = scored.join(few(labels.where(fold(F.col("doc_id"), 5) == 4)), "doc_id")
+    rows = fit.orderBy(F.xxhash64("doc_id"), "doc_id", *FIGURES).select(*FIGURES, "toxic").limit(CALIBRATION).toPandas()
     y = rows.toxic.to_numpy(float)
     if 0 < y.sum() < len(y):
         w = logistic(rows[list(FIGURES)].to_numpy(float), y)
