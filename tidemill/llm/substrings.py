@@ -8,20 +8,26 @@ that the minimiser names.  Equal windows have equal minimisers and so meet in on
 where sorting brings them together and tells exactly in which documents a window
 stands; words are compared, not hashes.
 
-What stands often is met early: of equal super-k-mers in the texts that a task holds
-at once only those of the smallest id travel, and all others are known to be repeats.  A passage in a
-third of all documents so sends a string per task.  Buckets are as many as the input's
-bytes ask for; strings are compressed per bucket.  Back come word ranges, which meet the texts by id in a shuffle, as small hash tables.
+What stands often is met early: of equal super-k-mers that a task meets only those of the smallest id so far travel,
+all others are known to be repeats.  A passage in a third of all documents so sends a string per task and not per
+document (a task remembers up to ``KNOWN`` bytes of strings that it has met twice; what it doesn't remember travels).
+Buckets are as many as the input's bytes ask for; strings are compressed per bucket.  A bucket of more than ``HEAVY`` bytes, as
+that of a pair of words which many documents' own words surround, is dealt once more, window by window, by the hash of
+the window: a second shuffle of such buckets alone, where equal windows of a part of a bucket travel once.
+Back come word ranges, which meet the texts by id and content in a shuffle, as small hash tables.
 
 Words are ``[^\\x20\\x09-\\x0D]+``, unchanged; a null text has none.  A window is removed
 if it also starts in a document with a smaller id, as the input has it; all words it covers go.
-Rows of one id count as one document: they don't repeat each other, and a range
-that goes in one goes in all.  Rows with a null id neither lose words nor make others lose them.
-An empty table gives an empty result.
+Rows of one id count as one document: they don't repeat each other; each loses its own words.
+Rows with a null id neither lose words nor make others lose them.  Long texts are sent in stretches that overlap
+by a window less a word.  Columns besides id and text are not looked at.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +38,12 @@ from .common import documents, mapped, mix, slices, words, written
 WINDOW, SEED = 13, 2
 #: Bytes of text a bucket, and that a task holds at once.
 BUCKET, HELD = 5 << 20, 2 << 20
+#: Bytes of strings at which a bucket is dealt again, and bytes of buckets in a partition.
+HEAVY, SHUFFLED = 64 << 20, 64 << 20
+#: Bytes of strings, met more than once, that a task remembers.
+KNOWN = 16 << 20
 _ODD = 0xD1342543DE82EF95
+_SPACE = re.compile(rb"[ \t\n\v\f\r]")
 _powers: list[np.ndarray] = []
 
 
@@ -98,21 +109,41 @@ def _joined(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return doc[first], start[first], far[last] - rank[last]
 
 
-def _packed(doc: np.ndarray, place: np.ndarray, strings: list[bytes]) -> bytes:
-    """Documents, first words and strings, one a line, as compressed bytes; numbers as differences, their bytes by rank."""
+def stretches(text: str | None, window: int, size: int = HELD) -> list[tuple[int, bytes]]:
+    """(first word, words joined by one space) of stretches of some ``size`` bytes that hold all windows of a text."""
+    raw = (text or "").encode()
+    out, at, carry, begin = [], 0, [], 0
+    while begin < len(raw):
+        end = begin + size
+        if end < len(raw):  # to the next white space
+            space = _SPACE.search(raw, end)
+            end = space.start() if space else len(raw)
+        ws = [*carry, *raw[begin:end].split()]
+        if len(ws) >= window:
+            out.append((at, b" ".join(ws)))
+            carry = ws[len(ws) - window + 1 :]
+            at += len(ws) - window + 1
+        else:
+            carry = ws
+        begin = end
+    return out
+
+
+def _packed(doc: np.ndarray, tag: np.ndarray, place: np.ndarray, strings: list[bytes]) -> bytes:
+    """Documents, their tags, first words and strings, one a line, as compressed bytes; numbers as differences, their bytes by rank."""
     import zstandard
 
-    head = [np.diff(doc.astype(np.int64), prepend=0).view(np.uint8).reshape(-1, 8).T.tobytes(), np.diff(place.astype(np.int32), prepend=np.int32(0)).astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes()]
-    return zstandard.ZstdCompressor(level=3).compress(b"".join([np.int64(len(doc)).tobytes(), *head, b"\n".join(strings)]))
+    ranked = lambda x, kind, width: np.diff(x.astype(kind), prepend=kind(0)).astype(kind).view(np.uint8).reshape(-1, width).T.tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([np.int64(len(doc)).tobytes(), ranked(doc, np.int64, 8), ranked(tag, np.int32, 4), ranked(place, np.int32, 4), b"\n".join(strings)]))
 
 
-def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
     import zstandard
 
     data = zstandard.ZstdDecompressor().decompress(blob)
     n = int(np.frombuffer(data, np.int64, 1)[0])
     ranked = lambda at, width, kind: np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8, width * n, at).reshape(width, n).T).view(kind)[:, 0], dtype=kind)
-    return ranked(8, 8, np.int64), ranked(8 + 8 * n, 4, np.int32), data[8 + 12 * n :]
+    return ranked(8, 8, np.int64), ranked(8 + 8 * n, 4, np.int32), ranked(8 + 12 * n, 4, np.int32), data[8 + 16 * n :]
 
 
 def repeats(doc: np.ndarray, texts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -151,89 +182,187 @@ def repeats(doc: np.ndarray, texts: list[bytes], window: int = WINDOW) -> tuple[
     return line[found], place[found]
 
 
+class Known:
+    """Strings that a task has met more than once, with the smallest document of each."""
+
+    def __init__(self, most: int = KNOWN):
+        self.least: dict[bytes, int] = {}
+        self.size, self.most = 0, most
+
+    def repeated(self, data: bytes, doc: np.ndarray, a: np.ndarray, b: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Whether each string data[a:b] is known from a smaller document, here or earlier; learns those that stand here twice."""
+        order = np.lexsort((doc, h))
+        new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
+        starts = np.flatnonzero(new)
+        lead = order[starts[np.cumsum(new) - 1]]  # of each, the equal one with the smallest document
+        out = np.zeros(len(doc), bool)
+        again = np.flatnonzero(doc[lead] < doc[order])
+        for x, y in zip(order[again].tolist(), lead[again].tolist(), strict=True):
+            if data[a[x] : b[x]] == data[a[y] : b[y]]:
+                out[x] = True
+        for first, n in zip(order[starts].tolist(), np.diff([*starts, len(order)]).tolist(), strict=True):
+            if n > 1 or self.least:
+                s = data[a[first] : b[first]]
+                known, d = self.least.get(s), int(doc[first])
+                if known is not None and known < d:
+                    out[first] = True
+                elif known is not None or (n > 1 and self.size < self.most):
+                    self.size += 0 if known is not None else len(s)
+                    self.least[s] = d
+        return out
+
+
+ROWS = "id bigint, tag int, start int, end int, part bigint, blob binary"
+
+
+def _ranges(doc, tag, start, end) -> pa.RecordBatch:
+    """Ranges as rows of ROWS, touching ones of a document as one."""
+    order = np.lexsort((tag, doc))
+    doc, tag = doc[order], tag[order]
+    number = np.cumsum(np.concatenate([[0], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])]))
+    at = np.searchsorted(number, np.arange(number[-1] + 1))
+    got = _joined(number, start[order], end[order])
+    n, of = len(got[0]), at[got[0]]
+    return pa.RecordBatch.from_arrays([pa.array(doc[of]), pa.array(tag[of]), pa.array(got[1].astype(np.int32)), pa.array(got[2].astype(np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], ["id", "tag", "start", "end", "part", "blob"])
+
+
+def _sent(part: np.ndarray, doc, tag, place, strings: list[bytes]) -> pa.RecordBatch:
+    """Strings as rows of ROWS, packed for each part."""
+    order = np.argsort(part, kind="stable")
+    cut = np.flatnonzero(np.concatenate([[True], part[order][1:] != part[order][:-1]]))
+    blobs = [_packed(doc[o], tag[o], place[o], [strings[i] for i in o.tolist()]) for o in np.split(order, cut[1:])]
+    n = len(cut)
+    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), *[pa.nulls(n, pa.int32())] * 3, pa.array(part[order][cut]), pa.array(blobs, pa.binary())], ["id", "tag", "start", "end", "part", "blob"])
+
+
 def repeated_ranges(df: DataFrame, id_col: str, text_col: str, window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """(id, start, end): ranges of words that windows repeat from documents with smaller ids."""
+    """(id, tag, start, end): ranges of words that windows repeat from documents with smaller ids; tag is the crc32 of the text that holds the range."""
     total = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     parts = max(16, -(-total // BUCKET))
+    spread = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SHUFFLED))
 
     def send(batches):
+        known = Known()
         for batch in batches:
             for piece in slices(batch, "text", HELD):
-                docs, texts = [], []
+                held, size = [], 0
                 for d, t in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
-                    ws = words(t)
-                    if d is not None and len(ws) >= window:
-                        docs.append(d)
-                        texts.append(b" ".join(ws))
-                if not texts:
-                    continue
-                text = Text(b"\n".join(texts))
-                data = text.data
-                first, last, value = super_kmers(text, window, seed)
-                a, b, doc = text.starts[first], text.ends[last - 1], np.array(docs, np.int64)[text.line[first]]
-                place = first - np.searchsorted(text.line, text.line[first])
-                h = text.hashes(a, b)
-                order = np.lexsort((doc, h))
-                new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
-                lead = order[np.flatnonzero(new)[np.cumsum(new) - 1]]  # of each, the equal one with the smallest document
-                again = np.flatnonzero(doc[lead] < doc[order])
-                x, y = order[again], lead[again]
-                equal = np.array([data[i:j] == data[k:m] for i, j, k, m in zip(a[x].tolist(), b[x].tolist(), a[y].tolist(), b[y].tolist(), strict=True)], bool)
-                known = x[equal] if len(x) else x
-                left = np.ones(len(first), bool)
-                left[known] = False
-                part = (value % np.uint64(parts)).astype(np.int64)
-                go = np.flatnonzero(left)
-                go = go[np.argsort(part[go], kind="stable")]
-                cut = np.flatnonzero(np.concatenate([[True], part[go][1:] != part[go][:-1]]))
-                strings = [data[i:j] for i, j in zip(a[go].tolist(), b[go].tolist(), strict=True)]
-                blobs = [_packed(doc[go[i:j]], place[go[i:j]], strings[i:j]) for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(go)], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(part[go[cut]]), pa.array(blobs, pa.binary())], ["part", "blob"])
-                if len(known):  # what is known already goes through a bucket as it is
-                    got = _joined(doc[known], place[known], place[known] + last[known] - first[known])
-                    yield pa.RecordBatch.from_arrays([pa.array([int(got[0][0]) % parts], pa.int64()), pa.array([b"\0" + np.stack(got).tobytes()], pa.binary())], ["part", "blob"])
-
-    def meet(batches):
-        def out(held):
-            if not held:
-                return
-            docs, places, texts = zip(*map(_unpacked, held), strict=True)
-            doc, place = np.concatenate(docs), np.concatenate(places).astype(np.int64)
+                    if d is None:
+                        continue
+                    tag = zlib.crc32((t or "").encode())
+                    for at, line in stretches(t, window):
+                        held.append((d, tag, at, line))
+                        size += len(line)
+                        if size > HELD:
+                            yield from out(held, known)
+                            held, size = [], 0
+                if held:
+                    yield from out(held, known)
+
+    def out(held, known):
+        docs, tags, places, lines = zip(*held, strict=True)
+        text = Text(b"\n".join(lines))
+        first, last, value = super_kmers(text, window, seed)
+        if not len(first):
+            return
+        a, b, line = text.starts[first], text.ends[last - 1], text.line[first]
+        doc, tag = np.array(docs, np.int64)[line], np.array(tags, np.uint32).view(np.int32)[line]
+        place = first - np.searchsorted(text.line, line) + np.array(places, np.int64)[line]
+        again = known.repeated(text.data, doc, a, b, text.hashes(a, b))
+        go = np.flatnonzero(~again)
+        if len(go):
+            yield _sent((value[go] % np.uint64(parts)).astype(np.int64), doc[go], tag[go], place[go], [text.data[i:j] for i, j in zip(a[go].tolist(), b[go].tolist(), strict=True)])
+        if len(x := np.flatnonzero(again)):
+            yield _ranges(doc[x], tag[x], place[x], place[x] + last[x] - first[x])
+
+    def meet(batches, deal: bool):
+        """Ranges from whole buckets; a bucket of more than HEAVY bytes is dealt again by its windows, if ``deal``."""
+
+        def found(held):
+            docs, tags, places, texts = zip(*held, strict=True)
+            doc, tag, place = np.concatenate(docs), np.concatenate(tags), np.concatenate(places).astype(np.int64)
             line, j = repeats(doc, list(texts), window)
-            if not len(line):
-                return
-            first = np.flatnonzero(np.concatenate([[True], (line[1:] != line[:-1]) | (j[1:] > j[:-1] + window)]))
-            last = np.concatenate([first[1:], [len(j)]]) - 1
-            at = place[line[first]]
-            got = _joined(doc[line[first]], at + j[first], at + j[last] + window)
-            yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1].astype(np.int32)), pa.array(got[2].astype(np.int32))], ["id", "start", "end"])
-
-        held: list[bytes] = []
-        now = None
+            if len(line):
+                first = np.flatnonzero(np.concatenate([[True], (line[1:] != line[:-1]) | (j[1:] > j[:-1] + window)]))
+                last = np.concatenate([first[1:], [len(j)]]) - 1
+                at, of = place[line[first]], line[first]
+                yield _ranges(doc[of], tag[of], at + j[first], at + j[last] + window)
+
+        def dealt(held):
+            docs, tags, places, texts = zip(*held, strict=True)
+            doc, tag, place = np.concatenate(docs), np.concatenate(tags), np.concatenate(places).astype(np.int64)
+            text = Text(b"\n".join(texts))
+            n = len(text.starts) - window + 1
+            at = np.flatnonzero(text.line[:n] == text.line[window - 1 :])
+            line = text.line[at]
+            a, b, place = text.starts[at], text.ends[at + window - 1], place[line] + at - np.searchsorted(text.line, line)
+            h = text.hashes(a, b)
+            again = Known(0).repeated(text.data, doc[line], a, b, h)
+            go, x = np.flatnonzero(~again), np.flatnonzero(again)
+            for i in range(0, len(go), 200_000):
+                g = go[i : i + 200_000]
+                yield _sent((h[g] >> np.uint64(1)).astype(np.int64) % (parts * 16), doc[line[g]], tag[line[g]], place[g], [text.data[i:j] for i, j in zip(a[g].tolist(), b[g].tolist(), strict=True)])
+            if len(x):
+                yield _ranges(doc[line[x]], tag[line[x]], place[x], place[x] + window)
+
+        held, size, heavy, now = [], 0, False, None
         for batch in batches:
             for part, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                blob = blob.as_py()
                 if part != now:
-                    yield from out(held)
-                    held, now = [], part
-                if blob[:1] == b"\0":
-                    x = np.frombuffer(blob, np.int64, offset=1).reshape(3, -1)
-                    yield pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1].astype(np.int32)), pa.array(x[2].astype(np.int32))], ["id", "start", "end"])
-                else:
-                    held.append(blob)
-        yield from out(held)
-
-    sent = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(send, "part bigint, blob binary")
-    return sent.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "id bigint, start int, end int")
+                    if held:
+                        yield from (dealt if heavy else found)(held)
+                    held, size, heavy, now = [], 0, False, part
+                held.append(_unpacked(blob.as_py()))
+                size += len(held[-1][3])
+                if deal and size > HEAVY:
+                    yield from dealt(held)
+                    held, size, heavy = [], 0, True
+        if held:
+            yield from (dealt if heavy else found)(held)
+
+    sent = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(send, ROWS)
+    # ranges are known already; they go through the shuffle's partitions without a bucket
+    one = written(_met(sent, spread, lambda batches: meet(batches, True)))
+    two = one.where("blob is not null")
+    ranges = one.where("blob is null").select("id", "tag", "start", "end")
+    if not two.isEmpty():
+        ranges = ranges.unionByName(written(_met(two, spread, lambda batches: meet(batches, False))).select("id", "tag", "start", "end"))
+    return ranges
+
+
+def _met(sent: DataFrame, spread: int, meet) -> DataFrame:
+    """meet(batches of part and blob, sorted by part) over all buckets; rows that are ranges pass."""
+
+    def run(batches):
+        import pyarrow.compute as pc
+
+        def blobs():
+            for batch in batches:
+                is_range = pc.is_null(batch.column(5))
+                if pc.any(is_range).as_py():
+                    ready.append(batch.filter(is_range))
+                    batch = batch.filter(pc.invert(is_range))
+                if batch.num_rows:
+                    yield batch.select(["part", "blob"])
+
+        ready: list = []
+        for out in meet(blobs()):
+            yield from ready
+            ready.clear()
+            yield out
+        yield from ready
+
+    keyed = sent.withColumn("to", F.coalesce("part", F.xxhash64("id", "start")))
+    return keyed.repartition(spread, "to").sortWithinPartitions(F.col("part").asc_nulls_first()).drop("to").mapInArrow(run, ROWS)
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """(id, n_words, n_removed, kept): kept is the words that stay, joined by one space."""
-    found = written(repeated_ranges(df, id_col, text_col, window, seed))
+    found = repeated_ranges(df, id_col, text_col, window, seed)
     # a document has no more ranges than windows
-    ranges = found.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
-    ranges = ranges.hint("shuffle_hash")
-    rows = df.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text")).join(ranges, F.col(id_col) == F.col("id"), "left").select(id_col, "text", F.col("ranges.start").alias("a"), F.col("ranges.end").alias("b"))
+    ranges = found.groupBy(F.col("id").alias("_of"), F.col("tag").cast("long").bitwiseAND(0xFFFFFFFF).alias("_tag")).agg(F.collect_list(F.struct("start", "end")).alias("_ranges")).hint("shuffle_hash")
+    rows = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    rows = rows.join(ranges, (F.col("_id") == F.col("_of")) & (F.crc32(F.coalesce("_text", F.lit("")).cast("binary")) == F.col("_tag")), "left").select("_id", "_text", F.col("_ranges.start").alias("_a"), F.col("_ranges.end").alias("_b"))
 
     def each(part):
         out: dict = {"n_words": [], "n_removed": [], "kept": []}
@@ -241,7 +370,6 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
             ws = words(t)
             gone = np.zeros(len(ws) + 1, np.int32)
             if a:
-                a, b = np.minimum(np.array([a, b]), len(ws))
                 np.add.at(gone, a, 1)
                 np.add.at(gone, b, -1)
             gone = np.cumsum(gone)[:-1] > 0
@@ -251,12 +379,26 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
             out["kept"].append(b" ".join(kept).decode())
         return out | {id_col: part.column(0)}
 
-    return mapped(rows, each, f"`{id_col}` bigint, n_words bigint, n_removed bigint, kept string")
+    return mapped(rows, each, f"`{id_col}` bigint, n_words bigint, n_removed bigint, kept string", "_text")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) of every document; odd rows go as the module says."""
     return written(dedup(documents(spark, sf_dir, "doc_id", "text")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")))
 
 
 QUERIES = {"op5_substring_dedup": op5_substring_dedup}
-SQL: dict[str, str] = {}
+SQL = {
+    "op5_substring_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, COALESCE(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+w AS (SELECT r, doc_id, unnest(range(1, len(ws) - 11)) AS i, ws FROM d WHERE len(ws) >= 13),
+g AS (SELECT r, doc_id, i, array_to_string(ws[i:i+12], ' ') AS gram FROM w),
+f AS (SELECT r, i FROM (SELECT r, doc_id, i, min(doc_id) OVER (PARTITION BY gram) AS least FROM g) WHERE least < doc_id),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 13)) AS i FROM f),
+p AS (SELECT r, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM d),
+k AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS kept FROM p ANTI JOIN gone USING (r, i) GROUP BY r),
+n AS (SELECT r, count(*) AS n_removed FROM gone GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, COALESCE(n_removed, 0)::BIGINT AS n_removed, sha256(COALESCE(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r) LEFT JOIN n USING (r)
+"""
+}
