@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 
 import numpy as np
 import pytest
@@ -64,6 +65,26 @@ def test_components_of_repeated_ids(spark, texts):
     assert [of[h] for h in hashes] == least and len(set(comp)) == 5
 
 
+def test_components_of_cut_buckets(docs, spark, texts, monkeypatch):
+    """Buckets in parts and chunks of a few nodes, all of them taken for heavy or all for light, with chains and common passages."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    passage = [word() for _ in range(60)]
+    some = [" ".join([*passage, *(word() for _ in range(r.randint(8, 30)))]) for _ in range(40)]
+    for i in range(12):
+        w = some[i].split()
+        w[i] = "other"
+        some.append(" ".join(w))
+    comp, _ = plain_components(some, 5, 80, 100)
+    df = spark.createDataFrame(list(enumerate(some)), "doc_id bigint, text string").repartition(3)
+    monkeypatch.setattr(neardup, "PART", 3)
+    monkeypatch.setattr(neardup, "CHUNK", 3)
+    for cross in (0, 1 << 40):
+        monkeypatch.setattr(neardup, "CROSS", cross)
+        got = {x["doc_id"]: x["component_id"] for x in neardup.jaccard_components(df).collect()}
+        assert [got[i] for i in range(len(some))] == comp and len(set(comp)) > 3
+
+
 def test_sketch_bounds_differences():
     r = np.random.default_rng(1)
     bands = neardup.Bands(85, 100)
@@ -117,6 +138,49 @@ def test_dedup_of_repeated_rows(odd, texts):
             assert (r["n_words"], r["n_removed"], r["kept"]) == want[r["doc_id"]]
 
 
+def test_dedup_of_hot_buckets(docs, texts, monkeypatch):
+    """Buckets that are dealt again by their windows, long texts in stretches, and strings known from earlier slices."""
+    want = plain_dedup(texts)
+    monkeypatch.setattr(substrings, "HEAVY", 2000)
+    monkeypatch.setattr(substrings, "HELD", 3000)
+    monkeypatch.setattr(substrings.stretches, "__defaults__", (500,))
+    dealt = substrings.repeated_ranges(docs, "doc_id", "text")
+    assert dealt.count() > 0
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substrings.dedup(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_stretches_hold_all_windows(texts):
+    for t in texts:
+        ws = (t or "").encode().split()
+        for size in (1, 40, 100_000):
+            seen = [(at + j, tuple(line.split()[j : j + 13])) for at, line in substrings.stretches(t, 13, size) for j in range(len(line.split()) - 12)]
+            assert seen == [(j, tuple(ws[j : j + 13])) for j in range(len(ws) - 12)]
+
+
+def test_dedup_by_another_name(docs, texts):
+    got = {r["id"]: r["kept"] for r in substrings.dedup(docs.withColumnRenamed("doc_id", "id").withColumnRenamed("text", "ranges"), "id", "ranges").collect()}
+    assert [got[i] for i in range(len(texts))] == [x[2] for x in plain_dedup(texts)]
+
+
+def test_dedup_of_repeated_ids(spark, texts):
+    """Texts of one id don't repeat each other, and each loses only its own words."""
+    a, b = texts[60], texts[0] + " " + texts[1]
+    df = spark.createDataFrame([(5, a), (5, b), (5, a + " more"), (6, "x " + a), (None, a), (2, b)], "doc_id bigint, text string")
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in substrings.dedup(df).collect())
+    n, m = len(a.split()), len(b.split())
+    assert got == sorted([(5, n, 0), (5, m, m), (5, n + 1, 0), (6, n + 1, n), (0, n, 0), (2, m, 0)])
+
+
+def test_known_strings():
+    data = b"one two|one two|three|one two"
+    a, b, h = np.array([0, 8, 16, 22]), np.array([7, 15, 21, 29]), np.array([1, 1, 2, 1], np.uint64)
+    k = substrings.Known()
+    assert k.repeated(data, np.array([4, 3, 3, 3]), a, b, h).tolist() == [True, False, False, False]
+    assert k.repeated(data, np.array([5, 5, 2, 2]), a, b, h).tolist() == [True, True, False, False]
+    assert k.least == {b"one two": 2}
+
+
 def test_buckets_and_equal_hashes(monkeypatch):
     """Windows whose hashes are all equal are still told apart by their words."""
     lines = [b"a b c d e", b"b c d e f", b"x b c d y"]

@@ -23,12 +23,15 @@ fall together there, whatever their size.  What is left are buckets of several c
 As a linked pair has r keys in common, each node may leave out the r - 1 of its keys with the largest
 buckets: the key that is first of the common ones by size stays with both.  That empties the buckets of passages that many texts
 share.  Of what is left, buckets with few pairs of different components for their size give these
-pairs; in others sketches are compared in arrays, and only pairs that pass are sent on.
+pairs; in others sketches are compared in arrays, and only pairs that pass are sent on.  Large buckets of both
+kinds are cut, so that a task holds a bounded part of one.
 
 Null texts and texts without words have empty sets that link with nothing.  Shorter texts
-than k words are one k-gram.  Repeated rows and ids give equal results; a null id is
-part of its class but never its name (a class of null ids has no name).  Columns besides
-id and text are not looked at.
+than k words are one k-gram.  Rows are told apart by their sets, so that repeated ids, also with different texts, join the classes of
+all their texts each on its own; a null id is
+part of its class but never its name (a class of null ids has no name).  Ties are none: links are symmetric.  A very
+long text is one set, in memory some 60 bytes a word.  Columns besides
+id and text are not looked at.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -45,6 +48,8 @@ from .components import components
 GROWTH = 1.5
 #: Pairs of different components a node, above which a bucket's sketches are compared before pairs are sent.
 CROSS = 16
+#: Most nodes of a bucket whose sketches are compared in one task, and of the largest label whose ids are.
+PART, CHUNK = 2048, 100_000
 #: Pairs that Python holds at once while it compares their sets.
 PAIRS = 200
 _BITS = 4096  # of a part
@@ -275,40 +280,53 @@ def verified(pairs: DataFrame, of: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def within(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of a bucket (rows: key, id, n, label, sketch) with different labels whose sketches allow a link.
+    """Pairs (a, b) of a bucket (rows: key, id, n, label, sketch, size) with different labels whose sketches allow a link.
 
-    Buckets stream over sorted partitions; sketches of one are compared in blocks of arrays.
+    A bucket of more than ``PART`` nodes is cut into parts by hash of the node, and each two parts meet in a bucket of their
+    own, so that no task holds more; sketches of one are compared in blocks of arrays.
     """
 
-    def pairs(ids, n, label, sketches):
+    def pairs(ids, n, label, part, sketches):
         least = min(map(len, sketches))
         x = np.stack([np.bitwise_xor.reduce(np.frombuffer(s, np.uint64).reshape(-1, least // 8), 0) for s in sketches])
         block = max(1, (1 << 21) // x.size)
+        one = (part == part[0]).all()
         for i in range(0, len(ids), block):
             far = np.bitwise_count(x[i : i + block, None] ^ x[None, i:]).sum(2, dtype=np.int64)
             ok = (far <= (n[i : i + block, None] + n[None, i:]) * (den - num) // (den + num)) & (label[i : i + block, None] != label[None, i:])
+            if not one:
+                ok &= part[i : i + block, None] != part[None, i:]
             a, b = np.nonzero(ok)
             a, b = a[a < b] + i, b[a < b] + i
             yield np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])])
 
     def bucket(t: pa.Table):
-        yield from pairs(t.column(1).to_numpy(), t.column(2).to_numpy(), t.column(3).to_numpy(), t.column(4).to_pylist())
+        yield from pairs(*(t.column(i).to_numpy() for i in range(1, 5)), t.column(5).to_pylist())
 
-    return _by_bucket(rows.select("key", "id", "n", "label", "sketch"), bucket)
+    parts = F.ceil(F.col("size") / PART).cast("long")
+    cut = rows.withColumn("part", F.pmod(F.xxhash64("id"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    cut = cut.withColumn("key", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")))
+    return _by_bucket(cut.select("key", "id", "n", "label", "part", "sketch"), bucket)
 
 
 def across(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of a bucket (rows: key, id, n, label) with different labels and sizes that allow a link: each node
-    outside the largest label of its bucket with all of other labels."""
+    """Pairs (a, b) of a bucket (rows: key, id, n, label, size, major) with different labels and sizes that allow a link: each node
+    outside the label ``major`` of its bucket with all of other labels.
+
+    The nodes of major, most of a bucket, are dealt to chunks of some ``CHUNK``; the others go to each.
+    """
 
     def bucket(t: pa.Table):
         ids, n, label = (t.column(i).to_numpy() for i in (1, 2, 3))
-        kinds, kind, many = np.unique(label, return_inverse=True, return_counts=True)
-        for i in np.flatnonzero(kind != many.argmax()):
-            other = (kind != kind[i]) & ((kind == many.argmax()) | (np.arange(len(ids)) > i)) & (den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i]))
+        most = t.column(4).to_numpy()[0]
+        for i in np.flatnonzero(label != most):
+            other = (label != label[i]) & ((label == most) | (np.arange(len(ids)) > i)) & (den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i]))
             yield np.stack([np.minimum(ids[other], ids[i]), np.maximum(ids[other], ids[i])])
 
-    return _by_bucket(rows.select("key", "id", "n", "label"), bucket)
+    chunks = F.ceil(F.col("size") / CHUNK).cast("long")
+    own = F.pmod(F.xxhash64("id"), chunks)
+    dealt = rows.withColumn("chunk", F.explode(F.when(F.col("label") == F.col("major"), F.array(own)).otherwise(F.sequence(F.lit(0).cast("long"), chunks - 1))))
+    return _by_bucket(dealt.withColumn("key", F.when(chunks == 1, F.col("key")).otherwise(F.xxhash64("key", "chunk"))).select("key", "id", "n", "label", "major"), bucket)
 
 
 def _by_bucket(rows: DataFrame, bucket) -> DataFrame:
@@ -355,10 +373,10 @@ def _by_bucket(rows: DataFrame, bucket) -> DataFrame:
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
-    """The rows of keys with more than one label, the key's size, and whether it has few pairs of different labels for that."""
+    """The rows of keys with more than one label, the key's size and largest label, and whether it has few pairs of different labels for its size."""
     each = rows.groupBy("key", "label").agg(F.count("*").alias("c"))
-    keys = each.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("s"), F.count("*").alias("labels")).where("labels > 1")
-    return rows.join(keys.select("key", F.col("n").alias("size"), (F.col("n") * F.col("n") - F.col("s") <= 2 * CROSS * F.col("n")).alias("light")), "key")
+    keys = each.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("s"), F.count("*").alias("labels"), F.max_by("label", "c").alias("major")).where("labels > 1")
+    return rows.join(keys.select("key", "major", F.col("n").alias("size"), (F.col("n") * F.col("n") - F.col("s") <= 2 * CROSS * F.col("n")).alias("light")), "key")
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, hash_col: str | None = None) -> DataFrame:
@@ -403,8 +421,23 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document; odd rows go as the module says."""
     return jaccard_components(documents(spark, sf_dir, "doc_id", "text"), k=4, num=85, den=100)
 
 
 QUERIES = {"op3_jaccard_join": op3_jaccard_join}
-SQL: dict[str, str] = {}
+SQL = {
+    "op3_jaccard_join": r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
+  COALESCE(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i+3], ' '))) END AS grams FROM d),
+g AS (SELECT r, unnest(grams) AS gram FROM s),
+c AS (SELECT x.r AS a, y.r AS b, count(*) AS n FROM g x JOIN g y ON x.gram = y.gram AND x.r < y.r GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN s x ON x.r = a JOIN s y ON y.r = b WHERE 100 * n >= 85 * (len(x.grams) + len(y.grams) - n)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+t(a, b) AS (SELECT r, r FROM d UNION SELECT t.a, e.b FROM t JOIN e ON e.a = t.b)
+SELECT x.doc_id, len(x.grams)::BIGINT AS n_shingles, m.least AS component_id
+FROM s x JOIN (SELECT t.a, min(y.doc_id) AS least FROM t JOIN d y ON y.r = t.b GROUP BY t.a) m ON m.a = x.r
+"""
+}
