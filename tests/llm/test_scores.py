@@ -100,9 +100,9 @@ def test_lookup_of_blocks(spark):
         assert np.array_equal(k, np.sort(np.frombuffer(body, np.uint64)))
         yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(blocks.Values(k, v).of(k))], ["key", "value"])
 
-    got = {int(np.int64(x["key"]).astype(np.uint64)): x["value"] for x in blocks.answered(table, lambda b: np.sort(np.frombuffer(b, np.uint64)), model, use, "key bigint, value float").collect()}
+    got = {int(np.int64(x["key"]).astype(np.uint64)): x["value"] for x in blocks.answered(blocks.Blocks(table, 5), lambda b: np.sort(np.frombuffer(b, np.uint64)), model, use, "key bigint, value float").collect()}
     assert set(got) == set(keys.tolist()) and all(got[k] == pytest.approx(known.get(k, 0.0)) for k in got)
-    assert blocks.answered(table, lambda b: np.sort(np.frombuffer(b, np.uint64)), model.limit(0), use, "key bigint, value float").where("value != 0").isEmpty()
+    assert blocks.answered(blocks.Blocks(table, 5), lambda b: np.sort(np.frombuffer(b, np.uint64)), model.limit(0), use, "key bigint, value float").where("value != 0").isEmpty()
 
 
 def test_counter_overflow(texts):

@@ -1,32 +1,33 @@
 """Texts in blocks, and tables of 64-bit keys that are looked up for each block without passing through the driver.
 
-A block is some ``BLOCK`` bytes of text, stored as one compressed row.  What a block asks
-for is a sorted array of its distinct keys.  A table (key, value) of any size is dealt to ranges of keys; each
+A block is some ``BLOCK`` bytes of text, stored as one compressed row of a table that is bucketed by block, so that it is never shuffled.
+What a block asks for is a sorted array of its distinct keys.  A table (key, value) of any size is dealt to ranges of keys; each
 block sends every range its part of the keys, the range answers with values in the
-same order, and the answers meet the block again.  So distinct keys are shuffled, not uses of
-them, a task holds one range or one block at a time, and nothing is broadcast or collected.
+same order, and the answers are shuffled to the block.  So distinct keys are shuffled, not texts and not uses of
+keys, a task holds one range or one block at a time, and nothing is broadcast or collected.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import held, shared_folder, slices, table_name
 
-#: Bytes of text a block; a longer text is a block of its own.
-BLOCK = 32 << 20
+#: Bytes of text a block; a longer text is a block of its own.  Bytes of text a bucket of blocks.
+BLOCK, BUCKET = 16 << 20, 64 << 20
 #: Entries of a table in a range of keys, and fewest ranges.
 RANGE, RANGES = 1 << 20, 16
 
 
 def body_of(batches: list[pa.RecordBatch]) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
         for b in batches:
             out.write_batch(b)
     return sink.getvalue().to_pybytes()
@@ -36,24 +37,38 @@ def batches_of(body: bytes) -> pa.RecordBatchReader:
     return pa.ipc.open_stream(body)
 
 
-def stored(df: DataFrame, text_col: str, size: int = BLOCK) -> DataFrame:
-    """(block, body): the rows of df in blocks, written; a body's batches hold some 1 MB of text each."""
+def stored(df: DataFrame, text_col: str, size: int = BLOCK) -> Blocks:
+    """(block, body): the rows of df in blocks, as a table bucketed by block; a body's batches hold some 1 MB of text each."""
+    spark = df.sparkSession
 
     def run(batches):
         from pyspark import TaskContext
 
-        first, n, held, length = TaskContext.get().partitionId() << 32, 0, [], 0
+        first, n, have, length = TaskContext.get().partitionId() << 32, 0, [], 0
         for batch in batches:
             for piece in slices(batch, text_col, 1 << 20):
-                if held and length + piece.nbytes > size:
-                    yield pa.RecordBatch.from_arrays([pa.array([first + n]), pa.array([body_of(held)], pa.binary())], ["block", "body"])
-                    n, held, length = n + 1, [], 0
-                held.append(piece)
+                if have and length + piece.nbytes > size:
+                    yield pa.RecordBatch.from_arrays([pa.array([first + n]), pa.array([body_of(have)], pa.binary())], ["block", "body"])
+                    n, have, length = n + 1, [], 0
+                have.append(piece)
                 length += piece.nbytes
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array([first + n]), pa.array([body_of(held)], pa.binary())], ["block", "body"])
+        if have:
+            yield pa.RecordBatch.from_arrays([pa.array([first + n]), pa.array([body_of(have)], pa.binary())], ["block", "body"])
 
-    return written(df.mapInArrow(run, "block bigint, body binary"))
+    total = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
+    path = shared_folder(spark)
+    with held(spark):
+        rows = df.mapInArrow(run, "block bigint, body binary")
+        rows.write.bucketBy(buckets, "block").option("path", path).option("compression", "none").saveAsTable(table_name(path))
+    return Blocks(spark.table(table_name(path)), buckets)
+
+
+class Blocks(NamedTuple):
+    """A table (block, body) and the number of its buckets."""
+
+    table: DataFrame
+    buckets: int
 
 
 def _planes(keys: np.ndarray) -> bytes:
@@ -65,8 +80,9 @@ def _keys(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64)[:, 0], dtype=np.uint64)
 
 
-def answered(table: DataFrame, keys_of: Callable[[bytes], np.ndarray], model: DataFrame, use: Callable[[bytes, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """use(body, keys, values) of each block of table (block, body): keys_of(body) are its sorted distinct keys, values those of model (key bigint, value float), 0 without an entry."""
+def answered(of: Blocks, keys_of: Callable[[bytes], np.ndarray], model: DataFrame, use: Callable[[bytes, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """use(body, keys, values) of each block: keys_of(body) are its sorted distinct keys, values those of model (key bigint, value float), 0 without an entry."""
+    table, buckets = of
     ranges = max(RANGES, -(-model.count() // RANGE))
     bounds = np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64)
 
@@ -111,26 +127,20 @@ def answered(table: DataFrame, keys_of: Callable[[bytes], np.ndarray], model: Da
                 yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([r], pa.int32()), pa.array([found.tobytes()], pa.binary())], ["block", "range", "data"])
 
     def meet(batches):
-        now, held = None, []
         for batch in batches:
-            for block, r, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                data = data.as_py()
-                if block != now:
-                    now, held = block, []
-                if r < ranges:
-                    held.append(np.frombuffer(data, np.float32))
-                else:  # the block's body stands last
-                    keys = keys_of(data)
-                    values = np.concatenate([*held, np.zeros(0, np.float32)])
-                    if len(values) != len(keys):
-                        raise RuntimeError(f"block {block} asked for {len(keys)} keys and got {len(values)}")
-                    yield from use(data, keys, values)
+            for block, data, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                body = data.as_py()
+                keys = keys_of(body)
+                values = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(x["data"], np.float32) for x in sorted(found or [], key=lambda x: x["range"]))])
+                if len(values) != len(keys):
+                    raise RuntimeError(f"block {block} asked for {len(keys)} keys and got {len(values)}")
+                yield from use(body, keys, values)
 
     asked = table.mapInArrow(ask, "range int, block bigint, data binary").unionByName(model.select("key", "value").mapInArrow(deal, "range int, block bigint, data binary"))
     answers = asked.repartition("range").sortWithinPartitions("range", "block").mapInArrow(answer, "block bigint, range int, data binary")
-    both = answers.unionByName(table.select("block", F.lit(ranges).alias("range"), F.col("body").alias("data")))
-    parts = max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-table.count() // 4))
-    return both.repartition(parts, "block").sortWithinPartitions("block", "range").mapInArrow(meet, schema)
+    # as many partitions as the table has buckets, so that only the answers move; a block has no more of them than there are ranges
+    answers = answers.repartition(buckets, "block").groupBy("block").agg(F.collect_list(F.struct("range", "data")).alias("answers"))
+    return table.hint("merge").join(answers, "block", "left").select("block", "body", "answers").mapInArrow(meet, schema)
 
 
 class Values:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import batches_of
+from .blocks import Blocks, batches_of
 from .common import few, mapped, mix, only, written
 
 ORDER = 5
@@ -71,16 +71,19 @@ def gram_keys(grams: list[str], salts: np.ndarray, order: int) -> np.ndarray:
     return mix(key)
 
 
-def distinct(parts) -> np.ndarray:
-    """Sorted distinct keys of many arrays, joined a few at a time."""
-    held, n = [np.zeros(0, np.uint64)], 0
+def distinct(parts, bits: int = 20) -> np.ndarray:
+    """Sorted distinct keys of many arrays; most repeats are told by a table of keys met last, the rest by sorting."""
+    met = np.zeros(1 << bits, np.uint64)
+    have, n = [np.zeros(0, np.uint64)], 0
     for part in parts:
-        held.append(np.unique(part))
-        n += len(held[-1])
+        slot = (part >> np.uint64(64 - bits)).astype(np.int64)
+        new = np.flatnonzero((met[slot] != part) | (part == 0))
+        met[slot[new]] = part[new]
+        have.append(np.unique(part[new]))
+        n += len(have[-1])
         if n > 4_000_000:
-            held = [np.unique(np.concatenate(held))]
-            n = 0
-    return np.unique(np.concatenate(held))
+            have, n = [np.unique(np.concatenate(have))], 0
+    return np.unique(np.concatenate(have))
 
 
 def texts_of(grams: np.ndarray) -> list[str]:
@@ -147,7 +150,7 @@ class Counter:
         return bool(self.more) and len(self.more[0][0]) > 400_000
 
 
-def count_grams(table: DataFrame, order: int = ORDER) -> DataFrame:
+def count_grams(of: Blocks, order: int = ORDER) -> DataFrame:
     """(grp, gram, c) over blocks whose first two columns are a text and its group; a null group is a group, null texts count as empty."""
 
     def run(batches):
@@ -166,7 +169,7 @@ def count_grams(table: DataFrame, order: int = ORDER) -> DataFrame:
                         counter = Counter(order)
         yield from out(counter)
 
-    return table.select("block", "body").mapInArrow(run, "grp string, gram string, c bigint").groupBy("grp", "gram").agg(F.sum("c").alias("c"))
+    return of.table.select("block", "body").mapInArrow(run, "grp string, gram string, c bigint").groupBy("grp", "gram").agg(F.sum("c").alias("c"))
 
 
 def discounts(counts: DataFrame) -> DataFrame:

@@ -8,12 +8,14 @@ import gc
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space between words, as ``bytes.split()`` takes it.
 SPACE = b" \t\n\v\f\r"
@@ -57,31 +59,45 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
+def table_name(path: str) -> str:
+    """The name of a table that is stored in a shared folder."""
+    return path.rsplit("/", 1)[1].replace("-", "_")
+
+
 def _clean() -> None:
     for spark, path in _made:
         try:
             jvm = spark.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            spark.sql(f"drop table if exists {table_name(path)}")
         except Exception:  # noqa: BLE001  the session is gone; the folder's owner cleans it
             continue
 
 
+@contextmanager
+def held(spark: SparkSession, rows: int | None = None):
+    """Settings while a table is written: bytes, and rows where they are large, of a batch that Python gets."""
+    conf = spark.conf
+    new = {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH)} | ({"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)} if rows else {})
+    before = {k: conf.get(k, None) for k in new}
+    try:
+        for k, v in new.items():
+            conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
+
+
 def written(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there, and lost executors take nothing with them.
 
     rows: of a batch that Python gets while it is written, where rows are large.
     """
-    path, conf = shared_folder(df.sparkSession), df.sparkSession.conf
-    held = {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH)} | ({"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)} if rows else {})
-    before = {k: conf.get(k, None) for k in held}
-    try:
-        for k, v in held.items():
-            conf.set(k, v)
+    path = shared_folder(df.sparkSession)
+    with held(df.sparkSession, rows):
         df.write.parquet(path)
-    finally:
-        for k, v in before.items():
-            conf.unset(k) if v is None else conf.set(k, v)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -106,18 +122,28 @@ def slices(batch: pa.RecordBatch, column: str = "text", size: int = 4 << 20) ->
             yield batch.slice(a, b - a)
 
 
-def mapped(df: DataFrame, each, schema: str, column: str = "text", size: int = 4 << 20) -> DataFrame:
+def fields(df: DataFrame, keep: tuple[str, ...], more: str) -> T.StructType:
+    """Columns ``keep`` of df with their types, whatever their names, then those of the DDL ``more``."""
+    return T.StructType([*[T.StructField(k, df.schema[k].dataType) for k in keep], *T.StructType.fromDDL(more)])
+
+
+def named(column: str) -> Column:
+    """A column by its bare name, dots and backquotes included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def mapped(df: DataFrame, each, schema: str | T.StructType, column: str = "text", size: int = 4 << 20) -> DataFrame:
     """each(slice of a batch of about ``size`` bytes of text) -> dict of columns, for all batches."""
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(schema)
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, column, size):
                 out = each(part)
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+                yield pa.RecordBatch.from_arrays([x if isinstance(x := out[f.name], pa.Array) and x.type == f.type else pa.array(x, f.type) if not isinstance(x, pa.Array) else x.cast(f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
 

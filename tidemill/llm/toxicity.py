@@ -187,7 +187,7 @@ def figures(df: DataFrame, rows: DataFrame, keep: tuple[str, ...] = ("doc_id",),
             out = [document_figures(value, of[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*[c.cast(f.type) for c, f in zip(part.columns[1:], arrow, strict=False)], *[pa.array(c, pa.float64()) for c in zip(*out, strict=True)]], schema=arrow)
 
-    words = table.mapInArrow(distinct, "word string").distinct()
+    words = table.table.mapInArrow(distinct, "word string").distinct()
     return blocks.answered(table, keys_of, word_ratios(words, rows, order), use, schema)
 
 
