@@ -14,8 +14,11 @@ language with the largest corrected share wins; ties go to the first by code poi
 The score is its part of all corrected shares.
 
 A null text, or one without a letter, is ``und`` with score 0, as is everything if
-there is no labelled text.  Rows with a null language are never learned from.
-Repeated rows are predicted each.
+there is no labelled text.  A text none of whose n-grams any language has ties at share 0: the first
+language, with score 0.  Rows with a null language are never learned from.
+Repeated rows, also of repeated or null ids, are predicted each; an id stands for all its rows in the sample.
+A very long text is taken whole, in memory some 60 bytes a character.  Columns besides text and those kept are not looked at.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,9 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, fold, mapped, mix, slices
+from .common import documents, fields, fold, mapped, mix, named, slices
 
 SHARE, SAMPLE, HASHES, BITS = 2e-5, 4000, 3, 20
+#: Fewest uses of an n-gram of a language's filter, whatever its share; 1 leaves the choice to SHARE.
+FLOOR = 1.0
 _SALTS = 64  # parts of a language's sample, ranked apart
 _POWERS = np.array([pow(0xD1342543DE82EF95, i, 1 << 64) for i in range(4)], np.uint64)
 _lower: list[np.ndarray] = []
@@ -119,14 +124,13 @@ def fit(texts: DataFrame, text_col: str, lang_col: str, share: float = SHARE) ->
     uses = {r["lang"]: r["n"] for r in c.groupBy("lang").agg(F.sum("c").alias("n")).collect()}  # a row per language
     if not uses:
         return Filters({})
-    least = F.create_map(*[x for g, n in uses.items() for x in (F.lit(g), F.lit(max(1.0, share * n)))])
+    least = F.create_map(*[x for g, n in uses.items() for x in (F.lit(g), F.lit(max(FLOOR, share * n)))])
     kept = c.where(F.col("c") >= least[F.col("lang")]).select("lang", "key").toArrow().to_pandas()
     return Filters({g: x["key"].to_numpy().view(np.uint64) for g, x in kept.groupby("lang")})
 
 
 def predict(df: DataFrame, filters: Filters, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep``, lang_pred and score."""
-    kept = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep)
     sent = df.sparkSession.sparkContext.broadcast(filters)  # 1 MB for each eight languages
 
     def each(part):
@@ -140,10 +144,11 @@ def predict(df: DataFrame, filters: Filters, text_col: str = "text", keep: tuple
             out["score"] = np.where(total > 0, share.max(1) / np.maximum(share.sum(1), 1e-12), 0.0)
         return {k: part.column(i) for i, k in enumerate(keep, 1)} | out
 
-    return mapped(df.select(F.col(text_col).alias("_text"), *keep), each, f"{kept}, lang_pred string, score double", "_text", 1 << 20)
+    return mapped(df.select(named(text_col).alias("_text"), *map(named, keep)), each, fields(df, keep, "lang_pred string, score double"), "_text", 1 << 20)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) of every document; odd rows go as the module says."""
     held_out = fold(F.col("doc_id"), 3) == 1
     docs = documents(spark, sf_dir, "doc_id", "text", "lang")
     learn = docs.where(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull())

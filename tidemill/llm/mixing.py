@@ -2,7 +2,8 @@
 
 Each source has a target in words; a source of size S and target T asks for
 T / S copies of its documents on average, times a document's importance over its
-source's mean.  The whole part of that number is taken for certain.  What is left
+source's mean.  Where that passes the most copies a document may have, the document is taken as often as that for
+certain, and what it can't take is shared out among the others by importance, until none is above.  The whole part of each number is taken for certain.  What is left
 is an inclusion probability; the documents of a source are ranked by
 
     (u / (1 - u)) / (p / (1 - p)),
@@ -14,12 +15,13 @@ u is read from the md5 of seed and id, so reruns agree whatever the partitioning
 
 No source is gathered in one task: the place of the edge is found in two
 histograms of the rank (one row per source and bin), and only the rows of the last bin,
-about one in 16 million of a source, are sorted.  The tables that are
-broadcast have a row for each source.
+about one in 16 million of a source, are sorted, those of one id as one row.  The tables that are
+broadcast have a row for each source; their targets are found in one task.
 
 Null texts have size 0, sources may be null (the last source), ids may repeat
-(rows of one id are taken or left alike) or be null (they count as one id).  Sources
-without words get target 0.  An empty table gives an empty mix.
+(rows of one id and importance are taken or left alike) or be null (they count as one id).  A null or negative
+importance is 0: such rows are not taken.  Sources without words, or of importance 0, get no documents.  A null size is 0.
+Columns of the caller's may have any names; its own source_size, target and copies are replaced.  An empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import documents, named, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Most sources whose table is broadcast; beyond, it is joined by shuffles that split hot sources.
@@ -38,10 +40,10 @@ def size_of(text: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _with_sources(df: DataFrame, sources: DataFrame, n: int, source_col: str, *columns: str) -> DataFrame:
+def _with_sources(df: DataFrame, sources: DataFrame, n: int, *columns: str) -> DataFrame:
     """df with columns of its source's row, null sources included."""
-    other = sources.select(F.col("_source").alias("_of"), *columns)
-    return df.join(F.broadcast(other) if n <= BROADCAST else other, df[source_col].eqNullSafe(other["_of"])).drop("_of")
+    other = sources.select(F.col("source").alias("_of"), *columns)
+    return df.join(F.broadcast(other) if n <= BROADCAST else other, df["source"].eqNullSafe(other["_of"])).drop("_of")
 
 
 def targets(sizes: DataFrame, source_col: str, size_col: str, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
@@ -63,60 +65,84 @@ def targets(sizes: DataFrame, source_col: str, size_col: str, weights: tuple[int
     return s.withColumn("_at", level).select("_source", "_size", F.least("_bound", F.coalesce(F.col("_at") * F.col("_w"), F.col("_bound"))).alias("_target"))
 
 
+def _levels(rows: DataFrame, goal: DataFrame, most: int) -> DataFrame:
+    """goal with level: a row of importance i asks for least(most, level * i) copies, and a source's rows for its target's words.
+
+    Each round holds the rows at ``most`` and raises the level of the others, until no source changes.
+    """
+    sums = rows.groupBy(F.col("source").alias("_x")).agg(F.sum(F.col("i") * F.col("size")).alias("_all"))
+    goal = written(goal.join(sums, F.col("source").eqNullSafe(F.col("_x"))).select("source", "size", "target", F.coalesce(F.try_divide(F.col("target"), F.col("_all")), F.lit(0.0)).alias("level")))
+    n = goal.count()
+    while True:
+        x = _with_sources(rows.select("source", F.col("size").alias("n"), "i"), goal, n, "level")
+        over = F.col("level") * F.col("i") > most
+        again = x.groupBy(F.col("source").alias("_x")).agg(F.sum(F.when(over, F.col("n")).otherwise(0)).alias("_held"), F.sum(F.when(over, 0.0).otherwise(F.col("i") * F.col("n"))).alias("_free"))
+        level = F.when((F.col("_held") > 0) & (F.col("_free") > 0), F.greatest(F.col("level"), (F.col("target") - most * F.col("_held")) / F.col("_free"))).otherwise(F.col("level"))
+        new = written(goal.join(again, F.col("source").eqNullSafe(F.col("_x"))).select("source", "size", "target", level.alias("level"), (level > F.col("level") * (1 + 1e-9)).alias("_up")))
+        goal = new.drop("_up")
+        if new.where("_up").isEmpty():
+            return goal
+
+
 def pareto_mix(df: DataFrame, id_col: str, source_col: str, size_col: str, weights: tuple[int, ...], share: float, most: int, seed: str = "", importance: Column | None = None) -> DataFrame:
     """df with source_size, target and copies: how many times the mix takes each row."""
-    rows = df.withColumn("_i", F.lit(1.0) if importance is None else importance.cast("double"))
-    goal = written(targets(rows, source_col, size_col, weights, share, most))
+    own = [c for c in df.columns if c not in ("source_size", "target", "copies")]
+    i = F.lit(1.0) if importance is None else F.greatest(F.lit(0.0), F.coalesce(importance.cast("double"), F.lit(0.0)))
+    rows = df.select(F.struct(*[named(c) for c in own]).alias("row"), named(id_col).alias("id"), named(source_col).alias("source"), F.coalesce(named(size_col), F.lit(0)).cast("long").alias("size"), i.alias("i"))
+    goal = written(targets(rows, "source", "size", weights, share, most).select(F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_target").alias("target")))
     n = goal.count()
-    mean = rows.groupBy(F.col(source_col).alias("_s")).agg(F.try_divide(F.sum(F.col("_i") * F.col(size_col)), F.sum(size_col)).alias("_mean"))
-    goal = goal.join(mean, goal["_source"].eqNullSafe(mean["_s"])).drop("_s")
-    u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string")).cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    rows = _with_sources(rows, goal, n, source_col, "_size", "_target", "_mean")
-    asked = F.least(F.lit(float(most)), F.coalesce(F.try_divide(F.col("_target"), F.col("_size")) * F.coalesce(F.try_divide(F.col("_i"), F.col("_mean")), F.lit(1.0)), F.lit(0.0)))
-    rows = rows.withColumn("_asked", asked).withColumn("_whole", F.floor("_asked")).withColumn("_p", F.col("_asked") - F.col("_whole")).withColumn("_u", u)
-    odds = (F.col("_u") / (1 - F.col("_u"))) / (F.col("_p") / (1 - F.col("_p")))
-    rows = written(rows.withColumn("_q", F.when(F.col("_p") > 0, odds)).withColumn("_b", F.floor(F.col("_q") / (1 + F.col("_q")) * float(1 << 24))).drop("_i", "_asked", "_p", "_u", "_mean"))
+    if importance is None:
+        goal = goal.withColumn("level", F.coalesce(F.try_divide(F.col("target"), F.col("size").cast("double")), F.lit(0.0)))
+    else:
+        goal = _levels(rows, goal, most)
+    u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("id").cast("string")).cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+    rows = _with_sources(rows, goal.withColumnRenamed("size", "source_size"), n, "source_size", "target", "level")
+    asked = F.least(F.lit(float(most)), F.col("level") * F.col("i"))
+    rows = rows.withColumn("asked", asked).withColumn("whole", F.floor("asked")).withColumn("p", F.col("asked") - F.col("whole")).withColumn("u", u)
+    odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
+    rows = written(rows.withColumn("q", F.when(F.col("p") > 0, odds)).withColumn("b", F.floor(F.col("q") / (1 + F.col("q")) * float(1 << 24))).drop("i", "asked", "p", "u", "level"))
     # words that are still to be taken of each source
-    rest = rows.groupBy(F.col(source_col).alias("_source")).agg((F.first("_target") - F.sum(F.col("_whole") * F.col(size_col))).alias("_rest"))
-    ranked = rows.where("_q is not null").select(F.col(source_col).alias("_source"), F.col(id_col).alias("_id"), F.col(size_col).alias("_n"), "_q", "_b")
+    rest = rows.groupBy("source").agg((F.first("target") - F.sum(F.col("whole") * F.col("size"))).alias("rest"))
+    ranked = rows.where("q is not null").select("source", "id", F.col("size").alias("n"), "q", "b")
 
     def edge(of: DataFrame, known: DataFrame, bin_: Column) -> DataFrame:
-        """The bin of each source in which the words reach _rest, and the words before it."""
-        bins = of.groupBy("_source", bin_.alias("_bin")).agg(F.sum("_n").alias("_n"))
-        bins = bins.withColumnRenamed("_source", "_x").join(known, F.col("_x").eqNullSafe(F.col("_source"))).drop("_x")
-        after = F.col("_before") + F.sum("_n").over(Window.partitionBy("_source").orderBy("_bin"))
-        return bins.withColumn("_after", after).where("_after >= _rest and _after - _n < _rest").select("_source", "_rest", "_bin", (F.col("_after") - F.col("_n")).alias("_before"))
+        """The bin of each source in which the words reach rest, and the words before it."""
+        bins = of.groupBy("source", bin_.alias("bin")).agg(F.sum("n").alias("n"))
+        bins = bins.withColumnRenamed("source", "_x").join(known, F.col("_x").eqNullSafe(F.col("source"))).drop("_x")
+        after = F.col("before") + F.sum("n").over(Window.partitionBy("source").orderBy("bin"))
+        return bins.withColumn("after", after).where("after >= rest and after - n < rest").select("source", "rest", "bin", (F.col("after") - F.col("n")).alias("before"))
 
     def inside(edges: DataFrame, bin_: Column) -> DataFrame:
-        e = edges.select(F.col("_source").alias("_x"), F.col("_bin").alias("_y"))
-        return ranked.join(F.broadcast(e) if n <= BROADCAST else e, ranked["_source"].eqNullSafe(F.col("_x")) & (bin_ == F.col("_y")), "left_semi")
-
-    coarse = F.shiftright(F.col("_b"), 12)
-    one = written(edge(ranked, rest.withColumn("_before", F.lit(0)), coarse))
-    two = written(edge(inside(one, coarse), one.select("_source", "_rest", "_before"), F.col("_b")))
-    last = inside(two, F.col("_b")).withColumnRenamed("_source", "_x").join(two, F.col("_x").eqNullSafe(F.col("_source"))).drop("_x")
-    sums = F.col("_before") + F.sum("_n").over(Window.partitionBy("_source").orderBy("_q", "_id"))
-    stop = last.withColumn("_sum", sums).where("2 * _sum - _n <= 2 * _rest").groupBy("_source").agg(F.max(F.struct("_q", "_id")).alias("_stop"))
+        e = edges.select(F.col("source").alias("_x"), F.col("bin").alias("_y"))
+        return ranked.join(F.broadcast(e) if n <= BROADCAST else e, ranked["source"].eqNullSafe(F.col("_x")) & (bin_ == F.col("_y")), "left_semi")
+
+    coarse = F.shiftright(F.col("b"), 12)
+    one = written(edge(ranked, rest.withColumn("before", F.lit(0)), coarse))
+    two = written(edge(inside(one, coarse), one.select("source", "rest", "before"), F.col("b")))
+    last = inside(two, F.col("b")).groupBy(F.col("source").alias("_x"), "q", "id").agg(F.sum("n").alias("n")).join(two, F.col("_x").eqNullSafe(F.col("source"))).drop("_x")
+    sums = F.col("before") + F.sum("n").over(Window.partitionBy("source").orderBy("q", "id"))
+    stop = last.withColumn("sum", sums).where("2 * sum - n <= 2 * rest").groupBy("source").agg(F.max(F.struct("q", "id")).alias("stop"))
     # sources whose rows all fit have no edge
-    mark = rest.join(two.select(F.col("_source").alias("_x"), F.col("_bin").alias("_fine")), F.col("_source").eqNullSafe(F.col("_x")), "left").drop("_x")
-    mark = mark.join(stop.select(F.col("_source").alias("_x"), "_stop"), F.col("_source").eqNullSafe(F.col("_x")), "left").drop("_x")
-    mark = mark.join(one.select(F.col("_source").alias("_x"), F.col("_bin").alias("_coarse")), F.col("_source").eqNullSafe(F.col("_x")), "left").drop("_x")
-    out = _with_sources(rows, written(mark), n, source_col, "_rest", "_coarse", "_fine", "_stop")
-    place = F.struct(F.col("_q").alias("_q"), F.col(id_col).alias("_id"))
+    mark = rest
+    for table, column, name in ((two, "bin", "fine"), (stop, "stop", "stop"), (one, "bin", "coarse")):
+        mark = mark.join(table.select(F.col("source").alias("_x"), F.col(column).alias(name)), F.col("source").eqNullSafe(F.col("_x")), "left").drop("_x")
+    out = _with_sources(rows, written(mark), n, "rest", "coarse", "fine", "stop")
+    place = F.struct("q", "id")
     upto = (
-        F.when(F.col("_q").isNull() | (F.col("_rest") <= 0), False)
-        .when(F.col("_coarse").isNull(), True)
-        .when(coarse != F.col("_coarse"), coarse < F.col("_coarse"))
-        .when(F.col("_fine").isNull() | (F.col("_b") != F.col("_fine")), F.coalesce(F.col("_b") < F.col("_fine"), F.lit(False)))
-        .otherwise(F.coalesce(place <= F.col("_stop"), F.lit(False)))
+        F.when(F.col("q").isNull() | (F.col("rest") <= 0), False)
+        .when(F.col("coarse").isNull(), True)
+        .when(coarse != F.col("coarse"), coarse < F.col("coarse"))
+        .when(F.col("fine").isNull() | (F.col("b") != F.col("fine")), F.coalesce(F.col("b") < F.col("fine"), F.lit(False)))
+        .otherwise(F.coalesce(place <= F.col("stop"), F.lit(False)))
     )
-    return out.withColumn("copies", F.col("_whole") + upto.cast("long")).withColumnsRenamed({"_size": "source_size", "_target": "target"}).drop("_whole", "_q", "_b", "_rest", "_coarse", "_fine", "_stop")
+    return out.select("row.*", "source_size", "target", (F.col("whole") + upto.cast("long")).alias("copies"))
 
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) of every document; odd rows go as the module says."""
     sizes = written(documents(spark, sf_dir, "doc_id", "source", "text").select("doc_id", "source", size_of("text").alias("size")))
     mix = pareto_mix(sizes, "doc_id", "source", "size", WEIGHTS, SHARE, MOST)
     return mix.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))

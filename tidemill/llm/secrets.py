@@ -7,8 +7,9 @@ the sum of ``c * log2(c)`` over its character counts is updated by what enters
 and what leaves.  Windows at or over the class's entropy are joined to spans.
 The allow-list drops spans that are known to be harmless.
 
-Nulls and empty texts have no spans.  Repeated rows give equal results.
-Time is linear in the text; memory is that of one text.
+Nulls and empty texts have no spans, an empty table no rows.  Repeated rows, also of repeated or null ids, give equal results.
+Spans that begin together stand in the order of ``KINDS``.  Other columns are not looked at, whatever their names; ``redact`` passes them on.
+Time is linear in the text; memory is that of one text, however long.
 """
 
 from __future__ import annotations
@@ -20,12 +21,11 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, mapped
+from .common import documents, fields, mapped, named
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 
 #: Class: its characters, and the least entropy of a window in bits a character.
 CLASSES = {
@@ -44,7 +44,12 @@ ALLOW = (
     r"([0-9A-Za-z])\1+",
 )
 
-_LOG = [0.0] + [c * math.log2(c) for c in range(1, 257)]
+
+def _logs(window: int) -> list[float]:
+    return [0.0] + [c * math.log2(c) for c in range(1, window + 2)]
+
+
+_LOG = _logs(WINDOW)
 
 
 def entropy_windows(run: str, window: int, least: float) -> Iterator[tuple[int, int]]:
@@ -55,16 +60,17 @@ def entropy_windows(run: str, window: int, least: float) -> Iterator[tuple[int,
     if len(run) < window:
         return
     counts: dict[str, int] = {}
+    log = _LOG if window <= WINDOW else _logs(window)
     total, most = 0.0, window * (math.log2(window) - least) + 1e-9
     start = end = -1
     for i, ch in enumerate(run):
         c = counts.get(ch, 0)
-        total += _LOG[c + 1] - _LOG[c]
+        total += log[c + 1] - log[c]
         counts[ch] = c + 1
         if i >= window:
             old = run[i - window]
             c = counts[old]
-            total += _LOG[c - 1] - _LOG[c]
+            total += log[c - 1] - log[c]
             counts[old] = c - 1
         if i >= window - 1 and total <= most:
             if start >= 0 and i - window + 1 <= end:
@@ -79,7 +85,7 @@ def entropy_windows(run: str, window: int, least: float) -> Iterator[tuple[int,
 
 def _entropy_spans(text: str, window: int, classes: dict, allow: list[re.Pattern]) -> list[tuple[int, int]]:
     found = []
-    for m in CANDIDATE.finditer(text):
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{%d,}" % window, text):
         run = m[0]
         if any(a.fullmatch(run) for a in allow) or not (re.search("[0-9]", run) and re.search("[A-Za-z]", run)):
             continue
@@ -134,28 +140,27 @@ def redact_text(text: str | None, mark: str = "[secret]") -> str | None:
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: the id and its spans (kind, start, end, matched text)."""
-    kind = df.schema[id_col].dataType.simpleString()
 
     def each(part):
         found = [[(k, a, b, (t or "")[a:b]) for k, a, b in find_spans(t)] for t in part.column(1).to_pylist()]
         return {id_col: part.column(0), "spans": [[{"kind": k, "start": a, "end": b, "match": m} for k, a, b, m in x] for x in found]}
 
-    return mapped(df.select(id_col, text_col), each, f"`{id_col}` {kind}, spans array<struct<kind:string,start:bigint,end:bigint,match:string>>", text_col)
+    return mapped(df.select(named(id_col), named(text_col).alias("_text")), each, fields(df, (id_col,), "spans array<struct<kind:string,start:bigint,end:bigint,match:string>>"), "_text")
 
 
 def redact(df: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """All columns of df, with secrets in the text replaced by the mark; other columns are untouched."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
     def each(part):
         out = dict(zip(part.schema.names, part.columns, strict=True))
         out[text_col] = [redact_text(t, mark) for t in part.column(part.schema.get_field_index(text_col)).to_pylist()]
         return out
 
-    return mapped(df, each, schema, text_col)
+    return mapped(df, each, df.schema, text_col)
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of every document; odd rows go as the module says."""
     found = scan(documents(spark, sf_dir, "doc_id", "text"))
     parts = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")).alias("name")))
     base = F.filter("s", lambda x: x["kind"] != "entropy")
