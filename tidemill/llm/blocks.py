@@ -37,8 +37,8 @@ def batches_of(body: bytes) -> pa.RecordBatchReader:
     return pa.ipc.open_stream(body)
 
 
-def stored(df: DataFrame, text_col: str, size: int = BLOCK) -> Blocks:
-    """(block, body): the rows of df in blocks, as a table bucketed by block; a body's batches hold some 1 MB of text each."""
+def stored(df: DataFrame, text_col: str, size: int = BLOCK, make: Callable[[list[pa.RecordBatch]], bytes] = body_of) -> Blocks:
+    """(block, body): the rows of df in blocks, as a table bucketed by block; make gets a block's rows in batches of some 1 MB of text each."""
     spark = df.sparkSession
 
     def run(batches):
@@ -48,12 +48,12 @@ def stored(df: DataFrame, text_col: str, size: int = BLOCK) -> Blocks:
         for batch in batches:
             for piece in slices(batch, text_col, 1 << 20):
                 if have and length + piece.nbytes > size:
-                    yield pa.RecordBatch.from_arrays([pa.array([first + n]), pa.array([body_of(have)], pa.binary())], ["block", "body"])
+                    yield pa.RecordBatch.from_arrays([pa.array([first + n]), pa.array([make(have)], pa.binary())], ["block", "body"])
                     n, have, length = n + 1, [], 0
                 have.append(piece)
                 length += piece.nbytes
         if have:
-            yield pa.RecordBatch.from_arrays([pa.array([first + n]), pa.array([body_of(have)], pa.binary())], ["block", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array([first + n]), pa.array([make(have)], pa.binary())], ["block", "body"])
 
     total = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))

@@ -137,15 +137,15 @@ def mapped(df: DataFrame, each, schema: str | T.StructType, column: str = "text"
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    arrow = to_arrow_schema(schema)
+    arrow, names = to_arrow_schema(schema), df.columns
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, column, size):
+            for part in slices(batch.rename_columns(names), column, size):
                 out = each(part)
                 yield pa.RecordBatch.from_arrays([x if isinstance(x := out[f.name], pa.Array) and x.type == f.type else pa.array(x, f.type) if not isinstance(x, pa.Array) else x.cast(f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(run, schema)  # any names
 
 
 def only(name: str, make):

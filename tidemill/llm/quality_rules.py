@@ -20,11 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import blocks, charlm
-from .common import SPACE, WordHashes, documents, few, only, windows_hash, written
+from .common import SPACE, WordHashes, documents, few, fields, named, only, windows_hash, written
 
 #: Spreads on either side of a language's median.
 WIDTH = 8.0
@@ -71,11 +70,10 @@ def base_counts(text: str | None, hashes: WordHashes) -> tuple[int, int, int, in
 
 def scored(df: DataFrame, text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = ("doc_id",), order: int = charlm.ORDER) -> DataFrame:
     """The columns ``keep``, the base counts, and bits: bits a word under the model of the row's language."""
-    kept = [F.col(k).alias(f"k{i}") for i, k in enumerate(keep)]
-    table = blocks.stored(df.select(F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang"), *kept), "_text")
+    kept = [named(k).alias(f"k{i}") for i, k in enumerate(keep)]
+    table = blocks.stored(df.select(named(text_col).alias("_text"), named(lang_col).cast("string").alias("_lang"), *kept), "_text")
     model = charlm.model(charlm.probabilities(written(charlm.count_grams(table, order)), order), order)
-    schema = T.StructType([*[T.StructField(k, df.schema[k].dataType) for k in keep], *T.StructType.fromDDL(f"{BASE}, bits double, _lang string")])
-    arrow = to_arrow_schema(schema)
+    arrow = to_arrow_schema(schema := fields(df, keep, f"{BASE}, bits double, _lang string"))
 
     def parts(body):
         for part in blocks.batches_of(body):
@@ -122,6 +120,7 @@ def judge(figures: DataFrame, width: float = WIDTH) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, counts, base_failed, kept, bits, lang) of every document; odd rows go as the module says."""
     x = judge(scored(documents(spark, sf_dir, "doc_id", "text", "lang")))
     return x.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "bits", F.col("_lang").alias("lang"))
 

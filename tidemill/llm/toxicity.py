@@ -33,11 +33,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import blocks, charlm
-from .common import documents, few, fold, mapped, only, slices, written
+from .common import documents, few, fields, fold, mapped, named, only, slices, written
 
 ORDER, SHARED = 10, 5
 TOP, WINDOWS = (1, 2, 4), (8,)
@@ -62,6 +61,42 @@ def tokens(text: str | None) -> list[str]:
     return out
 
 
+class Numbers(dict):
+    """Runs of a text without white space -> the number of their word, -1 for those of several words; words are numbered as they come."""
+
+    def __init__(self):
+        super().__init__()
+        self.words: dict[str, int] = {}
+
+    def __missing__(self, run: str) -> int:
+        w = run.strip(_TRIM)
+        self[run] = n = -1 if len(w) > _PIECE else self.words.setdefault(w, len(self.words))
+        return n
+
+    def of(self, text: str | None) -> np.ndarray:
+        """The numbers of ``tokens(text)``."""
+        runs = (text or "").lower().split()
+        out = np.fromiter(map(self.__getitem__, runs), np.int32, len(runs))
+        if len(out) and out.min() < 0:
+            out = np.array([self.words.setdefault(w, len(self.words)) for w in tokens(text)], np.int32)
+        return out
+
+
+def _tokenised(batches: list[pa.RecordBatch]) -> bytes:
+    """A block's body: its distinct words, then its rows with numbers of words for the text (the first column)."""
+    numbers, rows = Numbers(), []
+    for b in batches:
+        of = [numbers.of(t) for t in b.column(0).to_pylist()]
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, of)]), pa.int32()), pa.array(np.concatenate([*of, np.zeros(0, np.int32)]), pa.int32()))
+        rows.append(pa.RecordBatch.from_arrays([lists, *b.columns[1:]], names=b.schema.names))
+    words = blocks.body_of([pa.RecordBatch.from_arrays([pa.array(list(numbers.words), pa.string())], ["word"])])
+    return len(words).to_bytes(8, "little") + words + blocks.body_of(rows)
+
+
+def _words(body: bytes) -> list[str]:
+    return [w for b in blocks.batches_of(body[8 : 8 + int.from_bytes(body[:8], "little")]) for w in b.column(0).to_pylist()]
+
+
 def word_counts(train: DataFrame) -> DataFrame:
     """(toxic, word, c): in how many texts of each class a word stands.  One row per word, class and part of a task is shuffled."""
 
@@ -158,33 +193,22 @@ def word_keys(ws: list[str]) -> np.ndarray:
 
 def figures(df: DataFrame, rows: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", order: int = ORDER) -> DataFrame:
     """The columns ``keep``, and FIGURES, from class_rows."""
-    kept = [F.col(k).alias(f"k{i}") for i, k in enumerate(keep)]
-    table = blocks.stored(df.select(F.col(text_col).alias("_text"), *kept), "_text")
-    arrow = to_arrow_schema(schema := T.StructType([*[T.StructField(k, df.schema[k].dataType) for k in keep], *[T.StructField(k, T.DoubleType()) for k in FIGURES]]))
-
-    def split(body):
-        """A batch, its tokens as numbers of distinct words, where each text begins, and the words."""
-        for part in blocks.batches_of(body):
-            texts = [tokens(t) for t in part.column(0).to_pylist()]
-            number: dict = {}
-            of = np.fromiter((number.setdefault(w, len(number)) for ws in texts for w in ws), np.int64)
-            yield part, of, np.cumsum([0, *map(len, texts)]), list(number)
+    table = blocks.stored(df.select(named(text_col).alias("_text"), *[named(k).alias(f"k{i}") for i, k in enumerate(keep)]), "_text", make=_tokenised)
+    arrow = to_arrow_schema(schema := fields(df, keep, ", ".join(f"{k} double" for k in FIGURES)))
 
     def distinct(batches):
         for batch in batches:
             for body in batch.column(1):
-                ws = list({w for *_, ws in split(body.as_py()) for w in ws if w})
-                for i in range(0, len(ws), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(ws[i : i + 100_000], pa.string())], ["word"])
+                yield pa.RecordBatch.from_arrays([pa.array([w for w in _words(body.as_py()) if w], pa.string())], ["word"])
 
     def keys_of(body):
-        return charlm.distinct(word_keys(ws) for *_, ws in split(body))
+        return np.unique(word_keys(_words(body)))
 
     def use(body, keys, values):
-        found = blocks.Values(keys, values)
-        for part, of, at, ws in split(body):
-            value = found.of(word_keys(ws)).astype(np.float64) if ws else np.zeros(0)
-            out = [document_figures(value, of[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+        value = blocks.Values(keys, values).of(word_keys(_words(body))).astype(np.float64)
+        for part in blocks.batches_of(body[8 + int.from_bytes(body[:8], "little") :]):
+            of, at = part.column(0).values.to_numpy(), part.column(0).offsets.to_numpy()
+            out = [document_figures(value, of[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*[c.cast(f.type) for c, f in zip(part.columns[1:], arrow, strict=False)], *[pa.array(c, pa.float64()) for c in zip(*out, strict=True)]], schema=arrow)
 
     words = table.table.mapInArrow(distinct, "word string").distinct()
