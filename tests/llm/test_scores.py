@@ -192,6 +192,107 @@ def test_attention_learns():
     assert quality_model.fit(["a"], np.array([1])).constant == 1.0 and quality_model.fit([], np.zeros(0)).constant == 1.0
 
 
+def test_forward_by_definition():
+    """Scores and weights of bags, passage by passage."""
+    r = np.random.default_rng(6)
+    m = quality_model.Model(4)
+    m.mean, m.scale = r.normal(size=4), r.random(4) + 0.5
+    bags = [r.normal(size=(n, 4)) * 3 for n in (1, 3, 2)]
+    score, a, _ = m.forward(np.concatenate(bags), np.array([0, 1, 4]))
+    at = 0
+    for bag, got in zip(bags, score, strict=True):
+        hs, es = [], []
+        for x in bag:
+            z = [min(6, max(-6, (v - mu) / s)) for v, mu, s in zip(x, m.mean, m.scale, strict=True)]
+            h = [math.tanh(sum(z[i] * m.p["W"][i, j] for i in range(4)) + m.p["b"][j]) for j in range(len(m.p["b"]))]
+            t = [math.tanh(sum(h[j] * m.p["V"][j, g] for j in range(len(h)))) / (1 + math.exp(-sum(h[j] * m.p["U"][j, g] for j in range(len(h))))) for g in range(len(m.p["w"]))]
+            hs.append(h)
+            es.append(math.exp(sum(x * y for x, y in zip(t, m.p["w"], strict=True))))
+        weights = [e / sum(es) for e in es]
+        logit = sum(w * sum(x * y for x, y in zip(h, m.p["c"], strict=True)) for w, h in zip(weights, hs, strict=True)) + m.p["c0"][0]
+        assert got == pytest.approx(1 / (1 + math.exp(-logit))) and a[at : at + len(bag)] == pytest.approx(weights)
+        at += len(bag)
+
+
+def test_passages_stand_alone():
+    """A passage's numbers don't depend on the rest of its document."""
+    h = WordHashes()
+    r = random.Random(8)
+    ws = [r.choice(["the", "house", "Green!", "walks", "of", "x1", "##"]) for _ in range(5 * quality_model.PASSAGE + 9)]
+    whole = quality_model.passages(" ".join(ws), h)
+    parts = [" ".join(ws[i : i + quality_model.PASSAGE]) for i in range(0, len(ws), quality_model.PASSAGE)]
+    assert len(whole) == len(parts) == 6 and whole.shape[1] == quality_model.WIDTH
+    for got, part in zip(whole, parts, strict=True):
+        alone = quality_model.passages(part, h)[0]
+        # the space that ends a passage counts as its own
+        assert got[quality_model.CLASSES :] == pytest.approx(alone[quality_model.CLASSES :], abs=1e-6) and got[: quality_model.CLASSES] == pytest.approx(alone[: quality_model.CLASSES], abs=0.01)
+    assert len(quality_model.spread(whole, 3)) == 3 and np.array_equal(quality_model.spread(whole, 3)[[0, 2]], whole[[0, 5]])
+
+
+def test_quality_of_odd_rows(spark, docs, odd, none, tmp_path):
+    m = quality_model.fit(["good text here"] * 3 + ["### $$$ ###"] * 3, np.array([1, 1, 1, 0, 0, 0]))
+    rows = quality_model.score(odd, m).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["doc_id"], set()).add((r["score"], r["passages"], r["top_passage"], r["top_weight"]))
+    assert len(rows) == odd.count() and all(len(x) == 1 for i, x in by.items() if i is not None) and quality_model.score(none, m).count() == 0
+    constant = quality_model.score(docs, quality_model.fit([], np.zeros(0))).collect()
+    assert all(r["score"] == 1.0 and r["top_passage"] == 0 and r["top_weight"] == pytest.approx(1 / r["passages"]) for r in constant)
+    clash = docs.withColumnRenamed("doc_id", "a.b").withColumn("score", F.lit("x"))
+    got = quality_model.score(clash, m, ("a.b",))
+    assert got.columns[0] == "a.b" and got.count() == docs.count()
+
+
+@pytest.mark.parametrize("name", ["op2_quality_model", "op9_toxicity", "op4_language_id", "op10_quality_rules"])
+@pytest.mark.parametrize("labelled", ["none", "one class", "odd"])
+def test_queries_of_odd_tables(spark, odd, none, tmp_path, name, labelled):
+    """Repeated and null ids, null, empty and long texts; no labels, labels of one class, repeated and null labels; then empty tables."""
+    from tidemill.llm.queries import QUERIES
+
+    if name in ("op4_language_id", "op10_quality_rules") and labelled != "odd":
+        return
+    rows = {"none": [], "one class": [(i, 1, 1) for i in range(40)], "odd": [(i, i % 2, i % 3 == 0) for i in range(60)] + [(3, 1, 1), (None, 1, 1), (4, None, None), (999, 0, 1)]}[labelled]
+    d = str(tmp_path)
+    odd.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, None if q is None else int(q), None if t is None else int(t)) for i, q, t in rows], "doc_id bigint, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    out = QUERIES[name](spark, d)
+    got = out.collect()
+    assert len(got) == odd.count()
+    if "score" in out.columns:
+        assert all(0 <= r["score"] <= 1 for r in got)
+    none.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{d}/empty/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{d}/empty/labels.parquet")
+    assert QUERIES[name](spark, f"{d}/empty").count() == 0
+
+
+def test_languages_by_sets(spark, texts):
+    """Predictions and shares with sets in place of filters."""
+    lang = lambda i: ["en", "fr", "xx"][i % 7 % 3]
+    learn = [(t, lang(i)) for i, t in enumerate(texts[:60]) if t]
+    f = langid.fit(spark.createDataFrame(learn, "text string, lang string").repartition(3), "text", "lang", 1e-3)
+    uses = defaultdict(Counter)
+
+    def grams(t):
+        c = [ch.lower()[0] if ch.isalpha() else " " for ch in "  " + t + " "]
+        return [tuple(c[i - 2 : i + 2]) for i in range(2, len(c) - 1) if c[i] != " "]
+
+    for t, g in learn:
+        uses[g].update(grams(t))
+    sets = {g: {x for x, n in c.items() if n >= max(1.0, 1e-3 * sum(c.values()))} for g, c in uses.items()}
+    assert f.langs == sorted(sets) and len({len(x) for x in sets.values()}) > 1
+    asked = [t for t in texts if t][:90]
+    got = {r["doc_id"]: r for r in langid.predict(spark.createDataFrame(list(enumerate(asked)), "doc_id bigint, text string"), f).collect()}
+    for i, t in enumerate(asked):
+        g = grams(t)
+        if not g:
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        share = {x: sum(k in sets[x] for k in g) / len(g) for x in f.langs}
+        best = max(f.langs, key=lambda x: share[x])
+        assert got[i]["lang_pred"] == best or abs(share[got[i]["lang_pred"]] - share[best]) < 0.01
+        assert got[i]["score"] == pytest.approx(share[best] / max(1e-12, sum(share.values())), abs=0.02)
+
+
 def test_gradient():
     r = np.random.default_rng(4)
     m = quality_model.Model(5)
@@ -277,6 +378,14 @@ def test_class_models(spark, texts):
         assert [got[i][k] for k in toxicity.FIGURES] == pytest.approx(want, rel=1e-3, abs=2e-4)
 
 
+def test_numbers_of_words(texts):
+    n = toxicity.Numbers()
+    for t in [*texts, "A-b " + "q" * 95 + " .x. " + "!" * 50 + "y" * 41 + "!!", "a", "--- a", None]:
+        of = n.of(t).tolist()
+        words = list(n.words)
+        assert [words[i] for i in of] == toxicity.tokens(t)
+
+
 def test_toxicity(spark, docs, odd, none):
     rows = [(i, f"{'you vile scoundrel' if i % 4 == 0 else 'a fine day'} and {'the house by the river ' * (i % 3 + 1)}", int(i % 4 == 0)) for i in range(200)]
     model = toxicity.class_rows(toxicity.word_counts(spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")))
