@@ -74,7 +74,7 @@ def plain_kn(texts, order):
 def test_kneser_ney(spark, texts, monkeypatch, size):
     """Bits of every text, by the definition, in one block or many and over several ranges of keys."""
     monkeypatch.setattr(blocks, "RANGE", 500)
-    monkeypatch.setattr(blocks.stored, "__defaults__", (size,))
+    monkeypatch.setattr(blocks.stored, "__defaults__", (size, blocks.body_of))
     some = [(t, "en") for t in texts[:30]] + [(t, None) for t in texts[30:60]] + [("", "en"), (None, None), (texts[0], "en")]
     df = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate(some)], "doc_id bigint, text string, lang string").repartition(3)
     got = {r["doc_id"]: r["bits"] for r in quality_rules.scored(df, order=4).collect()}

@@ -229,4 +229,4 @@ def model(p: DataFrame, order: int) -> DataFrame:
         salts = {g: salt(g) for g in set(grp)}
         return {"key": gram_keys(gram, np.array([salts[g] for g in grp], np.uint64), order).view(np.int64), "value": np.log(part.column(2).to_numpy()).astype(np.float32)}
 
-    return written(mapped(p.select("grp", "gram", "p"), each, "key bigint, value float", "gram"))
+    return mapped(p.select("grp", "gram", "p"), each, "key bigint, value float", "gram")

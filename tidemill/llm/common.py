@@ -7,7 +7,7 @@ import ctypes
 import gc
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -64,15 +64,18 @@ def table_name(path: str) -> str:
     return path.rsplit("/", 1)[1].replace("-", "_")
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        spark.sql(f"drop table if exists {table_name(path)}")
+    except Exception:  # noqa: BLE001  the session is gone; the folder's owner cleans it
+        pass
+
+
 def _clean() -> None:
     for spark, path in _made:
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-            spark.sql(f"drop table if exists {table_name(path)}")
-        except Exception:  # noqa: BLE001  the session is gone; the folder's owner cleans it
-            continue
+        _remove(spark, path)
 
 
 @contextmanager
@@ -101,6 +104,21 @@ def written(df: DataFrame, rows: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(make: Callable[[], DataFrame], rows: int | None = None) -> DataFrame:
+    """make() as a written table; what it wrote on the way is removed.
+
+    Shuffles behind written tables are garbage too; Spark's cleaner deletes them once the driver has collected the plans.
+    """
+    before = len(_made)
+    out = written(make(), rows)
+    for spark, path in _made[before:-1]:
+        _remove(spark, path)
+    del _made[before:-1]
+    gc.collect()
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 #: Most rows of a table that is broadcast.
 BROADCAST = 1_000_000
 

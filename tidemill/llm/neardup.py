@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, documents, few, mapped, mix, slices, windows_hash, written
+from .common import WordHashes, documents, few, mapped, mix, settled, slices, windows_hash, written
 from .components import components
 
 #: Growth of the sizes of a band.
@@ -392,13 +392,13 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sketches = written(whole.join(nodes.join(members.select("id").distinct(), "id", "left_semi"), ["doc", "hi", "lo"]).dropDuplicates(["doc", "hi", "lo"]).select("id", "n", "sketch"))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        of = stored_sets(df, nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"), id_col, text_col, k)
-        return written(verified(pairs, of, num, den), PAIRS)
+        of = lambda: stored_sets(df, nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"), id_col, text_col, k)
+        return settled(lambda: verified(pairs, of(), num, den), PAIRS)
 
     lead = members.groupBy("key").agg(F.min(F.struct("id", "n")).alias("lead"))
     star = members.join(lead, "key").where((F.col("id") > F.col("lead.id")) & (den * F.least("n", "lead.n") >= num * F.greatest("n", "lead.n"))).select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct()
     links = linked(written(near(star, sketches, num, den)))
-    labels = components(links)
+    labels = settled(lambda: components(links))
     now = members.join(labels, F.col("id") == F.col("v"), "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"))
     # a node has no more keys than parts
     mine = _mixed(now).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("size", "key"))).alias("keys"), F.first("n").alias("n"), F.first("label").alias("label"))
@@ -411,7 +411,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         close = close.unionByName(within(heavy.join(sketches.select("id", "sketch"), "id"), num, den).join(star, ["a", "b"], "left_anti"))
     close = written(close.distinct())
     if not close.isEmpty():
-        labels = components(links.unionByName(linked(close)))
+        more = linked(close)
+        labels = settled(lambda: components(links.unionByName(more)))
     labelled = written(classes.join(labels, F.col("id") == F.col("v"), "left").where("copies > 1 or label is not null").select("hi", "lo", "least", F.coalesce("label", "id").alias("label")))
     least = written(labelled.groupBy(F.col("label").alias("of")).agg(F.min("least").alias("component")))
     named = labelled.join(few(least), F.col("label") == F.col("of")).select(F.col("hi").alias("h"), F.col("lo").alias("l"), "component")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import blocks, charlm
-from .common import SPACE, WordHashes, documents, few, fields, named, only, windows_hash, written
+from .common import SPACE, WordHashes, documents, few, fields, named, only, settled, windows_hash, written
 
 #: Spreads on either side of a language's median.
 WIDTH = 8.0
@@ -72,7 +72,7 @@ def scored(df: DataFrame, text_col: str = "text", lang_col: str = "lang", keep:
     """The columns ``keep``, the base counts, and bits: bits a word under the model of the row's language."""
     kept = [named(k).alias(f"k{i}") for i, k in enumerate(keep)]
     table = blocks.stored(df.select(named(text_col).alias("_text"), named(lang_col).cast("string").alias("_lang"), *kept), "_text")
-    model = charlm.model(charlm.probabilities(written(charlm.count_grams(table, order)), order), order)
+    model = settled(lambda: charlm.model(charlm.probabilities(written(charlm.count_grams(table, order)), order), order))
     arrow = to_arrow_schema(schema := fields(df, keep, f"{BASE}, bits double, _lang string"))
 
     def parts(body):
@@ -121,7 +121,7 @@ def judge(figures: DataFrame, width: float = WIDTH) -> DataFrame:
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, counts, base_failed, kept, bits, lang) of every document; odd rows go as the module says."""
-    x = judge(scored(documents(spark, sf_dir, "doc_id", "text", "lang")))
+    x = judge(settled(lambda: scored(documents(spark, sf_dir, "doc_id", "text", "lang"))))
     return x.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "bits", F.col("_lang").alias("lang"))
 
 

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import blocks, charlm
-from .common import documents, few, fields, fold, mapped, named, only, slices, written
+from .common import documents, few, fields, fold, mapped, named, only, settled, slices, written
 
 ORDER, SHARED = 10, 5
 TOP, WINDOWS = (1, 2, 4), (8,)
@@ -163,7 +163,7 @@ def word_ratios(words: DataFrame, rows: DataFrame, order: int = ORDER) -> DataFr
         return {"key": charlm.mix(key).view(np.int64), "value": part.column(2).to_numpy().astype(np.float32)}
 
     model = written(mapped(rows.select("tag", "gram", "value"), keyed, "key bigint, value float", "gram"))
-    words = written(words)
+    words = settled(lambda: words)
     parts = -(-words.count() // VOCABULARY)
     table = blocks.stored(words.repartition(max(parts, int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "word"), "word")
 
@@ -182,7 +182,7 @@ def word_ratios(words: DataFrame, rows: DataFrame, order: int = ORDER) -> DataFr
             end = np.cumsum(lengths)
             yield pa.RecordBatch.from_arrays([pa.array(word_keys(ws).view(np.int64)), pa.array((sums[end] - sums[end - lengths]).astype(np.float32))], ["key", "value"])
 
-    return written(blocks.answered(table, keys_of, model, use, "key bigint, value float"))
+    return blocks.answered(table, keys_of, model, use, "key bigint, value float")
 
 
 def word_keys(ws: list[str]) -> np.ndarray:
@@ -211,8 +211,8 @@ def figures(df: DataFrame, rows: DataFrame, keep: tuple[str, ...] = ("doc_id",),
             out = [document_figures(value, of[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*[c.cast(f.type) for c, f in zip(part.columns[1:], arrow, strict=False)], *[pa.array(c, pa.float64()) for c in zip(*out, strict=True)]], schema=arrow)
 
-    words = table.table.mapInArrow(distinct, "word string").distinct()
-    return blocks.answered(table, keys_of, word_ratios(words, rows, order), use, schema)
+    ratios = settled(lambda: word_ratios(table.table.mapInArrow(distinct, "word string").distinct(), rows, order))
+    return blocks.answered(table, keys_of, ratios, use, schema)
 
 
 def document_figures(value: np.ndarray, of: np.ndarray) -> list[float]:
@@ -250,7 +250,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = labels.where(fold(F.col("doc_id"), 5) != 4)
     once = docs.join(few(counted), "doc_id").groupBy(F.md5(F.coalesce("text", F.lit(""))).alias("m"), "toxic").agg(F.min("doc_id").alias("doc_id"))
     train = docs.join(few(written(once.select("doc_id", "toxic"))), "doc_id")
-    scored = written(figures(docs, written(class_rows(written(word_counts(train))))))
+    rows = settled(lambda: class_rows(written(word_counts(train))))
+    scored = settled(lambda: figures(docs, rows))
     fit = scored.join(few(labels.where(fold(F.col("doc_id"), 5) == 4)), "doc_id")
     rows = fit.orderBy(F.xxhash64("doc_id"), "doc_id", *FIGURES).select(*FIGURES, "toxic").limit(CALIBRATION).toPandas()
     y = rows.toxic.to_numpy(float)
