@@ -63,6 +63,31 @@ def test_importance_raises_odds(spark):
     assert share[0] == pytest.approx(0.6, abs=0.03) and share[1] == pytest.approx(0.2, abs=0.03)
 
 
+def test_importance_above_the_most_is_shared_out(spark):
+    """Rows at the most copies are taken for certain, the others in proportion, and the target is met."""
+    rows = [(i, "a", 10, 100.0 if i < 50 else 1.0) for i in range(1000)] + [(2000 + i, "b", 10, float(i % 5 - 1)) for i in range(100)] + [(3000, "b", 10, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, size bigint, w double")
+    got = mixing.pareto_mix(df, "doc_id", "source", "size", (1, 1), 1.5, 2, importance=F.col("w")).collect()
+    a, b = [x for x in got if x["source"] == "a"], [x for x in got if x["source"] == "b"]
+    assert all(x["copies"] == 2 for x in a if x["doc_id"] < 50) and abs(sum(10 * x["copies"] for x in a) - a[0]["target"]) <= 10
+    assert all(x["copies"] == 0 for x in b if x["w"] is None or x["w"] <= 0)
+    assert all(x["copies"] <= 2 for x in got)
+
+
+def test_mix_of_clashing_names(spark):
+    names = ["_i", "_q", "_b", "_u", "row", "level", "copies", "target", "source", "size", "rest", "a.b"]
+    rows = spark.range(300).select("id", *[F.col("id").alias(n) for n in names]).withColumn("source", F.lit("s")).withColumn("size", F.lit(3))
+    got = mixing.pareto_mix(rows, "id", "source", "size", (1,), 0.5, 2)
+    assert got.columns == ["id", *[n for n in names if n not in ("copies", "target")], "source_size", "target", "copies"]
+    assert abs(got.agg(F.sum(F.col("copies") * F.col("size"))).first()[0] - 450) <= 3
+
+
+def test_mix_of_many_rows_of_one_id(spark):
+    rows = spark.range(5000).selectExpr("if(id % 3 = 0, null, id) doc_id", "'s' source", "7 size")
+    got = mixing.pareto_mix(rows, "doc_id", "source", "size", (1,), 0.5, 2).groupBy(F.col("doc_id").isNull()).agg(F.countDistinct("copies"), F.sum("copies")).collect()
+    assert {r[0]: r[1] for r in got}[True] == 1
+
+
 def merged(sizes_, weights):
     """The order in which queues are served, token by token."""
     heap = [((0.5) / w, s, 0) for s, (n, w) in enumerate(zip(sizes_, weights, strict=False)) if n]
@@ -236,6 +261,14 @@ def test_token_ids_are_the_tokenizers():
     assert small.of(odd) == packing.TokenIds(packing.tokenizer_path(), 2).of(odd)
 
 
+def test_long_texts_in_stretches(texts):
+    t = packing.TokenIds(packing.tokenizer_path(), 2)
+    odd = [*texts[:70], texts[-3], "x" * 5000 + " É 日本 " + "y" * 300, "a  b\n\n\tc " * 50, " lead", "日本語 " * 60]
+    whole = t.of(odd)
+    for stretch in (1, 37, 500):
+        assert t.of(odd, stretch) == whole
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.binary(max_size=70_000))
 def test_media_round_trip(data):
@@ -264,6 +297,60 @@ def test_media_lacing_and_breaks():
     assert media.parse(None).packets == [] and media.parse(b"nothing").error and media.parse(b"\x00" * 50).error
 
 
+def _file(tracks, clusters):
+    e, n = media._element, media._number
+    info = e(media.INFO, n(media.SCALE, 1_000_000))
+    return e(media.EBML, e(media.DOC_TYPE, b"matroska")) + e(media.SEGMENT, info + e(media.TRACKS, b"".join(tracks)) + b"".join(e(media.CLUSTER, c) for c in clusters))
+
+
+def _track(number, *more):
+    return media._element(media.TRACK_ENTRY, media._number(media.NUMBER, number) + media._element(media.CODEC, b"V_TEST") + b"".join(more))
+
+
+def _encoding(algorithm, settings=b"", scope=None):
+    e, n = media._element, media._number
+    body = e(media.COMPRESSION, n(media.ALGORITHM, algorithm) + (e(media.SETTINGS, settings) if settings else b""))
+    return e(media.ENCODINGS, e(media.ENCODING, (n(media.SCOPE, scope) if scope else b"") + body))
+
+
+def test_media_groups_and_durations():
+    """Keyframes of groups, times within a lace, a group beside simple blocks."""
+    e, n = media._element, media._number
+    frames = [b"aa", b"bbb", b"c"]
+    bits, laced = media._lace(frames, False)
+    plain = e(media.BLOCK, b"\x81\x00\x05\x00" + b"key")
+    group = lambda *x: e(media.BLOCK_GROUP, b"".join(x))
+    refers = e(media.REFERENCE, b"\xfb")
+    cluster = n(media.TIMESTAMP, 100) + group(plain) + group(e(media.BLOCK, b"\x81\x00\x06\x00" + b"delta"), refers) + group(refers, e(media.BLOCK, b"\x81\x00\x07\x00" + b"other"))
+    cluster += e(media.SIMPLE_BLOCK, b"\x81\x00\x08" + bytes([0x80 | bits << 1]) + laced) + e(media.SIMPLE_BLOCK, b"\x82\x00\x09" + bytes([bits << 1]) + laced)
+    m = media.parse(data := _file([_track(1, n(media.DEFAULT_DURATION, 20_000_000)), _track(2)], [cluster, n(media.TIMESTAMP, 200) + group(plain)]))
+    assert not m.error and [p[4] for p in m.packets] == [1, 0, 0, 1, 1, 1, 0, 0, 0, 1]
+    assert [p[1] // 1_000_000 for p in m.packets] == [105, 106, 107, 108, 128, 148, 109, 109, 109, 205]
+    assert media.payload(data, m, 2) == b"aabbbc" and media.payload(data, m, 1) == b"keydeltaotheraabbbckey"
+
+
+def test_media_content_encodings(spark):
+    e, n = media._element, media._number
+    block = lambda track, data: e(media.SIMPLE_BLOCK, bytes([0x80 | track]) + b"\x00\x00\x80" + data)
+    cluster = n(media.TIMESTAMP, 0) + block(1, b"one") + block(2, zlib.compress(b"two")) + block(1, b"three")
+    m = media.parse(data := _file([_track(1, _encoding(3, b"HD")), _track(2, _encoding(0))], [cluster]))
+    assert not m.error and media.payload(data, m, 1) == b"HDoneHDthree" and media.payload(data, m, 2) == b"two"
+    for bad in (_encoding(1), _encoding(2), _encoding(3, b"x", 2), e(media.ENCODINGS, e(media.ENCODING, e(media.ENCRYPTION, b"")))):
+        assert "not read" in media.parse(_file([_track(1, bad)], [cluster])).error
+    df = spark.createDataFrame([(1, data), (1, data), (None, data)], "id bigint, media binary")
+    rows = media.packet_table(df, "id", "media").collect()
+    assert len(rows) == 3 and {tuple(x["kind"] for x in r["encodings"]) for r in rows} == {("header", "zlib")}
+    assert media.packet_table(df.limit(0), "id", "media").count() == 0
+
+
+def test_op6_of_odd_tables(spark, odd, none, tmp_path):
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = media.op6_matroska_columns(spark, str(tmp_path)).collect()
+    assert len(rows) == odd.count() and len({tuple(r) for r in rows}) < len(rows)
+    none.write.parquet(f"{tmp_path}/empty/documents.parquet")
+    assert media.op6_matroska_columns(spark, f"{tmp_path}/empty").count() == 0
+
+
 def test_media_unknown_sizes():
     stored = media.mux(bytes(40_000))
     m = media.parse(stored)
@@ -312,6 +399,30 @@ def test_secrets(spark, docs, none, texts):
     assert secrets.scan(none).count() == 0 and secrets.redact(docs).columns == docs.columns
 
 
+def test_candidates_are_as_long_as_the_window():
+    run = "k3Jx9QzT7bLm"
+    assert [s[0] for s in secrets.find_spans(f"a {run} b", window=12, classes={"all": (re.compile("[A-Za-z0-9]+"), 3.0)})] == ["entropy"]
+    assert not secrets.find_spans(f"a {run} b")
+    long = "aB3" * 120
+    assert secrets.find_spans(long, window=300, classes={"all": (re.compile("[A-Za-z0-9]+"), 1.0)}, allow=()) == [("entropy", 0, 360)]
+
+
+def test_redact_keeps_any_columns(spark, none):
+    inner = ", ".join(f"f{i}: int" for i in range(40))
+    df = spark.createDataFrame([(1, "token = abcdefghijklmnop", None)], f"`a``b` int, text string, wide struct<{inner}>")
+    got = secrets.redact(df)
+    assert got.schema == df.schema and got.first()["text"] == "[secret]"
+    assert secrets.redact(none).count() == 0
+
+
+def test_scan_of_repeated_rows(odd, texts):
+    rows = secrets.scan(odd).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["doc_id"], set()).add(str(r["spans"]))
+    assert len(rows) == odd.count() and all(len(x) == 1 for i, x in by.items() if i is not None)
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.text("abc123", min_size=0, max_size=60), st.floats(0.5, 2.5))
 def test_entropy_windows(run, least):

@@ -6,22 +6,29 @@ that cannot lie in it, or with its parent).  Clusters give timestamps, blocks
 give track, relative time and lacing (none, Xiph, EBML, fixed size), cues give
 seek points.  A packet is one frame: track, timestamp, byte range in the file.
 
+A frame of a group of blocks is a keyframe if the group refers to no other block.  Frames of a lace follow one another by
+the track's default duration, or by their own length for PCM; without either they share the block's time.  Frames whose
+tracks strip a header or deflate their content are given as stored, with the track's encoding beside them, and
+``payload`` undoes it; other compression and encryption are named as the file's error.
+
 Null bytes have no packets.  Bytes that break off or are no Matroska give the
 packets before the break and the error's text, never an exception.  Equal bytes
-give equal tables.  Work is per row, without shuffles.
+give equal tables; rows are told apart by nothing, so repeated and null ids do no harm.  Packets of one time stand in file order.  Work is per row, without shuffles; a
+file, however long, is held in memory whole, its frames as views.  Columns besides id and media are not looked at.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import crc, documents, mapped
+from .common import crc, documents, fields, mapped, named
 
 # Fixed values of the public Matroska and EBML formats (RFC 8794, RFC 9559).
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
@@ -30,10 +37,13 @@ SCALE, DURATION, DOC_TYPE = 0x2AD7B1, 0x4489, 0x4282
 NUMBER, UID, KIND, LACING, CODEC, RATE, CHANNELS, DEPTH = 0xD7, 0x73C5, 0x83, 0x9C, 0x86, 0xB5, 0x9F, 0x6264
 TIMESTAMP, SIMPLE_BLOCK, BLOCK = 0xE7, 0xA3, 0xA1
 CUE_TIME, CUE_TRACK, CUE_CLUSTER = 0xB3, 0xF7, 0xF1
+REFERENCE, DEFAULT_DURATION = 0xFB, 0x23E383
+ENCODINGS, ENCODING, COMPRESSION, ENCRYPTION, ALGORITHM, SETTINGS, SCOPE = 0x6D80, 0x6240, 0x5034, 0x5035, 0x4254, 0x4255, 0x5032
+ALGORITHMS = {0: "zlib", 1: "bzlib", 2: "lzo1x", 3: "header"}
 SEEK_HEAD, TAGS, CHAPTERS, ATTACHMENTS, VOID = 0x114D9B74, 0x1254C367, 0x1043A770, 0x1941A469, 0xEC
-MASTERS = {EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES, TRACK_ENTRY, AUDIO, BLOCK_GROUP, CUE_POINT, CUE_POSITIONS}
+MASTERS = {EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES, TRACK_ENTRY, AUDIO, BLOCK_GROUP, CUE_POINT, CUE_POSITIONS, ENCODINGS, ENCODING, COMPRESSION, ENCRYPTION}
 TOP = {INFO, TRACKS, CLUSTER, CUES, SEEK_HEAD, TAGS, CHAPTERS, ATTACHMENTS}
-UNSIGNED = {SCALE, NUMBER, UID, KIND, LACING, CHANNELS, DEPTH, TIMESTAMP, CUE_TIME, CUE_TRACK, CUE_CLUSTER}
+UNSIGNED = {SCALE, NUMBER, UID, KIND, LACING, CHANNELS, DEPTH, TIMESTAMP, CUE_TIME, CUE_TRACK, CUE_CLUSTER, DEFAULT_DURATION, ALGORITHM, SCOPE}
 FLOATS = {DURATION, RATE}
 
 #: Of the files written here: samples a second, bytes a frame, frames a block, blocks a cluster.
@@ -51,6 +61,7 @@ class Media:
     clusters: list[tuple[int, int]] = field(default_factory=list)  # offset, timestamp
     packets: list[tuple[int, int, int, int, int, int]] = field(default_factory=list)  # track, timestamp, offset, length, keyframe, lacing
     cues: list[tuple[int, int, int]] = field(default_factory=list)  # timestamp, track, cluster's offset
+    encodings: dict[int, tuple[str, bytes]] = field(default_factory=dict)  # track: compression, header
     error: str = ""
 
 
@@ -116,12 +127,13 @@ def _block(data: bytes, at: int, end: int, base: int, out: Media, simple: bool)
     lacing = flags >> 1 & 3
     sizes, at = lace_sizes(data, at + 3, end, lacing)
     entry = next((t for t in out.tracks if t.get(NUMBER) == track), {})
-    step = entry.get("step", 0)  # nanoseconds a byte
+    step, each = entry.get("step", 0), entry.get(DEFAULT_DURATION, 0)  # nanoseconds a byte, a frame
+    header = len(out.encodings.get(track, ("", b""))[1])
     time = (base + relative) * out.scale
     for size in sizes:
         out.packets.append((track, round(time), at, size, flags >> 7 if simple else 0, lacing))
         at += size
-        time += size * step
+        time += (size + header) * step if step else each
 
 
 def parse(data: bytes | None) -> Media:
@@ -149,7 +161,9 @@ def parse(data: bytes | None) -> Media:
                 own: dict = {"open": size is None, "at": here}
                 if name == SEGMENT:
                     start[0] = at
-                at = elements(at, stop, name, into if name == BLOCK_GROUP else own)
+                elif name == BLOCK_GROUP:
+                    own |= {TIMESTAMP: into.get(TIMESTAMP, 0), "first": len(out.packets)}
+                at = elements(at, stop, name, own)
                 at = at if size is None else stop
                 finish(name, own, into)
                 if cut:
@@ -163,6 +177,10 @@ def parse(data: bytes | None) -> Media:
                     out.scale = into[name]
             elif name in FLOATS:
                 into[name] = {0: 0.0, 4: 0.0, 8: 0.0}[stop - at] if stop == at else struct.unpack(">f" if stop - at == 4 else ">d", data[at:stop])[0]
+            elif name == REFERENCE:
+                into["refers"] = True
+            elif name == SETTINGS:
+                into[name] = data[at:stop]
             elif name in (CODEC, DOC_TYPE):
                 into[name] = data[at:stop].rstrip(b"\0").decode("ascii", "replace")
             elif name in (SIMPLE_BLOCK, BLOCK):
@@ -177,11 +195,25 @@ def parse(data: bytes | None) -> Media:
             out.duration = own.get(DURATION, 0.0) * out.scale
         elif name == AUDIO:
             into["audio"] = own
+        elif name == BLOCK_GROUP:
+            out.packets[own["first"] :] = [(*p[:4], int("refers" not in own), p[5]) for p in out.packets[own["first"] :]]
+        elif name == COMPRESSION:
+            into["compression"] = (ALGORITHMS.get(own.get(ALGORITHM, 0), "unknown"), own.get(SETTINGS, b""))
+        elif name == ENCRYPTION:
+            into["compression"] = ("encryption", b"")
+        elif name == ENCODING:
+            into.setdefault("encodings", []).append((own.get(SCOPE, 1), *own.get("compression", ("zlib", b""))))
+        elif name == ENCODINGS:
+            into["encodings"] = own.get("encodings", [])
         elif name == TRACK_ENTRY:
             audio = own.get("audio", {})
             if own.get(CODEC, "").startswith("A_PCM") and audio.get(RATE):
                 own["step"] = 1e9 / (audio[RATE] * audio.get(CHANNELS, 1) * max(1, audio.get(DEPTH, 8) // 8))
             out.tracks.append(own)
+            for scope, kind, header in own.get("encodings", []):
+                if kind not in ("zlib", "header") or scope != 1 or len(own["encodings"]) > 1:
+                    raise ValueError(f"track {own.get(NUMBER, 0)} has content that is not read: {kind}, scope {scope}")
+                out.encodings[own.get(NUMBER, 0)] = (kind, header if kind == "header" else b"")
         elif name == CUE_POSITIONS:
             into.setdefault("positions", []).append((own.get(CUE_TRACK, 0), start[0] + own.get(CUE_CLUSTER, 0)))
         elif name == CUE_POINT:
@@ -252,27 +284,33 @@ def mux(samples: bytes, hertz: int = HERTZ) -> bytes:
 
 
 def payload(data: bytes, media: Media, track: int = 1) -> bytes:
-    """The bytes of a track's packets, in file order."""
-    return b"".join(data[at : at + n] for t, _, at, n, _, _ in media.packets if t == track)
+    """The bytes of a track's packets as its codec has them, in file order."""
+    kind, header = media.encodings.get(track, ("", b""))
+    view = memoryview(data)
+    frames = (view[at : at + n] for t, _, at, n, _, _ in media.packets if t == track)
+    if kind == "zlib":
+        return b"".join(zlib.decompress(f) for f in frames)
+    return b"".join(x for f in frames for x in ((header, f) if header else (f,)))
 
 
-PACKETS = "packets array<struct<track:bigint,timestamp_ns:bigint,offset:bigint,length:bigint,keyframe:boolean,lacing:int>>, cues array<struct<timestamp_ns:bigint,track:bigint,offset:bigint>>, error string"
+#: encodings: of tracks whose frames in the file are not what their codec has.
+PACKETS = "encodings array<struct<track:bigint,kind:string,header:binary>>, packets array<struct<track:bigint,timestamp_ns:bigint,offset:bigint,length:bigint,keyframe:boolean,lacing:int>>, cues array<struct<timestamp_ns:bigint,track:bigint,offset:bigint>>, error string"
 
 
 def packet_table(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
-    """One row per file: id, packets, cues, error ('' if the file was read to its end)."""
-    kind = df.schema[id_col].dataType.simpleString()
+    """One row per file: id, encodings, packets, cues, error ('' if the file was read to its end)."""
 
     def each(part):
         found = [parse(x) for x in part.column(1).to_pylist()]
         return {
             id_col: part.column(0),
+            "encodings": [[{"track": t, "kind": k, "header": h} for t, (k, h) in m.encodings.items()] for m in found],
             "packets": [[{"track": t, "timestamp_ns": ns, "offset": at, "length": n, "keyframe": bool(k), "lacing": x} for t, ns, at, n, k, x in m.packets] for m in found],
             "cues": [[{"timestamp_ns": ns, "track": t, "offset": at} for ns, t, at in m.cues] for m in found],
             "error": [m.error for m in found],
         }
 
-    return mapped(df.select(id_col, media_col), each, f"`{id_col}` {kind}, {PACKETS}", media_col)
+    return mapped(df.select(named(id_col), named(media_col).alias("_media")), each, fields(df, (id_col,), PACKETS), "_media")
 
 
 def text_payload(text: str | None) -> bytes:
@@ -294,7 +332,7 @@ def feature(samples: bytes, media: Media) -> str:
 
 
 def op6_matroska_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts as PCM in Matroska, read back through the packet table."""
+    """Texts as PCM in Matroska, read back through the packet table; null texts are empty, odd rows go as the module says."""
 
     def each(part):
         out: dict = {k: [] for k in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}

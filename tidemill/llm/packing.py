@@ -21,7 +21,7 @@ Null texts count as empty (one closing token), null sources are a queue, the las
 may repeat or be null; each row is packed.  A source of weight 0 or without one is served when the others are empty.
 Sources past the ``QUEUES`` largest share a queue of the fluid schedule (so the driver holds a bounded table); within
 a lane each is a queue of its own again.  Columns besides id, text and source are not looked at.
-A text is tokenised whole, in memory some 25 times its bytes.  An empty table gives no pieces.
+Ties of deficits go to the first queue.  A long text is tokenised in stretches of ``STRETCH`` bytes and held as its ids.  An empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -33,11 +33,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import documents, only, shared_folder, slices
+from .common import documents, fields, named, only, shared_folder, slices
 from .substrings import Text
 
 LENGTH, LANE, QUEUES, END = 4096, 256, 1 << 17, 2
+#: Bytes of a text that are tokenised at once.
+STRETCH = 4 << 20
 #: Most rows (partition and source) of the table of beginnings that are broadcast; beyond, it is joined by a shuffle.
 BROADCAST = 500_000
 #: Bytes of token ids in a partition of lanes.
@@ -46,6 +49,7 @@ SHUFFLED = 64 << 20
 
 #: Texts whose tokens can be cut by bytes: ASCII and Latin letters to U+00FF, without what the tokenizer treats apart.
 _PLAIN = re.compile(rb"(?:[\t-\r -&(-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*")
+_SPACE = re.compile(rb"[\t-\r ]")
 _KIND = np.full(256, 1, np.uint8)  # letters
 _KIND[33:128] = 3  # marks
 _KIND[[*range(65, 91), *range(97, 123)]] = 1
@@ -134,8 +138,25 @@ class TokenIds:
         cut = np.concatenate([[0], upto])[np.searchsorted(starts, edge)].tolist()
         return [out[a:b].tobytes() + self.end for a, b in zip([0, *cut], cut, strict=False)]
 
-    def of(self, texts: list[str | None]) -> list[bytes]:
-        raws = [(t or "").encode() for t in texts]
+    def of(self, texts: list[str | None], stretch: int = STRETCH) -> list[bytes]:
+        """The ids of each text; one of more than ``stretch`` bytes is cut at white space, where no token begins or ends within a word."""
+        raws: list[bytes] = []
+        parts = []
+        for t in texts:
+            raw, at, first = (t or "").encode(), 0, len(raws)
+            while len(raw) - at > stretch:
+                space = _SPACE.search(raw, at + stretch)
+                if not space:
+                    break
+                raws.append(raw[at : space.start()])
+                at = space.start()
+            raws.append(raw[at:])
+            parts.append((first, len(raws)))
+        ids = self._of(raws)
+        end = len(self.end)
+        return [ids[a] if b - a == 1 else b"".join([*(x[:-end] for x in ids[a : b - 1]), ids[b - 1]]) for a, b in parts]
+
+    def _of(self, raws: list[bytes]) -> list[bytes]:
         plain = [i for i, r in enumerate(raws) if b"<|" not in r and _PLAIN.fullmatch(r)]
         out: list = [None] * len(raws)
         if plain:
@@ -155,7 +176,6 @@ class TokenIds:
 
 def tokenised(df: DataFrame, id_col: str, text_col: str, source_col: str, tokenizer: str, width: int = 2) -> DataFrame:
     """(id, src, part, at, n, ids) of each row, stored: its partition, its place among that partition's tokens of its source, and its ids."""
-    kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
         from pyspark import TaskContext
@@ -164,7 +184,7 @@ def tokenised(df: DataFrame, id_col: str, text_col: str, source_col: str, tokeni
         part = TaskContext.get().partitionId()
         at: dict = {}
         for batch in batches:
-            for piece in slices(batch, text_col, 2 << 20):
+            for piece in slices(batch, "text", 2 << 20):
                 sources, starts, sizes = piece.column(2).to_pylist(), [], []
                 ids = words.of(piece.column(1).to_pylist())
                 for s, x in zip(sources, ids, strict=True):
@@ -174,7 +194,8 @@ def tokenised(df: DataFrame, id_col: str, text_col: str, source_col: str, tokeni
                     at[s] = starts[-1] + n
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(sources, pa.string()), pa.array([part] * len(ids), pa.int32()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())], ["id", "src", "part", "at", "n", "ids"])
 
-    rows = df.select(id_col, text_col, F.col(source_col).cast("string")).mapInArrow(run, f"id {kind}, src string, part int, at bigint, n bigint, ids binary")
+    kept = df.select(named(id_col).alias("id"), named(text_col).alias("text"), named(source_col).cast("string").alias("src"))
+    rows = kept.mapInArrow(run, fields(kept, ("id",), "src string, part int, at bigint, n bigint, ids binary"))
     path = shared_folder(df.sparkSession)
     rows.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(rows.schema).parquet(path)
@@ -321,7 +342,6 @@ def pack(df: DataFrame, id_col: str, text_col: str, source_col: str, tokenizer:
         begin = F.broadcast(begin)
     placed = rows.join(begin, rows["src"].eqNullSafe(F.col("_s")) & (rows["part"] == F.col("_p"))).select("id", "src", "queue", (F.col("base") + F.col("at")).alias("place"), "n", "ids")
     sent = spark.sparkContext.broadcast(plan)  # a few numbers a queue
-    kind = df.schema[id_col].dataType.simpleString()
 
     def cut(batches):
         """Rows as parts of lanes."""
@@ -364,8 +384,8 @@ def pack(df: DataFrame, id_col: str, text_col: str, source_col: str, tokenizer:
             yield from out()
 
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * width // SHUFFLED))
-    lanes = placed.mapInArrow(cut, f"lane bigint, src string, place bigint, id {kind}, start bigint, n bigint, ids binary")
-    return lanes.repartition(n, "lane").sortWithinPartitions("lane", "src", "place").mapInArrow(packed, f"`{id_col}` {kind}, {PIECES}")
+    lanes = placed.mapInArrow(cut, T.StructType([*T.StructType.fromDDL("lane bigint, src string, place bigint"), *fields(rows, ("id",), "start bigint, n bigint, ids binary")]))
+    return lanes.repartition(n, "lane").sortWithinPartitions("lane", "src", "place").mapInArrow(packed, fields(df, (id_col,), PIECES))
 
 
 def tokenizer_path() -> str:
@@ -375,6 +395,7 @@ def tokenizer_path() -> str:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document, sources in proportion to their tokens; odd rows go as the module says."""
     return pack(documents(spark, sf_dir, "doc_id", "text", "source"), "doc_id", "text", "source", tokenizer_path())
 
 

@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import blocks, charlm
-from .common import SPACE, WordHashes, documents, few, fields, named, only, settled, windows_hash, written
+from .common import SPACE, documents, few, fields, mix, named, settled, windows_hash, written
+from .substrings import Text
 
 #: Spreads on either side of a language's median.
 WIDTH = 8.0
@@ -38,34 +39,43 @@ SYMBOLS = b"#*$%&|<>"
 BASE = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint"
 
 
-class MarkedHashes(WordHashes):
-    """Hashes of words whose last bit tells whether the word holds a letter or digit."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = super().__missing__(word) >> 1 << 1 | any(c > 127 or chr(c).isalnum() for c in word)
-        self[word] = h
-        return h
-
-
-def base_counts(text: str | None, hashes: WordHashes) -> tuple[int, int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; and, if the hashes are marked, words with a letter or digit."""
-    if not text:
-        return 0, 0, 0, 0, 0, 0
-    raw = text.encode()
-    ws = raw.split()
-    lines = [x for x in raw.split(b"\n") if x.strip(SPACE)]
-    repeated, own = 0, hashes.of(ws)
-    if len(ws) > 5:
-        h = windows_hash(own, 5)
-        _, back, n = np.unique(h, return_inverse=True, return_counts=True)
-        if len(n) < len(h):
-            edge = np.zeros(len(ws) + 1, np.int64)
-            twice = np.flatnonzero(n[back] > 1)
-            np.add.at(edge, twice, 1)
-            np.add.at(edge, twice + 5, -1)
-            repeated = int(np.count_nonzero(np.cumsum(edge)[:-1]))
-    spaces = len(raw) - len(raw.translate(None, SPACE))
-    return len(ws), len(text) - spaces, len(raw) - len(raw.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated, int((own & np.uint64(1)).sum())
+_SPACE = np.zeros(256, bool)
+_SPACE[list(SPACE)] = True
+_SYMBOL = np.zeros(256, bool)
+_SYMBOL[list(SYMBOLS)] = True
+_ALNUM = np.array([c > 127 or chr(c).isalnum() for c in range(256)])
+
+
+def base_counts(texts: list[str | None]) -> tuple[np.ndarray, ...]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and words with a letter or digit, of each text; null texts are empty."""
+    raws = [(t or "").encode() for t in texts]
+    if not raws:
+        return (np.zeros(0, np.int64),) * 6
+    text = Text(b"\n".join(raws) + b"\n")
+    b, n = np.frombuffer(text.data, np.uint8), len(raws)
+    edge = np.cumsum([0, *(len(r) + 1 for r in raws)])
+    space = _SPACE[b]
+    each = lambda mask: np.add.reduceat(mask.view(np.uint8), edge[:-1], dtype=np.int64)  # noqa: E731  a text has its line feed at least
+    start = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+    end = np.flatnonzero(space & np.concatenate([[False], ~space[:-1]]))
+    of = np.searchsorted(edge, start, "right") - 1
+    letters = np.maximum.reduceat(_ALNUM[b], start) if len(start) else np.zeros(0, bool)
+    repeated = np.zeros(n, np.int64)
+    if len(start) > 5:
+        at = np.flatnonzero(of[4:] == of[:-4])
+        key = windows_hash(text.hashes(start, end), 5)[at]
+        key ^= mix(of[at].astype(np.uint64))
+        _, back, count = np.unique(key, return_inverse=True, return_counts=True)
+        if len(count) < len(key):
+            cover, twice = np.zeros(len(start) + 5, np.int64), at[count[back] > 1]
+            np.add.at(cover, twice, 1)
+            np.add.at(cover, twice + 5, -1)
+            repeated = np.bincount(of, np.cumsum(cover)[: len(start)] > 0, minlength=n).astype(np.int64)
+    lines = [[x for x in r.split(b"\n") if x and x.strip(SPACE)] for r in raws]
+    return (
+        np.bincount(of, minlength=n), each(~space & (b & 0xC0 != 0x80)), each(_SYMBOL[b]), np.array([len(x) - len(set(x)) for x in lines], np.int64), repeated,
+        np.bincount(of, letters, minlength=n).astype(np.int64),
+    )
 
 
 def scored(df: DataFrame, text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = ("doc_id",), order: int = charlm.ORDER) -> DataFrame:
@@ -83,14 +93,13 @@ def scored(df: DataFrame, text_col: str = "text", lang_col: str = "lang", keep:
         return charlm.distinct(keys for _, keys, _ in parts(body))
 
     def use(body, keys, values):
-        hashes, found = only("marked words", MarkedHashes), blocks.Values(keys, values)
+        found = blocks.Values(keys, values)
         for part, windows, lengths in parts(body):
-            base = [base_counts(t, hashes) for t in part.column(0).to_pylist()]
+            base = base_counts(part.column(0).to_pylist())
             sums = np.concatenate([[0.0], np.cumsum(found.of(windows), dtype=np.float64)])
             end = np.cumsum(lengths)
-            bits = (sums[end - lengths] - sums[end]) / math.log(2) / np.maximum(1, [b[5] for b in base])
-            counts = list(zip(*base, strict=True))[:5]
-            yield pa.RecordBatch.from_arrays([*[c.cast(f.type) for c, f in zip(part.columns[2:], arrow, strict=False)], *[pa.array(c, pa.int64()) for c in counts], pa.array(bits), part.column(1)], schema=arrow)
+            bits = (sums[end - lengths] - sums[end]) / math.log(2) / np.maximum(1, base[5])
+            yield pa.RecordBatch.from_arrays([*[c.cast(f.type) for c, f in zip(part.columns[2:], arrow, strict=False)], *[pa.array(c, pa.int64()) for c in base[:5]], pa.array(bits), part.column(1)], schema=arrow)
 
     return blocks.answered(table, keys_of, model, use, schema)
 
