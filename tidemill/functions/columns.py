@@ -54,8 +54,8 @@ def strict_json(raw: Column) -> Column:
     """raw as VARIANT; NULL for anything but one JSON value without duplicate keys, NaN, Infinity or trailing text."""
     wrapped = F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]")))
     keyed = F.try_parse_json(F.concat(F.lit('{"w":'), raw, F.lit("}")))
-    alone = wrapped.isNotNull() & keyed.isNotNull() & F.try_variant_get(wrapped, "$[1]", "variant").isNull()
-    return F.when(alone, F.try_parse_json(raw))
+    # alone in an array and as a value; the text is parsed twice, not once more
+    return F.when(keyed.isNotNull() & F.try_variant_get(wrapped, "$[1]", "variant").isNull(), F.try_variant_get(wrapped, "$[0]", "variant"))
 
 
 def compared(x: Column, digits: int = 6, offset: float = 1e-9) -> Column:

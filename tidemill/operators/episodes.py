@@ -68,11 +68,27 @@ def debounce(windows: DataFrame, keys: list[str], size: int, gap: int, flags: tu
     return a.groupBy(*keys, "episode").agg((F.min("window_start") + size).alias("start"), (F.max("window_start") + size).alias("end"), F.min("window_start").alias("first_window"), F.count("*").alias("n_windows"), *first)
 
 
+def _islands(labels: DataFrame, keys: list[str], tail: int, *columns: str) -> DataFrame:
+    """labels with island: events whose intervals with their tails meet, directly or through others, are on one."""
+    order = Window.partitionBy(*keys).orderBy("onset", "event_id")
+    reach = F.max(F.col("end") + tail).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    x = labels.select(*keys, "event_id", "onset", "end", *columns).withColumn("_new", F.coalesce(F.col("onset") > reach, F.lit(True)).cast("long"))
+    return x.withColumn("island", F.sum("_new").over(order)).drop("_new")
+
+
 def match(labels: DataFrame, episodes: DataFrame, keys: list[str], tail: int) -> DataFrame:
-    """(keys, event_id, onset, end, matched_start, delay): events by (onset, id) each take the earliest unused episode that starts in [onset, end + tail]."""
-    events = labels.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("onset", "event_id", "end"))).alias("_events"))
-    starts = episodes.groupBy(*keys).agg(F.array_sort(F.collect_list("start")).alias("_starts"))
-    both = events.join(starts, keys, "left").withColumn("_starts", F.coalesce("_starts", F.array().cast("array<bigint>")))
+    """(keys, event_id, onset, end, matched_start, delay): events by (onset, id) each take the earliest unused episode that starts in [onset, end + tail].
+
+    A stratum is cut into islands of events that may want the same episode; what is gathered and folded is an island.
+    """
+    events = _islands(labels, keys, tail)
+    islands = events.groupBy(*keys, "island").agg(F.array_sort(F.collect_list(F.struct("onset", "event_id", "end"))).alias("_events"), F.min("onset").alias("at"), (F.max("end") + tail).alias("_until"))
+    # an episode belongs to the last island that begins before it, if that reaches it
+    empty = F.array().cast("array<bigint>")
+    seen = islands.select(*keys, "at", F.lit(0).alias("_kind"), F.struct("island", "_until").alias("_of")).unionByName(episodes.select(*keys, F.col("start").alias("at"), F.lit(1).alias("_kind"), F.lit(None).cast("struct<island:bigint,_until:bigint>").alias("_of")))
+    last = F.last("_of", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("at", "_kind").rowsBetween(Window.unboundedPreceding, 0))
+    starts = seen.withColumn("_of", last).where((F.col("_kind") == 1) & (F.col("at") <= F.col("_of._until"))).groupBy(*keys, F.col("_of.island").alias("island")).agg(F.array_sort(F.collect_list("at")).alias("_starts"))
+    both = islands.join(starts, [*keys, "island"], "left").withColumn("_starts", F.coalesce("_starts", empty))
 
     def take(state: Column, e: Column) -> Column:
         free = F.filter(state["left"], lambda s: (s >= e["onset"]) & (s <= e["end"] + tail))
@@ -88,10 +104,11 @@ def match(labels: DataFrame, episodes: DataFrame, keys: list[str], tail: int) ->
 
 
 def overlaps(labels: DataFrame, keys: list[str], tail: int) -> DataFrame:
-    """(keys, event_id, overlapping): ids of the other events of a stratum whose interval with its tail meets this one's."""
-    o = labels.select(*keys, F.col("event_id").alias("_id"), F.col("onset").alias("_on"), F.col("end").alias("_end"))
+    """(keys, event_id, overlapping): ids of the other events of a stratum whose interval with its tail meets this one's; they are on its island."""
+    x = _islands(labels, keys, tail)
+    o = x.select(*keys, "island", F.col("event_id").alias("_id"), F.col("onset").alias("_on"), F.col("end").alias("_end"))
     hit = (F.col("_id") != F.col("event_id")) & (F.col("_on") <= F.col("end") + tail) & (F.col("onset") <= F.col("_end") + tail)
-    return labels.join(o, keys, "left").groupBy(*keys, "event_id").agg(F.array_sort(F.collect_list(F.when(hit, F.col("_id")))).alias("overlapping"))
+    return x.join(o, [*keys, "island"], "left").groupBy(*keys, "event_id").agg(F.array_sort(F.collect_list(F.when(hit, F.col("_id")))).alias("overlapping"))
 
 
 def flagged(windows: DataFrame, intervals: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -170,7 +187,7 @@ def excluded_by_reason(windows: DataFrame, labels: DataFrame, keys: list[str], s
 
 def pool(scores: DataFrame, by: list[str], test_split: str = "test") -> DataFrame:
     """Counts summed over strata and scored once; test strata are refused."""
-    if "split" in scores.columns and not scores.where(F.col("split") == test_split).isEmpty():
+    if "split" in scores.columns and scores.select("split").distinct().where(F.col("split") == test_split).limit(1).collect():  # a row per stratum
         raise PoolingError("test strata are scored one by one, never pooled")
     total = [F.sum(c).alias(c) for c in ("tp", "fp", "fn", "episodes", "false_alerts_operating", "operating_hours")]
     g = scores.groupBy(*by).agg(*total) if by else scores.agg(*total)

@@ -1,7 +1,7 @@
 """Causal rolling statistics over the declared grid, with data-quality outcomes.
 
 Raw rows are reduced once to one row of partial moments per key, sensor and block (pre-aggregated
-before the shuffle); frames of K blocks then merge moments by Chan's formulas.  So
+before the shuffle); frames then merge moments by Chan's formulas.  So
 windows run over blocks, not rows, keyed by asset and sensor, and a hot asset costs
 no more than its blocks.  NaN counts as missing; infinities count as missing and are flagged.
 """
@@ -55,61 +55,79 @@ def block_stats(long: DataFrame, keys: list[str], time_col: str, start: int, siz
     )
 
 
-def dense_blocks(stats: DataFrame, keys: list[str], start: int, end: int, size: int) -> DataFrame:
-    """stats with a row for every block of [start, end), n = 0 where nothing came."""
+def dense_blocks(stats: DataFrame, keys: list[str], start: int, end: int, size: int, declared: DataFrame | None = None) -> DataFrame:
+    """stats with a row for every block of [start, end) of each key, declared ones included, n = 0 where nothing came."""
     if (end - start) % size or end <= start:
         raise SplitSpanError(f"[{start}, {end}) is no whole number of windows of {size} s")
-    grid = stats.select(*keys).distinct().withColumn("block", F.explode(F.sequence(F.lit(start).cast("long"), F.lit(end - size).cast("long"), F.lit(size).cast("long"))))
+    known = stats.select(*keys) if declared is None else stats.select(*keys).unionByName(declared.select(*keys))
+    grid = known.distinct().withColumn("block", F.explode(F.sequence(F.lit(start).cast("long"), F.lit(end - size).cast("long"), F.lit(size).cast("long"))))
     return grid.join(stats, [*keys, "block"], "left").fillna(0, ["n", "n_inf"])
 
 
-def merged(parts: Column) -> Column:
-    """The moments of an array of blocks, in order, by Chan's formulas."""
-    zero = F.struct(F.lit(0).cast("long").alias("n"), *[F.lit(0.0).alias(c) for c in ("mean", "tbar", "m2", "stt", "stx")])
-
-    def step(a: Column, b: Column) -> Column:
-        n = a["n"] + b["n"]
-        dx, dt, w = b["mean"] - a["mean"], b["tbar"] - a["tbar"], a["n"] * b["n"] / n.cast("double")
-        f = b["n"] / n.cast("double")
-        both = F.struct(n.alias("n"), (a["mean"] + dx * f).alias("mean"), (a["tbar"] + dt * f).alias("tbar"), (a["m2"] + b["m2"] + dx * dx * w).alias("m2"), (a["stt"] + b["stt"] + dt * dt * w).alias("stt"), (a["stx"] + b["stx"] + dx * dt * w).alias("stx"))
-        return F.when(b["n"] == 0, a).when(a["n"] == 0, F.struct(*[b[c].alias(c) for c in ("n", "mean", "tbar", "m2", "stt", "stx")])).otherwise(both)
-
-    return F.aggregate(parts, zero, step)
+def merged_pair(a: Column, b: Column) -> Column:
+    """The moments of two neighbouring stretches, each a struct or NULL, by Chan's formulas."""
+    n = a["n"] + b["n"]
+    dx, dt, f = b["mean"] - a["mean"], b["tbar"] - a["tbar"], b["n"] / n.cast("double")
+    w = a["n"] * f
+    both = F.struct(n.alias("n"), (a["mean"] + dx * f).alias("mean"), (a["tbar"] + dt * f).alias("tbar"), (a["m2"] + b["m2"] + dx * dx * w).alias("m2"), (a["stt"] + b["stt"] + dt * dt * w).alias("stt"), (a["stx"] + b["stx"] + dx * dt * w).alias("stx"))
+    return F.when(a.isNull() | (a["n"] == 0), b).when(b["n"] == 0, a).otherwise(both)
 
 
 def rolling(blocks: DataFrame, keys: list[str], size: int, frames: dict[str, list[int]]) -> DataFrame:
     """blocks with mean, std, slope, n, inf and missing_frac of each trailing frame {name: [seconds, least observations]}.
 
     A frame ends with its block and is clipped at the first; statistics are NULL with
-    fewer observations than asked for, or without spread in time.
+    fewer observations than asked for, or without spread in time.  A frame of K blocks is merged from stretches of
+    1, 2, 4, ... blocks, each from two of half its size: some 2 log2(K) steps a row, whatever K, over one sorted partition.
     """
     one = F.struct(F.col("n"), *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in ("mean", "tbar", "m2", "stt", "stx")])
     order = Window.partitionBy(*keys).orderBy("block")
-    out = blocks.withColumns({"_one": one, "_rank": F.row_number().over(order)})
-    for name, (seconds, _) in frames.items():
-        frame = order.rowsBetween(1 - seconds // size, 0)
-        out = out.withColumns({f"_l_{name}": F.collect_list("_one").over(frame), f"inf_{name}": F.max(F.col("n_inf") > 0).over(frame)})
-    for name, (seconds, least) in frames.items():
-        out = out.withColumn(f"_m_{name}", merged(F.col(f"_l_{name}"))).drop(f"_l_{name}")
+    out = blocks.withColumns({"_s0": one, "_rank": F.row_number().over(order)})
+    lengths = {name: seconds // size for name, (seconds, _) in frames.items()}
+    for p in range(1, max(lengths.values()).bit_length()):
+        half = 1 << p - 1
+        out = out.withColumn("_before", F.lag(f"_s{p - 1}", half).over(order)).withColumn(f"_s{p}", merged_pair(F.col("_before"), F.col(f"_s{p - 1}")))
+    for name, k in lengths.items():
+        got = 0
+        for p in range(k.bit_length()):
+            if not k >> p & 1:
+                continue
+            if not got:
+                out = out.withColumn(f"_m_{name}", F.col(f"_s{p}"))
+            else:
+                out = out.withColumn("_before", F.lag(f"_s{p}", got).over(order)).withColumn(f"_m_{name}", merged_pair(F.col("_before"), F.col(f"_m_{name}")))
+            got += 1 << p
+        out = out.withColumn(f"inf_{name}", F.max(F.col("n_inf") > 0).over(order.rowsBetween(1 - k, 0)))
+    for name, (_, least) in frames.items():
         m = F.col(f"_m_{name}")
         enough = (m["n"] >= least) & (m["stt"] > 0)
         out = out.withColumns({
             f"n_{name}": m["n"], f"mean_{name}": F.when(enough, m["mean"]), f"std_{name}": F.when(enough, F.sqrt(F.greatest(m["m2"], F.lit(0.0)) / m["n"])), f"slope_{name}": F.when(enough, m["stx"] / m["stt"]),
-            f"missing_frac_{name}": 1 - m["n"] / (F.least(F.lit(seconds // size), F.col("_rank")) * size),
-        }).drop(f"_m_{name}")
-    return out.drop("_one", "_rank")
+            f"missing_frac_{name}": 1 - m["n"] / (F.least(F.lit(lengths[name]), F.col("_rank")) * size),
+        })
+    return out.drop(*[c for c in out.columns if c.startswith("_")])
 
 
-def features(readings: DataFrame, keys: list[str], time_col: str, start: int, end: int, sensors: tuple[str, ...] = SENSORS, cfg: dict = DEFAULT, warm_up: int | None = None) -> DataFrame:
+def features(
+    readings: DataFrame, keys: list[str], time_col: str, start: int, end: int, sensors: tuple[str, ...] = SENSORS, cfg: dict = DEFAULT, warm_up: int | None = None, declared: DataFrame | None = None, strict: bool = False
+) -> DataFrame:
     """(keys, window_start, feature columns, dq_reason, eligible) of every window of [start, end) for each key.
 
     dq_reason is the first of warm_up, all_sensors_missing, partial_sensor_missing,
-    non_finite_input and insufficient_observations that holds, else ''.
+    non_finite_input and insufficient_observations that holds, else ''.  declared: keys that have windows without any reading too.
+    Refused: another set of sensors (with ``strict`` any other column), and, when the plan runs, a reading outside of [start, end).
     """
     size, frames = cfg["window_s"], cfg["frames"]
+    others = set(readings.columns) - {*keys, time_col, *sensors}
+    if lost := [s for s in sensors if s not in readings.columns] or (sorted(others) if strict else []):
+        raise ValueError(f"readings must have exactly the sensors {list(sensors)}: {lost}")
     by = [*keys, "sensor"]
-    stats = block_stats(long_sensors(readings.where((F.col(time_col) >= start) & (F.col(time_col) < end)), keys, time_col, sensors), by, time_col, start, size)
-    r = rolling(dense_blocks(stats, by, start, end, size), by, size, frames)
+    t = F.col(time_col)
+    refused = F.raise_error(F.format_string(f"SplitSpanError: a reading at %s lies outside of [{start}, {end})", t.cast("string")))
+    rows = readings.select(*keys, F.when((t >= start) & (t < end), t).otherwise(refused.cast("long")).alias(time_col), *sensors)
+    stats = block_stats(long_sensors(rows, keys, time_col, sensors), by, time_col, start, size)
+    known = None if declared is None else declared.select(*keys).distinct().withColumn("sensor", F.explode(F.array(*map(F.lit, sensors))))
+    r = rolling(dense_blocks(stats, by, start, end, size, known), by, size, frames)
     r = r.withColumn(f"missing_frac_{size}s", 1 - F.col("n") / size)
     cols = []
     for s in sensors:
@@ -133,9 +151,8 @@ def features(readings: DataFrame, keys: list[str], time_col: str, start: int, en
 
 def excluded_report(windows: DataFrame, keys: list[str], size: int) -> DataFrame:
     """Per key and reason (all five, with zeros): windows and seconds excluded, of how many windows, and the observed share."""
-    spark = windows.sparkSession
     totals = windows.groupBy(*keys).agg(F.count("*").alias("windows_total"), F.count_if("eligible").alias("windows_eligible"))
-    grid = totals.join(F.broadcast(spark.createDataFrame([(r,) for r in REASONS], "dq_reason string")))  # five rows
+    grid = totals.withColumn("dq_reason", F.explode(F.array(*map(F.lit, REASONS))))
     counts = windows.where("dq_reason != ''").groupBy(*keys, "dq_reason").agg(F.count("*").alias("windows"))
     out = grid.join(counts, [*keys, "dq_reason"], "left").fillna(0, ["windows"])
     return out.withColumn("seconds", F.col("windows") * size).withColumn("observed_fraction", F.try_divide(F.col("windows_eligible").cast("double"), F.col("windows_total").cast("double")))

@@ -19,10 +19,18 @@ from ..config import DEFAULT
 from ..errors import NonFiniteEligibleInputError, TrainOnlyError
 
 
-def _only_train(frame: DataFrame, split: str) -> DataFrame:
-    if "split" in frame.columns and not frame.where(F.col("split") != split).isEmpty():
+def _only_train(frame: DataFrame, split: str) -> tuple[DataFrame, Column]:
+    """The eligible rows, and an aggregate that counts rows of other splits: the fit's own job tells whether it was allowed."""
+    other = F.col("split").eqNullSafe(F.lit(split)) if "split" in frame.columns else F.lit(True)
+    marked = frame.withColumn("_other", ~other).where(F.col("eligible") | F.col("_other"))
+    return marked, F.count_if("_other").alias("_others")
+
+
+def _allowed(got, split: str) -> None:
+    if got["_others"]:
         raise TrainOnlyError(f"a fit takes rows of {split} alone")
-    return frame.where("eligible")
+    if not got["n"]:
+        raise TrainOnlyError("no eligible training rows")
 
 
 def guarded(value: Column, name: str) -> Column:
@@ -32,11 +40,10 @@ def guarded(value: Column, name: str) -> Column:
 
 def train_mean_std(frame: DataFrame, columns: list[str], split: str = "train") -> dict[str, tuple[float, float]]:
     """Population mean and deviation of columns over eligible training rows, pooled over assets."""
-    rows = _only_train(frame, split)
+    rows, others = _only_train(frame, split)
     aggs = [f(c).alias(f"{c}__{n}") for c in columns for n, f in (("mean", F.avg), ("std", F.stddev_pop))]
-    got = rows.agg(F.count("*").alias("n"), *[F.count_if(~F.coalesce(F.abs(F.col(c)) < float("inf"), F.lit(False))).alias(f"{c}__bad") for c in columns], *aggs).first()
-    if not got["n"]:
-        raise TrainOnlyError("no eligible training rows")
+    got = rows.agg(F.count("*").alias("n"), others, *[F.count_if(~F.coalesce(F.abs(F.col(c)) < float("inf"), F.lit(False))).alias(f"{c}__bad") for c in columns], *aggs).first()
+    _allowed(got, split)
     if any(got[f"{c}__bad"] for c in columns):
         raise NonFiniteEligibleInputError("a training value is missing or not finite")
     return {c: (got[f"{c}__mean"], got[f"{c}__std"]) for c in columns}
@@ -76,10 +83,9 @@ class Scaler:
 
 def fit_scaler(frame: DataFrame, columns: list[str], epsilon: float = DEFAULT["iqr_epsilon"], split: str = "train") -> Scaler:
     """Exact quartiles over eligible training rows; columns with a range up to epsilon are dropped."""
-    rows = _only_train(frame, split)
-    got = rows.agg(F.count("*").alias("n"), *[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in columns]).first()
-    if not got["n"]:
-        raise TrainOnlyError("no eligible training rows")
+    rows, others = _only_train(frame, split)
+    got = rows.agg(F.count("*").alias("n"), others, *[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in columns]).first()
+    _allowed(got, split)
     kept = {c: got[c] for c in columns if got[c] and got[c][2] - got[c][0] > epsilon}
     return Scaler({c: q[1] for c, q in kept.items()}, {c: q[2] - q[0] for c, q in kept.items()}, tuple(c for c in columns if c not in kept), got["n"])
 
@@ -151,14 +157,17 @@ def fit_isolation_forest(frame: DataFrame, columns: list[str], order: list[str],
     Each tree takes the ``sample`` rows with the least hash of (seed, tree, key columns ``order``),
     so neither partitioning nor row order changes it, and no more than that reaches a tree.
     """
-    rows = _only_train(frame, split).select(*order, *[guarded(F.col(c), c).alias(c) for c in columns])
-    n = rows.count()
-    if not n:
-        raise TrainOnlyError("no eligible training rows")
+    rows, others = _only_train(frame, split)
+    got = rows.agg(F.count("*").alias("n"), others).first()
+    _allowed(got, split)
+    n = got["n"]
+    rows = rows.select(*order, *[guarded(F.col(c), c).alias(c) for c in columns])
     # a row is a candidate of a tree with a probability that leaves three times the sample; the least hashes of these are the least of all
     share = min(1.0, 3.0 * sample / n + 20.0 / n)
-    h = F.xxhash64(F.lit(seed), F.col("tree"), *order)
-    near = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("_h", h).where((F.shiftright("_h", 11) / float(1 << 52) + 1) / 2 < share)
+    h = lambda tree: F.xxhash64(F.lit(seed), tree, *order)
+    # the trees that may take a row are found before it is copied for each of them; most rows of a large frame have none
+    mine = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: (F.shiftright(h(tree), 11) / float(1 << 52) + 1) / 2 < share)
+    near = rows.withColumn("_mine", mine).where(F.size("_mine") > 0).withColumn("tree", F.explode("_mine")).drop("_mine").withColumn("_h", h(F.col("tree")))
     limit = math.ceil(math.log2(max(2, sample)))
     names = list(columns)
 

@@ -434,7 +434,7 @@ def _select_sql(where: str, cap: str) -> str:
  SELECT candidate_id, tp, fp, fn, total_alerts, {_c('f1')}, within_cap, rank, within_cap AND rank = 1 AS selected FROM c4"""
 
 
-ALOG = f"al AS (SELECT asset AS machine, window_start, window_start + {HOUR} AS window_end, 'rule' AS source, 's1' AS sensor, abs(z) AS score FROM w WHERE alert AND asset IN ('error', 'view'))"
+ALOG = f"al AS (SELECT asset AS machine, window_start, window_start + {HOUR} AS window_end, 'rule' AS source, 's1' AS sensor, abs(z) AS score FROM w WHERE alert)"
 
 SQL = {
     "block_stats": f"WITH {EV}, {LO} SELECT asset, sensor, (t - {START}) // {HOUR} * {HOUR} + {START} AS block, count(x) AS n, {_c('avg(x)', 'mean')}, {_c(f'avg(CASE WHEN x IS NOT NULL THEN t - {START} END)', 'tbar', 4)}, {_c(f'COALESCE(regr_syy(x, (t - {START})::DOUBLE), 0)', 'm2', 4)}, round(COALESCE(regr_sxy(x, (t - {START})::DOUBLE), 0) + 0.00137, 2) AS stx, 0::BIGINT AS n_inf FROM lo GROUP BY ALL",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import SENSORS
@@ -15,28 +15,28 @@ from ..functions.columns import finite, iso_utc
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
     """(arrival_seq, raw) of a JSON-lines file: every line is a message, blank ones too; only the empty piece after a last line feed is none.
 
-    The order of arrival is the order in the file: the rows of one file are numbered by
-    the place of the line within it, which parts of a file read apart can't know, so a file is read as one split.  Files of
-    a folder are ordered by name.
+    arrival_seq counts lines over the whole source, files of a folder in the order of their names.  Large files are read in
+    splits: a line's number is its place in its split, after the lines of the splits before, of which a row each is gathered.
+    A line that isn't UTF-8 is no message: it is kept, each of its bytes beyond ASCII as \\xNN, and as that is no JSON escape it is a bad payload.
     """
     status = _status(spark, path)
     if status is None:
         raise IngestSourceError("missing_source", path)
     if status == 0:
         raise IngestSourceError("zero_byte_source", path)
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("_file"), "content")
-    lines = files.select("_file", F.posexplode(F.split(F.regexp_replace(_text("content"), "\n$", ""), "\n", -1)).alias("line", "raw"))
-    rank = files.select("_file").distinct().orderBy("_file")
-    if rank.count() == 1:
-        return lines.select(F.col("line").cast("long").alias("arrival_seq"), "raw")
-    order = [r[0] for r in rank.collect()]  # a row per file
-    number = F.create_map(*[x for i, f in enumerate(order) for x in (F.lit(f), F.lit(i))])
-    return lines.select((number[F.col("_file")].cast("long") * (1 << 40) + F.col("line")).alias("arrival_seq"), "raw")
-
-
-def _text(column: str):
-    """Bytes as text; bytes that are no UTF-8 become replacement characters, which no message may hold."""
-    return F.when(F.is_valid_utf8(F.col(column).cast("string")), F.col(column).cast("string")).otherwise(F.make_valid_utf8(F.col(column).cast("string")))
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
+    splits = lines.groupBy("_file", "_start").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per split
+    base = splits.select(F.col("_file").alias("_f"), F.col("_start").alias("_s"), (before - F.col("_first")).alias("_base"))
+    numbered = lines.join(base, (F.col("_file") == F.col("_f")) & (F.col("_start") == F.col("_s")))
+    return numbered.select((F.col("_id") + F.col("_base")).alias("arrival_seq"), _text("value").alias("raw"))
+
+
+def _text(column: str) -> Column:
+    """A line as it is, or where its bytes are no UTF-8 with those beyond ASCII as \\xNN."""
+    each = F.split(F.decode(F.col(column).cast("binary"), "ISO-8859-1"), "")
+    escaped = F.transform(each, lambda c: F.when(F.ascii(c) < 128, c).otherwise(F.concat(F.lit("\\x"), F.lower(F.hex(F.ascii(c))))))
+    return F.when(F.is_valid_utf8(column), F.col(column)).otherwise(F.array_join(escaped, ""))
 
 
 def _status(spark: SparkSession, path: str) -> int | None:
