@@ -149,6 +149,41 @@ def event_scores(windows: DataFrame, labels: DataFrame, keys: list[str], size: i
     })
 
 
+def stratum_report(windows: DataFrame, labels: DataFrame, keys: list[str], size: int, gap: int, tail: int, channels: list[str], quantiles: tuple[float, ...] = (0.5, 0.9)) -> DataFrame:
+    """(keys, windows_total, event_level, point_level): one row per stratum with everything that is scored of it.
+
+    windows need in_stop, in_change and dq_reason.  event_level is a struct, its tables arrays of structs; point_level maps a channel to its
+    confusion.  A stratum's tables hold its events and episodes, which is what a report is for.
+    """
+    scores, m = event_scores(windows, labels, keys, size, gap, tail, quantiles), match(labels, debounce(windows, keys, size, gap), keys, tail)
+
+    def recalls(by: str) -> DataFrame:
+        one = F.struct("events", F.col("matched").alias("tp"), (F.col("events") - F.col("matched")).alias("fn"), "recall")
+        return recall_by(labels, m, keys, by, channels if by == "channel" else None).groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(by), one.alias("value"))))).alias(f"_{by}"))
+
+    others = labels.select(*keys, "event_id", "fault_type", "channel")
+    table = m.join(others, [*keys, "event_id"]).join(overlaps(labels, keys, tail), [*keys, "event_id"]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("onset", "event_id", "end", "fault_type", "channel", "matched_start", "delay", "overlapping"))).alias("_matches"))
+    used = m.where("matched_start is not null").select(*keys, F.col("matched_start").alias("start"), F.col("event_id").alias("matched_event"))
+    runs = debounce(windows, keys, size, gap, ("in_stop", "in_change")).join(used, [*keys, "start"], "left")
+    runs = runs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("episode", "start", "end", "n_windows", F.col("in_stop").alias("in_planned_stop"), F.col("in_change").alias("in_unseen_normal_change"), "matched_event"))).alias("_episodes"))
+    excluded = excluded_by_reason(windows, labels, keys, size, channels).groupBy(*keys, "channel").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("dq_reason", F.struct("windows", "positive_windows").alias("value"))))).alias("excluded_by_reason"))
+    points = point_scores(windows, labels, keys, size, channels).join(excluded, [*keys, "channel"], "left")
+    confusion = F.struct("tp", "fp", "fn", "tn", "precision", "recall", "f1", "eligible_windows", "eligible_positive_windows", "excluded_windows", "excluded_positive_windows", "excluded_by_reason", "coverage")
+    points = points.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("channel", confusion.alias("value")))).alias("point_level"))
+    x = reduce(lambda a, b: a.join(b, keys, "left"), (recalls("fault_type"), recalls("channel"), table, runs, points), scores)
+    event = F.struct(
+        "tp", "fp", "fn", "precision", "recall", "f1", "events", "episodes", F.lit("generic alert precision (no predicted fault type)").alias("precision_kind"),
+        F.col("_fault_type").alias("recall_by_fault_type"), F.col("_channel").alias("recall_by_channel"),
+        "false_alerts_operating", F.col("operating_hours").alias("operating_hours_observed_eligible"), "false_alerts_per_operating_hour",
+        F.struct(F.col("stop_unmatched").alias("unmatched_episodes"), F.col("stop_episodes").alias("episodes_starting"), F.col("stop_hours").alias("observed_hours"), F.col("stop_false_alerts_per_hour").alias("false_alerts_per_observed_hour")).alias("planned_stop"),
+        F.struct(F.col("change_unmatched").alias("unmatched_episodes"), F.col("change_alert_seconds").alias("alert_active_seconds"), F.col("change_hours").alias("observed_hours"), F.col("change_false_alerts_per_hour").alias("false_alerts_per_observed_hour")).alias("unseen_normal_change"),
+        "alert_active_fraction_operating",
+        F.struct(F.col("tp").alias("matched_events"), "events", "miss_rate", *[F.col(f"delay_p{round(100 * q)}").alias(f"p{round(100 * q)}") for q in quantiles], F.lit("linear").alias("quantile_method")).alias("delay"),
+        F.coalesce("_matches", F.array()).alias("match_table"), F.coalesce("_episodes", F.array()).alias("episodes_table"),
+    )
+    return x.select(*keys, "windows_total", event.alias("event_level"), "point_level")
+
+
 def recall_by(labels: DataFrame, matches: DataFrame, keys: list[str], by: str, values: list[str] | None = None) -> DataFrame:
     """(keys, by, events, matched, recall); with ``values`` each of them shows, without events too."""
     x = labels.select(*keys, "event_id", by).join(matches.select(*keys, "event_id", "matched_start"), [*keys, "event_id"], "left")

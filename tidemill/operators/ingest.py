@@ -113,6 +113,19 @@ def reconciliation(log: DataFrame) -> DataFrame:
     return both.withColumn("handled", F.sum("n").over(Window.partitionBy()))
 
 
+def reconciled(log: DataFrame, facts: DataFrame, lines: int | None = None) -> DataFrame:
+    """One row that says whether nothing was lost: messages handled, their categories, facts, and the lines of the source if known.
+
+    consistent: the categories add up to the messages, every accepted message is a fact and no other, and every line was handled.
+    """
+    counts = [F.count_if(F.col("category") == c).alias(c) for c in CATEGORIES]
+    x = log.agg(F.count("*").alias("handled"), *counts).join(F.broadcast(facts.agg(F.count("*").alias("facts"))))  # a row each
+    total = sum((F.col(c) for c in CATEGORIES), F.lit(0))
+    same = (total == F.col("handled")) & (F.col("facts") == F.col("accepted"))
+    x = x.withColumn("source_lines", F.lit(lines).cast("long"))
+    return x.withColumn("consistent", same & F.coalesce(F.col("source_lines") == F.col("handled"), F.lit(True)))
+
+
 def summary(log: DataFrame) -> DataFrame:
     """Per tag: messages by category, accepted rows and the newest accepted second."""
     counts = [F.count_if(F.col("category") == c).alias(c) for c in CATEGORIES]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, SENSORS
-from ..errors import InsufficientBaselineError, MissingFitBoundaryError
+from ..errors import InsufficientBaselineError, MissingFitBoundaryError, NonFiniteBaselineError, NonFiniteEligibleInputError
 from . import models
 
 KEY = ["machine", "window_start", "source", "sensor"]
@@ -48,10 +48,16 @@ def fit_baseline(frame: DataFrame, columns: list[str], warm_up_windows: int = 18
     if seen["n"] < warm_up_windows:
         raise InsufficientBaselineError(f"{seen['n']} eligible windows, {warm_up_windows} needed")
     first = first.drop("split") if "split" in first.columns else first
+    bad = first.agg(*[F.count_if(~F.coalesce(F.abs(F.col(c)) < float("inf"), F.lit(False))).alias(c) for c in columns]).first()
+    if lost := [c for c in columns if bad[c]]:
+        raise NonFiniteBaselineError(f"the baseline has missing or infinite values in {lost}")
     scaler = models.fit_scaler(first, columns, cfg["iqr_epsilon"])
     f = cfg["forest"]
     forest = models.fit_isolation_forest(models.scaled(first, scaler), scaler.columns, ["window_start"], f["trees"], f["sample"], f["seed"])
-    threshold = models.score_thresholds(models.anomaly_scores(first, forest, scaler=scaler), f["quantiles"])[-1]
+    try:
+        threshold = models.score_thresholds(models.anomaly_scores(first, forest, scaler=scaler), f["quantiles"])[-1]
+    except NonFiniteEligibleInputError as e:
+        raise NonFiniteBaselineError(str(e)) from e
     return Baseline(scaler, forest, threshold, seen["last"])
 
 
@@ -81,13 +87,21 @@ def new_alerts(alerts: DataFrame, log: DataFrame | None) -> DataFrame:
 
 
 def append_alerts(alerts: DataFrame, path: str) -> dict[str, int]:
-    """Append to the Parquet log at ``path``; rows offered and rows written."""
+    """Append to the Parquet log at ``path``, partitioned by the window's day; rows offered and rows written.
+
+    Only days from the first to the last that is offered are read.
+    """
     spark = alerts.sparkSession
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-    new = new_alerts(alerts, spark.read.parquet(path) if there else None).withColumn("generated_at", F.current_timestamp()).cache()
-    counts = {"rows_offered": alerts.count(), "rows_written": new.count()}
-    new.write.mode("append").parquet(path)
+    alerts = alerts.withColumn("day", F.floor(F.col("window_start") / 86400).cast("long"))
+    offered = alerts.agg(F.count("*").alias("n"), F.min("day").alias("lo"), F.max("day").alias("hi")).first()
+    if not offered["n"]:
+        return {"rows_offered": 0, "rows_written": 0}
+    log = spark.read.parquet(path).where(F.col("day").between(offered["lo"], offered["hi"])) if there else None
+    new = new_alerts(alerts, log).withColumn("generated_at", F.current_timestamp()).cache()
+    counts = {"rows_offered": offered["n"], "rows_written": new.count()}
+    new.write.mode("append").partitionBy("day").parquet(path)
     new.unpersist()
     return counts
 

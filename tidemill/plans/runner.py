@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, SENSORS, fingerprint
-from ..errors import SelectionIntegrityError
+from ..errors import LockedSeedsError, SelectionIntegrityError
 from ..operators import episodes, features, models
 from ..sources import generator
 
@@ -26,11 +26,22 @@ def dataset_features(data: dict[str, DataFrame], cfg: dict = DEFAULT) -> DataFra
     """Feature windows of all strata; nothing crosses from split to split."""
     out = None
     for s in data["splits"].collect():  # three rows
-        part = features.features(data["readings"].where(F.col("split") == s["split"]), KEYS, "ts_epoch", s["start"], s["end"], SENSORS, cfg)
+        here = F.col("split") == s["split"]
+        part = features.features(data["readings"].where(here), KEYS, "ts_epoch", s["start"], s["end"], SENSORS, cfg, declared=data["strata"].where(here), strict=True)
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def guard(windows: DataFrame, data: dict[str, DataFrame], cfg: dict = DEFAULT) -> None:
+    """Refuse splits that overlap, windows that aren't the whole grid of their split, alerts where there is no score, and events that have
+    no stratum here, occur twice or pass their split's end."""
+    spans = {r["split"]: (r["start"], r["end"]) for r in data["splits"].collect()}  # three rows
+    episodes.validate_splits(spans)
+    episodes.validate(windows, KEYS, cfg["window_s"], spans)
+    here = windows.select(*KEYS).distinct()
+    episodes.validate_labels(data["fault_events"].join(here.select("split").distinct(), "split", "left_semi"), here, KEYS, spans, cfg["tail_s"])
+
+
 def with_flags(windows: DataFrame, data: dict[str, DataFrame]) -> DataFrame:
     return episodes.flagged(episodes.flagged(windows, data["planned_stops"], KEYS, "in_stop"), data["normal_changes"], KEYS, "in_change")
 
@@ -63,6 +74,7 @@ def select(data: dict[str, DataFrame], frames: DataFrame, cfg: dict = DEFAULT, f
     forest = models.fit_isolation_forest(rows, scaler.columns, [*KEYS, "window_start"], f["trees"], f["sample"], f["seed"])
     thresholds = models.score_thresholds(models.anomaly_scores(train, forest, scaler=scaler if fit_on_scaled else None), f["quantiles"])
     by = ["candidate_id", "strictness", *KEYS]
+    guard(episodes.no_alert(val), data, cfg)
     flagged = with_flags(val, data)
     static = models.static_candidates(flagged, bands, cfg["static_k"])
     scored = models.anomaly_scores(flagged, forest, scaler=scaler)
@@ -84,6 +96,7 @@ def score_test(selection: dict, fitted: dict, data: dict[str, DataFrame], frames
         raise SelectionIntegrityError("the selection isn't the one that was made")
     test = with_flags(frames.where("split = 'test'"), data)
     labels = data["fault_events"].where("split = 'test'")
+    guard(episodes.always_alert(test), data, cfg)
     out = {}
     for name in ("static_threshold", "isolation_forest"):
         s = selection[name]
@@ -95,6 +108,7 @@ def score_test(selection: dict, fitted: dict, data: dict[str, DataFrame], frames
             alerts = models.static_threshold_alert(test, fitted["bands"], s["strictness"])
         else:
             alerts = models.score_alert(models.anomaly_scores(test, fitted["forest"], scaler=fitted["scaler"]), s["strictness"])
+        out[f"{name}_report"] = episodes.stratum_report(alerts, labels, KEYS, cfg["window_s"], cfg["gap_s"], cfg["tail_s"], CHANNELS, tuple(cfg["delay_quantiles"]))
         out[f"{name}_events"] = _scores(alerts, labels, KEYS, cfg)
         out[f"{name}_points"] = episodes.point_scores(alerts, labels, KEYS, cfg["window_s"], CHANNELS)
     for name, f in (("no_alert", episodes.no_alert), ("always_alert", episodes.always_alert)):
@@ -102,10 +116,12 @@ def score_test(selection: dict, fitted: dict, data: dict[str, DataFrame], frames
     return out
 
 
-def run(spark: SparkSession, table: str = "dev", cfg: dict = DEFAULT) -> dict:
-    """Generate, select, score: {table, config, selection, test}."""
+def run(spark: SparkSession, table: str = "dev", cfg: dict = DEFAULT, allow_locked: bool = False) -> dict:
+    """Generate, select, score: {table, config, dataset, selection, prevalence, test}.  The locked table is for one evaluation and is refused here."""
+    if allow_locked:
+        raise LockedSeedsError("a run never takes the locked table")
     data = generator.generate(spark, table, cfg)
     data["readings"] = data["readings"].cache()
     frames = dataset_features(data, cfg).cache()
     selection, fitted = select(data, frames, cfg)
-    return {"table": table, "config": fingerprint(cfg), "selection": selection, "test": score_test(selection, fitted, data, frames, cfg)}
+    return {"table": table, "config": fingerprint(cfg), "dataset": generator.digest(data["readings"]), "selection": selection, "prevalence": generator.prevalence_report(data, cfg), "test": score_test(selection, fitted, data, frames, cfg)}

@@ -2,7 +2,8 @@
 
 Late messages are labelled, never dropped, and each machine has a mark of its own, so
 no global watermark is used.  State per machine: the newest accepted second, and the content hash of every second
-seen (RocksDB).  A restarted query takes its state from the checkpoint.
+seen (RocksDB).  A restarted query takes its state from the checkpoint; a new one can begin with the state that a log of
+earlier messages implies.
 """
 
 from __future__ import annotations
@@ -28,6 +29,17 @@ class Ingester(StatefulProcessor):
         self.mark = handle.getValueState("mark", StructType([StructField("ts", LongType())]))
         self.seen = handle.getMapState("seen", StructType([StructField("ts", LongType())]), StructType([StructField("hash", StringType())]))
 
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        """The seconds that a log has of this machine, and the newest it accepted."""
+        got = self.mark.get()
+        marks = [] if got is None else [got[0]]
+        for r in initialState.itertuples(index=False):
+            self.seen.updateValue((int(r.ts_epoch),), (r.content_hash,))
+            if r.accepted:
+                marks.append(int(r.ts_epoch))
+        if marks:
+            self.mark.update((max(marks),))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         got = self.mark.get()
         mark = got[0] if got is not None else None
@@ -56,15 +68,25 @@ class Ingester(StatefulProcessor):
         pass
 
 
-def classify_stream(messages: DataFrame, tags: list[str], cfg: dict = DEFAULT) -> DataFrame:
-    """A stream (arrival_seq, raw) with its categories; the session must use the RocksDB state store (``STORE``)."""
+def state_of(log: DataFrame) -> DataFrame:
+    """(lane, ts_epoch, content_hash, accepted): what a log of classified messages says of each second, that is the first message of each."""
+    first = log.where("category in ('accepted', 'out_of_order_rejected')")
+    return first.select(F.col("tag").alias("lane"), "ts_epoch", "content_hash", (F.col("category") == "accepted").alias("accepted"))
+
+
+def classify_stream(messages: DataFrame, tags: list[str], cfg: dict = DEFAULT, log: DataFrame | None = None) -> DataFrame:
+    """A stream (arrival_seq, raw) with its categories; the session must use the RocksDB state store (``STORE``).
+
+    log: classified messages that came before the stream; a query without a checkpoint of its own begins where they ended.
+    """
     x = parse(messages.select("arrival_seq", "raw"), cfg)
     category = F.when(F.col("reason").isNotNull(), "bad_payload").when(~F.col("tag").isin(tags), "unknown_tag")
     x = x.withColumn("category", category)
     x = x.withColumn("lane", F.when(F.col("category").isNull(), F.col("tag")).otherwise(F.concat(F.lit("\0"), F.pmod(F.xxhash64("arrival_seq"), F.lit(64)).cast("string"))))
     columns = ["arrival_seq", "raw", "tag", "ts_epoch", *SENSORS, "content_hash", "category"]
     schema = "arrival_seq bigint, raw string, tag string, ts_epoch bigint, " + ", ".join(f"{s} double" for s in SENSORS) + ", content_hash string, category string"
-    return x.select("lane", *columns).groupBy("lane").transformWithStateInPandas(Ingester(), schema, "Append", "None")
+    before = None if log is None else state_of(log).groupBy("lane")
+    return x.select("lane", *columns).groupBy("lane").transformWithStateInPandas(Ingester(), schema, "Append", "None", initialState=before)
 
 
 def write_log(classified: DataFrame, path: str, checkpoint: str):
