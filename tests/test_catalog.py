@@ -39,6 +39,59 @@ def test_stream_equals_batch(spark, sf):
     assert sorted(a) == sorted(b)
 
 
+def test_stream_goes_on_from_a_log(spark, sf):
+    """A new query, without a checkpoint, begins with what a log of the earlier messages implies."""
+    from tidemill.streaming import ingest as stream
+    from tidemill.streaming.replay import replayed
+
+    m = catalog._messages(spark, sf)
+    tags = [f"LINE_A.U{i}" for i in range(2000) if i % 10 != 7]
+    want = {r["arrival_seq"]: r["category"] for r in catalog.ingest_categories(spark, sf).collect()}
+    middle = sorted(want)[len(want) // 2]
+    first = replayed(m.where(f"arrival_seq < {middle}"), lambda s: stream.classify_stream(s, tags), 1)
+    then = replayed(m.where(f"arrival_seq >= {middle}"), lambda s: stream.classify_stream(s, tags, log=first), 2)
+    got = {r["arrival_seq"]: r["category"] for r in first.unionByName(then).collect()}
+    assert got == want
+    late = [c for a, c in want.items() if a >= middle]
+    assert "duplicate" in late and "reading_conflict" in late
+
+
+def test_stream_goes_on_after_a_crash(spark, sf, tmp_path):
+    """A query that fails in its second batch leaves the first; started again it handles every message once."""
+    from tidemill.streaming import ingest as stream
+
+    m = catalog._messages(spark, sf).cache()
+    tags = [f"LINE_A.U{i}" for i in range(2000) if i % 10 != 7]
+    want = {r["arrival_seq"]: r["category"] for r in catalog.ingest_categories(spark, sf).collect()}
+    middle = sorted(want)[len(want) // 2]
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+
+    def start(operator):
+        rows = spark.readStream.schema(m.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        return stream.write_log(operator(rows), f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+
+    def failing(rows):
+        broken = catalog.F.when(catalog.F.col("arrival_seq") == middle, catalog.F.raise_error(catalog.F.lit("crash"))).otherwise(catalog.F.col("raw"))
+        return stream.classify_stream(rows.withColumn("raw", broken), tags)
+
+    try:
+        spark.conf.set(key, stream.STORE)
+        m.where(f"arrival_seq < {middle}").coalesce(1).write.parquet(f"{tmp_path}/in")
+        start(failing).awaitTermination()
+        done = spark.read.parquet(f"{tmp_path}/out").count()
+        assert done == sum(a < middle for a in want)
+        m.where(f"arrival_seq >= {middle}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        with pytest.raises(Exception, match="crash"):
+            start(failing).awaitTermination()
+        assert spark.read.parquet(f"{tmp_path}/out").count() == done
+        start(lambda rows: stream.classify_stream(rows, tags)).awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert len(got) == len(want) and {r["arrival_seq"]: r["category"] for r in got} == want
+
+
 def test_alert_log_of_all_assets(spark, sf):
     con = duckdb.connect()
     con.sql(f"create view events as select * from '{sf}/events.parquet'")

@@ -81,3 +81,40 @@ def test_refusals(spark, noisy):
     for bad in (columns[1:], [*columns, "fault_type"], columns[::-1]):
         with pytest.raises(LeakError):
             features.assert_no_leak(bad, columns)
+
+
+def test_readings_outside_of_the_split(spark, noisy):
+    for more in ({"start": T0 + 10}, {"end": T0 + 3990}):
+        with pytest.raises(Exception, match="SplitSpanError"):
+            frame(spark, 4000, noisy, **more).collect()
+
+
+def test_declared_assets_and_sensors(spark):
+    rows = [("a", T0 + i, 1.0, 2.0, 3.0, 4.0) for i in range(100)]
+    df = spark.createDataFrame(rows, "asset string, t bigint, " + ", ".join(f"{s} double" for s in SENSORS))
+    declared = spark.createDataFrame([("a",), ("b",)], "asset string")
+    got = features.features(df, ["asset"], "t", T0, T0 + 100, warm_up=0, declared=declared).groupBy("asset", "dq_reason").count().collect()
+    assert {(r["asset"], r["dq_reason"]): r["count"] for r in got} == {("a", "insufficient_observations"): 10, ("b", "all_sensors_missing"): 10}
+    with pytest.raises(ValueError, match="vibration_rms"):
+        features.features(df.drop("vibration_rms"), ["asset"], "t", T0, T0 + 100)
+    with pytest.raises(ValueError, match="humidity"):
+        features.features(df.withColumn("humidity", df["t"]), ["asset"], "t", T0, T0 + 100, strict=True)
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 7, 30, 180])
+def test_frames_of_any_length(spark, k):
+    """Moments of trailing frames, by numpy, also over blocks without values."""
+    r = np.random.default_rng(k)
+    x = 1e4 + r.standard_normal(2000)
+    x[r.random(2000) < 0.3] = np.nan
+    x[500:700] = np.nan
+    df = spark.createDataFrame([("a", T0 + i, float(v)) for i, v in enumerate(x) if np.isfinite(v)], "asset string, t bigint, x double")
+    stats = features.block_stats(df, ["asset"], "t", T0, 10)
+    got = features.rolling(features.dense_blocks(stats, ["asset"], T0, T0 + 2000, 10), ["asset"], 10, {"f": [10 * k, 2]}).orderBy("block").collect()
+    for w, row in enumerate(got):
+        own = x[max(0, 10 * (w + 1 - k)) : 10 * (w + 1)]
+        t = np.flatnonzero(np.isfinite(own))
+        assert row["n_f"] == len(t) and row["missing_frac_f"] == pytest.approx(1 - len(t) / len(own))
+        if len(t) >= 2:
+            assert row["mean_f"] == pytest.approx(own[t].mean(), rel=1e-12) and row["std_f"] == pytest.approx(own[t].std(), rel=1e-9, abs=1e-9)
+            assert row["slope_f"] == pytest.approx(np.polyfit(t - t[0], own[t], 1)[0], rel=1e-6, abs=1e-9)

@@ -126,3 +126,46 @@ def test_selection_is_sealed():
     s["a"] = 2
     with pytest.raises(SelectionIntegrityError):
         runner.score_test(s, {}, {}, None)
+
+
+def test_intervals():
+    free = [(0, 10), (20, 25)]
+    assert generator.without(free, [(3, 5), (9, 22), (-4, 1)]) == [(1, 3), (5, 9), (22, 25)]
+    assert generator.without(free, []) == free and generator.without(free, [(-1, 30)]) == []
+    assert [generator.at_rank(free, i) for i in (0, 9, 10, 14)] == [0, 9, 20, 24]
+    with pytest.raises(IndexError):
+        generator.at_rank(free, 15)
+
+
+def test_quotas_are_exact():
+    for s in generator.splits("dev"):
+        days, n = len(s["seeds"]), len(s["seeds"]) * len(s["assets"])
+        q = generator.quotas(s)
+        assert not q.duplicated().any()
+        for kind, (_, _, _, (rule, value), _, _) in DEFAULT["faults"].items():
+            own = q[q["fault_type"] == kind]
+            if rule == "share":
+                assert all((own["asset"] == a).sum() == int(value * days + 0.5) for a in s["assets"])
+            else:
+                assert len(own) == int(n / value + 0.5)
+        events = generator.plan_faults(s)
+        assert len({e["event_id"] for e in events}) == len(events) == len(q)
+
+
+def test_a_baseline_must_be_finite(spark):
+    from tidemill.errors import NonFiniteBaselineError
+
+    for bad in (float("nan"), float("inf"), None):
+        frame = wide(spark, 60).withColumn("line_pressure_bar__mean_5m", monitoring.F.when(monitoring.F.col("window_start") == 100, monitoring.F.lit(bad).cast("double")).otherwise(monitoring.F.col("line_pressure_bar__mean_5m")))
+        with pytest.raises(NonFiniteBaselineError, match="line_pressure_bar__mean_5m"):
+            monitoring.fit_baseline(frame, [c for c in frame.columns if "__" in c], 50)
+
+
+def test_the_alert_log_reads_the_days_it_needs(spark, tmp_path):
+    rows = spark.createDataFrame([("m", d * 86400 + 10, d * 86400 + 20, "rule", "x", 1.0, "") for d in range(5)], "machine string, window_start bigint, window_end bigint, source string, sensor string, score double, detail string")
+    path = str(tmp_path / "log")
+    assert monitoring.append_alerts(rows.limit(0), path) == {"rows_offered": 0, "rows_written": 0}
+    assert monitoring.append_alerts(rows, path) == {"rows_offered": 5, "rows_written": 5}
+    assert monitoring.append_alerts(rows.where("window_start > 200000").unionByName(rows.withColumn("source", monitoring.F.lit("model"))), path) == {"rows_offered": 7, "rows_written": 5}
+    log = spark.read.parquet(path)
+    assert log.count() == 10 and log.dropDuplicates(monitoring.KEY).count() == 10 and {r["day"] for r in log.select("day").distinct().collect()} == set(range(5))

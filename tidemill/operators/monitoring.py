@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, SENSORS
@@ -86,19 +86,26 @@ def new_alerts(alerts: DataFrame, log: DataFrame | None) -> DataFrame:
     return once if log is None else once.join(log.select(*KEY), KEY, "left_anti")
 
 
+LOG = "machine string, window_start bigint, window_end bigint, source string, sensor string, score double, detail string, generated_at timestamp, day bigint"
+
+
+def alert_log(spark: SparkSession, path: str) -> DataFrame:
+    """The alert log at ``path``; without one, no rows."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    return spark.read.schema(LOG).parquet(path) if there else spark.createDataFrame([], LOG)
+
+
 def append_alerts(alerts: DataFrame, path: str) -> dict[str, int]:
     """Append to the Parquet log at ``path``, partitioned by the window's day; rows offered and rows written.
 
     Only days from the first to the last that is offered are read.
     """
-    spark = alerts.sparkSession
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
     alerts = alerts.withColumn("day", F.floor(F.col("window_start") / 86400).cast("long"))
     offered = alerts.agg(F.count("*").alias("n"), F.min("day").alias("lo"), F.max("day").alias("hi")).first()
     if not offered["n"]:
         return {"rows_offered": 0, "rows_written": 0}
-    log = spark.read.parquet(path).where(F.col("day").between(offered["lo"], offered["hi"])) if there else None
+    log = alert_log(alerts.sparkSession, path).where(F.col("day").between(offered["lo"], offered["hi"]))
     new = new_alerts(alerts, log).withColumn("generated_at", F.current_timestamp()).cache()
     counts = {"rows_offered": offered["n"], "rows_written": new.count()}
     new.write.mode("append").partitionBy("day").parquet(path)

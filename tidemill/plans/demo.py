@@ -31,6 +31,6 @@ def seed(spark: SparkSession, path: str, hours: int = 3, asset: str = "FILLER",
 
 def view(spark: SparkSession, path: str, machine: str) -> dict[str, DataFrame]:
     """What a dashboard shows of a seeded folder."""
-    log, alerts = spark.read.parquet(f"{path}/log"), spark.read.parquet(f"{path}/alerts")
+    log, alerts = spark.read.parquet(f"{path}/log"), monitoring.alert_log(spark, f"{path}/alerts")
     newest = views.latest_readings(ingest.readings(log), machine)
     return {"readings": newest, "sensors": views.sensor_long(newest), "alerts": views.recent_alerts(alerts, machine), "by_source": views.alert_summary(alerts, machine), "ingest": ingest.summary(log)}
