@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, shared_folder, slices, table_name
+from .common import held, released, shared_folder, slices, table_name
 
 #: Bytes of text a block; a longer text is a block of its own.  Bytes of text a bucket of blocks.
 BLOCK, BUCKET = 16 << 20, 64 << 20
@@ -59,7 +59,7 @@ def stored(df: DataFrame, text_col: str, size: int = BLOCK, make: Callable[[list
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
     path = shared_folder(spark)
     with held(spark):
-        rows = df.mapInArrow(run, "block bigint, body binary")
+        rows = df.mapInArrow(released(run), "block bigint, body binary")
         rows.write.bucketBy(buckets, "block").option("path", path).option("compression", "none").saveAsTable(table_name(path))
     return Blocks(spark.table(table_name(path)), buckets)
 
@@ -136,11 +136,11 @@ def answered(of: Blocks, keys_of: Callable[[bytes], np.ndarray], model: DataFram
                     raise RuntimeError(f"block {block} asked for {len(keys)} keys and got {len(values)}")
                 yield from use(body, keys, values)
 
-    asked = table.mapInArrow(ask, "range int, block bigint, data binary").unionByName(model.select("key", "value").mapInArrow(deal, "range int, block bigint, data binary"))
-    answers = asked.repartition("range").sortWithinPartitions("range", "block").mapInArrow(answer, "block bigint, range int, data binary")
+    asked = table.mapInArrow(released(ask), "range int, block bigint, data binary").unionByName(model.select("key", "value").mapInArrow(released(deal), "range int, block bigint, data binary"))
+    answers = asked.repartition("range").sortWithinPartitions("range", "block").mapInArrow(released(answer), "block bigint, range int, data binary")
     # as many partitions as the table has buckets, so that only the answers move; a block has no more of them than there are ranges
     answers = answers.repartition(buckets, "block").groupBy("block").agg(F.collect_list(F.struct("range", "data")).alias("answers"))
-    return table.hint("merge").join(answers, "block", "left").select("block", "body", "answers").mapInArrow(meet, schema)
+    return table.hint("merge").join(answers, "block", "left").select("block", "body", "answers").mapInArrow(released(meet), schema)
 
 
 class Values:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Blocks, batches_of
-from .common import few, mapped, mix, only, written
+from .common import few, mapped, mix, only, released, written
 
 ORDER = 5
 _START = "\x02"
@@ -128,7 +128,7 @@ class Counter:
         rest[own] = False
         if rest.any():
             self.more.append((new[rest], n[rest], gram[rest], group[rest]))
-            if sum(len(x[0]) for x in self.more) > 600_000:
+            if sum(len(x[0]) for x in self.more) > 300_000:
                 self._join()
 
     def _join(self) -> None:
@@ -147,7 +147,7 @@ class Counter:
                 yield [label[i] for i in group[a : a + 100_000]], texts_of(gram[a : a + 100_000]), n[a : a + 100_000]
 
     def full(self) -> bool:
-        return bool(self.more) and len(self.more[0][0]) > 400_000
+        return bool(self.more) and len(self.more[0][0]) > 200_000
 
 
 def count_grams(of: Blocks, order: int = ORDER) -> DataFrame:
@@ -166,10 +166,11 @@ def count_grams(of: Blocks, order: int = ORDER) -> DataFrame:
                     counter.add([t or "" for t in part.column(0).to_pylist()], part.column(1).to_pylist())
                     if counter.full():
                         yield from out(counter)
+                        counter = None
                         counter = Counter(order)
         yield from out(counter)
 
-    return of.table.select("block", "body").mapInArrow(run, "grp string, gram string, c bigint").groupBy("grp", "gram").agg(F.sum("c").alias("c"))
+    return of.table.select("block", "body").mapInArrow(released(run), "grp string, gram string, c bigint").groupBy("grp", "gram").agg(F.sum("c").alias("c"))
 
 
 def discounts(counts: DataFrame) -> DataFrame:

@@ -166,16 +166,33 @@ def mapped(df: DataFrame, each, schema: str | T.StructType, column: str = "text"
     return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(run, schema)  # any names
 
 
+def _release() -> None:
+    """Give back what this process has freed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def released(run):
+    """run(batches) for mapInArrow, after which the worker gives back the task's memory: it stays for other operators' tasks."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return whole
+
+
 def only(name: str, make):
     """What a worker process remembers from task to task: one operator's memory at a time, so that another's doesn't stay beside it."""
     if name not in _memo:
         _memo.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
+        _release()
         _memo[name] = make()
     return _memo[name]
 

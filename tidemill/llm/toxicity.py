@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import blocks, charlm
-from .common import documents, few, fields, fold, mapped, named, only, settled, slices, written
+from .common import documents, few, fields, fold, mapped, named, only, released, settled, slices, written
 
 ORDER, SHARED = 10, 5
 TOP, WINDOWS = (1, 2, 4), (8,)
@@ -117,7 +117,7 @@ def word_counts(train: DataFrame) -> DataFrame:
                     seen.clear()
         yield out()
 
-    rows = train.select("text", F.col("toxic").cast("int")).mapInArrow(run, "toxic int, word string, c bigint")
+    rows = train.select("text", F.col("toxic").cast("int")).mapInArrow(released(run), "toxic int, word string, c bigint")
     return rows.groupBy("toxic", "word").agg(F.sum("c").alias("c"))
 
 
@@ -211,7 +211,7 @@ def figures(df: DataFrame, rows: DataFrame, keep: tuple[str, ...] = ("doc_id",),
             out = [document_figures(value, of[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*[c.cast(f.type) for c, f in zip(part.columns[1:], arrow, strict=False)], *[pa.array(c, pa.float64()) for c in zip(*out, strict=True)]], schema=arrow)
 
-    ratios = settled(lambda: word_ratios(table.table.mapInArrow(distinct, "word string").distinct(), rows, order))
+    ratios = settled(lambda: word_ratios(table.table.mapInArrow(released(distinct), "word string").distinct(), rows, order))
     return blocks.answered(table, keys_of, ratios, use, schema)
 
 
