@@ -2,6 +2,7 @@
 
 import hashlib
 import heapq
+import math
 import re
 import zlib
 
@@ -474,6 +475,131 @@ def test_pipeline(spark, docs, none, texts, tmp_path):
     assert corpus_pipeline.run(spark, f"{d}/empty").count() == 0
 
 
+def plain_kept(rows):
+    """The quality rules by their definition; rows: (id, text, lang)."""
+    from test_scores import WORD, plain_base, plain_kn
+
+    from tidemill.llm import quality_rules as q
+
+    kept, bits = {}, {}
+    for lang in {g for _, _, g in rows}:
+        own = [(i, t or "") for i, t, g in rows if g == lang]
+        model = plain_kn([t for _, t in own], 5)
+        bins = []
+        for i, t in own:
+            words = sum(any(ord(c) > 127 or c.isalnum() for c in w) for w in WORD.findall(t))
+            bits[i] = -model(t) / math.log(2) / max(1, words)
+            n, _, _, _, repeated = plain_base(t)
+            kept[i] = not (n < 10 or 100 * repeated > 20 * n)
+            if kept[i]:
+                bins.append(math.floor(bits[i] / q.BIN + 0.5))
+        if not bins:
+            continue
+        bins.sort()
+        at = lambda share: bins[math.ceil(share * len(bins)) - 1] * q.BIN  # noqa: B023, E731
+        low, mid, high = at(0.25), at(0.5), at(0.75)
+        for i, t in own:
+            room = math.sqrt(1 + q.SHORT / max(1, plain_base(t)[0]))
+            kept[i] &= mid - q.WIDTH * max(mid - low, q.LEAST) * room <= bits[i] <= mid + q.WIDTH * max(high - mid, q.LEAST) * room
+    return kept
+
+
+def plain_copies(rows, weights=(3, 1, 2), share=1.5, most=2):
+    """The mix by its definition; rows: (id, source, size)."""
+    sources = sorted({s for _, s, _ in rows}, key=lambda s: (s is None, (s or "").encode()))
+    size = {s: sum(n for _, x, n in rows if x == s) for s in sources}
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(sources)}
+    target, left, open_ = {}, share * sum(size.values()), set(sources)
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        over = [s for s in open_ if level * weight[s] > most * size[s]]
+        if not over:
+            target |= {s: level * weight[s] for s in open_}
+            break
+        for s in over:
+            target[s] = most * size[s]
+            left -= target[s]
+            open_.remove(s)
+    copies = {}
+    for s in sources:
+        own = [(i, n) for i, x, n in rows if x == s]
+        asked = min(most, target[s] / size[s]) if size[s] else 0
+        whole, p = math.floor(asked), asked - math.floor(asked)
+        copies |= {i: whole for i, _ in own}
+        if p > 0:
+            u = {i: (int(hashlib.md5(f":{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for i, _ in own}
+            rest, upto, last = target[s] - whole * size[s], 0, -1
+            ranked = sorted(own, key=lambda x: (u[x[0]] / (1 - u[x[0]]), x[0]))  # noqa: B023
+            for k, (_, n) in enumerate(ranked):
+                upto += n
+                if 2 * upto - n <= 2 * rest:
+                    last = k
+            for i, _ in ranked[: last + 1]:
+                copies[i] += 1
+    return copies
+
+
+def plain_redacted(text):
+    if not text:
+        return text
+    hit = [False] * len(text)
+    first = set()
+    end = -1
+    for _, a, b in sorted(secrets.find_spans(text), key=lambda s: s[1]):
+        if a >= end:
+            first.add(a)
+        end = max(end, b)
+        hit[a:b] = [True] * (b - a)
+    return "".join(("[secret]" if i in first else "") + ("" if h else c) for i, (c, h) in enumerate(zip(text, hit, strict=True)))
+
+
+def test_stages_by_plain_versions(spark, docs, tmp_path):
+    """All rows of every stage, each on its own input."""
+    from test_pairs import plain_components
+    from tokenizers import Tokenizer
+
+    more = spark.createDataFrame([(900 + i, t + " and some more words so that it is long enough to stay here", "en", "b", len(t)) for i, t in enumerate(SECRETS)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    x = docs.select(*corpus_pipeline.COLUMNS).unionByName(more)
+    for name, stage in corpus_pipeline.STAGES:
+        given = x.collect()
+        out = stage(spark, x, "")
+        out.write.parquet(f"{tmp_path}/{name}")
+        x = spark.read.parquet(f"{tmp_path}/{name}")
+        got = x.collect()
+        if name == "quality_rules":
+            kept = plain_kept([(r["doc_id"], r["text"], r["lang"]) for r in given])
+            want = [r for r in given if kept[r["doc_id"]]]
+        elif name == "jaccard_join":
+            comp, _ = plain_components([r["text"] for r in given], 5, 80, 100)
+            least = {}
+            for r, c in zip(given, comp, strict=True):
+                least[c] = min(least.get(c, r["doc_id"]), r["doc_id"])
+            want = [r for r, c in zip(given, comp, strict=True) if least[c] == r["doc_id"]]
+            assert len(want) < len(given)
+        elif name == "secret_scan":
+            want = [(r["doc_id"], t := plain_redacted(r["text"]), r["lang"], r["source"], len(t)) for r in given]
+            assert any("[secret]" in r[1] for r in want)
+        elif name == "source_mix":
+            copies = plain_copies([(r["doc_id"], r["source"], len((r["text"] or "").encode().split())) for r in given])
+            want = [r for r in given for _ in range(copies[r["doc_id"]])]
+            assert set(copies.values()) > {1}
+        else:
+            t = Tokenizer.from_file(packing.tokenizer_path())
+            tokens = {r["doc_id"]: [*t.encode(r["text"] or "", add_special_tokens=False).ids, packing.END] for r in given}
+            assert sum(r["length"] for r in got) == sum(len(tokens[r["doc_id"]]) for r in given)
+            assert all(r["ids_crc32"] == zlib.crc32(np.array(tokens[r["doc_id"]][r["start"] : r["start"] + r["length"]], "<u4").tobytes()) and r["doc_tokens"] == len(tokens[r["doc_id"]]) for r in got)
+            count = {}
+            for r in given:
+                count[r["doc_id"]] = count.get(r["doc_id"], 0) + 1
+            cover = {}
+            for r in got:
+                for i in range(r["start"], r["start"] + r["length"]):
+                    cover[r["doc_id"], i] = cover.get((r["doc_id"], i), 0) + 1
+            assert cover == {(d, i): count[d] for d in count for i in range(len(tokens[d]))}
+            break
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, map(tuple, want))), name
+
+
 def test_pipeline_of_odd_rows(spark, odd, tmp_path):
     odd.write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0

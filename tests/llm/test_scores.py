@@ -381,7 +381,7 @@ def test_class_models(spark, texts):
 
 
 def test_numbers_of_words(texts):
-    n = toxicity.Numbers()
+    n = toxicity.Numbers(toxicity.Stripped(50))
     for t in [*texts, "A-b " + "q" * 95 + " .x. " + "!" * 50 + "y" * 41 + "!!", "a", "--- a", None]:
         of = n.of(t).tolist()
         words = list(n.words)

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import Blocks, batches_of
@@ -197,8 +197,9 @@ def weighted(counts: DataFrame, n: int) -> DataFrame:
     """(grp, gram, ctx, sfx, own, gamma) of n-grams: the discounted share of each, and the weight its context gives to lower orders."""
     x = _same(counts, discounts(counts)).withColumns({"ctx": F.expr(f"substring(gram, 1, {n - 1})"), "sfx": F.expr("substring(gram, 2)"), "d": F.expr("case c when 1 then d1 when 2 then d2 else d3 end")})
     # each context's followers are at most as many as characters exist
-    sums = x.groupBy("grp", "ctx").agg(F.sum("c").alias("total"), F.sum("d").alias("left"))
-    return _same(x, sums, "ctx").select("grp", "gram", "ctx", "sfx", F.expr("(c - d) / total").alias("own"), F.expr("left / total").alias("gamma"))
+    context = Window.partitionBy("grp", "ctx")
+    x = x.withColumns({"total": F.sum("c").over(context), "left": F.sum("d").over(context)})
+    return x.select("grp", "gram", "ctx", "sfx", F.expr("(c - d) / total").alias("own"), F.expr("left / total").alias("gamma"))
 
 
 def lower(counts: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -61,16 +61,32 @@ def tokens(text: str | None) -> list[str]:
     return out
 
 
+class Stripped(dict):
+    """Runs of a text without white space -> their word, None for those of several words; up to ``most`` are remembered from block to block."""
+
+    def __init__(self, most: int = 600_000):
+        super().__init__()
+        self.most = most
+
+    def __missing__(self, run: str) -> str | None:
+        if len(self) >= self.most:
+            self.clear()
+        w = run.strip(_TRIM)
+        self[run] = w = None if len(w) > _PIECE else w
+        return w
+
+
 class Numbers(dict):
-    """Runs of a text without white space -> the number of their word, -1 for those of several words; words are numbered as they come."""
+    """Runs of a block -> the number of their word, -1 for those of several words; words are numbered as they come."""
 
-    def __init__(self):
+    def __init__(self, stripped: Stripped):
         super().__init__()
         self.words: dict[str, int] = {}
+        self.stripped = stripped
 
     def __missing__(self, run: str) -> int:
-        w = run.strip(_TRIM)
-        self[run] = n = -1 if len(w) > _PIECE else self.words.setdefault(w, len(self.words))
+        w = self.stripped[run]
+        self[run] = n = -1 if w is None else self.words.setdefault(w, len(self.words))
         return n
 
     def of(self, text: str | None) -> np.ndarray:
@@ -84,7 +100,7 @@ class Numbers(dict):
 
 def _tokenised(batches: list[pa.RecordBatch]) -> bytes:
     """A block's body: its distinct words, then its rows with numbers of words for the text (the first column)."""
-    numbers, rows = Numbers(), []
+    numbers, rows = Numbers(only("toxicity", Stripped)), []
     for b in batches:
         of = [numbers.of(t) for t in b.column(0).to_pylist()]
         lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, of)]), pa.int32()), pa.array(np.concatenate([*of, np.zeros(0, np.int32)]), pa.int32()))
@@ -101,7 +117,6 @@ def word_counts(train: DataFrame) -> DataFrame:
     """(toxic, word, c): in how many texts of each class a word stands.  One row per word, class and part of a task is shuffled."""
 
     def run(batches):
-        only("toxicity", dict)
         seen: Counter = Counter()
 
         def out():
@@ -124,20 +139,31 @@ def word_counts(train: DataFrame) -> DataFrame:
 def class_rows(words: DataFrame, order: int = ORDER, shared_order: int = SHARED) -> DataFrame:
     """Rows (tag, gram, value) of the log ratio of class 1 to class 0, from (toxic, word, c): tag 0 for n-grams, 1 for contexts.
 
-    A window's ratio is that of its n-gram plus that of its context, each 0 where there is no row.
+    A window's ratio is that of its n-gram plus that of its context, each 0 where there is no row.  Both classes stand in one row of an
+    n-gram, and a context's n-grams (no more than there are characters) meet in one window.
     """
     marked = F.concat(F.lit(charlm._START * (order - 1)), "word", F.lit(" "))
     grams = F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda i: F.substring(marked, i, F.lit(order)))
-    counts = written(words.select(F.col("toxic").cast("string").alias("grp"), F.explode(grams).alias("gram"), "c").groupBy("grp", "gram").agg(F.sum("c").alias("c")))
+    both = words.groupBy("word").agg(*[F.sum(F.when(F.col("toxic") == y, F.col("c")).otherwise(0)).alias(f"c{y}") for y in (0, 1)])
+    counts = written(both.select(F.explode(grams).alias("gram"), "c0", "c1").groupBy("gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")))
     tail = F.expr(f"substring(gram, {order - shared_order + 1})")
-    pooled = counts.select("gram").distinct().groupBy(F.lit("").alias("grp"), tail.alias("gram")).agg(F.count("*").alias("c"))
-    shared = charlm.probabilities(written(pooled), shared_order)
-    own = written(charlm.weighted(counts, order).withColumn("sfx", tail))
-    sign = F.when(F.col("grp") == "1", 1.0).otherwise(-1.0)
-    seen = own.join(shared.select(F.col("gram").alias("sfx"), F.col("p").alias("low")), "sfx")
-    delta = seen.select("gram", F.lit(0).alias("tag"), (sign * (F.log(F.col("own") + F.col("gamma") * F.col("low")) - F.log("gamma") - F.log("low"))).alias("value"))
-    weight = own.groupBy("grp", "ctx").agg(F.first("gamma").alias("gamma")).select(F.col("ctx").alias("gram"), F.lit(1).alias("tag"), (sign * F.log("gamma")).alias("value"))
-    return delta.unionByName(weight).groupBy("gram", "tag").agg(F.sum("value").alias("value")).where("value != 0")
+    pooled = counts.groupBy(F.lit("").alias("grp"), tail.alias("gram")).agg(F.count("*").alias("c"))
+    shared = few(written(charlm.probabilities(written(pooled), shared_order).select(F.col("gram").alias("sfx"), F.col("p").alias("low"))))
+    per_class = counts.select(F.explode(F.array(F.struct(F.lit("0").alias("grp"), F.col("c0").alias("c")), F.struct(F.lit("1").alias("grp"), F.col("c1").alias("c")))).alias("x")).select("x.*").where("c > 0")
+    levels = {r["grp"]: [r["d1"], r["d2"], r["d3"]] for r in charlm.discounts(per_class).collect()}  # a row per class
+    x, ctx = counts.withColumns({"ctx": F.expr(f"substring(gram, 1, {order - 1})"), "sfx": tail}), Window.partitionBy("ctx")
+    for y in (0, 1):
+        c = F.col(f"c{y}")
+        d = levels.get(str(y), [0.5, 1.0, 1.5])
+        x = x.withColumn(f"d{y}", F.when(c == 0, 0.0).when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2]))
+    x = x.withColumns({f"{n}{y}": F.sum(f"{c}{y}").over(ctx) for y in (0, 1) for n, c in (("total", "c"), ("left", "d"))} | {"first": F.row_number().over(ctx.orderBy("gram"))})
+    gamma = {y: F.col(f"left{y}") / F.col(f"total{y}") for y in (0, 1)}
+    weight = sum((F.when(F.col(f"total{y}") > 0, F.log(gamma[y]) * sign).otherwise(0.0) for y, sign in ((0, -1), (1, 1))), F.lit(0.0))
+    own = {y: (F.col(f"c{y}") - F.col(f"d{y}")) / F.col(f"total{y}") for y in (0, 1)}
+    delta = sum((F.when(F.col(f"c{y}") > 0, (F.log(own[y] + gamma[y] * F.col("low")) - F.log(gamma[y]) - F.log("low")) * sign).otherwise(0.0) for y, sign in ((0, -1), (1, 1))), F.lit(0.0))
+    x = x.join(shared, "sfx").select("gram", "ctx", "first", weight.alias("weight"), delta.alias("delta"))
+    rows = F.array(F.struct(F.lit(0).alias("tag"), F.col("gram").alias("gram"), F.col("delta").alias("value")), F.struct(F.lit(1).alias("tag"), F.col("ctx").alias("gram"), F.when(F.col("first") == 1, F.col("weight")).otherwise(0.0).alias("value")))
+    return x.select(F.explode(rows).alias("x")).select("x.*").where("value != 0")
 
 
 def _spelled(ws: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
