@@ -14,16 +14,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import mixing, neardup, packing, quality_rules, secrets
-from tidemill.llm.common import written
+from tidemill.llm.common import few, settled, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Most rows (16 bytes each) that are broadcast.
-BROADCAST = 1_000_000
 
 
 def _met(rows: DataFrame) -> DataFrame:
-    rows = written(rows)
-    return rows.hint("broadcast" if rows.count() <= BROADCAST else "shuffle_hash")
+    return few(written(rows))
 
 
 def _content() -> Column:
@@ -31,9 +28,12 @@ def _content() -> Column:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep: base rules and language-specific perplexity bands."""
+    """Documents that the quality rules keep: base rules and language-specific perplexity bands.
+
+    Null and empty texts go, as they fail the base rules; equal rows go or stay together; a null language is one of its own.
+    """
     docs = docs.select(*COLUMNS).withColumn("_h", _content())
-    judged = quality_rules.judge(quality_rules.scored(docs, keep=("doc_id", "_h")))
+    judged = quality_rules.judge(settled(lambda: quality_rules.scored(docs, keep=("doc_id", "_h"))))
     out = judged.where(~F.col("kept")).select(F.col("doc_id").alias("_i"), F.col("_h").alias("_o")).distinct()
     return docs.join(_met(out), F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_o")), "left_anti").select(*COLUMNS)
 
@@ -55,12 +55,16 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets replaced by a mark; n_chars counts what is left."""
+    """All documents, their secrets replaced by a mark; n_chars counts what is left, and is null for a null text."""
     return secrets.redact(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: weights 3, 1, 2 over the sources, 150% of all words, at most twice each."""
+    """Documents as often as the mix takes them: weights 3, 1, 2 over the sources, 150% of all words, at most twice each.
+
+    Documents without words are taken as the others of their source; those of a source without words are not.  Equal rows are
+    taken alike, and so are all rows of a null id in a source; a null source is the last.
+    """
     docs = docs.select(*COLUMNS).withColumns({"_n": mixing.size_of("text"), "_h": _content()})
     sizes = written(docs.select("doc_id", "source", F.col("_n").alias("size"), "_h"))
     mix = mixing.pareto_mix(sizes, "doc_id", "source", "size", mixing.WEIGHTS, mixing.SHARE, mixing.MOST)
@@ -70,7 +74,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 4096 tokens, each mixed as all documents are."""
+    """Pieces of sequences of 4096 tokens, each mixed as all documents are; every row is packed, null texts as one closing token."""
     return packing.pack(docs, "doc_id", "text", "source", packing.tokenizer_path())
 
 
@@ -82,7 +86,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Language models, redaction and tokens are no matter for SQL; tests hold the stages against plain versions.
+#: Language models, redaction and tokens are no matter for SQL; tests hold every stage's rows against a plain version.
 ORACLE_SQL = None
 
 
