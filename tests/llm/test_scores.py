@@ -76,7 +76,7 @@ def plain_kn(texts, order):
 def test_kneser_ney(spark, texts, monkeypatch, size):
     """Bits of every text, by the definition, in one block or many and over several ranges of keys."""
     monkeypatch.setattr(blocks, "RANGE", 500)
-    monkeypatch.setattr(blocks.stored, "__defaults__", (size, blocks.body_of))
+    monkeypatch.setattr(blocks.stored, "__defaults__", (size, blocks.body_of, None))
     some = [(t, "en") for t in texts[:30]] + [(t, None) for t in texts[30:60]] + [("", "en"), (None, None), (texts[0], "en")]
     df = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate(some)], "doc_id bigint, text string, lang string").repartition(3)
     got = {r["doc_id"]: r["bits"] for r in quality_rules.scored(df, order=4).collect()}
@@ -368,33 +368,33 @@ def test_class_models(spark, texts):
     r = random.Random(1)
     train = [(t + (" vile scoundrels" if i % 3 == 0 else ""), int(i % 3 == 0)) for i, t in enumerate(texts[:45])] + [("once onlyhere", 1), (None, 0), ("", 1)]
     df = spark.createDataFrame([(t, y) for t, y in train], "text string, toxic int")
-    rows = toxicity.class_rows(toxicity.word_counts(df), 6, 3)
+    model = toxicity.class_model(toxicity.word_counts(df), 6, 3)
     asked = [texts[50], texts[51] + " VILE!", "a scoundrel", "never seen wordzz", "onlyhere", None, "", "---", "vile " * 30 + " ".join(r.choice(texts[52].split()) for _ in range(50))]
-    got = {x["doc_id"]: x for x in toxicity.figures(spark.createDataFrame(list(enumerate(asked)), "doc_id bigint, text string").repartition(3), rows, order=6).collect()}
+    got = {x["doc_id"]: x for x in toxicity.figures(spark.createDataFrame(list(enumerate(asked)), "doc_id bigint, text string").repartition(3), model, order=6).collect()}
     ratio = plain_ratio([(t or "", y) for t, y in train], 6, 3)
     for i, t in enumerate(asked):
         ws = toxicity.tokens(t)
         v = [ratio(w) if w else 0.0 for w in ws]
         top = sorted({w: x for w, x in zip(ws, v, strict=True)}.values(), reverse=True)
-        want = [sum(v) / max(len(v), 8), *(sum(top[:k]) / k for k in toxicity.TOP), *(max(sum(v[j : j + w]) for j in range(max(1, len(v) - w + 1))) / w for w in toxicity.WINDOWS)]
+        want = [sum(v) / max(len(v), 8), *(sum(top[:k]) / k for k in toxicity.TOP)]
         assert [got[i][k] for k in toxicity.FIGURES] == pytest.approx(want, rel=1e-3, abs=2e-4)
 
 
 def test_numbers_of_words(texts):
-    n = toxicity.Numbers(toxicity.Stripped(50))
-    for t in [*texts, "A-b " + "q" * 95 + " .x. " + "!" * 50 + "y" * 41 + "!!", "a", "--- a", None]:
-        of = n.of(t).tolist()
-        words = list(n.words)
-        assert [words[i] for i in of] == toxicity.tokens(t)
+    all_ = [*texts, "A-b " + "q" * 95 + " .x. " + "!" * 50 + "y" * 41 + "!!", "a", "--- a", None, "q" * 95]
+    n = toxicity.Numbers()
+    got = [x for i in range(0, len(all_), 7) for x in n.of(all_[i : i + 7])]
+    words = list(n.words)
+    assert [[words[i] for i in x.tolist()] for x in got] == [toxicity.tokens(t) for t in all_] and n.of([]) == []
 
 
 def test_toxicity(spark, docs, odd, none):
     rows = [(i, f"{'you vile scoundrel' if i % 4 == 0 else 'a fine day'} and {'the house by the river ' * (i % 3 + 1)}", int(i % 4 == 0)) for i in range(200)]
-    model = toxicity.class_rows(toxicity.word_counts(spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")))
+    model = toxicity.class_model(toxicity.word_counts(spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")))
     test = spark.createDataFrame([(0, "oh vile one"), (1, "a fine house"), (2, None), (3, ""), (4, "VILE!"), (5, "the river " * 3000 + "vile"), (None, "vile"), (0, "oh vile one")], "doc_id bigint, text string")
     rows = toxicity.figures(test, model).collect()
     got = {r["doc_id"]: r for r in rows}
-    assert min(got[i]["top1"] for i in (0, 4, 5, None)) > 1 > 0.5 > got[1]["top1"] and got[2]["mean"] == got[3]["window8"] == 0
+    assert min(got[i]["top1"] for i in (0, 4, 5, None)) > 1 > 0.5 > got[1]["top1"] and got[2]["mean"] == got[3]["top1"] == 0
     assert len({tuple(r) for r in rows if r["doc_id"] == 0}) == 1 and len(rows) == 8
     assert toxicity.figures(none, model).count() == 0 and toxicity.figures(odd, model).count() == odd.count()
     w = toxicity.logistic(np.r_[np.zeros(50), np.ones(50)][:, None], np.r_[np.zeros(50), np.ones(50)])

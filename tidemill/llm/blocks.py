@@ -37,8 +37,11 @@ def batches_of(body: bytes) -> pa.RecordBatchReader:
     return pa.ipc.open_stream(body)
 
 
-def stored(df: DataFrame, text_col: str, size: int = BLOCK, make: Callable[[list[pa.RecordBatch]], bytes] = body_of) -> Blocks:
-    """(block, body): the rows of df in blocks, as a table bucketed by block; make gets a block's rows in batches of some 1 MB of text each."""
+def stored(df: DataFrame, text_col: str, size: int = BLOCK, make: Callable[[list[pa.RecordBatch]], bytes] = body_of, total: int | None = None) -> Blocks:
+    """(block, body): the rows of df in blocks, as a table bucketed by block; make gets a block's rows in batches of some 1 MB of text each.
+
+    total: bytes of text, where they are known.
+    """
     spark = df.sparkSession
 
     def run(batches):
@@ -55,7 +58,8 @@ def stored(df: DataFrame, text_col: str, size: int = BLOCK, make: Callable[[list
         if have:
             yield pa.RecordBatch.from_arrays([pa.array([first + n]), pa.array([make(have)], pa.binary())], ["block", "body"])
 
-    total = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    if total is None:
+        total = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
     path = shared_folder(spark)
     with held(spark):

@@ -10,8 +10,8 @@ n-grams of the highest order have counts and (from counts of counts) modified Kn
 while s, a modified Kneser-Ney model of the order ``SHARED``, holds continuation counts over both classes
 together; a context that a class has not met leaves all to s.  Every word of every training text counts.  The log-likelihood
 ratio of the classes is summed over a word, then normalised by length: a document's
-figures are its mean a word, the means of its ``TOP`` most toxic distinct words, and that of its most toxic window of
-``WINDOWS`` words, so that length neither adds nor dilutes, and one rare word weighs less than several.  A logistic fit turns
+figures are its mean a word and the means of its ``TOP`` most toxic distinct words,
+so that length neither adds nor dilutes, and one rare word weighs less than several.  A logistic fit turns
 them into a score; it uses a fold of labelled documents that the models haven't
 counted, at most ``CALIBRATION`` of them, those with the least hash of the id.
 
@@ -36,17 +36,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import blocks, charlm
-from .common import documents, few, fields, fold, mapped, named, only, released, settled, slices, written
+from .common import documents, few, fields, fold, mapped, named, released, settled, slices, written
 
 ORDER, SHARED = 10, 5
-TOP, WINDOWS = (1, 2, 4), (8,)
+TOP, SHORT = (1, 2, 4, 8), 8
 #: Most labelled documents that the logistic fit uses.
 CALIBRATION = 20_000
 #: Distinct words in a part of the vocabulary.
 VOCABULARY = 200_000
-FIGURES = ("mean", *(f"top{k}" for k in TOP), *(f"window{w}" for w in WINDOWS))
+FIGURES = ("mean", *(f"top{k}" for k in TOP))
 #: What a missed toxic document weighs against a false alarm.
-COST = 4.0
+COST = 5.0
 _TRIM = ".,;:!?\"'()[]{}<>*#$%&|-_"
 #: Characters of a word that are spelled; longer ones are no words, and go on in pieces.
 _PIECE = 40
@@ -61,56 +61,68 @@ def tokens(text: str | None) -> list[str]:
     return out
 
 
-class Stripped(dict):
-    """Runs of a text without white space -> their word, None for those of several words; up to ``most`` are remembered from block to block."""
-
-    def __init__(self, most: int = 600_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, run: str) -> str | None:
-        if len(self) >= self.most:
-            self.clear()
-        w = run.strip(_TRIM)
-        self[run] = w = None if len(w) > _PIECE else w
-        return w
-
-
 class Numbers(dict):
-    """Runs of a block -> the number of their word, -1 for those of several words; words are numbered as they come."""
+    """Runs of a block without white space -> the number of their word, -1 for those of several words; words are numbered as they come."""
 
-    def __init__(self, stripped: Stripped):
+    def __init__(self):
         super().__init__()
         self.words: dict[str, int] = {}
-        self.stripped = stripped
 
     def __missing__(self, run: str) -> int:
-        w = self.stripped[run]
-        self[run] = n = -1 if w is None else self.words.setdefault(w, len(self.words))
+        w = run.strip(_TRIM)
+        self[run] = n = -1 if len(w) > _PIECE else self.words.setdefault(w, len(self.words))
         return n
 
-    def of(self, text: str | None) -> np.ndarray:
-        """The numbers of ``tokens(text)``."""
-        runs = (text or "").lower().split()
-        out = np.fromiter(map(self.__getitem__, runs), np.int32, len(runs))
-        if len(out) and out.min() < 0:
-            out = np.array([self.words.setdefault(w, len(self.words)) for w in tokens(text)], np.int32)
+    def of(self, texts: list[str | None]) -> list[np.ndarray]:
+        """For each text the numbers of its ``tokens``."""
+        out = []
+        for t in texts:
+            runs = (t or "").lower().split()
+            x = np.fromiter(map(self.__getitem__, runs), np.int32, len(runs))
+            out.append(np.array([self.words.setdefault(w, len(self.words)) for w in tokens(t)], np.int32) if len(x) and x.min() < 0 else x)
         return out
 
 
+def _ranked(x: np.ndarray) -> bytes:
+    """32-bit numbers, their bytes by rank, so that compression finds the zeros."""
+    return x.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
 def _tokenised(batches: list[pa.RecordBatch]) -> bytes:
-    """A block's body: its distinct words, then its rows with numbers of words for the text (the first column)."""
-    numbers, rows = Numbers(only("toxicity", Stripped)), []
-    for b in batches:
-        of = [numbers.of(t) for t in b.column(0).to_pylist()]
-        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, of)]), pa.int32()), pa.array(np.concatenate([*of, np.zeros(0, np.int32)]), pa.int32()))
-        rows.append(pa.RecordBatch.from_arrays([lists, *b.columns[1:]], names=b.schema.names))
-    words = blocks.body_of([pa.RecordBatch.from_arrays([pa.array(list(numbers.words), pa.string())], ["word"])])
-    return len(words).to_bytes(8, "little") + words + blocks.body_of(rows)
+    """A block's body in three parts: its distinct words; for each text (the first column) its distinct words' numbers and how often each stands; the other columns."""
+    import zstandard
+
+    numbers = Numbers()
+    texts = [np.unique(x, return_counts=True) for b in batches for x in numbers.of(b.column(0).to_pylist())]
+    size = np.array([len(x) for x, _ in texts], np.int32)
+    of, times = (np.concatenate([np.zeros(0, np.int32), *x]) for x in zip(*texts, strict=True))
+    parts = [
+        blocks.body_of([pa.RecordBatch.from_arrays([pa.array(list(numbers.words), pa.string())], ["word"])]),
+        zstandard.ZstdCompressor(level=3).compress(b"".join([np.int64(len(size)).tobytes(), _ranked(size), _ranked(np.diff(of, prepend=0)), _ranked(times)])),
+        blocks.body_of([b.select(b.schema.names[1:]) for b in batches]),
+    ]
+    return b"".join([*(len(x).to_bytes(8, "little") for x in parts), *parts])
+
+
+def _part(body: bytes, i: int) -> bytes:
+    sizes = [int.from_bytes(body[8 * k : 8 * k + 8], "little") for k in range(3)]
+    return body[24 + sum(sizes[:i]) : 24 + sum(sizes[: i + 1])]
 
 
 def _words(body: bytes) -> list[str]:
-    return [w for b in blocks.batches_of(body[8 : 8 + int.from_bytes(body[:8], "little")]) for w in b.column(0).to_pylist()]
+    return [w for b in blocks.batches_of(_part(body, 0)) for w in b.column(0).to_pylist()]
+
+
+def _texts(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each text's words begin, then the end; the words' numbers; how often each stands in its text."""
+    import zstandard
+
+    data = zstandard.ZstdDecompressor().decompress(_part(body, 1))
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    read = lambda at, k: np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * k, at).reshape(4, k).T).view("<i4")[:, 0]
+    at = np.concatenate([[0], np.cumsum(read(8, n), dtype=np.int64)])
+    k = int(at[-1])
+    return at, np.cumsum(read(8 + 4 * n, k), dtype=np.int64), read(8 + 4 * n + 4 * k, k)
 
 
 def word_counts(train: DataFrame) -> DataFrame:
@@ -173,8 +185,8 @@ def _spelled(ws: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return charlm.mix(charlm.window_keys(c, order)[at - order + 1]), charlm.mix(charlm.window_keys(c, order - 1)[at - order + 1] + np.uint64(_CONTEXT)), lengths
 
 
-def word_ratios(words: DataFrame, rows: DataFrame, order: int = ORDER) -> DataFrame:
-    """(key, value): the log ratio of each of the distinct words (word), by the word's key, from class_rows."""
+def class_model(words: DataFrame, order: int = ORDER, shared_order: int = SHARED) -> DataFrame:
+    """(key, value): class_rows by the keys of n-grams and contexts, written."""
 
     def keyed(part):
         tag, gram = np.array(part.column(0).to_pylist(), np.int64), part.column(1).to_pylist()
@@ -188,10 +200,16 @@ def word_ratios(words: DataFrame, rows: DataFrame, order: int = ORDER) -> DataFr
             key[at] += np.uint64(t * _CONTEXT)
         return {"key": charlm.mix(key).view(np.int64), "value": part.column(2).to_numpy().astype(np.float32)}
 
-    model = written(mapped(rows.select("tag", "gram", "value"), keyed, "key bigint, value float", "gram"))
+    return settled(lambda: mapped(class_rows(words, order, shared_order), keyed, "key bigint, value float", "gram"))
+
+
+def word_ratios(words: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
+    """(key, value): the log ratio of each of the distinct words (word), by the word's key, from class_model."""
     words = settled(lambda: words)
-    parts = -(-words.count() // VOCABULARY)
-    table = blocks.stored(words.repartition(max(parts, int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "word"), "word")
+    n, size = words.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("word")), F.lit(0))).first()
+    # neighbours have n-grams in common
+    parts = max(-(-n // VOCABULARY), words.sparkSession.sparkContext.defaultParallelism)
+    table = blocks.stored(words.repartitionByRange(parts, "word"), "word", total=size)
 
     def spelled(body):
         for part in blocks.batches_of(body):
@@ -199,7 +217,7 @@ def word_ratios(words: DataFrame, rows: DataFrame, order: int = ORDER) -> DataFr
             yield ws, *_spelled(ws, order)
 
     def keys_of(body):
-        return charlm.distinct(x for _, grams, contexts, _ in spelled(body) for x in (grams, contexts))
+        return np.unique(np.concatenate([x for _, grams, contexts, _ in spelled(body) for x in (grams, contexts)]))  # of a part of the vocabulary
 
     def use(body, keys, values):
         found = blocks.Values(keys, values)
@@ -217,8 +235,8 @@ def word_keys(ws: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in ws), np.uint64, len(ws))
 
 
-def figures(df: DataFrame, rows: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", order: int = ORDER) -> DataFrame:
-    """The columns ``keep``, and FIGURES, from class_rows."""
+def figures(df: DataFrame, model: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", order: int = ORDER) -> DataFrame:
+    """The columns ``keep``, and FIGURES, from class_model."""
     table = blocks.stored(df.select(named(text_col).alias("_text"), *[named(k).alias(f"k{i}") for i, k in enumerate(keep)]), "_text", make=_tokenised)
     arrow = to_arrow_schema(schema := fields(df, keep, ", ".join(f"{k} double" for k in FIGURES)))
 
@@ -232,23 +250,21 @@ def figures(df: DataFrame, rows: DataFrame, keep: tuple[str, ...] = ("doc_id",),
 
     def use(body, keys, values):
         value = blocks.Values(keys, values).of(word_keys(_words(body))).astype(np.float64)
-        for part in blocks.batches_of(body[8 + int.from_bytes(body[:8], "little") :]):
-            of, at = part.column(0).values.to_numpy(), part.column(0).offsets.to_numpy()
-            out = [document_figures(value, of[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*[c.cast(f.type) for c, f in zip(part.columns[1:], arrow, strict=False)], *[pa.array(c, pa.float64()) for c in zip(*out, strict=True)]], schema=arrow)
-
-    ratios = settled(lambda: word_ratios(table.table.mapInArrow(released(distinct), "word string").distinct(), rows, order))
+        at, of, times = _texts(body)
+        out = [document_figures(value[of[a:b]], times[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        done = 0
+        for part in blocks.batches_of(_part(body, 2)):
+            own, done = out[done : done + part.num_rows], done + part.num_rows
+            yield pa.RecordBatch.from_arrays([*[c.cast(f.type) for c, f in zip(part.columns, arrow, strict=False)], *[pa.array(c, pa.float64()) for c in zip(*own, strict=True)]], schema=arrow)
+
+    ratios = settled(lambda: word_ratios(table.table.mapInArrow(released(distinct), "word string").distinct(), model, order))
     return blocks.answered(table, keys_of, ratios, use, schema)
 
 
-def document_figures(value: np.ndarray, of: np.ndarray) -> list[float]:
-    """FIGURES of a text whose tokens are words ``of`` with ratios ``value``; a text too short for a window counts as one filled with zeros."""
-    n, v = len(of), value[of]
-    sums = np.concatenate([[0.0], np.cumsum(v)])
-    best = np.sort(value[np.unique(of)])[::-1]
-    row = [sums[-1] / max(n, WINDOWS[-1])]
-    row += [float(best[:k].sum()) / k for k in TOP]
-    return row + [float((sums[w:] - sums[:-w]).max()) / w if n >= w else sums[-1] / w for w in WINDOWS]
+def document_figures(value: np.ndarray, times: np.ndarray) -> list[float]:
+    """FIGURES of a text whose distinct words have ratios ``value`` and stand so often; a text shorter than ``SHORT`` words counts as one filled with zeros."""
+    best = np.sort(value)[::-1]
+    return [float(value @ times) / max(int(times.sum()), SHORT), *(float(best[:k].sum()) / k for k in TOP)]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> np.ndarray:
@@ -276,8 +292,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = labels.where(fold(F.col("doc_id"), 5) != 4)
     once = docs.join(few(counted), "doc_id").groupBy(F.md5(F.coalesce("text", F.lit(""))).alias("m"), "toxic").agg(F.min("doc_id").alias("doc_id"))
     train = docs.join(few(written(once.select("doc_id", "toxic"))), "doc_id")
-    rows = settled(lambda: class_rows(written(word_counts(train))))
-    scored = settled(lambda: figures(docs, rows))
+    model = class_model(word_counts(train))
+    scored = settled(lambda: figures(docs, model))
     fit = scored.join(few(labels.where(fold(F.col("doc_id"), 5) == 4)), "doc_id")
     rows = fit.orderBy(F.xxhash64("doc_id"), "doc_id", *FIGURES).select(*FIGURES, "toxic").limit(CALIBRATION).toPandas()
     y = rows.toxic.to_numpy(float)
