@@ -95,7 +95,7 @@ def test_stream_goes_on_after_a_crash(spark, sf, tmp_path):
 def test_alert_log_of_all_assets(spark, sf):
     con = duckdb.connect()
     con.sql(f"create view events as select * from '{sf}/events.parquet'")
-    al = "al AS (SELECT asset AS machine, window_start, 'rule' AS source, 's1' AS sensor FROM w WHERE alert)"
+    al = "al AS (SELECT asset AS machine, window_start, 'rule' AS source, worst AS sensor FROM w WHERE alert)"
     query = f"WITH RECURSIVE {catalog._alert_sql()}, {al} SELECT * FROM al ORDER BY window_start DESC, machine, source, sensor".replace("count_if(", "count(*) FILTER (WHERE ")
     want = con.sql(query).fetchall()
     assert {r[0] for r in want} == {"click", "error", "purchase", "signup", "view"}

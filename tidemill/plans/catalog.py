@@ -118,19 +118,20 @@ def score_quantiles(spark, sf):
 
 
 def _hourly(spark, sf):
-    """Hour means of the first sensor; an hour is eligible after the first day and with an observation."""
-    b = features.dense_blocks(_blocks(spark, sf).where("sensor = 's1'").drop("sensor"), KEYS, START, END, HOUR)
-    reason = F.when(F.col("block") < START + 86400, "warm_up").when(F.col("n") == 0, "all_sensors_missing").otherwise("")
-    x = b.select("asset", F.col("block").alias("window_start"), "mean", reason.alias("dq_reason"))
-    return x.withColumn("eligible", F.col("dq_reason") == "")
+    """Hour means of both sensors; an hour is eligible after the first day and with an observation of each."""
+    b = features.dense_blocks(_blocks(spark, sf), [*KEYS, "sensor"], START, END, HOUR)
+    means = [F.max(F.when(F.col("sensor") == s, F.col("mean"))).alias(s) for s in PAIR]
+    x = b.groupBy(*KEYS, F.col("block").alias("window_start")).agg(*means, F.count_if(F.col("n") == 0).alias("none"))
+    reason = F.when(F.col("window_start") < START + 86400, "warm_up").when(F.col("none") == len(PAIR), "all_sensors_missing").when(F.col("none") > 0, "partial_sensor_missing").otherwise("")
+    return x.withColumn("dq_reason", reason).withColumn("eligible", F.col("dq_reason") == "").drop("none")
 
 
 def _alerts(spark, sf, k: float = 1.0):
-    return monitoring.expanding_zscore(_hourly(spark, sf), KEYS, {"s1": "mean"}, k, 30)
+    return monitoring.expanding_zscore(_hourly(spark, sf), KEYS, {s: s for s in PAIR}, k, 30)
 
 
 def expanding_zscore_alerts(spark, sf):
-    return _alerts(spark, sf, 2.0).select("asset", "window_start", "eligible", "alert", _r("z", 5), "prior_n")
+    return _alerts(spark, sf, 2.0).select("asset", "window_start", "eligible", "alert", "worst_sensor", _r("z", 5), "prior_n")
 
 
 def _intervals(spark, sf):
@@ -379,12 +380,13 @@ def _wide() -> str:
 def _alert_sql() -> str:
     b = "OVER (PARTITION BY asset ORDER BY window_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     return f"""{EV}, {LO}, {GRID},
- hm AS (SELECT a.asset, h.block AS window_start, avg(s1) AS mean, count(s1) AS n FROM assets a CROSS JOIN hours h LEFT JOIN ev ON ev.asset = a.asset AND t >= h.block AND t < h.block + {HOUR} GROUP BY ALL),
- hd AS (SELECT *, CASE WHEN window_start < {START + 86400} THEN 'warm_up' WHEN n = 0 THEN 'all_sensors_missing' ELSE '' END AS dq_reason FROM hm),
- hx AS (SELECT *, dq_reason = '' AS eligible, CASE WHEN dq_reason = '' THEN mean END AS x FROM hd),
- hz AS (SELECT *, count(x) {b} AS pn, avg(x) {b} AS pm, stddev_pop(x) {b} AS ps FROM hx),
- z AS (SELECT *, CASE WHEN x IS NOT NULL AND pn >= 30 AND ps > 0 THEN (x - pm) / ps END AS z FROM hz),
- w AS (SELECT asset, window_start, dq_reason, eligible, COALESCE(abs(z) > 1.0, false) AS alert, z, pn,
+ hm AS (SELECT a.asset, h.block AS window_start, avg(s1) AS mean1, count(s1) AS n1, avg(s2) AS mean2, count(s2) AS n2 FROM assets a CROSS JOIN hours h LEFT JOIN ev ON ev.asset = a.asset AND t >= h.block AND t < h.block + {HOUR} GROUP BY ALL),
+ hd AS (SELECT *, CASE WHEN window_start < {START + 86400} THEN 'warm_up' WHEN n1 = 0 AND n2 = 0 THEN 'all_sensors_missing' WHEN n1 = 0 OR n2 = 0 THEN 'partial_sensor_missing' ELSE '' END AS dq_reason FROM hm),
+ hx AS (SELECT *, dq_reason = '' AS eligible, CASE WHEN dq_reason = '' THEN mean1 END AS x1, CASE WHEN dq_reason = '' THEN mean2 END AS x2 FROM hd),
+ hz AS (SELECT *, count(x1) {b} AS pn1, avg(x1) {b} AS pm1, stddev_pop(x1) {b} AS ps1, count(x2) {b} AS pn2, avg(x2) {b} AS pm2, stddev_pop(x2) {b} AS ps2 FROM hx),
+ zs AS (SELECT *, CASE WHEN x1 IS NOT NULL AND pn1 >= 30 AND ps1 > 0 THEN (x1 - pm1) / ps1 END AS z1, CASE WHEN x2 IS NOT NULL AND pn2 >= 30 AND ps2 > 0 THEN (x2 - pm2) / ps2 END AS z2 FROM hz),
+ z AS (SELECT *, CASE WHEN COALESCE(abs(z2), -1) > COALESCE(abs(z1), -1) THEN 's2' ELSE 's1' END AS worst FROM zs),
+ w AS (SELECT asset, window_start, dq_reason, eligible, worst, COALESCE(greatest(abs(z1), abs(z2)) > 1.0, false) AS alert, CASE worst WHEN 's2' THEN z2 ELSE z1 END AS z, CASE worst WHEN 's2' THEN pn2 ELSE pn1 END AS pn,
    (window_start - {START}) % 86400 >= 50400 AND (window_start - {START}) % 86400 < 54000 AS in_stop, window_start >= {START + 25 * 86400} AND (window_start - {START}) % 86400 >= 64800 AS in_change FROM z),
  i0 AS (SELECT *, CASE WHEN window_start - (lag(window_start) OVER (PARTITION BY asset ORDER BY window_start) + {HOUR}) <= {GAP} THEN 0 ELSE 1 END AS new FROM w WHERE alert),
  i1 AS (SELECT *, sum(new) OVER (PARTITION BY asset ORDER BY window_start) AS episode FROM i0),
@@ -434,7 +436,7 @@ def _select_sql(where: str, cap: str) -> str:
  SELECT candidate_id, tp, fp, fn, total_alerts, {_c('f1')}, within_cap, rank, within_cap AND rank = 1 AS selected FROM c4"""
 
 
-ALOG = f"al AS (SELECT asset AS machine, window_start, window_start + {HOUR} AS window_end, 'rule' AS source, 's1' AS sensor, abs(z) AS score FROM w WHERE alert)"
+ALOG = f"al AS (SELECT asset AS machine, window_start, window_start + {HOUR} AS window_end, 'rule' AS source, worst AS sensor, abs(z) AS score FROM w WHERE alert)"
 
 SQL = {
     "block_stats": f"WITH {EV}, {LO} SELECT asset, sensor, (t - {START}) // {HOUR} * {HOUR} + {START} AS block, count(x) AS n, {_c('avg(x)', 'mean')}, {_c(f'avg(CASE WHEN x IS NOT NULL THEN t - {START} END)', 'tbar', 4)}, {_c(f'COALESCE(regr_syy(x, (t - {START})::DOUBLE), 0)', 'm2', 4)}, round(COALESCE(regr_sxy(x, (t - {START})::DOUBLE), 0) + 0.00137, 2) AS stx, 0::BIGINT AS n_inf FROM lo GROUP BY ALL",
@@ -449,7 +451,7 @@ SQL = {
     "robust_scaler_fit": f"WITH {_wide()} SELECT 's1__mean_6h' AS feature, {_c('quantile_cont(m1, 0.5)', 'center')}, {_c('quantile_cont(m1, 0.75) - quantile_cont(m1, 0.25)', 'scale')}, count(*) AS rows FROM fr WHERE train AND eligible UNION ALL SELECT 's2__mean_6h', {_c('quantile_cont(m2, 0.5)', 'center')}, {_c('quantile_cont(m2, 0.75) - quantile_cont(m2, 0.25)', 'scale')}, count(*) FROM fr WHERE train AND eligible",
     "robust_scaled": f"WITH {_wide()}, q AS (SELECT quantile_cont(m1, 0.5) AS c1, quantile_cont(m1, 0.75) - quantile_cont(m1, 0.25) AS i1, quantile_cont(m2, 0.5) AS c2, quantile_cont(m2, 0.75) - quantile_cont(m2, 0.25) AS i2 FROM fr WHERE train AND eligible) SELECT asset, window_start, {_c('(m1 - c1) / i1', 's1__mean_6h', 5)}, {_c('(m2 - c2) / i2', 's2__mean_6h', 5)} FROM fr CROSS JOIN q WHERE eligible",
     "score_quantiles": f"WITH {_wide()}, ql AS (SELECT unnest([0.9, 0.95, 0.975, 0.99, 0.995, 0.999])::DOUBLE AS q, unnest((SELECT quantile_cont(abs(m1), [0.9, 0.95, 0.975, 0.99, 0.995, 0.999]) FROM fr WHERE eligible)) AS threshold) SELECT q, {_c('threshold')} FROM ql",
-    "expanding_zscore_alerts": f"WITH RECURSIVE {_alert_sql()} SELECT asset, window_start, eligible, COALESCE(abs(z) > 2.0, false) AS alert, {_c('CASE WHEN abs(z) > 2.0 THEN z END', 'z', 5)}, CASE WHEN abs(z) > 2.0 THEN pn END AS prior_n FROM w",
+    "expanding_zscore_alerts": f"WITH RECURSIVE {_alert_sql()} SELECT asset, window_start, eligible, COALESCE(abs(z) > 2.0, false) AS alert, CASE WHEN abs(z) > 2.0 THEN worst END AS worst_sensor, {_c('CASE WHEN abs(z) > 2.0 THEN z END', 'z', 5)}, CASE WHEN abs(z) > 2.0 THEN pn END AS prior_n FROM w",
     "debounce_episodes": f'WITH RECURSIVE {_alert_sql()} SELECT asset, episode, start, "end", n_windows FROM ep',
     "greedy_match": f"WITH RECURSIVE {_alert_sql()} SELECT asset, event_id, matched_start, delay FROM m",
     "overlapping_events": f"""WITH RECURSIVE {_alert_sql()} SELECT a.asset, a.event_id, COALESCE(string_agg(b.event_id, ',' ORDER BY b.event_id), '') AS overlapping FROM lab a LEFT JOIN lab b ON a.asset = b.asset AND a.event_id <> b.event_id AND b.onset <= a."end" + {TAIL} AND a.onset <= b."end" + {TAIL} GROUP BY ALL""",
@@ -462,6 +464,7 @@ SQL = {
     "selection_rule": _select_sql("true", "1.0"),
     "selection_no_candidate": _select_sql("strictness < 100", "-1.0"),
     "ingest_categories": f"WITH {MSG} SELECT arrival_seq, category, tag, ts_epoch FROM log",
+    "stream_ingest": f"WITH {MSG} SELECT arrival_seq, category FROM log",
     "ingest_reconciliation": f"WITH {MSG}, c AS (SELECT unnest(['accepted', 'duplicate', 'reading_conflict', 'out_of_order_rejected', 'unknown_tag', 'bad_payload']) AS category) SELECT c.category, count(log.arrival_seq) AS n, (SELECT count(*) FROM log) AS handled FROM c LEFT JOIN log USING (category) GROUP BY c.category",
     "ingest_summary": f"WITH {MSG} SELECT tag, {', '.join(f'''count_if(category = '{c}') AS {c}''' for c in ingest.CATEGORIES)}, max(CASE WHEN category = 'accepted' THEN ts_epoch END) AS last_epoch FROM log WHERE tag IS NOT NULL GROUP BY tag",
     "message_round_trip": f"WITH {MSG} SELECT tag, ts_epoch, v AS vibration_rms, w AS motor_current_a, true AS well_formed FROM log WHERE category = 'accepted'",
