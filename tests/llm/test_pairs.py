@@ -79,8 +79,9 @@ def test_components_of_cut_buckets(docs, spark, texts, monkeypatch):
     df = spark.createDataFrame(list(enumerate(some)), "doc_id bigint, text string").repartition(3)
     monkeypatch.setattr(neardup, "PART", 3)
     monkeypatch.setattr(neardup, "CHUNK", 3)
-    for cross in (0, 1 << 40):
+    for cross, big in ((0, 4), (0, 1000), (1 << 40, 4)):
         monkeypatch.setattr(neardup, "CROSS", cross)
+        monkeypatch.setattr(neardup, "BIG", big)
         got = {x["doc_id"]: x["component_id"] for x in neardup.jaccard_components(df).collect()}
         assert [got[i] for i in range(len(some))] == comp and len(set(comp)) > 3
 

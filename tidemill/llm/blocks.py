@@ -38,7 +38,7 @@ def batches_of(body: bytes) -> pa.RecordBatchReader:
 
 
 def stored(df: DataFrame, text_col: str, size: int = BLOCK, make: Callable[[list[pa.RecordBatch]], bytes] = body_of, total: int | None = None) -> Blocks:
-    """(block, body): the rows of df in blocks, as a table bucketed by block; make gets a block's rows in batches of some 1 MB of text each.
+    """(block, body): the rows of df in blocks, as a table bucketed by block; make gets a block's rows in batches of some 0.5 MB of text each.
 
     total: bytes of text, where they are known.
     """
@@ -49,7 +49,7 @@ def stored(df: DataFrame, text_col: str, size: int = BLOCK, make: Callable[[list
 
         first, n, have, length = TaskContext.get().partitionId() << 32, 0, [], 0
         for batch in batches:
-            for piece in slices(batch, text_col, 1 << 20):
+            for piece in slices(batch, text_col, 1 << 19):
                 if have and length + piece.nbytes > size:
                     yield pa.RecordBatch.from_arrays([pa.array([first + n]), pa.array([make(have)], pa.binary())], ["block", "body"])
                     n, have, length = n + 1, [], 0

@@ -81,7 +81,7 @@ def distinct(parts, bits: int = 20) -> np.ndarray:
         met[slot[new]] = part[new]
         have.append(np.unique(part[new]))
         n += len(have[-1])
-        if n > 4_000_000:
+        if n > 2_000_000:
             have, n = [np.unique(np.concatenate(have))], 0
     return np.unique(np.concatenate(have))
 

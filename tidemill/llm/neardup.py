@@ -50,6 +50,8 @@ GROWTH = 1.5
 CROSS = 16
 #: Most nodes of a bucket whose sketches are compared in one task, and of the largest label whose ids are.
 PART, CHUNK = 2048, 100_000
+#: Nodes of a bucket above which its pairs are told from those of other such buckets.
+BIG = 256
 #: Pairs that Python holds at once while it compares their sets.
 PAIRS = 200
 _BITS = 4096  # of a part
@@ -283,8 +285,8 @@ def within(rows: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of a bucket (rows: key, id, n, label, sketch, size) with different labels whose sketches allow a link.
 
     A bucket of more than ``PART`` nodes is cut into parts by hash of the node, and each two parts meet in a bucket of their
-    own, so that no task holds more; sketches of one are compared in blocks of arrays.  A pair is given by the first of the buckets that it has in
-    common, and by no other; a node brings its buckets along, of which it has no more than parts.
+    own, so that no task holds more; sketches of one are compared in blocks of arrays.  Of buckets of more than ``BIG`` nodes a pair is given by the
+    first that it has in common, and by no other of them; a node brings these buckets along, of which it has no more than parts.
     """
 
     def pairs(ids, n, label, part, at, buckets, sketches):
@@ -299,20 +301,24 @@ def within(rows: DataFrame, num: int, den: int) -> DataFrame:
                 ok &= part[i : i + block, None] != part[None, i:]
             a, b = np.nonzero(ok)
             a, b = a[a < b] + i, b[a < b] + i
-            here = [at[p] == min(buckets[p] & buckets[q]) for p, q in zip(a.tolist(), b.tolist(), strict=True)]
-            a, b = a[here], b[here]
+            if buckets is not None:
+                here = [at == min(buckets[p] & buckets[q]) for p, q in zip(a.tolist(), b.tolist(), strict=True)]
+                a, b = a[here], b[here]
             yield np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])])
 
     def bucket(t: pa.Table):
         for at in np.unique(t.column(5).to_numpy()):  # one, but for buckets whose parts have one hash
             own = t.filter(pa.array(t.column(5).to_numpy() == at))
             if own.num_rows > 1:
-                yield from pairs(*(own.column(i).to_numpy() for i in range(1, 5)), own.column(5).to_pylist(), list(map(set, own.column(6).to_pylist())), own.column(7).to_pylist())
+                buckets = None if own.column(6).null_count else list(map(set, own.column(6).to_pylist()))
+                yield from pairs(*(own.column(i).to_numpy() for i in range(1, 5)), int(at), buckets, own.column(7).to_pylist())
 
     parts = F.ceil(F.col("size") / PART).cast("long")
-    mine = rows.groupBy(F.col("id").alias("of")).agg(F.collect_set("key").alias("buckets"))
-    cut = rows.withColumn("part", F.pmod(F.xxhash64("id"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    cut = cut.join(mine, F.col("id") == F.col("of")).withColumn("at", F.col("key")).withColumn("key", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")))
+    big = rows.where(F.col("size") > BIG)
+    mine = big.groupBy(F.col("id").alias("of")).agg(F.collect_set("key").alias("buckets"))
+    both = big.join(mine, F.col("id") == F.col("of")).drop("of").unionByName(rows.where(F.col("size") <= BIG).withColumn("buckets", F.lit(None).cast("array<bigint>")))
+    cut = both.withColumn("part", F.pmod(F.xxhash64("id"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    cut = cut.withColumn("at", F.col("key")).withColumn("key", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")))
     return _by_bucket(cut.select("key", "id", "n", "label", "part", "at", "buckets", "sketch"), bucket)
 
 
