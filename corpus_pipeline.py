@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import mixing, neardup, packing, quality_rules, secrets
-from tidemill.llm.common import few, settled, written
+from tidemill.llm.common import few, settled, shrink, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -43,6 +43,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Documents without words, and groups whose ids are all null, stay.
     """
+    shrink(spark)
     docs = docs.select(*COLUMNS).withColumn("_h", _content())
     groups = neardup.jaccard_components(docs, "doc_id", "text", k=5, num=80, den=100, hash_col="_h")
     out = groups.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_i"), F.col("_h").alias("_o")).distinct()
@@ -56,6 +57,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets replaced by a mark; n_chars counts what is left, and is null for a null text."""
+    shrink(spark)
     return secrets.redact(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
@@ -75,6 +77,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 4096 tokens, each mixed as all documents are; every row is packed, null texts as one closing token."""
+    shrink(spark)
     return packing.pack(docs, "doc_id", "text", "source", packing.tokenizer_path())
 
 

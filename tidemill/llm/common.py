@@ -119,6 +119,15 @@ def settled(make: Callable[[], DataFrame], rows: int | None = None) -> DataFrame
     return out
 
 
+def shrink(spark: SparkSession) -> None:
+    """Ask the executors' JVMs to give back heap that has grown on large rows, as processes of several stages share their memory with Python's.
+
+    A short job of two tasks a core, so that each executor is likely to be met; nothing depends on it.
+    """
+    n = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 #: Most rows of a table that is broadcast.
 BROADCAST = 1_000_000
 

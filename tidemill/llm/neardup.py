@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, documents, few, mapped, mix, settled, slices, windows_hash, written
+from .common import WordHashes, documents, few, mapped, mix, released, settled, slices, windows_hash, written
 from .components import components
 
 #: Growth of the sizes of a band.
@@ -182,7 +182,7 @@ def sketch_rows(df: DataFrame, id_col: str, text_col: str, k: int, num: int, den
                     yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(lo), *[pa.nulls(len(a), f.type) for f in list(schema)[2:]]], schema=schema)
 
     digest = F.col(hash_col) if hash_col else F.lit(None)
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), digest.cast("long").alias("digest")).mapInArrow(run, ROWS)
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), digest.cast("long").alias("digest")).mapInArrow(released(run), ROWS)
 
 
 def buckets(rows: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fields, mapped, named
+from .common import documents, fields, mapped, named, only
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -152,6 +152,7 @@ def redact(df: DataFrame, text_col: str = "text", mark: str = "[secret]") -> Dat
     """All columns of df, with secrets in the text replaced by the mark; other columns are untouched."""
 
     def each(part):
+        only("secrets", dict)
         out = dict(zip(part.schema.names, part.columns, strict=True))
         out[text_col] = [redact_text(t, mark) for t in part.column(part.schema.get_field_index(text_col)).to_pylist()]
         return out
