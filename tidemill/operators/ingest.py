@@ -70,10 +70,15 @@ def parse(messages: DataFrame, cfg: dict = DEFAULT, raw: str = "raw") -> DataFra
     return x.select(*messages.columns, F.col("_tag").alias("tag"), F.col("_ts").alias("ts_raw"), "ts_epoch", *[F.when(good, F.col(s)).alias(s) for s in SENSORS], "content_hash", "reason")
 
 
-def classify(messages: DataFrame, tags: list[str], cfg: dict = DEFAULT, raw: str = "raw", arrival: str = "arrival_seq") -> DataFrame:
+def declared(tags: list[str] | Column) -> Column:
+    """Whether tag is a declared machine's: one of a list, or by a rule over the column tag where machines are too many to list."""
+    return tags if isinstance(tags, Column) else F.col("tag").isin(tags)
+
+
+def classify(messages: DataFrame, tags: list[str] | Column, cfg: dict = DEFAULT, raw: str = "raw", arrival: str = "arrival_seq") -> DataFrame:
     """The parsed messages with their category and, where it isn't accepted, a reason."""
     x = parse(messages, cfg, raw)
-    known = F.col("tag").isin(tags)
+    known = declared(tags)
     x = x.withColumn("_valid", F.col("reason").isNull() & known)
     # rows that don't take part are spread by their arrival, not gathered under one key
     lane = F.when(F.col("_valid"), F.col("tag")).otherwise(F.concat(F.lit("\0"), F.pmod(F.xxhash64(arrival), F.lit(1024)).cast("string")))

@@ -11,13 +11,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..config import DEFAULT, SENSORS
-from ..operators.ingest import parse
+from ..operators.ingest import declared, parse
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -74,13 +74,13 @@ def state_of(log: DataFrame) -> DataFrame:
     return first.select(F.col("tag").alias("lane"), "ts_epoch", "content_hash", (F.col("category") == "accepted").alias("accepted"))
 
 
-def classify_stream(messages: DataFrame, tags: list[str], cfg: dict = DEFAULT, log: DataFrame | None = None) -> DataFrame:
+def classify_stream(messages: DataFrame, tags: list[str] | Column, cfg: dict = DEFAULT, log: DataFrame | None = None) -> DataFrame:
     """A stream (arrival_seq, raw) with its categories; the session must use the RocksDB state store (``STORE``).
 
     log: classified messages that came before the stream; a query without a checkpoint of its own begins where they ended.
     """
     x = parse(messages.select("arrival_seq", "raw"), cfg)
-    category = F.when(F.col("reason").isNotNull(), "bad_payload").when(~F.col("tag").isin(tags), "unknown_tag")
+    category = F.when(F.col("reason").isNotNull(), "bad_payload").when(~declared(tags), "unknown_tag")
     x = x.withColumn("category", category)
     x = x.withColumn("lane", F.when(F.col("category").isNull(), F.col("tag")).otherwise(F.concat(F.lit("\0"), F.pmod(F.xxhash64("arrival_seq"), F.lit(64)).cast("string"))))
     columns = ["arrival_seq", "raw", "tag", "ts_epoch", *SENSORS, "content_hash", "category"]
