@@ -201,3 +201,14 @@ def test_super_kmers_tell_where_windows_stand():
     windows = [w for a, b in zip(first, last, strict=True) for w in range(a, b - 12)]
     assert windows == [w for j in range(3) for w in range(60 * j, 60 * j + 48)]
     assert hashlib.sha256(text.data).hexdigest()
+
+
+def test_few_pairs_are_sent(spark):
+    """Large sets that meet once in light buckets are no pair; a group of near copies sends pairs by its nodes, not by their square."""
+    n = 200
+    rows = spark.createDataFrame([(k, i, n, i, 2, 1) for k, i in ((7, 1), (7, 2), (8, 1), (8, 2), (9, 1), (9, 3))], "key bigint, id bigint, n bigint, label bigint, size bigint, major bigint")
+    assert [tuple(r) for r in neardup.across(rows, 85, 100).collect()] == [(1, 2)]
+    group = spark.createDataFrame([(7, i, n, i, 100, bytearray([1 << i % 8] + [0] * 31)) for i in range(100)], "key bigint, id bigint, n bigint, label bigint, size bigint, sketch binary")
+    assert neardup.within(group, 85, 100).count() == 4950
+    few = {tuple(r) for r in neardup.within(group, 85, 100, 8).collect()}
+    assert len(few) <= 800 and {x for p in few for x in p} == set(range(100))

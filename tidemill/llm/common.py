@@ -101,7 +101,9 @@ def written(df: DataFrame, rows: int | None = None) -> DataFrame:
     path = shared_folder(df.sparkSession)
     with held(df.sparkSession, rows):
         df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
 
 
 def settled(make: Callable[[], DataFrame], rows: int | None = None) -> DataFrame:
@@ -109,16 +111,29 @@ def settled(make: Callable[[], DataFrame], rows: int | None = None) -> DataFrame
 
     Shuffles behind written tables are garbage too; Spark's cleaner deletes them once the driver has collected the plans.
     """
-    before = len(_made)
+    before = mark()
     out = written(make(), rows)
-    for spark, path in _made[before:-1]:
-        _remove(spark, path)
-    del _made[before:-1]
-    gc.collect()
-    out.sparkSession.sparkContext._jvm.System.gc()
+    sweep(before, out)
     return out
 
 
+def mark() -> int:
+    """A time, for ``sweep``."""
+    return len(_made)
+
+
+def sweep(since: int, *keep: DataFrame) -> None:
+    """Remove the tables written since then but those of ``keep``, and what shuffles are garbage."""
+    kept = {t._written_at for t in keep}
+    for spark, path in _made[since:]:
+        if path not in kept:
+            _remove(spark, path)
+    _made[since:] = [x for x in _made[since:] if x[1] in kept]
+    gc.collect()
+    for t in keep[:1]:
+        t.sparkSession.sparkContext._jvm.System.gc()
+
+
 def shrink(spark: SparkSession) -> None:
     """Ask the executors' JVMs to give back heap that has grown on large rows, as processes of several stages share their memory with Python's.
 

@@ -20,12 +20,16 @@ members, or up to twice that): if they differ in more bits than the pair may dif
 Verification is exact, on the sets of 64-bit hashes of k-grams, and seeks components, not
 all pairs.  First, in each bucket, the first node is compared with the others; groups of near copies
 fall together there, whatever their size.  What is left are buckets of several components.
-As a linked pair has r keys in common, each node may leave out the r - 1 of its keys with the largest
-buckets: the key that is first of the common ones by size stays with both.  That empties the buckets of passages that many texts
-share.  Of what is left, buckets with few pairs of different components for their size give these
-pairs; in others sketches are compared in arrays, and only pairs that pass are sent on.  Large buckets of both
+As a linked pair has r keys in common, each node may leave out some of its keys with the largest
+buckets: of s left out by each, the r - s first of the common ones by size stay with both.  That empties the buckets of passages that many texts
+share.  Nodes leave out two of four, so that a pair has two keys in common still, and one of two (small sets).  Of what is left, buckets with few pairs of
+different components for their size (light ones) give these pairs, and a pair that has met once only in them is none, unless it needs no
+second key or meets in another; in others (heavy ones) sketches are compared in arrays, and only pairs that pass are sent on.  Large buckets of both
 kinds are cut, so that a task holds a bounded part of one.
 
+Near copies by the thousand would still give pairs by the square.  So heavy buckets have a round before: a node is compared within its
+largest bucket and sends its ``NEAREST`` pairs only.  Their links make one component of most of a group, and the round over all pairs leaves out those of one component.
+
 Null texts and texts without words have empty sets that link with nothing.  Shorter texts
 than k words are one k-gram.  Rows are told apart by their sets, so that repeated ids, also with different texts, join the classes of
 all their texts each on its own; a null id is
@@ -41,17 +45,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, documents, few, mapped, mix, released, settled, slices, windows_hash, written
+from .common import WordHashes, documents, few, mapped, mark, mix, released, settled, slices, sweep, windows_hash, written
 from .components import components
 
 #: Growth of the sizes of a band.
 GROWTH = 1.5
 #: Pairs of different components a node, above which a bucket's sketches are compared before pairs are sent.
 CROSS = 16
+#: Keys that a linked pair of larger sets has in common when each has left out its largest buckets.
+COMMON = 2
 #: Most nodes of a bucket whose sketches are compared in one task, and of the largest label whose ids are.
 PART, CHUNK = 2048, 100_000
 #: Nodes of a bucket above which its pairs are told from those of other such buckets.
 BIG = 256
+#: Pairs that a node sends in the round before all pairs of heavy buckets.
+NEAREST = 8
 #: Pairs that Python holds at once while it compares their sets.
 PAIRS = 200
 _BITS = 4096  # of a part
@@ -281,12 +289,13 @@ def verified(pairs: DataFrame, of: DataFrame, num: int, den: int) -> DataFrame:
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def within(rows: DataFrame, num: int, den: int) -> DataFrame:
+def within(rows: DataFrame, num: int, den: int, most: int = 0) -> DataFrame:
     """Pairs (a, b) of a bucket (rows: key, id, n, label, sketch, size) with different labels whose sketches allow a link.
 
     A bucket of more than ``PART`` nodes is cut into parts by hash of the node, and each two parts meet in a bucket of their
     own, so that no task holds more; sketches of one are compared in blocks of arrays.  Of buckets of more than ``BIG`` nodes a pair is given by the
     first that it has in common, and by no other of them; a node brings these buckets along, of which it has no more than parts.
+    most: of pairs that a node sends to the nodes after it, those of least distance (0: all).
     """
 
     def pairs(ids, n, label, part, at, buckets, sketches):
@@ -299,12 +308,16 @@ def within(rows: DataFrame, num: int, den: int) -> DataFrame:
             ok = (far <= (n[i : i + block, None] + n[None, i:]) * (den - num) // (den + num)) & (label[i : i + block, None] != label[None, i:])
             if not one:
                 ok &= part[i : i + block, None] != part[None, i:]
-            a, b = np.nonzero(ok)
-            a, b = a[a < b] + i, b[a < b] + i
+            ok = np.triu(ok, 1)
+            if 0 < most < ok.shape[1]:
+                far = np.where(ok, far, 1 << 40)
+                ok &= far <= np.partition(far, most - 1, 1)[:, most - 1 : most]
+                ok &= np.cumsum(ok, 1) <= most  # of equal distances the first
+            a, b = (x + i for x in np.nonzero(ok))
             if buckets is not None:
                 here = [at == min(buckets[p] & buckets[q]) for p, q in zip(a.tolist(), b.tolist(), strict=True)]
                 a, b = a[here], b[here]
-            yield np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])])
+            yield np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]), np.ones(len(a), np.int64)])
 
     def bucket(t: pa.Table):
         for at in np.unique(t.column(5).to_numpy()):  # one, but for buckets whose parts have one hash
@@ -319,31 +332,43 @@ def within(rows: DataFrame, num: int, den: int) -> DataFrame:
     both = big.join(mine, F.col("id") == F.col("of")).drop("of").unionByName(rows.where(F.col("size") <= BIG).withColumn("buckets", F.lit(None).cast("array<bigint>")))
     cut = both.withColumn("part", F.pmod(F.xxhash64("id"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
     cut = cut.withColumn("at", F.col("key")).withColumn("key", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")))
-    return _by_bucket(cut.select("key", "id", "n", "label", "part", "at", "buckets", "sketch"), bucket)
+    return _by_bucket(cut.select("key", "id", "n", "label", "part", "at", "buckets", "sketch"), bucket).select("a", "b")
 
 
 def across(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of a bucket (rows: key, id, n, label, size, major) with different labels and sizes that allow a link: each node
-    outside the label ``major`` of its bucket with all of other labels.
+    """Pairs (a, b) of buckets (rows: key, id, n, label, size, major) with different labels and sizes that allow a link: each node
+    outside the label ``major`` of its bucket with all of other labels.  Pairs that need two common keys and have one are left out.
 
     The nodes of major, most of a bucket, are dealt to chunks of some ``CHUNK``; the others go to each.
     """
 
+    small = Bands(num, den).small()
+
     def bucket(t: pa.Table):
         ids, n, label = (t.column(i).to_numpy() for i in (1, 2, 3))
         most = t.column(4).to_numpy()[0]
         for i in np.flatnonzero(label != most):
             other = (label != label[i]) & ((label == most) | (np.arange(len(ids)) > i)) & (den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i]))
-            yield np.stack([np.minimum(ids[other], ids[i]), np.maximum(ids[other], ids[i])])
+            one = np.maximum(n[other], n[i]) <= small
+            yield np.stack([np.minimum(ids[other], ids[i]), np.maximum(ids[other], ids[i]), np.where(one, COMMON, 1)])
 
     chunks = F.ceil(F.col("size") / CHUNK).cast("long")
     own = F.pmod(F.xxhash64("id"), chunks)
     dealt = rows.withColumn("chunk", F.explode(F.when(F.col("label") == F.col("major"), F.array(own)).otherwise(F.sequence(F.lit(0).cast("long"), chunks - 1))))
-    return _by_bucket(dealt.withColumn("key", F.when(chunks == 1, F.col("key")).otherwise(F.xxhash64("key", "chunk"))).select("key", "id", "n", "label", "major"), bucket)
+    return _by_bucket(dealt.withColumn("key", F.when(chunks == 1, F.col("key")).otherwise(F.xxhash64("key", "chunk"))).select("key", "id", "n", "label", "major"), bucket).groupBy("a", "b").agg(F.sum("met").alias("met")).where(F.col("met") >= COMMON).select("a", "b")
 
 
 def _by_bucket(rows: DataFrame, bucket) -> DataFrame:
-    """bucket(rows of a key) -> pairs, for every key, over partitions that are sorted by key."""
+    """bucket(rows of a key) -> pairs and how often they met, for every key, over partitions that are sorted by key."""
+
+    def once(got):
+        x = np.concatenate(got, 1)
+        x = x[:, np.lexsort(x[1::-1])]
+        new = np.flatnonzero(np.concatenate([[True], (x[:2, 1:] != x[:2, :-1]).any(0)])) if x.shape[1] else []
+        return np.concatenate([x[:2, new], np.add.reduceat(x[2:], new, 1)]) if len(new) else x
+
+    def batch_of(x):
+        return pa.RecordBatch.from_arrays([pa.array(y) for y in x], ["a", "b", "met"])
 
     def run(batches):
         held: list = []
@@ -373,16 +398,15 @@ def _by_bucket(rows: DataFrame, bucket) -> DataFrame:
                     got.append(x)
                     size += x.shape[1]
                     if size > 200_000:  # pairs of several keys are one
-                        got = [np.unique(np.concatenate(got, 1), axis=1)]
+                        got = [once(got)]
                         size = got[0].shape[1]
                         if size > 100_000:
-                            yield pa.RecordBatch.from_arrays([pa.array(got[0][0]), pa.array(got[0][1])], ["a", "b"])
+                            yield batch_of(got[0])
                             got, size = [], 0
         if size:
-            both = np.unique(np.concatenate(got, 1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+            yield batch_of(once(got))
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint, met bigint")
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
@@ -394,8 +418,9 @@ def _mixed(rows: DataFrame) -> DataFrame:
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, hash_col: str | None = None) -> DataFrame:
     """(id, n_shingles, component_id) of each row, and hash_col if given: the smallest id that links lead to, its own included."""
-    all_ = written(buckets(sketch_rows(df, id_col, text_col, k, num, den, hash_col)))
-    known, shared = all_.where("key is null").drop("key"), all_.where("key is not null").select("key", "hi", "lo")
+    start = mark()
+    all_ = settled(lambda: buckets(sketch_rows(df, id_col, text_col, k, num, den, hash_col)))
+    known, shared = written(all_.where("key is null").drop("key")), all_.where("key is not null").select("key", "hi", "lo")
     classes = known.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.count("*").alias("copies"))
     # ids may repeat or be null, so a node goes by a number of its own until components are named
     classes = written(classes.withColumn("id", F.monotonically_increasing_id()))
@@ -403,29 +428,46 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     members = written(shared.join(classes, ["hi", "lo"]).select("key", "id", "n"))
     whole = known.where("n > 0").select(_doc(F.col("id")).alias("doc"), "hi", "lo", "n", "sketch")
     sketches = written(whole.join(nodes.join(members.select("id").distinct(), "id", "left_semi"), ["doc", "hi", "lo"]).dropDuplicates(["doc", "hi", "lo"]).select("id", "n", "sketch"))
+    sweep(start, known, classes, members, sketches)
 
     def linked(pairs: DataFrame) -> DataFrame:
         of = lambda: stored_sets(df, nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"), id_col, text_col, k)
         return settled(lambda: verified(pairs, of(), num, den), PAIRS)
 
+    def labelled_by(labels: DataFrame, rows: DataFrame, name: str = "id", label: str = "label") -> DataFrame:
+        """rows with the label of the node called name."""
+        of = labels.select(F.col("v").alias("_v"), F.col("label").alias("_label"))
+        return rows.join(of, F.col(name) == F.col("_v"), "left").withColumn(label, F.coalesce("_label", name)).drop("_v", "_label")
+
     lead = members.groupBy("key").agg(F.min(F.struct("id", "n")).alias("lead"))
-    star = members.join(lead, "key").where((F.col("id") > F.col("lead.id")) & (den * F.least("n", "lead.n") >= num * F.greatest("n", "lead.n"))).select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct()
-    links = linked(written(near(star, sketches, num, den)))
+    star = settled(lambda: members.join(lead, "key").where((F.col("id") > F.col("lead.id")) & (den * F.least("n", "lead.n") >= num * F.greatest("n", "lead.n"))).select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct())
+    links = linked(settled(lambda: near(star, sketches, num, den)))
     labels = settled(lambda: components(links))
-    now = members.join(labels, F.col("id") == F.col("v"), "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"))
     # a node has no more keys than parts
-    mine = _mixed(now).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("size", "key"))).alias("keys"), F.first("n").alias("n"), F.first("label").alias("label"))
-    spare = F.when(F.col("n") <= Bands(num, den).small(), 1).otherwise(3)
-    fewer = mine.select("id", "n", "label", F.explode(F.slice("keys", F.lit(1), F.greatest(F.lit(0), F.size("keys") - spare))).alias("k")).select(F.col("k.key").alias("key"), "id", "n", "label")
-    left = written(_mixed(written(fewer)))
-    close = near(across(left.where("light"), num, den).distinct().join(star, ["a", "b"], "left_anti"), sketches, num, den)
+    mine = _mixed(labelled_by(labels, members)).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("size", "key"))).alias("keys"), F.first("n").alias("n"), F.first("label").alias("label"))
+    spare = F.when(F.col("n") <= Bands(num, den).small(), 1).otherwise(4 - COMMON)
+    fewer = settled(lambda: mine.select("id", "n", "label", F.explode(F.slice("keys", F.lit(1), F.greatest(F.lit(0), F.size("keys") - spare))).alias("k")).select(F.col("k.key").alias("key"), "id", "n", "label"))
+    left = settled(lambda: _mixed(fewer))
+    sweep(start, known, classes, sketches, star, links, labels, left)
     heavy = left.where("not light")
-    if not heavy.isEmpty():
-        close = close.unionByName(within(heavy.join(sketches.select("id", "sketch"), "id"), num, den).join(star, ["a", "b"], "left_anti"))
-    close = written(close.distinct())
+    some = not heavy.isEmpty()
+    if some:
+        own = heavy.groupBy(F.col("id").alias("of")).agg(F.max(F.struct("size", "key")).alias("_k"))
+        largest = heavy.join(own, (F.col("id") == F.col("of")) & (F.col("key") == F.col("_k.key"))).drop("of", "_k")
+        first = settled(lambda: within(largest.join(sketches.select("id", "sketch"), "id"), num, den, NEAREST).distinct().join(star, ["a", "b"], "left_anti"))
+        links = written(links.unionByName(linked(first)))
+        labels = settled(lambda: components(links))
+    light = settled(lambda: across(left.where("light"), num, den).join(star, ["a", "b"], "left_anti"))
+    close = settled(lambda: near(light, sketches, num, den))
+    if some:
+        again = settled(lambda: _mixed(labelled_by(labels, heavy.select("key", "id", "n"))))
+        all_pairs = settled(lambda: within(again.join(sketches.select("id", "sketch"), "id"), num, den).join(star.unionByName(first), ["a", "b"], "left_anti").distinct())
+        close = close.join(first, ["a", "b"], "left_anti").unionByName(all_pairs)
+    close = settled(lambda: labelled_by(labels, labelled_by(labels, close, "a", "la"), "b", "lb").where("la != lb").select("a", "b").distinct())
     if not close.isEmpty():
         more = linked(close)
         labels = settled(lambda: components(links.unionByName(more)))
+    sweep(start, known, classes, labels)
     labelled = written(classes.join(labels, F.col("id") == F.col("v"), "left").where("copies > 1 or label is not null").select("hi", "lo", "least", F.coalesce("label", "id").alias("label")))
     least = written(labelled.groupBy(F.col("label").alias("of")).agg(F.min("least").alias("component")))
     named = labelled.join(few(least), F.col("label") == F.col("of")).select(F.col("hi").alias("h"), F.col("lo").alias("l"), "component")
