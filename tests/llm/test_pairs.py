@@ -212,3 +212,36 @@ def test_few_pairs_are_sent(spark):
     assert neardup.within(group, 85, 100).count() == 4950
     few = {tuple(r) for r in neardup.within(group, 85, 100, 8).collect()}
     assert len(few) <= 800 and {x for p in few for x in p} == set(range(100))
+
+
+def test_keys_of_parts_of_few_tokens_are_left_out():
+    """Unrelated sets share next to no keys, however many there are; a set sends as many keys as its bands have differences and common keys."""
+    r = np.random.default_rng(2)
+    bands = neardup.Bands(80, 100)
+    for n in (30, 330):
+        keys = [bands.keys(np.unique(r.integers(0, 1 << 63, n, np.int64).view(np.uint64) * np.uint64(2))) for _ in range(80)]
+        assert {len(k) for k in keys} == {sum(bands.parts[b] - bands.spare[b] for b in bands.of(n))}
+        assert sum(len(np.intersect1d(a, b)) for a, b in itertools.combinations(keys, 2)) < 30  # of 3,160 pairs
+
+
+def test_keys_of_differences_that_cancel():
+    """Differences that fall on one bit leave parts alike though their tokens differ; linked sets have enough keys in common still."""
+    r = np.random.default_rng(4)
+    for num, n in ((80, 60), (80, 300), (85, 300)):
+        bands = neardup.Bands(num, 100)
+        a = np.unique(r.integers(0, 1 << 63, n, np.int64).view(np.uint64) * np.uint64(2))
+        most = (100 - num) * n // num  # b has all of a and so many more
+        band = list(bands.of(n))[0]
+        p = bands.parts[band]
+        by_size = np.argsort(np.bincount(((a >> np.uint64(32)) * np.uint64(p) >> np.uint64(32)).astype(np.int64), minlength=p), kind="stable")
+        for pairs in (0, most // 4, most // 2):
+            high = ((by_size[np.arange(pairs) % p].astype(np.uint64) << np.uint64(32)) // np.uint64(p) + np.uint64(1)) << np.uint64(32)
+            twice = np.concatenate([high | np.uint64(i << 12) for i in range(2)])
+            b = np.unique(np.concatenate([a, twice, r.integers(0, 1 << 63, most - 2 * pairs, np.int64).view(np.uint64) * np.uint64(2)]))
+            assert 100 * n >= num * len(b)
+            assert len(np.intersect1d(bands.keys(a), bands.keys(b))) >= (2 if n <= bands.small() else 4)
+
+
+def test_first_nodes_are_compared_where_they_meet_twice(spark):
+    rows = spark.createDataFrame([(k, i, n, (a, m)) for k, a, i, n, m in ((7, 1, 1, 200, 200), (7, 1, 2, 200, 200), (8, 1, 2, 200, 200), (9, 1, 3, 200, 200), (9, 1, 4, 900, 200), (8, 1, 4, 900, 200), (5, 6, 7, 9, 9))], "key bigint, id bigint, n bigint, lead struct<id bigint, n bigint>")
+    assert sorted(tuple(r) for r in neardup.led(rows, 85, 100).collect()) == [(1, 2), (6, 7)]

@@ -9,8 +9,9 @@ sketches whose Hamming distance never exceeds ``|A xor B|``.  Sizes are cut into
 bands; a band fixes the most differences D of its pairs and cuts the sketch into
 D + r + e parts, r being 2 in bands of small sets and 4 in others.  By the pigeonhole
 principle a linked pair agrees in r + e parts at least.  A part's key is the XOR of random words of its
-set bits, a 47-bit Zobrist hash of the bits.  Parts of at most one token say little and would
-be shared widely: a set with at most e of them leaves them out (r common parts remain), others send all.
+set bits, a 47-bit Zobrist hash of the bits.  Parts of few tokens say little and are shared widely, empty ones by a share of all sets,
+which would give pairs by the square.  So each set leaves out the e parts of fewest tokens, of equal ones the first.  A part that agrees although its tokens differ
+spends two differences at least, so r + e parts agree in their tokens too; both sets order these alike, and all but their e first stay with both: r common parts remain.
 
 Equal sets are one node (80 bits) before sketches are sent, so copies are joined once.  Rows
 (key, node) are sorted in partitions by key, and only keys with two nodes or more go on.
@@ -18,8 +19,8 @@ A candidate pair is first held against its whole sketches (of as many bits as th
 members, or up to twice that): if they differ in more bits than the pair may differ in members, it can't link.
 
 Verification is exact, on the sets of 64-bit hashes of k-grams, and seeks components, not
-all pairs.  First, in each bucket, the first node is compared with the others; groups of near copies
-fall together there, whatever their size.  What is left are buckets of several components.
+all pairs.  First, the first node of each bucket is compared with those that it leads in two buckets at least (in one, of small sets); groups of near copies
+fall together there, whatever their size.  What is left are buckets of several components, and pairs that weren't compared are met there.
 As a linked pair has r keys in common, each node may leave out some of its keys with the largest
 buckets: of s left out by each, the r - s first of the common ones by size stay with both.  That empties the buckets of passages that many texts
 share.  Nodes leave out two of four, so that a pair has two keys in common still, and one of two (small sets).  Of what is left, buckets with few pairs of
@@ -148,13 +149,11 @@ class Bands:
             xor = np.bitwise_xor.reduceat(word, starts)
             n = np.zeros(p, np.int64)
             n[part[starts]] = np.diff([*starts, len(part)])
+            keep = np.sort(np.argsort(n, kind="stable")[self.spare[band] :])
             key = np.zeros(p, np.uint64)
             key[part[starts]] = xor
             key = mix(key + (np.arange(p, dtype=np.uint64) + np.uint64((band + 1) << 40)) * np.uint64(0x9E3779B97F4A7C15))
-            few = n <= (1 if p > 9 else 0)
-            if np.count_nonzero(few) <= self.spare[band]:
-                key = key[~few]
-            out.append(key >> np.uint64(17))
+            out.append(key[keep] >> np.uint64(17))
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -231,7 +230,7 @@ def buckets(rows: DataFrame) -> DataFrame:
             sent = bool(many[-1])
             a0, lo0 = (a[-1:], lo[-1:]) if sent else (a[last], lo[last])
 
-    ordered = rows.withColumn("key", F.shiftright("a", 16)).repartition("key").sortWithinPartitions("a", "lo").drop("key")
+    ordered = rows.repartition(F.shiftright("a", 16)).sortWithinPartitions("a", "lo")
     return ordered.mapInArrow(run, "key bigint, hi int, lo bigint, id bigint, n bigint, sketch binary, digest bigint")
 
 
@@ -289,6 +288,14 @@ def verified(pairs: DataFrame, of: DataFrame, num: int, den: int) -> DataFrame:
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
+def led(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of a bucket's first node and another (rows: key, id, n, lead (id, n)) whose sizes allow a link and that meet so in ``COMMON`` buckets, small sets in one."""
+    small = Bands(num, den).small()
+    both = rows.where((F.col("id") > F.col("lead.id")) & (den * F.least("n", "lead.n") >= num * F.greatest("n", "lead.n")))
+    once = F.when(F.greatest("n", "lead.n") <= small, COMMON).otherwise(1)
+    return both.groupBy(F.col("lead.id").alias("a"), F.col("id").alias("b")).agg(F.sum(once).alias("met")).where(F.col("met") >= COMMON).select("a", "b")
+
+
 def within(rows: DataFrame, num: int, den: int, most: int = 0) -> DataFrame:
     """Pairs (a, b) of a bucket (rows: key, id, n, label, sketch, size) with different labels whose sketches allow a link.
 
@@ -440,7 +447,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return rows.join(of, F.col(name) == F.col("_v"), "left").withColumn(label, F.coalesce("_label", name)).drop("_v", "_label")
 
     lead = members.groupBy("key").agg(F.min(F.struct("id", "n")).alias("lead"))
-    star = settled(lambda: members.join(lead, "key").where((F.col("id") > F.col("lead.id")) & (den * F.least("n", "lead.n") >= num * F.greatest("n", "lead.n"))).select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct())
+    star = settled(lambda: led(members.join(lead, "key"), num, den))
     links = linked(settled(lambda: near(star, sketches, num, den)))
     labels = settled(lambda: components(links))
     # a node has no more keys than parts
