@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from tidemill.llm import neardup, substrings
+from tidemill.llm import common, neardup, substrings
 from tidemill.llm.common import WordHashes
 
 
@@ -245,3 +245,9 @@ def test_keys_of_differences_that_cancel():
 def test_first_nodes_are_compared_where_they_meet_twice(spark):
     rows = spark.createDataFrame([(k, i, n, (a, m)) for k, a, i, n, m in ((7, 1, 1, 200, 200), (7, 1, 2, 200, 200), (8, 1, 2, 200, 200), (9, 1, 3, 200, 200), (9, 1, 4, 900, 200), (8, 1, 4, 900, 200), (5, 6, 7, 9, 9))], "key bigint, id bigint, n bigint, lead struct<id bigint, n bigint>")
     assert sorted(tuple(r) for r in neardup.led(rows, 85, 100).collect()) == [(1, 2), (6, 7)]
+
+
+def test_workers_forget_words_before_pairs():
+    WordHashes.shared().of([b"a", b"b"])
+    assert list(neardup.lean(iter)([1, 2])) == [1, 2]
+    assert "words" not in common._memo and not WordHashes.shared()

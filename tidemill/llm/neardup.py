@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, documents, few, mapped, mark, mix, released, settled, slices, sweep, windows_hash, written
+from .common import WordHashes, documents, few, mapped, mark, mix, only, released, settled, shrink, slices, sweep, windows_hash, written
 from .components import components
 
 #: Growth of the sizes of a band.
@@ -192,6 +192,16 @@ def sketch_rows(df: DataFrame, id_col: str, text_col: str, k: int, num: int, den
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), digest.cast("long").alias("digest")).mapInArrow(released(run), ROWS)
 
 
+def lean(run):
+    """run(batches) for mapInArrow in a worker that forgets the words of texts first and gives back the task's memory."""
+
+    def whole(batches):
+        only("pairs", dict)
+        yield from run(batches)
+
+    return released(whole)
+
+
 def buckets(rows: DataFrame) -> DataFrame:
     """(key, hi, lo, id, n, sketch, digest): the nodes of each key that two different nodes have, and with a null key the rows of all ids.
 
@@ -231,7 +241,7 @@ def buckets(rows: DataFrame) -> DataFrame:
             a0, lo0 = (a[-1:], lo[-1:]) if sent else (a[last], lo[last])
 
     ordered = rows.repartition(F.shiftright("a", 16)).sortWithinPartitions("a", "lo")
-    return ordered.mapInArrow(run, "key bigint, hi int, lo bigint, id bigint, n bigint, sketch binary, digest bigint")
+    return ordered.mapInArrow(lean(run), "key bigint, hi int, lo bigint, id bigint, n bigint, sketch binary, digest bigint")
 
 
 def stored_sets(df: DataFrame, nodes: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
@@ -267,7 +277,7 @@ def near(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame
             keep = [i for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True)) if hamming(x.as_py(), y.as_py()) <= n[i]]
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    return both.mapInArrow(run, "a bigint, b bigint")
+    return both.mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def verified(pairs: DataFrame, of: DataFrame, num: int, den: int) -> DataFrame:
@@ -285,7 +295,7 @@ def verified(pairs: DataFrame, of: DataFrame, num: int, den: int) -> DataFrame:
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    return both.mapInArrow(run, "a bigint, b bigint")
+    return both.mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def led(rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -413,7 +423,7 @@ def _by_bucket(rows: DataFrame, bucket) -> DataFrame:
         if size:
             yield batch_of(once(got))
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint, met bigint")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(lean(run), "a bigint, b bigint, met bigint")
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
@@ -436,6 +446,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     whole = known.where("n > 0").select(_doc(F.col("id")).alias("doc"), "hi", "lo", "n", "sketch")
     sketches = written(whole.join(nodes.join(members.select("id").distinct(), "id", "left_semi"), ["doc", "hi", "lo"]).dropDuplicates(["doc", "hi", "lo"]).select("id", "n", "sketch"))
     sweep(start, known, classes, members, sketches)
+    shrink(df.sparkSession)
 
     def linked(pairs: DataFrame) -> DataFrame:
         of = lambda: stored_sets(df, nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"), id_col, text_col, k)
@@ -456,6 +467,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     fewer = settled(lambda: mine.select("id", "n", "label", F.explode(F.slice("keys", F.lit(1), F.greatest(F.lit(0), F.size("keys") - spare))).alias("k")).select(F.col("k.key").alias("key"), "id", "n", "label"))
     left = settled(lambda: _mixed(fewer))
     sweep(start, known, classes, sketches, star, links, labels, left)
+    shrink(df.sparkSession)
     heavy = left.where("not light")
     some = not heavy.isEmpty()
     if some:
